@@ -1,7 +1,7 @@
 """Choosing decision parameters from out-of-fold probabilities.
 
-A grid has a fixed number of settings, so it is an array literal exploded beside each row; equal probability rows are
-counted first, and the counts combine map-side per setting. No join is involved.
+A grid has a fixed number of settings, so every row is repeated once per setting by a generator; equal probability rows
+are counted first, and the counts combine map-side per setting. No join is involved.
 """
 
 from __future__ import annotations
@@ -14,23 +14,22 @@ from pyspark.sql import functions as F
 from wayside.functions.columns import decide
 from wayside.operators.scores import macro_f1
 
-# Thresholds 0.05 … 0.90 in 35 steps, margins 0 … 0.3 in 7 steps, class factors 0.5 … 4 in 15 steps.
-TAUS = tuple(round(0.05 + 0.025 * i, 4) for i in range(35))
-MARGINS = tuple(round(0.05 * i, 4) for i in range(7))
-FACTORS = tuple(0.5 + 0.25 * i for i in range(15))
+# Thresholds 0.05 … 0.90 in 35 steps, margins 0 … 0.3 in 7 steps, class factors 0.5 … 4 in 15 steps,
+# blending weights.
 WEIGHTS = (0.25, 0.5, 0.75)
 
 
-def _settings(rows: Sequence[tuple[float, float]]):
-    items = [F.struct(F.lit(i).alias("cand"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(rows)]
-    return F.inline(F.array(*items))
+def _tau(i):
+    return F.round(F.lit(0.05) + i * 0.025, 4)
 
 
-def candidates(rule: str) -> list[tuple[float, float]]:
-    if rule == "global":
-        return [(t, 0.0) for t in TAUS]
-    second = TAUS if rule == "per_side" else MARGINS
-    return [(t, u) for t in TAUS for u in second]
+def _tried(rows: DataFrame, rule: str) -> DataFrame:
+    """Each row once per setting (cand, a, b) of the rule; settings are numbered and computed from their number."""
+    n, second = {"global": (35, 1), "per_side": (35 * 35, 35), "margin": (35 * 7, 7)}[rule]
+    numbered = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cand"))
+    major, minor = F.floor(F.col("cand") / second), F.col("cand") % second
+    b = {"global": F.lit(0.0), "per_side": _tau(minor), "margin": F.round(minor * 0.05, 4)}[rule]
+    return numbered.select("*", _tau(major).alias("a"), b.alias("b"))
 
 
 def middle_of_tied(scored: DataFrame, by: Sequence[str], score: str = "macro_f1", order: str = "cand") -> DataFrame:
@@ -46,7 +45,7 @@ def middle_of_tied(scored: DataFrame, by: Sequence[str], score: str = "macro_f1"
 def sweep(oof: DataFrame, rule: str, by: Sequence[str] = ()) -> DataFrame:
     """Macro-F1 of every candidate setting of a rule on (p1, p2, label), and the selected one."""
     counted = oof.groupBy(*by, "p1", "p2", "label").agg(F.count(F.lit(1)).alias("n"))
-    tried = counted.select("*", _settings(candidates(rule)))
+    tried = _tried(counted, rule)
     pred = decide("p1", "p2", rule, F.col("a"), F.col("b"), F.col("b"))
     scored = macro_f1(tried.withColumn("pred", pred), [*by, "cand", "a", "b"], weight="n")
     named = scored.withColumn("rule", F.lit(rule))
@@ -55,9 +54,11 @@ def sweep(oof: DataFrame, rule: str, by: Sequence[str] = ()) -> DataFrame:
 
 def class_scaling(oof: DataFrame) -> DataFrame:
     """Scale the two fault probabilities over the factor grid; the first setting that beats the unscaled argmax most wins."""
-    grid = [(1.0, 1.0)] + [(a, b) for a in FACTORS for b in FACTORS]
     counted = oof.groupBy("p0", "p1", "p2", "label").agg(F.count(F.lit(1)).alias("n"))
-    tried = counted.select("*", _settings(grid))
+    cand = F.col("cand")
+    factor = lambda i: F.when(cand == 0, 1.0).otherwise(0.5 + 0.25 * i)
+    tried = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(225))).alias("cand")).select(
+        "*", factor(F.floor((cand - 1) / 15)).alias("a"), factor((cand - 1) % 15).alias("b"))
     s1, s2 = F.col("p1") * F.col("a"), F.col("p2") * F.col("b")
     pred = F.when((F.col("p0") >= s1) & (F.col("p0") >= s2), "Normal").when(s1 >= s2, "Side I").otherwise("Side II")
     scored = macro_f1(tried.withColumn("pred", pred), ["cand", "a", "b"], weight="n")

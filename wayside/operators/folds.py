@@ -78,11 +78,11 @@ def condition_folds(units: DataFrame, family: str, speed: str, lowest: int = 2)
 def others_mean(df: DataFrame, case: str, value: str) -> DataFrame:
     """Leave-one-case-out training mean: the total minus the held-out case, instead of listing all other cases."""
     per = df.groupBy(case).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    total = per.agg(F.sum("_s").alias("_S"), F.sum("_c").alias("_C"), F.count(F.lit(1)).alias("_K"))
+    total = per.agg(F.sum("_s").alias("all_sum"), F.sum("_c").alias("all_rows"), F.count(F.lit(1)).alias("cases"))
     joined = per.join(F.broadcast(total), F.lit(True))  # one row
     return joined.select(
-        F.col(case).alias("held"), (F.col("_K") - 1).alias("train_cases"), (F.col("_C") - F.col("_c")).alias("train_rows"),
-        ((F.col("_S") - F.col("_s")) / (F.col("_C") - F.col("_c"))).alias("train_mean"),
+        F.col(case).alias("held"), (F.col("cases") - 1).alias("train_cases"), (F.col("all_rows") - F.col("_c")).alias("train_rows"),
+        ((F.col("all_sum") - F.col("_s")) / (F.col("all_rows") - F.col("_c"))).alias("train_mean"),
     )
 
 

@@ -71,7 +71,7 @@ def interval_f1(true: DataFrame, pred: DataFrame, matched: DataFrame, by: Sequen
 
 def rank_decay(ranked: str | Column, truth: str | Column) -> Column:
     """(n − (r − 1)) / n for the true unit at rank r of a '|'-joined list; 0 where it is absent."""
-    order = F.transform(F.split(col(ranked), r"\|"), F.trim)
+    order = F.transform(F.split(col(ranked), r"\|"), lambda x: F.trim(x))
     n, r = F.size(order), F.array_position(order, F.trim(col(truth)))
     return F.when(r > 0, (n - (r - 1)) / n).otherwise(0.0)
 

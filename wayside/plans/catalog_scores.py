@@ -180,12 +180,12 @@ def score_margin(spark, sf):
 
 @query(
     "overall_score",
-    f"""WITH s AS (SELECT o_custkey, o_orderstatus, avg(o_totalprice) / 500000 AS score FROM orders GROUP BY ALL)
+    f"""WITH s AS (SELECT o_custkey, o_orderstatus, avg(o_totalprice) / 499999 AS score FROM orders GROUP BY ALL)
     SELECT o_custkey, {rd("sum(score) / 4")} AS overall, {rd("avg(score)")} AS average, count(*) AS attempted FROM s GROUP BY ALL""",
 )
 def overall_score(spark, sf):
     """Three order states play the systems a team attempted, customers the teams."""
-    s = table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg((F.avg("o_totalprice") / 500000).alias("score"))
+    s = table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg((F.avg("o_totalprice") / 499999).alias("score"))
     o = scores.overall(s, ["o_custkey"], "score")
     return o.select("o_custkey", rounded("overall").alias("overall"), rounded("average").alias("average"), "attempted")
 

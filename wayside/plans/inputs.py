@@ -29,14 +29,14 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         micros("ts").alias("t"),
         F.col("event_type").alias("mode"),
-        F.col("value").alias("current"),
+        (F.col("value") / 0.97).alias("current"),
         (F.lit(100) + k).cast("double").alias("voltage"),
         (k + F.col("value") / 10).alias("bemf"),
         k.cast("double").alias("pos"),
     )
 
 
-EV = """ev AS (SELECT user_id AS stream_id, event_id AS seq, epoch_us(ts) AS t, event_type AS mode, value AS current,
+EV = """ev AS (SELECT user_id AS stream_id, event_id AS seq, epoch_us(ts) AS t, event_type AS mode, value / 97e-2 AS current,
   CAST(100 + k AS DOUBLE) AS voltage, k + value / 10 AS bemf, CAST(k AS DOUBLE) AS pos
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events))"""
 
@@ -57,13 +57,13 @@ def recordings(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").alias("ok"),
         F.col("l_linenumber").alias("ln"),
         F.col("l_partkey").alias("pk"),
-        (F.col("l_extendedprice") / 100).alias("x"),
+        (F.col("l_extendedprice") / 97).alias("x"),
         F.col("l_quantity").alias("q"),
         (F.col("l_linenumber") % 2).cast("int").alias("pulse"),
     )
 
 
-LI = """li AS (SELECT l_suppkey AS rec, l_extendedprice / 100 AS x, l_quantity AS q, l_linenumber % 2 AS pulse,
+LI = """li AS (SELECT l_suppkey AS rec, l_extendedprice / 97 AS x, l_quantity AS q, l_linenumber % 2 AS pulse,
   row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n
   FROM lineitem
   WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice))"""
