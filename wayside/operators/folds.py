@@ -78,12 +78,11 @@ def condition_folds(units: DataFrame, family: str, speed: str, lowest: int = 2)
 def others_mean(df: DataFrame, case: str, value: str) -> DataFrame:
     """Leave-one-case-out training mean: the total minus the held-out case, instead of listing all other cases."""
     per = df.groupBy(case).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    total = per.agg(F.sum("_s").alias("all_sum"), F.sum("_c").alias("all_rows"), F.count(F.lit(1)).alias("cases"))
-    joined = per.join(F.broadcast(total), F.lit(True))  # one row
-    return joined.select(
-        F.col(case).alias("held"), (F.col("cases") - 1).alias("train_cases"), (F.col("all_rows") - F.col("_c")).alias("train_rows"),
-        ((F.col("all_sum") - F.col("_s")) / (F.col("all_rows") - F.col("_c"))).alias("train_mean"),
-    )
+    total = lambda c: per.agg(c).scalar()
+    rest = per.select(
+        F.col(case).alias("held"), (total(F.count(F.lit(1))) - 1).alias("train_cases"),
+        (total(F.sum("_c")) - F.col("_c")).alias("train_rows"), (total(F.sum("_s")) - F.col("_s")).alias("_sum"))
+    return rest.withColumn("train_mean", F.col("_sum") / F.col("train_rows")).drop("_sum")
 
 
 def audit(folds: DataFrame, unit: str, family: str, held: Column) -> DataFrame:
@@ -110,9 +109,7 @@ def truth_folds(truth: DataFrame, cycles: DataFrame, keys: Sequence[str], start:
 
 
 def balanced_weights(units: DataFrame, label: str) -> DataFrame:
-    """Weight n / (classes × class size) of each class; the class list is short, so it is broadcast."""
+    """Weight n / (classes × class size) of each class."""
     sizes = units.groupBy(label).agg(F.count(F.lit(1)).alias("class_n"))
-    total = sizes.agg(F.sum("class_n").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    weights = sizes.join(F.broadcast(total), F.lit(True)).select(
-        label, "class_n", (F.col("_n") / (F.col("_k") * F.col("class_n"))).alias("weight"))
-    return weights
+    n, k = (sizes.agg(c).scalar() for c in (F.sum("class_n"), F.count(F.lit(1))))
+    return sizes.withColumn("weight", n / (k * F.col("class_n")))

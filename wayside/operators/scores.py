@@ -149,11 +149,10 @@ def gates(scores: DataFrame, baseline: str, parts: Sequence[str], blend: str, mi
     )
     best_part = scores.where(F.col("candidate").isin(*parts)).groupBy("candidate").agg(F.avg("macro_f1").alias("m")).agg(
         F.max("m").alias("_best_part"))
-    out = per.join(F.broadcast(best_part), F.lit(True))  # one row
     fault_ok = F.lit(True)
     for c in classes[1:]:
         fault_ok = fault_ok & F.col(f"_ok_{c}")
-    return out.select(
+    return per.withColumn("_best_part", best_part.scalar()).select(
         "candidate", "mean",
         (F.col("mean") - F.col("_base_mean") > F.greatest(F.lit(minimum), F.col("_base_sd"))).alias("gain"),
         "consistent", fault_ok.alias("fault_classes"),

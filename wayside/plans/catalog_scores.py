@@ -506,8 +506,9 @@ def full_calibration(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("family"))
     r = folds.ranked(d, "doc_id", width=10_000).withColumn("fold", folds.split_even(F.col("pos"), F.col("n"), 3))
     safe = folds.family_folds(r, "family", "doc_id", "fold").select(F.col("doc_id").alias("unit_id"), F.col("family_fold").alias("fold"))
-    chosen = choose.blend_sweep(u).where("chosen").select("w", "tau")
-    joined = u.join(safe, "unit_id").join(F.broadcast(chosen), F.lit(True))  # one row
+    chosen = cut(choose.blend_sweep(u).where("chosen").select("w", "tau"))  # one row
+    joined = u.join(safe, "unit_id").select(
+        "*", chosen.select("w").scalar().alias("w"), chosen.select("tau").scalar().alias("tau"))
     mix = lambda a, b: F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b)
     pred = decide(mix("p1", "q1"), mix("p2", "q2"), "global", F.col("tau"))
     s = scores.macro_f1(joined.withColumn("pred", pred), ["fold", "w", "tau"])

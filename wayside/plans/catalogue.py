@@ -6,7 +6,7 @@ from importlib import import_module
 
 from wayside.plans import registry
 
-for _name in ("stream", "scores", "peers"):
+for _name in ("stream", "scores", "peers", "rail"):
     import_module(f"wayside.plans.catalog_{_name}")
 
 
