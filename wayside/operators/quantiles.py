@@ -61,3 +61,26 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, name: str) -> Data
 def stacked(df: DataFrame, keys: list[str], columns: list[str], metric: str = "metric", value: str = "value") -> DataFrame:
     """Long form of several value columns, for quantiles of many columns in one pass."""
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, columns, metric, value)
+
+
+def weighted_medians(df: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """First value, in ascending order, at which the cumulative weight reaches half of the group's total."""
+    by = list(keys) or ["_all"]
+    base = df if keys else df.withColumn("_all", F.lit(0))
+    counted = (
+        base.select(*by, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"))
+        .where(F.col("_v").isNotNull())
+        .groupBy(*by, _cell(F.col("_v")).alias("_cell"), "_v").agg(F.sum("_w").alias("_w"))
+    )
+    cells = counted.groupBy(*by, "_cell").agg(F.sum("_w").alias("_in"))
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.select(
+        *by, "_cell", "_in", F.coalesce(F.sum("_in").over(before), F.lit(0.0)).alias("_below"),
+        (F.sum("_in").over(Window.partitionBy(*by)) / 2).alias("_half"))
+    # a cell at either side of the crossing is kept, so rounding in the sums cannot lose it
+    slack = F.col("_half") * 1e-9
+    near = placed.where((F.col("_below") <= F.col("_half") + slack) & (F.col("_below") + F.col("_in") >= F.col("_half") - slack))
+    here = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    opened = counted.join(near, [*by, "_cell"]).withColumn("_upto", F.col("_below") + F.sum("_w").over(here))
+    reached = opened.where(F.col("_upto") >= F.col("_half") - F.col("_half") * 1e-12)
+    return reached.groupBy(*by).agg(F.min("_v").alias(name)).select(*keys, name)
