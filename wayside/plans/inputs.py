@@ -31,13 +31,13 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("mode"),
         (F.col("value") / 0.97).alias("current"),
         (F.lit(100) + k).cast("double").alias("voltage"),
-        (k + F.col("value") / 10).alias("bemf"),
+        (k + F.col("value") / 9.7).alias("bemf"),
         k.cast("double").alias("pos"),
     )
 
 
 EV = """ev AS (SELECT user_id AS stream_id, event_id AS seq, epoch_us(ts) AS t, event_type AS mode, value / 97e-2 AS current,
-  CAST(100 + k AS DOUBLE) AS voltage, k + value / 10 AS bemf, CAST(k AS DOUBLE) AS pos
+  CAST(100 + k AS DOUBLE) AS voltage, k + value / 97e-1 AS bemf, CAST(k AS DOUBLE) AS pos
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events))"""
 
 SEG = (
