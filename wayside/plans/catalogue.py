@@ -6,7 +6,7 @@ from importlib import import_module
 
 from wayside.plans import registry
 
-for _name in ("stream", "scores", "peers", "rail", "fatigue", "history", "models"):
+for _name in ("stream", "scores", "peers", "rail", "fatigue", "history", "models", "live"):
     import_module(f"wayside.plans.catalog_{_name}")
 
 
