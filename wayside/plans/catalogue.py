@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from wayside.plans import registry
+from wayside.operators import ordered
+from wayside.plans import registry, subsystems
+from wayside.plans.inputs import GAP, SEGMENT, STREAM, event_stream
 
 for _name in ("stream", "scores", "peers", "rail", "fatigue", "history", "models", "live"):
     import_module(f"wayside.plans.catalog_{_name}")
@@ -19,6 +21,6 @@ def oracle_sql():
 
 
 def flagship(spark, sf):
-    from wayside.plans.catalog_stream import segment_bounds
-
-    return segment_bounds(spark, sf)
+    """Verdict for every cycle of every stream."""
+    segmented = ordered.gap_segments(event_stream(spark, sf), STREAM, GAP)
+    return subsystems.peer_verdicts(segmented, SEGMENT)
