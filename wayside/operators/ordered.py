@@ -8,14 +8,17 @@ row windows, so each operator costs one shuffle of the rows plus one of the buck
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayside.functions.columns import HOUR_US
+from wayside.session import cut as written
 
 BUCKET = "_bucket"
+SLICES = 4096  # time slices of a bucket with too many rows
+TASK_ROWS = 2_000_000  # rows of one bucket that one task can window
 
 
 @dataclass(frozen=True)
@@ -26,12 +29,16 @@ class Order:
     at:    integer order column: microseconds or a sample index.
     ties:  further columns that make the order total.
     width: span of one bucket in units of ``at``; pick it so that width x sampling rate fits a task.
+    full:  tables of the buckets and slices that hold more than ``limit`` rows, set by ``fitted``.
     """
 
     keys: tuple[str, ...]
     at: str
     ties: tuple[str, ...] = ()
     width: int = HOUR_US
+    full: tuple[DataFrame, ...] = field(default=(), repr=False)
+    full_keys: tuple[str, ...] = ()
+    limit: int = TASK_ROWS
 
     def within(self, *keys: str) -> "Order":
         return replace(self, keys=tuple(keys))
@@ -50,8 +57,54 @@ class Order:
     def buckets(self):
         return Window.partitionBy(*self.keys).orderBy(BUCKET)
 
+    def _bucket(self) -> Column:
+        return F.floor(F.col(self.at) / F.lit(self.width)).cast("long")
+
+    def _slice(self) -> Column:
+        inside = F.col(self.at) - self._bucket() * F.lit(self.width)
+        return F.floor(inside * (F.lit(SLICES) / F.lit(self.width))).cast("long")
+
+    def fitted(self, df: DataFrame, limit: int = TASK_ROWS) -> "Order":
+        """The same order, knowing the buckets of ``df`` with more than ``limit`` rows.
+
+        One counting pass over the key and order columns. There are at most rows / limit such buckets, which bounds
+        the tables that ``cut`` broadcasts.
+        """
+        keys = list(self.keys)
+        tables, rows = [], df.select(*keys, *self.sort).withColumn("_b", self._bucket())
+        for column in ("_b", "_s"):
+            full = rows.groupBy(*keys, *(["_b"] if column == "_b" else ["_b", "_s"])).agg(F.count(F.lit(1)).alias("_n"))
+            full = written(full.where(F.col("_n") > limit).drop("_n"))
+            if full.isEmpty():
+                break
+            tables.append(full)
+            rows = rows.join(F.broadcast(full), [*keys, "_b"], "left_semi").withColumn("_s", self._slice())
+        return replace(self, full=tuple(tables), full_keys=self.keys, limit=limit)
+
     def cut(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(BUCKET, F.floor(F.col(self.at) / F.lit(self.width)).cast("long"))
+        """``df`` with its bucket: a number, or (bucket, slice, time, tie range) where some buckets are too full."""
+        if not self.full:
+            return df.withColumn(BUCKET, self._bucket())
+        keys, none = list(self.full_keys), F.lit(0).cast("long")
+        out = df.withColumn("_b", self._bucket()).withColumn("_s", self._slice())
+        out = out.join(F.broadcast(self.full[0].withColumn("_many", F.lit(True))), [*keys, "_b"], "left")
+        out = out.withColumn("_s", F.when(F.col("_many"), F.col("_s")).otherwise(none))
+        exact, tie = none, none
+        if len(self.full) > 1:
+            out = out.join(F.broadcast(self.full[1].withColumn("_most", F.lit(True))), [*keys, "_b", "_s"], "left")
+            exact = F.when(F.col("_most"), F.col(self.at)).otherwise(none)
+            if self.ties:
+                tie = F.when(F.col("_most"), F.floor(F.col(self.ties[0]) / F.lit(self.limit)).cast("long")).otherwise(none)
+        bucket = F.struct(F.col("_b"), F.col("_s"), exact.alias("_a"), tie.alias("_k"))
+        return out.withColumn(BUCKET, bucket).select(*[F.col(c) for c in df.columns], BUCKET)
+
+    def chunks(self, df: DataFrame) -> DataFrame:
+        """``df`` with its bucket as a number that grows by one from bucket to bucket where buckets were cut further."""
+        cut = self.cut(df)
+        if not self.full:
+            return cut
+        listed = cut.select(*self.parts).distinct().withColumn("_no", F.row_number().over(self.buckets()).cast("long"))
+        return cut.join(listed, self.parts).withColumn(BUCKET, F.col("_no")).drop("_no")
 
 
 def _adjacent(df: DataFrame, order: Order, columns: list[str], ahead: bool, prefix: str) -> DataFrame:

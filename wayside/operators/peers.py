@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayside.functions.columns import col, is_cooling, is_full_cooling
+from wayside.functions.columns import is_cooling, is_full_cooling
 from wayside.operators.ordered import Order, ahead_by, longest_run
 from wayside.operators.quantiles import exact_medians, exact_quantiles, stacked
+from wayside.session import cut
 
 # How far above the peers counts as hot, smallest peer group, robust-z scale, clip and guard.
 HOT_MARGIN, MIN_PEERS, HORIZON = 1.0, 3, 10
@@ -197,7 +198,7 @@ def hottest_share(d, case):
     return rows.join(top, [case, "ts"]).groupBy(case, "car").agg(F.avg(hit.cast("double")).alias("score"))
 
 
-def _median_of(a: Column) -> Column:
+def median_of(a: Column) -> Column:
     s, n = F.array_sort(a), F.size(a)
     lo, hi = F.floor((n - 1) / 2).cast("int") + 1, F.floor(n / 2).cast("int") + 1
     return F.when(n > 0, (F.element_at(s, F.greatest(lo, F.lit(1))) + F.element_at(s, F.greatest(hi, F.lit(1)))) / 2)
@@ -209,14 +210,14 @@ def others_median(d, case):
     cars = per.groupBy(case, "ts").agg(F.collect_list(F.struct("car", "m")).alias("_cars"))
     each = cars.select(case, "ts", "_cars", F.inline("_cars"))
     others = F.transform(F.filter("_cars", lambda x: x.car != F.col("car")), lambda x: x.m)
-    gap = F.when(F.size(others) > 0, F.col("m") - _median_of(others))
+    gap = F.when(F.size(others) > 0, F.col("m") - median_of(others))
     return each.withColumn("gap", gap).groupBy(case, "car").agg(F.avg("gap").alias("score"))
 
 
 def mode_combination(d, case):
     """Robust z of the mean deviation plus half the robust z of the full-cooling share."""
     full = d.groupBy(case, "car").agg(F.avg("full_cool").alias("full"))
-    both = full.join(mean_deviation(d, case), [case, "car"], "left")
+    both = cut(full.join(mean_deviation(d, case), [case, "car"], "left"))  # one row per car
     z = robust_z(robust_z(both, [case], "score", "z1", bounded=True), [case], "full", "z2", bounded=True)
     return z.select(case, "car", (F.col("z1") + 0.5 * F.col("z2")).alias("score"))
 

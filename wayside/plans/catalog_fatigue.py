@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from wayside.functions.columns import rounded
 from wayside.operators import fatigue
-from wayside.plans.catalog_stream import TURNS
-from wayside.plans.inputs import EV, LI, STREAM, event_stream, recordings
+from wayside.plans.catalog_stream import TURNS, streamed
+from wayside.plans.inputs import EV, LI, event_stream, recordings
 from wayside.plans.registry import query, rd
 from wayside.session import cut
 
@@ -27,7 +27,7 @@ cyc AS (SELECT stream_id, range, mean, 1e0 AS cnt FROM rfw WHERE closed
 
 
 def cycles(spark, sf):
-    return fatigue.rainflow(event_stream(spark, sf), STREAM, "current")
+    return fatigue.rainflow(*streamed(spark, sf), "current")
 
 
 @query("rainflow_cycles", f"WITH RECURSIVE {CYC} SELECT stream_id, {rd('range')} AS range, {rd('mean')} AS mean, cnt FROM cyc")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from wayside.functions.columns import micros, rounded
 from wayside.operators import contracts, cycles, history, peers
-from wayside.plans.catalog_stream import DIRECTION, ELECTRICAL, KEYS, PHASE, PROFILE, segments
-from wayside.plans.inputs import EV, LI, RECORDING, SEG, SEGMENT, event_stream, recordings
+from wayside.plans.catalog_stream import DIRECTION, ELECTRICAL, KEYS, PHASE, PROFILE, recorded, segments
+from wayside.plans.inputs import EV, LI, SEG, event_stream
 from wayside.plans.registry import query, rd
 from wayside.session import cut, table
 
@@ -19,7 +19,7 @@ RESULTS = f"""res AS (SELECT stream_id, segment_id, min(t) AS start_us, max(t) A
 def results(spark, sf):
     """Cycles with a verdict taken from the first event type: some missing, some not allowed."""
     verdict = F.create_map(*[F.lit(x) for pair in VERDICT.items() for x in pair])
-    return segments(spark, sf).groupBy(*KEYS).agg(
+    return segments(spark, sf)[0].groupBy(*KEYS).agg(
         F.min("t").alias("start_us"), F.max("t").alias("end_us"),
         verdict[F.min_by("mode", F.struct("t", "seq"))].alias("prediction"))
 
@@ -194,7 +194,7 @@ def label_adjacency(spark, sf):
     SELECT d.rec, d.i + 1 AS index, {rd("x")} AS value, u AS unusual FROM d JOIN c USING (rec, i)""",
 )
 def trace_downsample(spark, sf):
-    t = history.downsample(recordings(spark, sf), RECORDING, "x")
+    t = history.downsample(*recorded(spark, sf), "x")
     return t.withColumn("value", rounded("value"))
 
 
@@ -213,14 +213,15 @@ EVID = [k for k, _, _ in history.DOOR_EVIDENCE]
 )
 def evidence_metrics(spark, sf):
     """The eight door metrics of every cycle, as an evidence array and exploded."""
-    s = cut(segments(spark, sf))
-    placed = cut(cycles.placed_in(s, SEGMENT))
-    profile = cycles.profiles(placed, KEYS).join(cycles.directions(s, SEGMENT).select(*KEYS, "operation"), KEYS)
+    rows, order = segments(spark, sf)
+    s = cut(rows)
+    placed = cut(cycles.placed_in(s, order))
+    profile = cycles.profiles(placed, KEYS).join(cycles.directions(s, order).select(*KEYS, "operation"), KEYS)
     whole = cut(profile.join(s.groupBy(*KEYS).agg((F.avg("current") <= 50).alias("normal")), KEYS))
     excess = cycles.excess(cycles.with_excess(whole, cycles.reference_profile(whole, F.col("normal"))), KEYS)
     features = (
-        cycles.electrical(s, SEGMENT).join(cycles.phases(placed, KEYS), KEYS)
-        .join(cycles.velocities(placed, SEGMENT, "pos").select(*KEYS, "stall_rows"), KEYS).join(excess.select(*KEYS, "exc_mid_mean"), KEYS))
+        cycles.electrical(s, order).join(cycles.phases(placed, KEYS), KEYS)
+        .join(cycles.velocities(placed, order, "pos").select(*KEYS, "stall_rows"), KEYS).join(excess.select(*KEYS, "exc_mid_mean"), KEYS))
     rows = history.evidence_rows(history.evidence(features, KEYS), KEYS)
     return rows.select(*KEYS, "key", "label", rounded("value", 4).alias("value"), "unit")
 

@@ -10,7 +10,8 @@ from wayside.operators.ordered import positions
 from wayside.operators.quantiles import exact_quantiles
 from wayside.plans.catalog_peers import prepared
 from wayside.plans.catalog_scores import oof
-from wayside.plans.inputs import LI, RECORDING, recordings
+from wayside.plans.catalog_stream import recorded
+from wayside.plans.inputs import LI, recordings
 from wayside.plans.registry import query, rd
 from wayside.session import cut, table
 
@@ -81,7 +82,7 @@ def ensemble_scores(spark, sf):
 @query("huber_fit")
 def huber_fit(spark, sf):
     """Robust regression of the mean signal of a series on its other statistics."""
-    s = fatigue.series_statistics(recordings(spark, sf), ["rec"], "x")
+    s = cut(fatigue.series_statistics(recordings(spark, sf), ["rec"], "x"))
     features = ["std", "ptp", "skewness", "p95_p05"]
     model = models.fit_huber(s, features, "mean")
     return model.transform(s).select("rec", "mean", "prediction")
@@ -118,11 +119,11 @@ def hierarchical_scores(spark, sf):
 @query("fatigue_features")
 def fatigue_features(spark, sf):
     """Series statistics, spectral rates and cycle energies of every recording."""
-    r = recordings(spark, sf)
+    r, order = recorded(spark, sf)
     stats = fatigue.series_statistics(r, ["rec"], "x")
-    placed = positions(r, RECORDING, "i", "n").select("rec", "i", "x")
+    placed = positions(r, order, "i", "n").select("rec", "i", "x")
     rates = spectral.spectral_moments(spectral.welch(placed, ["rec"], "i", "x", 100.0, 256), ["rec"])
-    cycles = fatigue.cycle_statistics(fatigue.rainflow(r, RECORDING, "x"), ["rec"])
+    cycles = fatigue.cycle_statistics(fatigue.rainflow(r, order, "x"), ["rec"])
     return stats.join(rates, "rec").join(cycles, "rec")
 
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayside.functions.columns import (
-    DAY_US, is_cooling, is_full_cooling, positive_reading, rounded, unless_invalid,
-)
+from wayside.functions.columns import DAY_US, is_cooling, is_full_cooling, rounded
 from wayside.operators import decide as choose, peers, scores
 from wayside.operators.ordered import Order
 from wayside.plans.inputs import EV, event_stream
@@ -49,7 +47,8 @@ def readings(spark, sf):
 
 
 def prepared(spark, sf):
-    return peers.prepare(readings(spark, sf), CAR)
+    rows = readings(spark, sf)
+    return peers.prepare(rows, CAR.fitted(rows))
 
 
 def deviated(spark, sf):
@@ -137,7 +136,8 @@ FEATURES = ("cool_frac full_cool_frac t_in_mean t_in_std peer_dev_mean peer_dev_
 
 
 def features(spark, sf):
-    return peers.car_features(deviated(spark, sf), ["case_id", "car"], CAR)
+    rows = deviated(spark, sf)
+    return peers.car_features(rows, ["case_id", "car"], CAR.fitted(rows))
 
 
 @query("car_features", f"WITH {ACV}, {CAR_SQL} SELECT case_id, car, {', '.join(WHOLE)}, " + ", ".join(f"{rd(c)} AS {c}" for c in FEATURES) + " FROM car_f")

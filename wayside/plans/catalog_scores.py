@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from wayside.functions.columns import DAY_US, decide, rounded
 from wayside.operators import cycles, decide as choose, folds, intervals, ordered, scores
-from wayside.plans.catalog_stream import DIRECTION
-from wayside.plans.inputs import EV, LI, RECORDING, SEG, SEGMENT, STREAM, event_stream, recordings
+from wayside.plans.catalog_stream import recorded, streamed
+from wayside.plans.inputs import EV, LI, STREAM, event_stream, recordings
 from wayside.plans.registry import query, rd
 from wayside.session import cut, table
 
@@ -44,8 +44,8 @@ greedy AS (
 
 
 def _intervals(spark, sf, gap, ident):
-    order = SEGMENT
-    s = ordered.gap_segments(event_stream(spark, sf), STREAM, gap)
+    rows, stream = streamed(spark, sf)
+    s, order = ordered.gap_segments(rows, stream, gap), stream.within("stream_id", "segment_id")
     both = cycles.bounds(s, order).join(cycles.directions(s, order), list(order.keys))
     return both.select("stream_id", F.col("operation").alias("label"), F.col("segment_id").alias(ident),
                        F.col("start_us").alias("start"), F.col("end_us").alias("end"))
@@ -317,7 +317,7 @@ WINDOWS = "win AS (SELECT *, i // (n // 5) AS w FROM li WHERE i // (n // 5) < 5)
 
 def _windows(spark, sf, k=5):
     """Rows of the k equal consecutive windows of each recording; a remainder shorter than a window is left out."""
-    placed = ordered.positions(recordings(spark, sf), RECORDING, "i", "n")
+    placed = ordered.positions(*recorded(spark, sf), "i", "n")
     return placed.withColumn("w", F.floor(F.col("i") / F.floor(F.col("n") / k)).cast("long")).where(F.col("w") < k)
 
 

@@ -10,15 +10,29 @@ from wayside.functions.columns import (
 from wayside.operators import cycles, ordered
 from wayside.operators.intervals import outside_intervals, top_rows
 from wayside.operators.quantiles import exact_quantiles
-from wayside.plans.inputs import EV, GAP, LI, RECORDING, SEG, SEGMENT, STREAM, event_stream, recordings
+from wayside.operators.rail import pulse_speeds, run_length_medians
+from wayside.plans.inputs import EV, GAP, LI, RECORDING, SEG, STREAM, event_stream, recordings
 from wayside.plans.registry import query, rd
 from wayside.session import cut, table
 
 KEYS = ["stream_id", "segment_id"]
 
 
+def streamed(spark, sf):
+    """The event stream and its order, with over-full buckets known."""
+    rows = event_stream(spark, sf)
+    return rows, STREAM.fitted(rows)
+
+
 def segments(spark, sf):
-    return ordered.gap_segments(event_stream(spark, sf), STREAM, GAP)
+    """Segmented rows and the order inside a segment."""
+    rows, order = streamed(spark, sf)
+    return ordered.gap_segments(rows, order, GAP), order.within(*KEYS)
+
+
+def recorded(spark, sf):
+    rows = recordings(spark, sf)
+    return rows, RECORDING.fitted(rows)
 
 
 @query(
@@ -51,7 +65,7 @@ def natural_order(spark, sf):
 
 @query("gap_segments", f"WITH {SEG} SELECT stream_id, seq, t, segment_id FROM seg")
 def gap_segments(spark, sf):
-    return segments(spark, sf).select("stream_id", "seq", "t", "segment_id")
+    return segments(spark, sf)[0].select("stream_id", "seq", "t", "segment_id")
 
 
 @query(
@@ -62,7 +76,7 @@ def gap_segments(spark, sf):
       strftime(make_timestamp(end_us), '%Y-%-m-%-d-%-H-%-M-%-S-') || (end_us % 1000000) // 1000 AS end_time FROM b""",
 )
 def segment_bounds(spark, sf):
-    b = cycles.bounds(segments(spark, sf), SEGMENT)
+    b = cycles.bounds(*segments(spark, sf))
     native = lambda c: format_native_ts(F.timestamp_micros(F.col(c)))
     return b.withColumn("start_time", native("start_us")).withColumn("end_time", native("end_us"))
 
@@ -74,7 +88,7 @@ DIRECTION = """dir AS (SELECT stream_id, segment_id, arg_min(pos, (t, seq)) AS p
 
 @query("segment_direction", f"WITH {SEG}, {DIRECTION} SELECT * FROM dir")
 def segment_direction(spark, sf):
-    return cycles.directions(segments(spark, sf), SEGMENT)
+    return cycles.directions(*segments(spark, sf))
 
 
 @query(
@@ -85,7 +99,7 @@ def segment_direction(spark, sf):
     SELECT b.*, status FROM b LEFT JOIN ans USING (stream_id, start_us)""",
 )
 def segment_labels(spark, sf):
-    starts = cycles.bounds(segments(spark, sf), SEGMENT).select(*KEYS, "start_us")
+    starts = cycles.bounds(*segments(spark, sf)).select(*KEYS, "start_us")
     answers = event_stream(spark, sf).where(F.col("mode").isin("error", "signup")).select(
         "stream_id", F.col("t").alias("start_us"), F.col("seq").alias("answer_seq"),
         F.when(F.col("current") > 30, "Abnormal resistance").otherwise("Normal").alias("status"),
@@ -111,14 +125,14 @@ def segment_labels(spark, sf):
 )
 def gap_profile(spark, sf):
     """Quantiles of the time steps, how many exceed a threshold, the 15 largest, rows outside cycles of 3+ rows."""
-    events = event_stream(spark, sf)
-    steps = ordered.previous(events, STREAM, "t").select(((F.col("t") - F.col("prev_t")) / 1e6).alias("dt"))
+    events, order = streamed(spark, sf)
+    steps = ordered.previous(events, order, "t").select(((F.col("t") - F.col("prev_t")) / 1e6).alias("dt"))
     q = exact_quantiles(steps, [], "dt", {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999})
     over = steps.agg(*[
         F.count(F.when(F.col("dt") > hours * 3600, 1)).cast("double").alias(f"over_{hours}h") for hours in (1, 6, 24)
     ])
     top = top_rows(steps.where("dt IS NOT NULL"), [F.desc("dt")], 15, "r")
-    spans = cycles.bounds(segments(spark, sf), SEGMENT).where("n_rows >= 3")
+    spans = cycles.bounds(*segments(spark, sf)).where("n_rows >= 3")
     outside = outside_intervals(events, spans, ["stream_id"], "t", "start_us", "end_us", DAY_US)
     parts = [
         q.unpivot([], list(q.columns), "metric", "value"),
@@ -136,7 +150,8 @@ def gap_profile(spark, sf):
     SELECT rec, bin, {rd("m", 4)} AS value FROM b""",
 )
 def profile_20bin(spark, sf):
-    placed = cycles.placed_in(recordings(spark, sf), RECORDING)
+    rows, order = recorded(spark, sf)
+    placed = cycles.placed_in(rows, order)
     p = cycles.profiles(placed, ["rec"], "x")
     return p.select("rec", F.posexplode("profile").alias("bin", "v")).select("rec", "bin", rounded("v", 4).alias("value"))
 
@@ -149,7 +164,7 @@ def profile_20bin(spark, sf):
     SELECT stream_id, coalesce(max(c) FILTER (hit), 0) AS longest FROM r GROUP BY ALL""",
 )
 def longest_run(spark, sf):
-    return ordered.longest_run(event_stream(spark, sf), STREAM, F.col("current") > 40)
+    return ordered.longest_run(*streamed(spark, sf), F.col("current") > 40)
 
 
 @query(
@@ -163,12 +178,13 @@ def longest_run(spark, sf):
 )
 def first_transition(spark, sf):
     """First 0→1 (act) and 1→0 (rel) of a switch per stream, with the leaf position there."""
-    e = event_stream(spark, sf).withColumn("f", F.when(F.col("current") > 40, 1).otherwise(0))
-    return _transition(e, 1, "act").unionByName(_transition(e, 0, "rel"))
+    rows, order = streamed(spark, sf)
+    e = rows.withColumn("f", F.when(F.col("current") > 40, 1).otherwise(0))
+    return _transition(e, order, 1, "act").unionByName(_transition(e, order, 0, "rel"))
 
 
-def _transition(e, to, kind):
-    found = ordered.first_transition(e.withColumnRenamed("pos", "place"), STREAM, "f", to, "place")
+def _transition(e, order, to, kind):
+    found = ordered.first_transition(e.withColumnRenamed("pos", "place"), order, "f", to, "place")
     return found.select("stream_id", F.lit(kind).alias("kind"), F.col("pos").alias("at_row"), F.col("place").alias("pos_there"))
 
 
@@ -185,12 +201,13 @@ def _transition(e, to, kind):
 )
 def transition_summary(spark, sf):
     """Switch timing (s from cycle start) by operation and label."""
-    s = cut(segments(spark, sf))
+    rows, order = segments(spark, sf)
+    s = cut(rows)
     e = s.withColumn("f", F.when(F.col("current") > 40, 1).otherwise(0))
-    timing = ordered.first_transition(e, SEGMENT, "f", 1).withColumn("timing", F.col("pos") * cycles.SAMPLE_S)
+    timing = ordered.first_transition(e, order, "f", 1).withColumn("timing", F.col("pos") * cycles.SAMPLE_S)
     label = s.groupBy(*KEYS).agg(
         F.when(F.avg("current") > 50, "Abnormal resistance").otherwise("Normal").alias("label"))
-    both = cut(timing.join(cycles.directions(s, SEGMENT), KEYS).join(label, KEYS))
+    both = cut(timing.join(cycles.directions(s, order), KEYS).join(label, KEYS))
     by = ["operation", "label"]
     ends = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rounded(F.min("timing")).alias("t_min"), rounded(F.max("timing")).alias("t_max"))
     mid = exact_quantiles(both, by, "timing", {"t_median": 0.5})
@@ -204,9 +221,7 @@ def transition_summary(spark, sf):
       {rd("count(*) FILTER (d > 0) / 90e0 * pi() * 85e-2")} AS rising_speed FROM d GROUP BY rec, n""",
 )
 def pulse_speed(spark, sf):
-    from wayside.operators.rail import pulse_speeds
-
-    s = pulse_speeds(recordings(spark, sf), RECORDING, "pulse", 10_000.0)
+    s = pulse_speeds(*recorded(spark, sf), "pulse", 10_000.0)
     return s.select("rec", "n", rounded("speed").alias("speed"), rounded("rising_speed").alias("rising_speed"))
 
 
@@ -218,9 +233,7 @@ def pulse_speed(spark, sf):
 )
 def run_length_median(spark, sf):
     """Median distance between consecutive level changes of the pulse."""
-    from wayside.operators.rail import run_length_medians
-
-    m = run_length_medians(recordings(spark, sf), RECORDING, "pulse")
+    m = run_length_medians(*recorded(spark, sf), "pulse")
     return m.select("rec", rounded("run_median").alias("run_median"), "n_runs")
 
 
@@ -230,7 +243,7 @@ def run_length_median(spark, sf):
       {rd("lead(current, 10) OVER (PARTITION BY stream_id ORDER BY t, seq) - current")} AS delta_10 FROM ev""",
 )
 def lead10_delta(spark, sf):
-    later = ordered.ahead_by(event_stream(spark, sf), STREAM, "current", 10, "later")
+    later = ordered.ahead_by(*streamed(spark, sf), "current", 10, "later")
     return later.select("stream_id", "seq", rounded(F.col("later") - F.col("current")).alias("delta_10"))
 
 
@@ -243,8 +256,8 @@ tp AS (SELECT stream_id, seq, t, current, row_number() OVER (PARTITION BY stream
 
 @query("turning_points", f"WITH {EV}, {TURNS} SELECT stream_id, seq, t, current FROM tp")
 def turning_points(spark, sf):
-    slim = event_stream(spark, sf).select("stream_id", "seq", "t", "current")
-    return ordered.turning_points(slim, STREAM, "current")
+    rows, order = streamed(spark, sf)
+    return ordered.turning_points(rows.select("stream_id", "seq", "t", "current"), order, "current")
 
 
 def _rounded(df, keys, skip=()):
@@ -269,7 +282,7 @@ NUMERIC = ("duration cur_peak cur_mean cur_rms cur_std cur_integral cur_p90 cur_
     f"WITH {SEG}, {ELECTRICAL} SELECT stream_id, segment_id, n_rows, " + ", ".join(f"{rd(c)} AS {c}" for c in NUMERIC) + " FROM el",
 )
 def segment_features(spark, sf):
-    return _rounded(cycles.electrical(segments(spark, sf), SEGMENT), KEYS, ("n_rows",))
+    return _rounded(cycles.electrical(*segments(spark, sf)), KEYS, ("n_rows",))
 
 
 PHASE = """ph AS (SELECT {keys}, avg(x) FILTER (i < k) AS trav_mean, max(x) FILTER (i < k) AS trav_max,
@@ -286,7 +299,8 @@ PHASES = "trav_mean trav_max trav_std trav_above_300 trav_above_500 mid_mean mid
     f"WITH {LI}, {PHASE.format(keys='rec', source='li')} SELECT rec, " + ", ".join(f"{rd(c)} AS {c}" for c in PHASES) + " FROM ph",
 )
 def phase_features(spark, sf):
-    placed = cycles.placed_in(recordings(spark, sf), RECORDING)
+    rows, order = recorded(spark, sf)
+    placed = cycles.placed_in(rows, order)
     return _rounded(cycles.phases(placed, ["rec"], "x"), ["rec"])
 
 
@@ -298,8 +312,9 @@ def phase_features(spark, sf):
       count(*) FILTER (v = 0 AND x > 200) AS stall_rows FROM v GROUP BY rec""",
 )
 def velocity_stall(spark, sf):
-    placed = cycles.placed_in(recordings(spark, sf), RECORDING)
-    return _rounded(cycles.velocities(placed, RECORDING, "q", "x"), ["rec"], ("stall_rows",))
+    rows, order = recorded(spark, sf)
+    placed = cycles.placed_in(rows, order)
+    return _rounded(cycles.velocities(placed, order, "q", "x"), ["rec"], ("stall_rows",))
 
 
 @query(
@@ -308,7 +323,8 @@ def velocity_stall(spark, sf):
     SELECT rec, {rd("CASE WHEN count(*) > 2 THEN regr_slope(x, q) ELSE 0 END")} AS slope FROM k GROUP BY rec""",
 )
 def group_slope(spark, sf):
-    placed = cycles.placed_in(recordings(spark, sf), RECORDING)
+    rows, order = recorded(spark, sf)
+    placed = cycles.placed_in(rows, order)
     return _rounded(cycles.travel_slope(placed, ["rec"], "x", "q"), ["rec"])
 
 
@@ -331,10 +347,11 @@ zz AS (SELECT stream_id, segment_id, operation, bin, v, (v - med) / iqr AS z FRO
 
 def profiled(spark, sf):
     """Cycles with operation, profile and a stand-in verdict: normal where the mean current is at most 50."""
-    s = cut(segments(spark, sf))
-    profile = cycles.profiles(cycles.placed_in(s, SEGMENT), KEYS)
+    rows, order = segments(spark, sf)
+    s = cut(rows)
+    profile = cycles.profiles(cycles.placed_in(s, order), KEYS)
     verdict = s.groupBy(*KEYS).agg((F.avg("current") <= 50).alias("normal"))
-    whole = profile.join(cycles.directions(s, SEGMENT).select(*KEYS, "operation"), KEYS).join(verdict, KEYS)
+    whole = profile.join(cycles.directions(s, order).select(*KEYS, "operation"), KEYS).join(verdict, KEYS)
     return cut(whole)  # one row per cycle, used for the reference and for the deviations
 
 
@@ -386,7 +403,7 @@ def profile_wide(spark, sf):
 )
 def outside_rows(spark, sf):
     """Rows that lie in no labelled (here: high-current) cycle."""
-    s = segments(spark, sf)
+    s, _ = segments(spark, sf)
     spans = s.groupBy(*KEYS).agg(F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.avg("current").alias("m")).where("m > 50")
     rows = event_stream(spark, sf).select("stream_id", "seq", "t")
     return outside_intervals(rows, spans, ["stream_id"], "t", "start_us", "end_us", DAY_US)

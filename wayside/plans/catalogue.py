@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from wayside.operators import ordered
 from wayside.plans import registry, subsystems
-from wayside.plans.inputs import GAP, SEGMENT, STREAM, event_stream
+from wayside.plans.inputs import GAP, STREAM, event_stream
 
 for _name in ("stream", "scores", "peers", "rail", "fatigue", "history", "models", "live"):
     import_module(f"wayside.plans.catalog_{_name}")
@@ -22,5 +21,4 @@ def oracle_sql():
 
 def flagship(spark, sf):
     """Verdict for every cycle of every stream."""
-    segmented = ordered.gap_segments(event_stream(spark, sf), STREAM, GAP)
-    return subsystems.peer_verdicts(segmented, SEGMENT)
+    return subsystems.peer_verdicts(*subsystems.door_cycles(event_stream(spark, sf), STREAM.width, GAP))

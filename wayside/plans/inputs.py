@@ -15,7 +15,6 @@ from wayside.operators.ordered import Order
 from wayside.session import table
 
 STREAM = Order(("stream_id",), "t", ("seq",), 10 * DAY_US)
-SEGMENT = STREAM.within("stream_id", "segment_id")
 RECORDING = Order(("rec",), "t", ("ok", "ln", "pk", "x"), 730 * DAY_US)
 GAP = DAY_US
 SAMPLES = 50  # samples per embedded recording

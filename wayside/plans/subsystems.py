@@ -26,7 +26,7 @@ ABNORMAL = "Abnormal resistance"
 
 def door_cycles(rows: DataFrame, width: int = 3_600_000_000, gap: int = DOOR_GAP) -> tuple[DataFrame, Order]:
     """Rows with their cycle, and the order inside a cycle."""
-    stream = Order(("stream_id",), "t", ("seq",), width)
+    stream = Order(("stream_id",), "t", ("seq",), width).fitted(rows)
     return gap_segments(rows, stream, gap), stream.within("stream_id", "segment_id")
 
 
@@ -107,7 +107,7 @@ def peer_verdicts(segmented: DataFrame, order: Order, limit: float = 2.0) -> Dat
 def rank_cars(readings: DataFrame, response: models.Linear | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """Cars of each case by how likely they leak. ``readings``: case_id, car, ts, t and one column per role."""
     weights = weights or CAR_WEIGHTS
-    order = Order(("case_id", "car"), "t", ())
+    order = Order(("case_id", "car"), "t", ()).fitted(readings)
     prepared = peers.prepare(readings, order)
     if response is not None:
         prepared = models.response_residual(prepared, response)

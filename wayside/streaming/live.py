@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from wayside.functions.columns import decide
-from wayside.operators.fatigue import _close
-from wayside.operators.peers import MIN_PEERS, _median_of
+from wayside.operators.cycles import STALL_CURRENT
+from wayside.operators.fatigue import close_cycles
+from wayside.operators.peers import MIN_PEERS, median_of
 from wayside.session import shared_folder
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -56,16 +57,27 @@ def live_peer_deviation(rows: DataFrame, moment: list[str], unit: str, ts: str,
     """Value minus the median of the units of a train in the same time window, at least three readings."""
     windowed = rows.withWatermark(ts, delay).groupBy(*moment, F.window(ts, width).alias("_w"))
     held = windowed.agg(F.collect_list(F.struct(unit, ts, F.col(value).alias("value"))).alias("_r"))
-    middle = _median_of(F.transform("_r", lambda r: r["value"]))
+    middle = median_of(F.transform("_r", lambda r: r["value"]))
     enough = held.where(F.size("_r") >= MIN_PEERS).withColumn("_m", middle)
     flat = enough.select(*moment, F.col("_w.start").alias("window_start"), "_m", F.inline("_r"))
     return flat.select(*moment, "window_start", unit, ts, (F.col("value") - F.col("_m")).alias("peer_dev"))
 
 
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+LONG, DOUBLE = T.LongType(), T.DoubleType()
+CYCLES = "stream_id bigint, kind string, upto bigint, range double, mean double, cnt double"
+CYCLE = (
+    "stream_id bigint, start_us bigint, n_rows bigint, trav_mean double, mid_mean double, vel_mean double, stall_rows bigint, slope double")
+
+
 class _Pending(StatefulProcessor):
-    """Rows wait in state until the watermark has passed them, then arrive in event-time order."""
+    """Rows wait in state until the watermark has passed them, then are taken in event-time order (t, seq, …)."""
 
-    columns: T.StructType = None
+    columns: T.StructType
+    output: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -74,125 +86,116 @@ class _Pending(StatefulProcessor):
 
     def setup(self) -> None: ...
 
-    def wait_until(self, waiting: pd.DataFrame) -> list[int]:
-        """Event times (ms) at which something of the waiting rows becomes due."""
+    def next_due(self, waiting: list[tuple]) -> int:
+        """Event time (ms) at which the first of the waiting rows becomes due."""
         raise NotImplementedError
 
-    def due(self, key: tuple, waiting: pd.DataFrame, watermark: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    def due(self, key: tuple, waiting: list[tuple], watermark: int) -> tuple[list[tuple], list[tuple]]:
         """Output rows and the rows that stay."""
         raise NotImplementedError
 
+    def _waiting(self) -> list[tuple]:
+        return sorted(tuple(r) for r in self.rows.get()) if self.rows.exists() else []
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = self.columns.fieldNames()
-        new = pd.concat([batch[names] for batch in rows], ignore_index=True)
-        waiting = pd.concat([self._waiting(), new], ignore_index=True) if self.rows.exists() else new
-        self.rows.appendList([tuple(r) for r in new.itertuples(index=False)])
-        for at in self.wait_until(waiting.sort_values(names, ignore_index=True)):
-            self.handle.registerTimer(int(at))
+        new = [r for batch in rows for r in zip(*(batch[n].tolist() for n in names))]
+        waiting = sorted(self._waiting() + new)
+        self.rows.appendList(new)
+        self.handle.registerTimer(self.next_due(waiting))
         return iter(())
 
-    def _waiting(self) -> pd.DataFrame:
-        return pd.DataFrame(list(self.rows.get()), columns=self.columns.fieldNames())
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        if not self.rows.exists():
-            return
         waiting = self._waiting()
-        waiting = waiting.sort_values(list(waiting.columns), ignore_index=True)
-        found, rest = self.due(key, waiting, now)
-        if len(rest):
-            self.rows.put([tuple(r) for r in rest.itertuples(index=False)])
-        else:
+        if not waiting:
+            return
+        found, rest = self.due(key, waiting, timerValues.getCurrentWatermarkInMs())
+        if not rest:
             self.rows.clear()
-        if len(found):
-            yield found
+        else:
+            self.handle.registerTimer(self.next_due(rest))
+            if len(rest) < len(waiting):
+                self.rows.put(rest)
+        if found:
+            yield pd.DataFrame(found, columns=[f.split()[0] for f in self.output.split(", ")])
 
     def close(self) -> None: ...
 
 
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
-
-
-LONG, DOUBLE = T.LongType(), T.DoubleType()
-CYCLE = (
-    "stream_id bigint, start_us bigint, n_rows bigint, trav_mean double, mid_mean double, vel_mean double, stall_rows bigint, slope double")
-
-
 class _CycleFeatures(_Pending):
     columns = _struct(t=LONG, seq=LONG, current=DOUBLE, bemf=DOUBLE, pos=DOUBLE)
+    output = CYCLE
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
 
-    def wait_until(self, waiting: pd.DataFrame) -> list[int]:
-        last_of_cycle = ~(waiting["t"].shift(-1) - waiting["t"] <= self.gap_us)
-        return [(int(t) + self.gap_us) // 1000 + 1 for t in waiting["t"][last_of_cycle]]
+    def closing(self, last: tuple) -> int:
+        return (last[0] + self.gap_us) // 1000 + 1
+
+    def cycles(self, waiting: list[tuple]) -> list[list[tuple]]:
+        edges = [i for i in range(1, len(waiting)) if waiting[i][0] - waiting[i - 1][0] > self.gap_us]
+        return [waiting[a:b] for a, b in zip([0, *edges], [*edges, len(waiting)])] if waiting else []
+
+    def next_due(self, waiting):
+        return self.closing(self.cycles(waiting)[0][-1])
 
     def due(self, key, waiting, watermark):
-        step = waiting["t"].diff().fillna(0)
-        cycle = (step > self.gap_us).cumsum()
-        out, keep = [], waiting.iloc[:0]
-        for _, c in waiting.groupby(cycle):
-            if (int(c["t"].iloc[-1]) + self.gap_us) // 1000 + 1 > watermark:
-                keep = c
-                break
-            out.append(self.features(key, c))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in CYCLE.split(", ")]), keep
+        cycles = self.cycles(waiting)
+        closed = [c for c in cycles if self.closing(c[-1]) <= watermark]
+        return [self.features(key, c) for c in closed], [r for c in cycles[len(closed):] for r in c]
 
     @staticmethod
-    def features(key, c: pd.DataFrame) -> tuple:
-        n = len(c)
-        cur, emf, pos = (c[x].to_numpy() for x in ("current", "bemf", "pos"))
+    def features(key, rows: list[tuple]) -> tuple:
+        n = len(rows)
+        _, _, cur, emf, pos = (np.asarray(c) for c in zip(*rows))
         k = max(1, int(0.9 * n))
         mid = cur[int(0.3 * n):int(0.8 * n)]
         speed = np.abs(np.diff(pos, prepend=pos[0]))
         spread = emf[:k] - emf[:k].mean()
         slope = 0.0 if k <= 2 else (float(spread @ cur[:k] / (spread @ spread)) if spread @ spread else None)
         return (
-            key[0], int(c["t"].iloc[0]), n, float(cur[:k].mean()), float(mid.mean()) if len(mid) else None,
-            float(speed.mean()), int(((speed == 0) & (cur > 200)).sum()), slope)
+            key[0], rows[0][0], n, float(cur[:k].mean()), float(mid.mean()) if len(mid) else None,
+            float(speed.mean()), int(((speed == 0) & (cur > STALL_CURRENT)).sum()), slope)
 
 
 class _Residue(_Pending):
     columns = _struct(t=LONG, seq=LONG, current=DOUBLE)
+    output = CYCLES
 
     def setup(self) -> None:
-        self.stack = self.handle.getValueState("stack", _struct(points=T.ArrayType(DOUBLE), upto=LONG))
+        self.stack = self.handle.getValueState("stack", _struct(points=T.ArrayType(DOUBLE)))
 
-    def wait_until(self, waiting: pd.DataFrame) -> list[int]:
-        return [int(waiting["t"].max()) // 1000 + 1]
+    def next_due(self, waiting):
+        return waiting[-1][0] // 1000 + 1
 
     def due(self, key, waiting, watermark):
-        ready = waiting[waiting["t"] // 1000 + 1 <= watermark]
-        points, upto = (list(self.stack.get()[0]), self.stack.get()[1]) if self.stack.exists() else ([], None)
+        ready = [r for r in waiting if r[0] // 1000 + 1 <= watermark]
+        if not ready:
+            return [], waiting
+        points = list(self.stack.get()[0]) if self.stack.exists() else []
         found = []
-        for v in ready["current"]:
+        for _, _, v in ready:
             if points and v == points[-1]:
                 continue
             if len(points) >= 2 and (points[-1] > points[-2]) == (v > points[-1]):
-                points[-1] = v  # the running end moves on in the same direction
-                found += _close([points.pop()], points)
-            else:
-                found += _close([v], points)
-        if len(ready):
-            self.stack.update((points, int(ready["t"].max())))
-            upto = int(ready["t"].max())
+                points.pop()  # the running end moves on in the same direction
+            found += close_cycles([v], points)
+        self.stack.update((points,))
+        upto = ready[-1][0]
         rows = [(key[0], "cycle", upto, r, m, 1.0) for r, m in found]
         rows += [(key[0], "residue", upto, abs(b - a), (a + b) / 2, 0.5) for a, b in zip(points, points[1:])]
-        return pd.DataFrame(rows, columns=["stream_id", "kind", "upto", "range", "mean", "cnt"]), waiting[waiting["t"] // 1000 + 1 > watermark]
+        return rows, waiting[len(ready):]
 
 
-def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, ts: str, delay: str) -> DataFrame:
+def _stateful(rows: DataFrame, key: str, processor: _Pending, ts: str, delay: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return rows.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=processor, outputStructType=processor.output, outputMode="Append", timeMode="EventTime")
 
 
 def live_cycle_features(rows: DataFrame, gap_us: int, delay: str, ts: str = "ts") -> DataFrame:
     """Phase, velocity and slope features of every cycle when it closes."""
-    return _stateful(rows, "stream_id", _CycleFeatures(gap_us), CYCLE, ts, delay)
+    return _stateful(rows, "stream_id", _CycleFeatures(gap_us), ts, delay)
 
 
 def live_rainflow(rows: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
@@ -200,7 +203,7 @@ def live_rainflow(rows: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
 
     A step takes in the rows up to ``upto``; only the residue with the largest ``upto`` of a series counts.
     """
-    return _stateful(rows, "stream_id", _Residue(), "stream_id bigint, kind string, upto bigint, range double, mean double, cnt double", ts, delay)
+    return _stateful(rows, "stream_id", _Residue(), ts, delay)
 
 
 def newest_residue(rows: DataFrame) -> DataFrame:
