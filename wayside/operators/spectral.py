@@ -52,6 +52,8 @@ def welch(samples: DataFrame, keys: Sequence[str], index: str, value: str, rate:
     Each sample goes to the (at most two) half-overlapping segments that contain it. Segments that the recording does
     not fill are left out; a recording shorter than one segment becomes a single shorter segment.
     """
+    if nperseg % 2:
+        raise ValueError("segments overlap by half, so their length must be even")
     half = nperseg // 2
     slot = F.floor(F.col(index) / half).cast("long")
     spread = samples.select(
