@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayside.functions.columns import natural_key
 from wayside.operators.folds import ranked, split_even
 from wayside.operators.ordered import Order, positions, previous
+from wayside.session import cut
 
 # Columns of the exported tables and their headings for operators.
 OUTPUT = {
@@ -120,7 +121,7 @@ def downsample(rows: DataFrame, order: Order, value: str, points: int = 180, ext
     The per-trace top list filters on its row number, which Spark turns into a limit before the shuffle.
     """
     keys = list(order.keys)
-    placed = positions(rows.select(*keys, *[c for c in order.sort if c != value], value), order, "_i", "_n")
+    placed = cut(positions(rows.select(*keys, *[c for c in order.sort if c != value], value), order, "_i", "_n"))
     known = F.col(value).isNotNull()
     stats = placed.where(known).groupBy(*keys).agg(
         F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"),

@@ -8,6 +8,7 @@ row windows, so each operator costs one shuffle of the rows plus one of the buck
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -175,18 +176,45 @@ def ahead_by(df: DataFrame, order: Order, column: str, steps: int, name: str) ->
     return placed.join(later, [*order.keys, "_pos"], "left").drop("_pos", "_len")
 
 
+def run_numbers(df: DataFrame, order: Order, columns: Sequence[str], starts: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """Number the runs of a stream from 0. ``starts(before, here)`` says from two neighbouring rows (structs of
+    ``columns``) whether a new run begins.
+
+    The bucket table holds the first and last row of a bucket and the runs begun inside, so borders between buckets are
+    decided there and the rows are joined once.
+    """
+    cut = order.cut(df)
+    here = F.struct(*columns)
+
+    def begun(rows: DataFrame) -> DataFrame:
+        before = F.lag(here).over(order.rows())
+        new = F.when(before.isNotNull() & starts(before, here), 1).otherwise(0).cast("long")
+        return rows.withColumn("_new", new)
+
+    slim = begun(cut.select(*dict.fromkeys([*order.keys, *order.sort, *columns]), BUCKET))
+    place = F.struct(*order.sort)
+    ends = slim.groupBy(*order.parts).agg(
+        F.min_by(here, place).alias("_first"), F.max_by(here, place).alias("_last"), F.sum("_new").alias("_n"))
+    ahead = order.buckets().rowsBetween(Window.unboundedPreceding, -1)
+    last = F.lag("_last").over(order.buckets())
+    border = ends.withColumn(
+        "_border", F.when(last.isNotNull() & starts(last, F.col("_first")), 1).otherwise(0).cast("long"))
+    carried = border.select(
+        *order.parts, (F.coalesce(F.sum(F.col("_n") + F.col("_border")).over(ahead), F.lit(0)) + F.col("_border")).alias("_carry"))
+    upto = order.rows().rowsBetween(Window.unboundedPreceding, 0)
+    inside = begun(cut).withColumn("_inside", F.sum("_new").over(upto))
+    joined = inside.join(carried, order.parts, "left")
+    return joined.select(*[F.col(c) for c in df.columns], (F.col("_carry") + F.col("_inside")).alias(name))
+
+
 def gap_segments(df: DataFrame, order: Order, gap: int, name: str = "segment_id") -> DataFrame:
     """Number the segments of each stream; a new one starts where the step in ``at`` is strictly above ``gap``."""
-    stepped = previous(df, order, order.at, prefix="_prev_")
-    starts = F.when(F.col(order.at) - F.col(f"_prev_{order.at}") > gap, 1).otherwise(0).cast("long")
-    return running(stepped, order, starts, name).drop(f"_prev_{order.at}")
+    return run_numbers(df, order, [order.at], lambda a, b: b[order.at] - a[order.at] > gap, name)
 
 
 def runs(df: DataFrame, order: Order, value: str, name: str = "run_id") -> DataFrame:
     """Number the maximal runs of equal consecutive values, starting at 0."""
-    stepped = previous(df, order, value, prefix="_prev_")
-    changed = F.when(F.col(value) != F.col(f"_prev_{value}"), 1).otherwise(0).cast("long")
-    return running(stepped, order, changed, name).drop(f"_prev_{value}")
+    return run_numbers(df, order, [value], lambda a, b: b[value] != a[value], name)
 
 
 def longest_run(df: DataFrame, order: Order, flag: Column, name: str = "longest") -> DataFrame:
@@ -199,12 +227,25 @@ def longest_run(df: DataFrame, order: Order, flag: Column, name: str = "longest"
 
 
 def first_transition(df: DataFrame, order: Order, flag: str, to: int, *extra: str) -> DataFrame:
-    """First row where ``flag`` turns to ``to``: its position and the ``extra`` columns there, per stream."""
-    slim = df.select(*order.keys, *order.sort, flag, *[c for c in extra if c not in order.sort])
-    placed = positions(previous(slim, order, flag), order)
-    turned = placed.where((F.col(flag) == to) & (F.col(f"prev_{flag}") == 1 - to))
-    first = F.min_by(F.struct("pos", *extra), F.col("pos")).alias("_first")
-    return turned.groupBy(*order.keys).agg(first).select(*order.keys, "_first.*")
+    """First row where ``flag`` turns to ``to``: its position and the ``extra`` columns there, per stream.
+
+    Everything comes from the bucket table: rows of a bucket, the first turn inside, and the flag at both ends.
+    """
+    columns = list(dict.fromkeys([*order.keys, *order.sort, flag, *extra]))
+    rows = order.cut(df.select(*columns)).withColumn("_rn", F.row_number().over(order.rows()).cast("long"))
+    before = F.lag(flag).over(order.rows())
+    turned = rows.withColumn("_turn", (F.col(flag) == to) & (before == 1 - to))
+    found = F.struct((F.col("_rn") - 1).alias("pos"), *extra)
+    ends = turned.groupBy(*order.parts).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min_by(flag, "_rn").alias("_first"), F.max_by(flag, "_rn").alias("_last"),
+        F.min_by(found, F.col("_rn")).alias("_head"), F.min_by(F.when(F.col("_turn"), found), F.when(F.col("_turn"), F.col("_rn"))).alias("_in"))
+    ahead = order.buckets().rowsBetween(Window.unboundedPreceding, -1)
+    border = (F.col("_first") == to) & (F.lag("_last").over(order.buckets()) == 1 - to)
+    listed = ends.select(
+        *order.keys, F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"), F.when(border, F.col("_head")).otherwise(F.col("_in")).alias("_hit"))
+    hits = listed.where("_hit IS NOT NULL").select(*order.keys, (F.col("_before") + F.col("_hit.pos")).alias("_pos"), "_hit")
+    first = hits.groupBy(*order.keys).agg(F.min("_pos").alias("pos"), F.min_by("_hit", "_pos").alias("_hit"))
+    return first.select(*order.keys, "pos", *[F.col(f"_hit.{c}").alias(c) for c in extra])
 
 
 def turning_points(df: DataFrame, order: Order, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayside.functions.columns import micros, rounded
 from wayside.operators import contracts, cycles, history, peers
-from wayside.plans.catalog_stream import DIRECTION, ELECTRICAL, KEYS, PHASE, PROFILE, recorded, segments
+from wayside.plans.catalog_stream import DIRECTION, ELECTRICAL, KEYS, PHASE, PROFILE, recorded, segmented, segments
 from wayside.plans.inputs import EV, LI, SEG, event_stream
 from wayside.plans.registry import query, rd
 from wayside.session import cut, table
@@ -213,8 +213,7 @@ EVID = [k for k, _, _ in history.DOOR_EVIDENCE]
 )
 def evidence_metrics(spark, sf):
     """The eight door metrics of every cycle, as an evidence array and exploded."""
-    rows, order = segments(spark, sf)
-    s = cut(rows)
+    s, order = segmented(spark, sf)
     placed = cut(cycles.placed_in(s, order))
     profile = cycles.profiles(placed, KEYS).join(cycles.directions(s, order).select(*KEYS, "operation"), KEYS)
     whole = cut(profile.join(s.groupBy(*KEYS).agg((F.avg("current") <= 50).alias("normal")), KEYS))

@@ -52,7 +52,7 @@ def prepared(spark, sf):
 
 
 def deviated(spark, sf):
-    return cut(peers.with_deviations(prepared(spark, sf), ["case_id", "ts"]))
+    return cut(peers.with_deviations(cut(prepared(spark, sf)), ["case_id", "ts"]))
 
 
 @query("mask_invalid", f"WITH {ACV} SELECT seq, case_id, car, info_valid, {rd('t_in')} AS t_in, {rd('t_out')} AS t_out, {rd('t_set_cool')} AS t_set_cool, {rd('p_high_1')} AS p_high_1 FROM (SELECT * EXCLUDE (info_valid), trim(info_valid) AS info_valid FROM acv)")
@@ -182,7 +182,7 @@ def rank_cars(spark, sf):
 def _scorer(name, fn, sql):
     @query(name, f"WITH {ACV}, s AS ({sql}) SELECT case_id, car, {rd('score')} AS score FROM s")
     def run(spark, sf):
-        return fn(prepared(spark, sf), "case_id").select("case_id", "car", rounded("score").alias("score"))
+        return fn(cut(prepared(spark, sf)), "case_id").select("case_id", "car", rounded("score").alias("score"))
 
     run.__name__ = name
     run.__doc__ = fn.__doc__

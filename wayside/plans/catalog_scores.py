@@ -45,7 +45,7 @@ greedy AS (
 
 def _intervals(spark, sf, gap, ident):
     rows, stream = streamed(spark, sf)
-    s, order = ordered.gap_segments(rows, stream, gap), stream.within("stream_id", "segment_id")
+    s, order = cut(ordered.gap_segments(rows, stream, gap)), stream.within("stream_id", "segment_id")
     both = cycles.bounds(s, order).join(cycles.directions(s, order), list(order.keys))
     return both.select("stream_id", F.col("operation").alias("label"), F.col("segment_id").alias(ident),
                        F.col("start_us").alias("start"), F.col("end_us").alias("end"))

@@ -30,6 +30,12 @@ def segments(spark, sf):
     return ordered.gap_segments(rows, order, GAP), order.within(*KEYS)
 
 
+def segmented(spark, sf):
+    """As ``segments``, written once: for queries that look at the segments several times."""
+    rows, order = segments(spark, sf)
+    return cut(rows), order
+
+
 def recorded(spark, sf):
     rows = recordings(spark, sf)
     return rows, RECORDING.fitted(rows)
@@ -201,8 +207,7 @@ def _transition(e, order, to, kind):
 )
 def transition_summary(spark, sf):
     """Switch timing (s from cycle start) by operation and label."""
-    rows, order = segments(spark, sf)
-    s = cut(rows)
+    s, order = segmented(spark, sf)
     e = s.withColumn("f", F.when(F.col("current") > 40, 1).otherwise(0))
     timing = ordered.first_transition(e, order, "f", 1).withColumn("timing", F.col("pos") * cycles.SAMPLE_S)
     label = s.groupBy(*KEYS).agg(
@@ -282,7 +287,7 @@ NUMERIC = ("duration cur_peak cur_mean cur_rms cur_std cur_integral cur_p90 cur_
     f"WITH {SEG}, {ELECTRICAL} SELECT stream_id, segment_id, n_rows, " + ", ".join(f"{rd(c)} AS {c}" for c in NUMERIC) + " FROM el",
 )
 def segment_features(spark, sf):
-    return _rounded(cycles.electrical(*segments(spark, sf)), KEYS, ("n_rows",))
+    return _rounded(cycles.electrical(*segmented(spark, sf)), KEYS, ("n_rows",))
 
 
 PHASE = """ph AS (SELECT {keys}, avg(x) FILTER (i < k) AS trav_mean, max(x) FILTER (i < k) AS trav_max,
@@ -347,8 +352,7 @@ zz AS (SELECT stream_id, segment_id, operation, bin, v, (v - med) / iqr AS z FRO
 
 def profiled(spark, sf):
     """Cycles with operation, profile and a stand-in verdict: normal where the mean current is at most 50."""
-    rows, order = segments(spark, sf)
-    s = cut(rows)
+    s, order = segmented(spark, sf)
     profile = cycles.profiles(cycles.placed_in(s, order), KEYS)
     verdict = s.groupBy(*KEYS).agg((F.avg("current") <= 50).alias("normal"))
     whole = profile.join(cycles.directions(s, order).select(*KEYS, "operation"), KEYS).join(verdict, KEYS)

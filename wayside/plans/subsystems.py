@@ -25,15 +25,15 @@ ABNORMAL = "Abnormal resistance"
 
 
 def door_cycles(rows: DataFrame, width: int = 3_600_000_000, gap: int = DOOR_GAP) -> tuple[DataFrame, Order]:
-    """Rows with their cycle, and the order inside a cycle."""
+    """Rows with their cycle, written once for the many features that follow, and the order inside a cycle."""
     stream = Order(("stream_id",), "t", ("seq",), width).fitted(rows)
-    return gap_segments(rows, stream, gap), stream.within("stream_id", "segment_id")
+    return cut(gap_segments(rows, stream, gap)), stream.within("stream_id", "segment_id")
 
 
 def door_table(segmented: DataFrame, order: Order) -> DataFrame:
     """One row per cycle: electrical, phase and velocity features, slope, operation and profile."""
     keys = list(order.keys)
-    placed = cycles.placed_in(segmented, order)
+    placed = cut(cycles.placed_in(segmented, order))
     parts = [
         cycles.phases(placed, keys),
         cycles.velocities(placed, order, "pos"),
@@ -108,7 +108,7 @@ def rank_cars(readings: DataFrame, response: models.Linear | None = None, weight
     """Cars of each case by how likely they leak. ``readings``: case_id, car, ts, t and one column per role."""
     weights = weights or CAR_WEIGHTS
     order = Order(("case_id", "car"), "t", ()).fitted(readings)
-    prepared = peers.prepare(readings, order)
+    prepared = cut(peers.prepare(readings, order))
     if response is not None:
         prepared = models.response_residual(prepared, response)
     keys = ["case_id", "car"]
