@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayside.functions.columns import decide
+from wayside.functions.columns import decide, ratio
+from wayside.operators.intervals import greedy_matching
 from wayside.operators.scores import macro_f1
 
 # Thresholds 0.05 … 0.90 in 35 steps, margins 0 … 0.3 in 7 steps, class factors 0.5 … 4 in 15 steps,
@@ -107,3 +108,43 @@ def nested_leave_one_out(scores: DataFrame) -> DataFrame:
     best = joined.groupBy(F.col("case").alias("held")).agg(
         F.max_by(F.struct("combo", "score", others.alias("others")), choice).alias("best"))
     return best.select("held", "best.combo", "best.score", F.col("best.others").alias("others_mean"))
+
+
+def leave_fold_out_thresholds(oof: DataFrame, fold: str) -> DataFrame:
+    """Threshold of the global rule chosen for every fold on the units outside it, and the median of the choices.
+
+    Confusion counts add up, so the counts outside a fold are the total minus its own: no unit is counted per fold.
+    """
+    counted = oof.groupBy(fold, "p1", "p2", "label").agg(F.count(F.lit(1)).alias("n"))
+    tried = _tried(counted, "global").withColumn("pred", decide("p1", "p2", "global", F.col("a")))
+    own = tried.groupBy(fold, "cand", "a", "label", "pred").agg(F.sum("n").alias("n"))
+    whole = own.groupBy("cand", "a", "label", "pred").agg(F.sum("n").alias("_all"))
+    folds = own.select(fold).distinct()  # a handful of folds
+    spread = whole.withColumn("_folds", folds.agg(F.collect_set(fold)).scalar()).select("*", F.explode("_folds").alias(fold)).drop("_folds")
+    rest = spread.join(own, [fold, "cand", "a", "label", "pred"], "left").withColumn("n", F.col("_all") - F.coalesce("n", F.lit(0)))
+    best = middle_of_tied(macro_f1(rest, [fold, "cand", "a"], weight="n"), [fold]).where("selected")
+    chosen = best.select(fold, F.col("a").alias("tau"), "macro_f1")
+    return chosen.withColumn("final_tau", F.median("tau").over(Window.partitionBy(F.lit(0))))
+
+
+def interval_threshold_sweep(
+    pairs: DataFrame, keys: Sequence[str], n_true: DataFrame, n_pred: DataFrame, positive: str, negative: str,
+    start: float = 0.2, step: float = 0.025, steps: int = 25,
+) -> DataFrame:
+    """IoU-weighted F1 of labelled segments at every threshold on their probability.
+
+    ``pairs``: overlapping pairs whatever their labels (keys, i, j, iou, label of i, p of j). Overlaps are found once;
+    a threshold only decides which pairs agree. Among equally good thresholds (1e-9) the median is ``best``.
+    """
+    tried = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("cand"))
+    tau = F.round(F.lit(start) + F.col("cand") * step, 4)
+    agreeing = tried.where(F.col("label") == F.when(F.col("p") >= tau, positive).otherwise(negative))
+    matched = greedy_matching(agreeing.select(*keys, "cand", "i", "j", "iou"), [*keys, "cand"])
+    per = matched.groupBy("cand").agg(F.sum("iou").alias("_total"))
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    recall, precision = ratio("_total", count(n_true)), ratio("_total", count(n_pred))
+    scored = per.select("cand", F.round(F.lit(start) + F.col("cand") * step, 4).alias("tau"), ratio(2 * recall * precision, recall + precision).alias("score"))
+    everything = Window.partitionBy(F.lit(0))  # one row per threshold
+    tied = F.when(F.col("score") >= F.max("score").over(everything) - 1e-9, F.col("tau"))
+    marked = scored.withColumn("_tied", tied)
+    return marked.withColumn("best", F.median("_tied").over(everything)).drop("_tied")

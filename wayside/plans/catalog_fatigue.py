@@ -6,24 +6,32 @@ from pyspark.sql import functions as F
 
 from wayside.functions.columns import rounded
 from wayside.operators import fatigue
-from wayside.plans.catalog_stream import TURNS, streamed
+from wayside.plans.catalog_stream import streamed
 from wayside.plans.inputs import EV, LI, event_stream, recordings
 from wayside.plans.registry import query, rd
 from wayside.session import cut
 
 BY = ["stream_id"]
 
-CYC = EV + ", " + TURNS + """, rfw AS (
-  SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS r, CAST([] AS DOUBLE[]) AS st, false AS closed, CAST(NULL AS DOUBLE) AS range, CAST(NULL AS DOUBLE) AS mean FROM tp
+def cycles_sql(source: str, key: str, order: str, value: str) -> str:
+    """Turning points and rainflow cycles (relation cyc) of the series in ``source``, as recursive SQL."""
+    pop = "abs(st[len(st) - 1] - st[len(st) - 2])"
+    return f"""mv AS (SELECT * FROM (SELECT *, lag({value}) OVER (PARTITION BY {key} ORDER BY {order}) AS p FROM {source}) WHERE p IS NULL OR p <> {value}),
+tp AS (SELECT {key}, {value} AS v, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS r FROM (
+  SELECT *, lead({value}) OVER (PARTITION BY {key} ORDER BY {order}) AS nx FROM mv) WHERE p IS NULL OR nx IS NULL OR ({value} > p) <> (nx > {value})),
+rfw AS (
+  SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS r, CAST([] AS DOUBLE[]) AS st, false AS closed, CAST(NULL AS DOUBLE) AS range, CAST(NULL AS DOUBLE) AS mean FROM tp
   UNION ALL
-  SELECT g.stream_id, g.step + 1, CASE WHEN can THEN g.r ELSE g.r + 1 END, CASE WHEN can THEN list_append(st[1:len(st) - 3], st[len(st)]) ELSE list_append(st, tp.current) END, can,
-    CASE WHEN can THEN abs(st[len(st) - 1] - st[len(st) - 2]) END, CASE WHEN can THEN (st[len(st) - 1] + st[len(st) - 2]) / 2 END
-  FROM (SELECT *, len(st) >= 4 AND abs(st[len(st) - 1] - st[len(st) - 2]) < abs(st[len(st) - 2] - st[len(st) - 3])
-    AND abs(st[len(st) - 1] - st[len(st) - 2]) <= abs(st[len(st)] - st[len(st) - 1]) AS can FROM rfw) g
-  LEFT JOIN tp ON tp.stream_id = g.stream_id AND tp.r = g.r + 1 WHERE can OR tp.current IS NOT NULL),
-fin AS (SELECT stream_id, arg_max(st, step) AS st FROM rfw GROUP BY stream_id),
-cyc AS (SELECT stream_id, range, mean, 1e0 AS cnt FROM rfw WHERE closed
-  UNION ALL SELECT stream_id, abs(st[j + 1] - st[j]), (st[j + 1] + st[j]) / 2, 5e-1 FROM (SELECT stream_id, st, unnest(range(1, len(st))) AS j FROM fin))"""
+  SELECT g.{key}, g.step + 1, CASE WHEN can THEN g.r ELSE g.r + 1 END, CASE WHEN can THEN list_append(st[1:len(st) - 3], st[len(st)]) ELSE list_append(st, tp.v) END, can,
+    CASE WHEN can THEN {pop} END, CASE WHEN can THEN (st[len(st) - 1] + st[len(st) - 2]) / 2 END
+  FROM (SELECT *, len(st) >= 4 AND {pop} < abs(st[len(st) - 2] - st[len(st) - 3]) AND {pop} <= abs(st[len(st)] - st[len(st) - 1]) AS can FROM rfw) g
+  LEFT JOIN tp ON tp.{key} = g.{key} AND tp.r = g.r + 1 WHERE can OR tp.v IS NOT NULL),
+fin AS (SELECT {key}, arg_max(st, step) AS st FROM rfw GROUP BY {key}),
+cyc AS (SELECT {key}, range, mean, 1e0 AS cnt FROM rfw WHERE closed
+  UNION ALL SELECT {key}, abs(st[j + 1] - st[j]), (st[j + 1] + st[j]) / 2, 5e-1 FROM (SELECT {key}, st, unnest(range(1, len(st))) AS j FROM fin))"""
+
+
+CYC = EV + ", " + cycles_sql("ev", "stream_id", "t, seq", "current")
 
 
 def cycles(spark, sf):
@@ -166,19 +174,20 @@ def grouped_scale(spark, sf):
     return fatigue.grouped_scale(s, "grp", "s", "d").withColumn("scale", rounded("scale", 4))
 
 
-STAT = ("mean", "std", "ptp", "skewness", "kurtosis", "crest_factor", "p01", "p95_p05", "p99_p01")
+STAT_SQL = {
+    "mean": "avg(x)", "std": "stddev_pop(x)", "ptp": "max(x) - min(x)", "skewness": "avg(pow(x - mu, 3)) / pow(avg(pow(x - mu, 2)), 15e-1)",
+    "kurtosis": "kurtosis_pop(x)", "crest_factor": "max(abs(x)) / (sqrt(avg(x * x)) + 1e-8)", "p01": "quantile_cont(x, 1e-2)",
+    "p95_p05": "quantile_cont(x, 95e-2) - quantile_cont(x, 5e-2)", "p99_p01": "quantile_cont(x, 99e-2) - quantile_cont(x, 1e-2)",
+}
 
 
 @query(
     "series_stats",
-    f"""WITH {LI}, c AS (SELECT rec, x, avg(x) OVER (PARTITION BY rec) AS mu FROM li)
-    SELECT rec, {rd("avg(x)")} AS mean, {rd("stddev_pop(x)")} AS std, {rd("max(x) - min(x)")} AS ptp, {rd("avg(pow(x - mu, 3)) / pow(avg(pow(x - mu, 2)), 15e-1)")} AS skewness,
-      {rd("kurtosis_pop(x)")} AS kurtosis, {rd("max(abs(x)) / (sqrt(avg(x * x)) + 1e-8)")} AS crest_factor, {rd("quantile_cont(x, 1e-2)")} AS p01,
-      {rd("quantile_cont(x, 95e-2) - quantile_cont(x, 5e-2)")} AS p95_p05, {rd("quantile_cont(x, 99e-2) - quantile_cont(x, 1e-2)")} AS p99_p01 FROM c GROUP BY rec""",
+    f"WITH {LI}, c AS (SELECT rec, x, avg(x) OVER (PARTITION BY rec) AS mu FROM li) SELECT rec, " + ", ".join(f"{rd(e)} AS {n}" for n, e in STAT_SQL.items()) + " FROM c GROUP BY rec",
 )
 def series_stats(spark, sf):
     s = fatigue.series_statistics(recordings(spark, sf), ["rec"], "x")
-    return s.select("rec", *[rounded(c).alias(c) for c in STAT])
+    return s.select("rec", *[rounded(c).alias(c) for c in STAT_SQL])
 
 
 @query(

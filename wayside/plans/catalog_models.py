@@ -8,7 +8,9 @@ from wayside.functions.columns import rounded
 from wayside.operators import decide as choose, fatigue, folds, models, spectral
 from wayside.operators.ordered import positions
 from wayside.operators.quantiles import exact_quantiles
+from wayside.plans.catalog_fatigue import STAT_SQL, cycles_sql
 from wayside.plans.catalog_peers import prepared
+from wayside.plans.catalog_rail import psd_sql
 from wayside.plans.catalog_scores import oof
 from wayside.plans.catalog_stream import recorded
 from wayside.plans.inputs import LI, recordings
@@ -116,8 +118,30 @@ def hierarchical_scores(spark, sf):
     return choose.paired_probability(score(rows.drop("label")), "vec_id", "hierarchical")
 
 
-@query("fatigue_features")
+_ENERGY = [(f"log_rf_energy_range_m_{m}".replace(".", "_"), f"ln(1 + sum(cnt * pow(range, {m})))") for m in fatigue.FEATURE_EXPONENTS]
+_ENERGY += [
+    (f"log_rf_goodman_su_{su}_m_{m}".replace(".", "_"), f"ln(1 + sum(cnt * pow(range / 2 / greatest(1 - mean / {su}e0, 1e-3), {m})))")
+    for su, m in fatigue.FEATURE_GOODMAN]
+_ENERGY += [("rf_total_cycles", "sum(cnt)"), ("rf_max_range", "max(range)"), ("rf_p95_range", "quantile_cont(range, 95e-2)")]
+_MOMENTS = [
+    ("spec_alpha2", "m2 / (sqrt(m0 * m4) + 1e-8)"), ("spec_zero_crossing", "sqrt(m2 / (m0 + 1e-8))"), ("spec_peak_rate", "sqrt(m4 / (m2 + 1e-8))")]
+
+
+@query(
+    "fatigue_features",
+    f"""WITH RECURSIVE {LI}, {cycles_sql('li', 'rec', 'i', 'x')}, ce AS (SELECT rec, {', '.join(f"{e} AS {n}" for n, e in _ENERGY)} FROM cyc GROUP BY rec),
+    {psd_sql('ps', 'li', 'rec, n', 256, 100.0, 'n')}, mo AS (SELECT rec, sum(p) AS m0, sum(f * f * p) AS m2, sum(f * f * f * f * p) AS m4 FROM ps GROUP BY rec),
+    c AS (SELECT rec, x, avg(x) OVER (PARTITION BY rec) AS mu FROM li),
+    st AS (SELECT rec, {', '.join(f"{e} AS {n}" for n, e in STAT_SQL.items())} FROM c GROUP BY rec)
+    SELECT rec, {', '.join(f"{rd(n, 5)} AS {n}" for n in STAT_SQL)}, {', '.join(f"{rd(e, 5)} AS {n}" for n, e in _MOMENTS)}, {', '.join(f"{rd(n, 5)} AS {n}" for n, _ in _ENERGY)}
+    FROM st JOIN ce USING (rec) JOIN mo USING (rec)""",
+)
 def fatigue_features(spark, sf):
+    f = feature_vectors(spark, sf)
+    return f.select("rec", *[rounded(c, 5).alias(c) for c in f.columns if c != "rec"])
+
+
+def feature_vectors(spark, sf):
     """Series statistics, spectral rates and cycle energies of every recording."""
     r, order = recorded(spark, sf)
     stats = fatigue.series_statistics(r, ["rec"], "x")
@@ -130,7 +154,7 @@ def fatigue_features(spark, sf):
 @query("residual_damage")
 def residual_damage(spark, sf):
     """Damage estimate S / C and its correction by a robust regression on the log residual."""
-    f = cut(fatigue_features(spark, sf))
+    f = cut(feature_vectors(spark, sf))
     base = recordings(spark, sf).groupBy("rec").agg((1 + F.sum("q")).alias("d"))
     s = f.join(base, "rec").withColumn("s", F.expm1("log_rf_energy_range_m_4_0"))
     c = fatigue.scale(s, [], "s", "d")

@@ -43,12 +43,14 @@ greedy AS (
 )
 
 
-def _intervals(spark, sf, gap, ident):
+def _intervals(spark, sf, gap, ident, probability=None):
     rows, stream = streamed(spark, sf)
     s, order = cut(ordered.gap_segments(rows, stream, gap)), stream.within("stream_id", "segment_id")
     both = cycles.bounds(s, order).join(cycles.directions(s, order), list(order.keys))
-    return both.select("stream_id", F.col("operation").alias("label"), F.col("segment_id").alias(ident),
-                       F.col("start_us").alias("start"), F.col("end_us").alias("end"))
+    label = F.col("operation").alias("label")
+    if probability:  # how far the leaf moved, as a stand-in probability of opening
+        label = ((F.col("pos_end") - F.col("pos_start") + 99) / 198).alias(probability)
+    return both.select("stream_id", label, F.col("segment_id").alias(ident), F.col("start_us").alias("start"), F.col("end_us").alias("end"))
 
 
 def _pairs(spark, sf):
@@ -87,6 +89,31 @@ def iou_f1(spark, sf):
     return f.select(*[c if c in whole else rounded(c).alias(c) for c in f.columns])
 
 
+_HEAD, _REST = INTERVALS.split(", pairs AS", 1)
+SWEEP = _HEAD + """, pp AS (SELECT stream_id, id, (arg_max(pos, (t, seq)) - arg_min(pos, (t, seq)) + 99) / 198e0 AS p FROM prds GROUP BY ALL),
+th AS (SELECT r AS cand, round(2e-1 + r * 25e-3, 4) AS tau FROM range(25) t(r)),
+blind AS (SELECT *, inter / CAST((e1 - s1) + (e2 - s2) - inter AS DOUBLE) AS iou FROM (
+  SELECT a.stream_id, a.id AS i, b.id AS j, a.label, p, a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2, CAST(least(a.e, b.e) - greatest(a.s, b.s) AS DOUBLE) AS inter
+  FROM tru a JOIN prd b ON a.stream_id = b.stream_id AND a.s < b.e AND b.s < a.e JOIN pp ON pp.stream_id = b.stream_id AND pp.id = b.id) WHERE inter > 0),
+pairs AS (SELECT cand * 1000000 + stream_id AS stream_id, cand, i, j, iou FROM blind, th WHERE label = CASE WHEN p >= tau THEN 'Open' ELSE 'Close' END),
+ranked AS""" + _REST.split("ranked AS", 1)[1]
+
+
+@query(
+    "interval_threshold_sweep",
+    f"""WITH RECURSIVE {SWEEP}, s AS (SELECT stream_id // 1000000 AS cand, sum(iou) AS total FROM greedy WHERE taken GROUP BY ALL),
+    c AS (SELECT cand, total / (SELECT count(*) FROM tru) AS sr, total / (SELECT count(*) FROM prd) AS sp FROM s), f AS (SELECT cand, round(2e-1 + cand * 25e-3, 4) AS tau, 2 * sr * sp / (sr + sp) AS score FROM c)
+    SELECT CAST(cand AS INTEGER) AS cand, tau, {rd("score")} AS score, {rd("(SELECT median(tau) FROM f WHERE score >= (SELECT max(score) FROM f) - 1e-9)")} AS best FROM f""",
+)
+def interval_threshold_sweep(spark, sf):
+    """IoU-F1 of the predicted cycles when their label comes from a probability and a threshold."""
+    true, pred = cut(_intervals(spark, sf, DAY_US, "i")), cut(_intervals(spark, sf, SHORT_GAP, "j", "p"))
+    pairs = intervals.overlaps(true.select("stream_id", "i", "start", "end"), pred, ["stream_id"], 5 * DAY_US)
+    named = pairs.join(true.select("stream_id", "i", "label"), ["stream_id", "i"]).join(pred.select("stream_id", "j", "p"), ["stream_id", "j"])
+    s = choose.interval_threshold_sweep(named, ["stream_id"], true, pred, "Open", "Close")
+    return s.select("cand", "tau", rounded("score").alias("score"), rounded("best").alias("best"))
+
+
 # --- class scores ---------------------------------------------------------------------------------
 
 OOF = """oof AS (SELECT doc_id AS unit_id, CASE WHEN toxic = 1 THEN 'Side I' WHEN quality = 0 THEN 'Side II' ELSE 'Normal' END AS label,
@@ -286,6 +313,25 @@ BLEND = f"""w AS (SELECT unnest([25e-2, 5e-1, 75e-2]) AS w), mix AS (SELECT w, l
     chosen AS (SELECT *, row_number() OVER (ORDER BY round(macro_f1, 12) DESC, w) = 1 AS chosen FROM best)"""
 
 
+FOLDED = "fo AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(unit_id || '-7'), unit_id) - 1) % 5 AS fold FROM oof)"
+
+
+@query(
+    "median_selection",
+    f"""WITH {OOF}, {FOLDED}, g AS (SELECT r AS cand, round(5e-2 + r * 25e-3, 4) AS a FROM range(35) t(r)),
+    tried AS (SELECT k.fold, cand, a, label, {GLOBAL('a')} AS pred FROM fo, g, (SELECT DISTINCT fold FROM fo) k WHERE fo.fold <> k.fold), sc AS ({f1_sql('tried', 'fold, cand, a')}),
+    tied AS (SELECT *, macro_f1 >= max(macro_f1) OVER (PARTITION BY fold) - 1e-12 AS t FROM sc),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY fold, t ORDER BY cand) AS k, count(*) OVER (PARTITION BY fold, t) AS c FROM tied),
+    ch AS (SELECT fold, a AS tau, macro_f1 FROM rk WHERE t AND k = (c - 1) // 2 + 1) SELECT fold, tau, {rd('macro_f1')} AS macro_f1, {rd('median(tau) OVER ()')} AS final_tau FROM ch""",
+)
+def median_selection(spark, sf):
+    """Threshold chosen outside each of five folds, and the median of the five as the final parameter."""
+    u = oof(spark, sf)
+    placed = u.join(folds.stratified(u.select("unit_id", "label"), "unit_id", "label", 5, 7).drop("label"), "unit_id")
+    m = choose.leave_fold_out_thresholds(placed, "fold")
+    return m.select("fold", "tau", rounded("macro_f1").alias("macro_f1"), rounded("final_tau").alias("final_tau"))
+
+
 @query("blend_sweep", f"WITH {OOF}, {BLEND.format(src='oof')} SELECT w, tau, {rd('macro_f1')} AS macro_f1, chosen FROM chosen")
 def blend_sweep(spark, sf):
     return choose.blend_sweep(oof(spark, sf)).select("w", "tau", rounded("macro_f1").alias("macro_f1"), "chosen")
