@@ -56,7 +56,7 @@ def test_segments_equal_batch(spark, folder):
 
 
 def test_cycle_features_equal_batch(spark, folder):
-    done, _ = live.run_available(live.live_cycle_features(stream_of(spark, folder), SECOND, "0 seconds"))
+    done, _ = live.run_available(live.live_cycle_features(stream_of(spark, folder), SECOND, "0 seconds"), state=live.ROCKS)
     order = ORDER.within("stream_id", "segment_id")
     keys = list(order.keys)
     placed = cycles.placed_in(gap_segments(batch_of(spark, folder), ORDER, SECOND), order)
@@ -69,7 +69,7 @@ def test_cycle_features_equal_batch(spark, folder):
 
 
 def test_rainflow_equals_batch(spark, folder):
-    done, _ = live.run_available(live.live_rainflow(stream_of(spark, folder), "0 seconds"))
+    done, _ = live.run_available(live.live_rainflow(stream_of(spark, folder), "0 seconds"), state=live.ROCKS)
     got = live.newest_residue(done).where("stream_id < 9").select("stream_id", "range", "mean", "cnt")
     want = fatigue.rainflow(batch_of(spark, folder), ORDER, "current")
     table = lambda df: sorted(map(tuple, df.collect()))

@@ -58,7 +58,7 @@ def stream_peer_deviation(spark, sf):
     FROM v, wm GROUP BY stream_id, segment_id, mark HAVING (max(t) + {GAP}) // 1000 + 1 <= mark // 1000""",
 )
 def stream_segment_features(spark, sf):
-    done, _ = live.run_available(live.live_cycle_features(stream(spark, sf), GAP, DELAY))
+    done, _ = live.run_available(live.live_cycle_features(stream(spark, sf), GAP, DELAY), state=live.ROCKS)
     return done.select("stream_id", "start_us", "n_rows", "stall_rows", *[rounded(c).alias(c) for c in ("trav_mean", "mid_mean", "vel_mean", "slope")])
 
 
@@ -70,7 +70,7 @@ ev AS (SELECT * FROM ev_all WHERE stream_id IN (SELECT stream_id FROM ev_all, wm
 @query("stream_rainflow_residue", f"WITH RECURSIVE {_DONE} SELECT stream_id, {rd('range')} AS range, {rd('mean')} AS mean, cnt FROM cyc")
 def stream_rainflow_residue(spark, sf):
     """Cycles of the series whose rows the watermark has passed: closed ones as emitted, and the last residue."""
-    done, _ = live.run_available(live.live_rainflow(stream(spark, sf), DELAY))
+    done, _ = live.run_available(live.live_rainflow(stream(spark, sf), DELAY), state=live.ROCKS)
     return live.newest_residue(done).select("stream_id", rounded("range").alias("range"), rounded("mean").alias("mean"), "cnt")
 
 

@@ -9,7 +9,7 @@ from wayside.operators import decide as choose, fatigue, folds, models, spectral
 from wayside.operators.ordered import positions
 from wayside.operators.quantiles import exact_quantiles
 from wayside.plans.catalog_fatigue import STAT_SQL, cycles_sql
-from wayside.plans.catalog_peers import prepared
+from wayside.plans.catalog_peers import ACV, TRUTH, prepared
 from wayside.plans.catalog_rail import psd_sql
 from wayside.plans.catalog_scores import oof
 from wayside.plans.catalog_stream import recorded
@@ -34,7 +34,28 @@ def ridge_2feature(spark, sf):
     return r.groupBy("rec").agg(rounded(F.avg(F.col("x") - p), 5).alias("mean_residual"), rounded(F.max(p), 5).alias("largest"))
 
 
-@query("ridge_response")
+def _ridge_sql(source: str, features: tuple[str, ...], target: str, alpha: float = 1.0) -> str:
+    """Ridge slopes w0, w1, … and means of relation ``source`` by elimination, as relation ``fit``."""
+    n, cols = len(features), [*features, target]
+    cell = lambda i, j: f"count(*) * covar_pop({cols[i]}, {cols[j]})" + (f" + {alpha}" if i == j else "")
+    means = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(cols))
+    keep = ", ".join(f"m{i}" for i in range(n + 1))
+    steps = [f"e0 AS (SELECT {means}, " + ", ".join(f"{cell(i, j)} AS a{i}{j}" for i in range(n) for j in range(n + 1)) + f" FROM {source})"]
+    for k in range(n):  # clear column k from every other row
+        out = [f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" if i != k else f"a{i}{j}" for i in range(n) for j in range(n + 1)]
+        steps.append(f"e{k + 1} AS (SELECT {keep}, {', '.join(out)} FROM e{k})")
+    return ", ".join(steps) + f", fit AS (SELECT {keep}, " + ", ".join(f"a{i}{n} / a{i}{i} AS w{i}" for i in range(n)) + f" FROM e{n})"
+
+
+_RF = models.RESPONSE_FEATURES
+
+
+@query(
+    "ridge_response",
+    f"""WITH {ACV}, tr AS (SELECT * FROM prep WHERE cooling AND car <> {TRUTH} AND dt10 IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _RF)}), {_ridge_sql('tr', _RF, 'dt10')},
+    r AS (SELECT case_id, car, CASE WHEN cooling THEN dt10 - (m{len(_RF)} + {' + '.join(f'w{i} * (coalesce({c}, m{i}) - m{i})' for i, c in enumerate(_RF))}) END AS resid FROM prep, fit)
+    SELECT case_id, car, {rd("avg(resid)", 5)} AS resid_mean, {rd("quantile_cont(resid, 9e-1)", 5)} AS resid_p90 FROM r GROUP BY case_id, car""",
+)
 def ridge_response(spark, sf):
     """Expected temperature change learned on healthy cooling rows; mean and 90 % quantile of the residual per car."""
     d = cut(prepared(spark, sf))
@@ -43,7 +64,8 @@ def ridge_response(spark, sf):
     r = models.response_residual(d, model)
     keys = ["case_id", "car"]
     q = exact_quantiles(r, keys, "resid", {"resid_p90": 0.9})
-    return r.groupBy(*keys).agg(F.avg("resid").alias("resid_mean")).join(q, keys, "left")
+    both = r.groupBy(*keys).agg(F.avg("resid").alias("resid_mean")).join(q, keys, "left")
+    return both.select(*keys, rounded("resid_mean", 5).alias("resid_mean"), rounded("resid_p90", 5).alias("resid_p90"))
 
 
 def vector_rows(spark, sf):

@@ -22,6 +22,7 @@ from wayside.operators.fatigue import close_cycles
 from wayside.operators.peers import MIN_PEERS, median_of
 from wayside.session import shared_folder
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,14 +31,24 @@ def read_rows(spark: SparkSession, folder: str, name: str, schema: T.StructType)
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_available(stream: DataFrame, target: str | None = None, mode: str = "append") -> tuple[DataFrame, StreamingQuery]:
-    """Process everything that is there, write files to the shared folder and return them with the finished query."""
+def run_available(
+    stream: DataFrame, target: str | None = None, mode: str = "append", state: str | None = None
+) -> tuple[DataFrame, StreamingQuery]:
+    """Process everything that is there, write files to the shared folder and return them with the finished query.
+
+    ``state`` names the state store of this query; operators with per-key state (cycle features, rainflow) need ROCKS.
+    """
     spark = stream.sparkSession
     base = target or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
-        .option("path", f"{base}/rows").trigger(availableNow=True).start())
-    query.awaitTermination()
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, state or before)
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
+            .option("path", f"{base}/rows").trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows"), query
 
 
@@ -188,7 +199,6 @@ class _Residue(_Pending):
 
 
 def _stateful(rows: DataFrame, key: str, processor: _Pending, ts: str, delay: str) -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return rows.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.output, outputMode="Append", timeMode="EventTime")
 
