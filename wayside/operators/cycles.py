@@ -40,8 +40,10 @@ def attach_labels(starts: DataFrame, answers: DataFrame, keys: Sequence[str], st
 
 
 def electrical(rows: DataFrame, order: Order) -> DataFrame:
-    """Count, duration and current / voltage / back-EMF statistics of every cycle."""
+    """Count, duration and current / voltage / back-EMF statistics of every cycle, and its first set opening and
+    closing times where the rows carry them."""
     place = F.struct(*order.sort)
+    first = [F.min_by(c, place).alias(f"{c}_col") for c in ("t_open", "t_close") if c in rows.columns]
     cur, volt, emf = F.col("current"), F.col("voltage"), F.col("bemf")
     stats = rows.groupBy(*order.keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -59,6 +61,7 @@ def electrical(rows: DataFrame, order: Order) -> DataFrame:
         ratio(F.avg(emf), F.avg(volt)).alias("bemf_per_volt"),
         F.min_by("pos", place).alias("pos_start"),
         F.max_by("pos", place).alias("pos_end"),
+        *first,
     )
     ranks = exact_quantiles(rows, list(order.keys), "current", {"cur_p90": 0.9, "cur_median": 0.5})
     return (

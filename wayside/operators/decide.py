@@ -103,7 +103,7 @@ def nested_leave_one_out(scores: DataFrame) -> DataFrame:
     on ties) and its score on the held-out case. The mean of the others is the total minus the case itself."""
     per = scores.groupBy("combo").agg(F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     joined = scores.join(per, "combo")
-    others = F.round((F.col("_sum") - F.col("score")) / (F.col("_n") - 1), 9)
+    others = F.round(F.try_divide(F.col("_sum") - F.col("score"), F.col("_n") - 1), 9)
     choice = F.struct(others.alias("others"), (-F.col("nonzero")).alias("few"), (-F.col("combo")).alias("first"))
     best = joined.groupBy(F.col("case").alias("held")).agg(
         F.max_by(F.struct("combo", "score", others.alias("others")), choice).alias("best"))

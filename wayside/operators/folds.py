@@ -82,7 +82,7 @@ def others_mean(df: DataFrame, case: str, value: str) -> DataFrame:
     rest = per.select(
         F.col(case).alias("held"), (total(F.count(F.lit(1))) - 1).alias("train_cases"),
         (total(F.sum("_c")) - F.col("_c")).alias("train_rows"), (total(F.sum("_s")) - F.col("_s")).alias("_sum"))
-    return rest.withColumn("train_mean", F.col("_sum") / F.col("train_rows")).drop("_sum")
+    return rest.withColumn("train_mean", F.try_divide("_sum", "train_rows")).drop("_sum")
 
 
 def audit(folds: DataFrame, unit: str, family: str, held: Column) -> DataFrame:

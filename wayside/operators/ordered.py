@@ -75,9 +75,10 @@ class Order:
         tables, rows = [], df.select(*keys, *self.sort).withColumn("_b", self._bucket())
         for column in ("_b", "_s"):
             full = rows.groupBy(*keys, *(["_b"] if column == "_b" else ["_b", "_s"])).agg(F.count(F.lit(1)).alias("_n"))
-            full = written(full.where(F.col("_n") > limit).drop("_n"))
+            full = full.where(F.col("_n") > limit).drop("_n")
             if full.isEmpty():
                 break
+            full = written(full)
             tables.append(full)
             rows = rows.join(F.broadcast(full), [*keys, "_b"], "left_semi").withColumn("_s", self._slice())
         return replace(self, full=tuple(tables), full_keys=self.keys, limit=limit)

@@ -77,7 +77,8 @@ def rank_decay(ranked: str | Column, truth: str | Column) -> Column:
 
 
 def percentage_error(truth: str | Column, pred: str | Column) -> Column:
-    return F.abs(col(truth) - col(pred)) / F.abs(col(truth))
+    """Undefined, hence NULL, where the truth is 0."""
+    return F.try_divide(F.abs(col(truth) - col(pred)), F.abs(col(truth)))
 
 
 def mape_score(df: DataFrame, by: Sequence[str], truth: str, pred: str) -> DataFrame:

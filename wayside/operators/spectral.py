@@ -192,7 +192,7 @@ def spectral_cosine(car_psd: DataFrame, unit: Sequence[str], speed: str, low: fl
         F.sum("_u").alias("_sum"), F.sum(F.col("_u") * F.col("_u")).alias("_sq"), F.count(F.lit(1)).alias("_cars"))
     n = F.max("_cars")
     cosine = per_line.groupBy(*keys).agg(
-        ((F.sum(F.col("_sum") * F.col("_sum")) - F.sum("_sq")) / (n * (n - 1))).alias("spectral_cosine_mean"))
+        F.try_divide(F.sum(F.col("_sum") * F.col("_sum")) - F.sum("_sq"), n * (n - 1)).alias("spectral_cosine_mean"))
     peaks = lines.groupBy(*keys, "car").agg(
         F.max_by("f", F.struct("p", -F.col("f"))).alias("_peak"), F.max(speed).alias("_v")
     ).withColumn("_lam", F.col("_v") / F.greatest(F.col("_peak"), F.lit(1.0)))

@@ -364,7 +364,7 @@ WINDOWS = "win AS (SELECT *, i // (n // 5) AS w FROM li WHERE i // (n // 5) < 5)
 def _windows(spark, sf, k=5):
     """Rows of the k equal consecutive windows of each recording; a remainder shorter than a window is left out."""
     placed = ordered.positions(*recorded(spark, sf), "i", "n")
-    return placed.withColumn("w", F.floor(F.col("i") / F.floor(F.col("n") / k)).cast("long")).where(F.col("w") < k)
+    return placed.withColumn("w", F.floor(F.try_divide(F.col("i"), F.floor(F.col("n") / k))).cast("long")).where(F.col("w") < k)
 
 
 @query("window_slices", f"WITH {LI}, {WINDOWS} SELECT rec, w, count(*) AS n_rows, min(i) AS first_row, {rd('avg(x)')} AS mean_x FROM win GROUP BY ALL")

@@ -56,10 +56,10 @@ def door_features(table: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 DOOR_INPUTS = (
-    "n_rows duration op_is_open cur_peak cur_mean cur_rms cur_std cur_integral cur_p90 cur_median trav_mean trav_max trav_std "
+    "t_open_col t_close_col n_rows duration op_is_open cur_peak cur_mean cur_rms cur_std cur_integral cur_p90 cur_median trav_mean trav_max trav_std "
     "trav_above_300 trav_above_500 mid_mean mid_max vel_mean vel_max vel_min_mid stall_rows volt_mean volt_max bemf_mean bemf_max "
     "energy bemf_per_volt pos_range pos_start pos_end cur_above_bemf_slope exc_max exc_mean exc_pos_integral exc_argmax exc_run "
-    "exc_n_above2 exc_l2 exc_mid_mean").split()
+    "exc_n_above2 exc_l2 exc_mid_mean").split() + [f"{p}_{i}" for p in ("prof", "z") for i in range(cycles.BINS)]
 
 
 @dataclass(frozen=True)
