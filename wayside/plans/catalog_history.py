@@ -209,7 +209,7 @@ EVID = [k for k, _, _ in history.DOOR_EVIDENCE]
       (SELECT *, abs(pos - coalesce(lag(pos) OVER (PARTITION BY stream_id, segment_id ORDER BY t, seq), pos)) AS v FROM segp) GROUP BY ALL),
     f AS (SELECT el.stream_id, el.segment_id, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in EVID) + """
       FROM el JOIN ph USING (stream_id, segment_id) JOIN xm USING (stream_id, segment_id) JOIN vs USING (stream_id, segment_id))
-    """ + " UNION ALL ".join(f"SELECT stream_id, segment_id, '{k}' AS key, '{label}' AS label, {rd(k, 4)} AS value, '{unit}' AS unit FROM f" for k, label, unit in history.DOOR_EVIDENCE),
+    """ + " UNION ALL ".join(f"SELECT stream_id, segment_id, '{k}' AS key, '{label}' AS label, {rd(k)} AS value, '{unit}' AS unit FROM f" for k, label, unit in history.DOOR_EVIDENCE),
 )
 def evidence_metrics(spark, sf):
     """The eight door metrics of every cycle, as an evidence array and exploded."""
@@ -222,7 +222,7 @@ def evidence_metrics(spark, sf):
         cycles.electrical(s, order).join(cycles.phases(placed, KEYS), KEYS)
         .join(cycles.velocities(placed, order, "pos").select(*KEYS, "stall_rows"), KEYS).join(excess.select(*KEYS, "exc_mid_mean"), KEYS))
     rows = history.evidence_rows(history.evidence(features, KEYS), KEYS)
-    return rows.select(*KEYS, "key", "label", rounded("value", 4).alias("value"), "unit")
+    return rows.select(*KEYS, "key", "label", rounded("value").alias("value"), "unit")
 
 
 @query(

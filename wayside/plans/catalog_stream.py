@@ -117,14 +117,14 @@ def segment_labels(spark, sf):
     "gap_profile",
     f"""WITH {SEG}, d AS (SELECT dt / 1e6 AS dt FROM step WHERE dt IS NOT NULL), b AS (
       SELECT stream_id, segment_id, min(t) AS s, max(t) AS e FROM seg GROUP BY ALL HAVING count(*) >= 3)
-    SELECT 'p50' AS metric, {rd("quantile_cont(dt, 5e-1)", 4)} AS value FROM d
-    UNION ALL SELECT 'p90', {rd("quantile_cont(dt, 9e-1)", 4)} FROM d
-    UNION ALL SELECT 'p99', {rd("quantile_cont(dt, 99e-2)", 4)} FROM d
-    UNION ALL SELECT 'p999', {rd("quantile_cont(dt, 999e-3)", 4)} FROM d
+    SELECT 'p50' AS metric, {rd("quantile_cont(dt, 5e-1)")} AS value FROM d
+    UNION ALL SELECT 'p90', {rd("quantile_cont(dt, 9e-1)")} FROM d
+    UNION ALL SELECT 'p99', {rd("quantile_cont(dt, 99e-2)")} FROM d
+    UNION ALL SELECT 'p999', {rd("quantile_cont(dt, 999e-3)")} FROM d
     UNION ALL SELECT 'over_1h', count(*) FILTER (dt > 3600) FROM d
     UNION ALL SELECT 'over_6h', count(*) FILTER (dt > 21600) FROM d
     UNION ALL SELECT 'over_24h', count(*) FILTER (dt > 86400) FROM d
-    UNION ALL SELECT 'top_' || lpad(CAST(r AS VARCHAR), 2, '0'), {rd("dt", 4)} FROM
+    UNION ALL SELECT 'top_' || lpad(CAST(r AS VARCHAR), 2, '0'), {rd("dt")} FROM
       (SELECT dt, row_number() OVER (ORDER BY dt DESC) AS r FROM d) WHERE r <= 15
     UNION ALL SELECT 'outside', (SELECT count(*) FROM ev WHERE NOT EXISTS (SELECT 1 FROM b
       WHERE b.stream_id = ev.stream_id AND ev.t BETWEEN s AND e))""",
@@ -147,7 +147,7 @@ def gap_profile(spark, sf):
         outside.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("outside").alias("metric"), "value"),
     ]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return whole.select("metric", rounded("value", 4).alias("value"))
+    return whole.select("metric", rounded("value").alias("value"))
 
 
 @query(

@@ -56,13 +56,13 @@ def recordings(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").alias("ok"),
         F.col("l_linenumber").alias("ln"),
         F.col("l_partkey").alias("pk"),
-        (F.col("l_extendedprice") / 97).alias("x"),
+        (F.sqrt("l_extendedprice") * 3).alias("x"),
         F.col("l_quantity").alias("q"),
         (F.col("l_linenumber") % 2).cast("int").alias("pulse"),
     )
 
 
-LI = """li AS (SELECT l_suppkey AS rec, l_extendedprice / 97 AS x, l_quantity AS q, l_linenumber % 2 AS pulse,
+LI = """li AS (SELECT l_suppkey AS rec, sqrt(l_extendedprice) * 3 AS x, l_quantity AS q, l_linenumber % 2 AS pulse,
   row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n
   FROM lineitem
   WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice))"""
