@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+WRITTEN = "written-"
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -65,6 +66,16 @@ def cut(df: DataFrame) -> DataFrame:
     The files outlive any executor, and being columnar they are read column by column by whatever follows.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{WRITTEN}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def erase(written: DataFrame) -> None:
+    """Remove the files of a table made by ``cut`` that nothing will read again, such as the last round of an iteration."""
+    hadoop = written.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        if not folder.rsplit("/", 1)[-1].startswith(WRITTEN):
+            raise ValueError(f"not a table written by cut: {folder}")
+        path = hadoop._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop._jsc.hadoopConfiguration()).delete(path, True)
