@@ -1,0 +1,281 @@
+"""Operators on documents against plain Python, on the smallest table and on rows made for the edges."""
+
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import brute  # noqa: E402
+
+import __spark_entry__ as entry  # noqa: E402
+from wayside.llm import licenses, minhash, mixing, pieces, pii, quality  # noqa: E402
+from wayside.llm.catalogue import piece_digests, piece_model  # noqa: E402
+from wayside.session import table  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "the quick brown fox " * 30_000
+EDGES = [
+    (1, None, "en", "a", 0), (2, "", None, "a", 0), (3, " \t\n\x0b\r", "en", None, 5), (4, "one", "en", "a", 3),
+    (5, "a b c a b c a b c", "en", "b", 17), (6, "a b c a b c a b c", "en", "b", 17), (6, "a b c a b c a b c", "en", "b", 17),
+    (7, LONG, None, "c", len(LONG)), (None, "no id here", "de", "c", 10), (8, "# * $\n# * $\n\n \nx y z\nx y z", "en", "b", 26),
+    (9, "É é K k CC BY-NC under the MIT license", "fr", "a", 39), (10, "x" * 5000, "en", "a", 5000),
+    (11, "Apache License, Version 2 Apache License, Version 2.0", "en", "é", 50), (12, "\x00   tab wide", "en", "z", 12),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, SF, "documents")
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    rows = spark.createDataFrame(EDGES, SCHEMA).repartition(3)
+    # extra columns whose names operators use themselves
+    return rows.withColumns({c: F.lit("extra") for c in ("size", "key", "found", "ids", "n_words", "kept", "copies", "row")})
+
+
+def by_id(frame):
+    out = {}
+    for r in frame.collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    return out
+
+
+def test_license_places(spark, docs):
+    got = by_id(entry.queries()["op3_licenses"](spark, SF))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        r = got[i][0]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute.license_base(text)
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+
+
+def test_license_edges(edges):
+    got = by_id(licenses.scan(edges))
+    assert [r.n_words for r in got[1] + got[2] + got[3]] == [0, 0, 0]
+    assert len(got[6]) == 1 and len(got[None]) == 1  # rows that repeat id and text are one document
+    assert [(s.label, s.first, s.exact) for s in got[11][0].spans if s.exact] == [("apache-2", 0, True), ("apache-2", 4, True)]
+    assert {s.label for s in got[9][0].spans} >= {"cc-by-nc", "mit"}
+    assert got[7][0].n_words == 120_000
+
+
+def test_license_notice_with_changes(spark):
+    notice = licenses.NOTICES["mit"].split()
+    changed = notice[:12] + ["indeed"] + notice[12:20] + notice[21:]
+    rows = [(1, "intro words " + " ".join(changed) + " and more"), (2, "permission is granted to nobody at all"), (3, " ".join(reversed(notice)))]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [s.label for s in got[1][0].spans] == ["mit"] and got[1][0].spans[0]["first"] == 2
+    assert not got[2][0].spans and not got[3][0].spans
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates(docs, size):
+    want = brute.near_components({r.doc_id: r.text for r in docs.collect()}, size)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, shingle=size).collect()}
+    assert got == want and len({c for _, c in want.values()}) < len(want)
+
+
+def test_near_duplicate_chains_and_families(spark):
+    """Chains of texts that are similar only to their neighbours, a family around one text, a shared passage."""
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for step in range(12):  # each differs from the one before in a few words
+        rows.append([f"n{i}" if i < 3 * step else x for i, x in enumerate(base)])
+    for member in range(40):
+        rows.append([f"m{member}" if i == member else f"v{i}" for i in range(60)])
+    passage = [f"p{i}" for i in range(40)]
+    for member in range(40):
+        rows.append(passage + [f"q{member}_{i}" for i in range(25)])
+    texts = {100 + i: " ".join(r) for i, r in enumerate(rows)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, shingle=2).collect()}
+    assert got == brute.near_components(texts, 2)
+
+
+def test_near_duplicate_edges(edges):
+    got = by_id(minhash.near_duplicates(edges, shingle=2))
+    assert [(r.n_shingles, r.component_id, r.kept) for r in got[1] + got[2] + got[3]] == [(0, i, True) for i in (1, 2, 3)]
+    assert got[4][0].n_shingles == 1 and got[5][0].component_id == 5
+    assert [r.component_id for r in got[6]] == [5, 5]
+    assert (got[None][0].component_id, got[None][0].kept) == (None, True)
+
+
+def test_quality_counts(spark, docs):
+    got = by_id(entry.queries()["op5_quality_rules"](spark, SF))
+    for r in docs.collect():
+        g = got[r.doc_id][0]
+        want = brute.quality_counts(r.text)
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == want
+        assert g.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (g.base_failed and g.kept)
+
+
+def test_quality_edges(spark, edges):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (5, None, 0), (4, 0, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    got = by_id(quality.judge(edges, labels))
+    for i, text, *_ in EDGES:
+        want = brute.quality_counts(text)
+        assert all((g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == want for g in got[i])
+    assert sum(map(len, got.values())) == len(EDGES)
+    kept = quality.accepted(edges, labels)
+    assert kept.columns == edges.columns and kept.count() == 0
+    assert quality.judge(edges.where("false"), labels.where("false")).count() == 0
+
+
+def test_binomial_tail(spark):
+    cases = [(0, 100), (3, 1000), (40, 5000), (0, 1), (7, 700), (49, 5000), (60, 5000)]
+    rows = spark.createDataFrame(cases, "k long, n long")
+    for r in rows.select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), 0.01).alias("p")).collect():
+        want = brute.binomial_tail(r.k, r.n, 0.01) if r.k < r.n * 0.01 else 1.0
+        assert r.p == pytest.approx(want, rel=1e-9)
+
+
+def test_quality_limits_false_rejection(spark):
+    """A signal that separates is used; one that would hit good rows is not."""
+    plain = " ".join(f"w{i}" for i in range(80))
+    rows, labels = [], []
+    for i in range(6000):
+        bad = i % 3 == 0
+        odd = "### " * 30 if bad else ("# " if i % 5 == 0 else "")
+        rows.append((i, f"{plain} x{i} {odd}", "en"))
+        labels.append((i, 0 if bad else 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = {r.doc_id: r.kept for r in judged.collect()}
+    assert all(kept[i] == (i % 3 != 0) for i in kept)
+
+
+def test_mix_targets(spark):
+    for sizes in ({"a": 100, "b": 1000, None: 50, "é": 7, "z": 0}, {"x": 10}, {f"s{i}": (i * 37) % 101 for i in range(25)}):
+        rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(rows, mixing.repeating_weights()).collect()}
+        assert got == pytest.approx(brute.mix_targets(sizes))
+
+
+def test_mix_takes_near_target(spark, docs):
+    rows = mixing.plan(docs).collect()
+    texts = {r.doc_id: r for r in docs.collect()}
+    taken, target, longest = {}, {}, {}
+    for r in rows:
+        size = len(brute.words(texts[r.doc_id].text))
+        assert (r["size"], r.source) == (size, texts[r.doc_id].source) and 0 <= r.taken <= 3 * size and r.copies - r.epochs in (0, 1)
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source], longest[r.source] = r.target, max(longest.get(r.source, 0), size)
+    assert all(abs(taken[s] - target[s]) <= longest[s] for s in target)
+    assert sorted(mixing.plan(docs.repartition(7)).collect()) == sorted(rows)
+    mixed = mixing.mix(docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in mixed} == {r.doc_id: r.copies for r in rows if r.copies}
+
+
+def test_mix_edges(edges):
+    rows = mixing.plan(edges).collect()
+    assert len(rows) == len(EDGES) and all(r.taken is not None for r in rows)
+    assert {r.source for r in rows} == {"a", "b", "c", "z", "é", None}
+    assert mixing.mix(edges).columns == edges.columns
+    assert mixing.plan(edges.where("false")).count() == 0
+
+
+def test_mix_prefers_quality(spark):
+    """With half of the words to take, documents of ten times the weight are taken much more often."""
+    rows = spark.createDataFrame([(i, "w " * 10, "a", 0.1 if i % 2 else 1.0) for i in range(8000)],
+                                 "doc_id long, text string, source string, q double")
+    slim = mixing.sized(rows, F.col("q"), "doc_id", "source", "text", "mix").select("doc_id", "source", "size", "key", "part")
+    rules = mixing.cutoffs(slim, F.lit(1.0), 0.5, 3.0)
+    taken = slim.join(rules, "source").where(mixing.copies() > 0).groupBy((F.col("doc_id") % 2).alias("poor")).count().collect()
+    counts = {r.poor: r["count"] for r in taken}
+    assert counts[0] + counts[1] == 4000 and counts[0] > 4 * counts[1]
+
+
+TOKENS = ["a  b", " lead", "trail  ", "▁ mark ▁▁x", "tab\tnew\nline", "</s> <s>", "é日本 ﬁ 🎉", "x" * 3000, "\x00 nul", " ", "   ", "▁"]
+
+
+def test_pieces_match_library(spark, edges):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TOKENS)] + [(99, None)], "doc_id long, text string")
+    for r in pieces.encode(rows, piece_model()).collect():
+        text = TOKENS[r.doc_id] if r.doc_id != 99 else ""
+        want = library.encode(text, add_eos=True)
+        assert r.ids == want and r.decoded == library.decode(want), text
+    assert pieces.encode(edges, piece_model()).count() == len(EDGES)
+    assert pieces.encode(edges.where("false"), piece_model()).count() == 0
+
+
+def test_pieces_on_documents(spark, docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    got = {r.doc_id: r for r in piece_digests(pieces.encode(docs.select("doc_id", "text"), piece_model())).collect()}
+    for r in docs.collect():
+        want = library.encode(r.text, add_eos=True)
+        g = got[r.doc_id]
+        assert (g.n_tokens, g.ids_sha256) == (len(want), brute.sha(" ".join(map(str, want))))
+        assert g.decoded_sha256 == brute.sha(library.decode(want))
+
+
+PERSONAL = {
+    "email": "mail ab.19@mail5.example.com now", "card": "pay 4111 1111 1111 1111 today", "ipv4": "from 217.94.102.185 in",
+    "phone": "call +1 (830) 555-5433 soon", "ssn": "no 123-45-6789.", "date": "born 1987-06-05, seen 03/04/2011 and 31.12.1999",
+    "iban": "to GB82 WEST 1234 5698 7654 32 please", "secret": 'token = "11acdfb36bb72224148e6160f674b4b0"',
+}
+
+
+def pseudonyms(spark, texts, secret="k"):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r for r in sorted(pii.pseudonymize(frame, secret).collect())]
+
+
+def test_pseudonyms_keep_formats(spark):
+    import re
+
+    got = pseudonyms(spark, PERSONAL.values())
+    for (kind, text), r in zip(PERSONAL.items(), got, strict=True):
+        assert set(r.found) == {kind} and r.text != text, kind
+        shape = lambda t: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", t)))
+        if kind != "ipv4":
+            assert shape(r.text) == shape(text)
+    out = dict(zip(PERSONAL, (r.text for r in got), strict=True))
+    assert brute.luhn(re.sub(r"\D", "", out["card"]))
+    compact = re.search(r"[A-Z]{2}\d\d(?: ?\w{2,4})+", out["iban"])[0].replace(" ", "").replace("please", "")
+    assert int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+    assert re.search(r"token = \"[0-9a-f]{32}\"", out["secret"])
+    assert out["email"].endswith("@mail5.example.com now")
+    again = pseudonyms(spark, PERSONAL.values())
+    other = pseudonyms(spark, PERSONAL.values(), "another key")
+    assert [r.text for r in again] == [r.text for r in got] and all(a.text != b.text for a, b in zip(got, other, strict=True))
+
+
+def test_pseudonyms_are_one_to_one(spark):
+    dates = [f"{y}-{m:02d}-{d:02d}" for y in range(1990, 1994) for m in range(1, 13) for d in range(1, 29)]
+    addresses = [f"10.0.{i // 250}.{i % 250}" for i in range(1500)]
+    mails = [f"u{i:03d}@x.org" for i in range(1000)]
+    for values in (dates, addresses, mails):
+        out = [r.text for r in pseudonyms(spark, values)]
+        assert len(set(out)) == len(values) and sum(a == b for a, b in zip(out, values, strict=True)) <= 3
+
+
+CLEAN = ["no 4111 1111 1111 1112 card", "v 1.2.3 and 300.1.1.1 and 1.2.3.4.5", "2021-13-45 or 2021-02-30", "a@b", "12345678901234567890123",
+         "000-12-3456", "x@", "token = \"short\"", "plain text, 42 things", "", "5 + 3 = 8", "GB82 WEST 1234 5698 7654 33"]
+
+
+def test_pseudonyms_leave_the_rest(spark):
+    for text, r in zip(CLEAN, pseudonyms(spark, CLEAN), strict=True):
+        assert r.text == text and r.found == []
+
+
+def test_pseudonym_links_across_documents(spark):
+    a, b = pseudonyms(spark, ["see 4111111111111111 and ab@c.de here", "x ab@c.de y 4111111111111111"])
+    assert a.text.split()[1] == b.text.split()[3] and a.text.split()[3] == b.text.split()[1]
+
+
+def test_pseudonym_edges(spark, edges):
+    done = pii.pseudonymize(edges, "k")
+    assert done.columns == edges.columns and done.where("text IS NULL").count() == 1
+    assert done.exceptAll(edges.withColumn("found", F.array().cast("array<string>"))).count() == 0
+    assert pii.pseudonymize(edges.where("false"), "k").count() == 0
