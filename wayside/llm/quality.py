@@ -197,4 +197,6 @@ def accepted(docs: DataFrame, labels: DataFrame, by: str = "lang", key: str = "d
     _, chosen = calibrated(docs, labels, by, key, text, risk, error)
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(by).alias("__by"), F.col(text).alias("__text"))
     counted = features(rows, "__text").withColumn("stratum", stratum("__by"))
-    return verdicts(counted, chosen).where("kept").select("__row.*")
+    # a filter on the verdict itself would be moved below the counts, and these made anew for every place that names them
+    judged = verdicts(counted, chosen).select("__row", F.explode_outer(F.array("kept")).alias("__keep"))
+    return judged.where("__keep").select("__row.*")
