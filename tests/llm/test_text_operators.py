@@ -279,3 +279,11 @@ def test_pseudonym_edges(spark, edges):
     assert done.columns == edges.columns and done.where("text IS NULL").count() == 1
     assert done.exceptAll(edges.withColumn("found", F.array().cast("array<string>"))).count() == 0
     assert pii.pseudonymize(edges.where("false"), "k").count() == 0
+
+
+def test_pseudonym_query_counts_kinds(spark, docs):
+    got = entry.queries()["op2_pii"](spark, SF).collect()
+    assert len(got) == docs.count() and any(r.n_card for r in got) and any(r.n_email for r in got)
+    assert all(r.n_found == sum(r[f"n_{k}"] for k in pii.KINDS) for r in got)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all((r.text != texts[r.doc_id]) == (r.n_found > 0) for r in got)

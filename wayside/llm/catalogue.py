@@ -48,7 +48,8 @@ def pii_secret(spark: SparkSession) -> str:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its personal data replaced, and how many values of each kind were."""
     done = pii.pseudonymize(table(spark, sf, "documents").select("doc_id", "text"), pii_secret(spark))
-    counts = [F.size(F.filter("found", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    of_kind = lambda kind: F.size(F.filter("found", lambda k: k == kind)).cast("long")
+    counts = [of_kind(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return done.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), *counts)
 
 
