@@ -6,9 +6,9 @@ are candidates, and candidates are links only after their full sets were compare
 
 Sets that are equal are one class from the start, found by a 128-bit fingerprint of the sorted set: a third of all rows may
 be copies and only one of them goes on. A bucket of a band never makes all its pairs. First every member is compared with
-the smallest of its bucket; then, while a bucket holds classes that are not connected yet, each of these is compared with
-further members of the others, twice as many each round, until no pair across components is left untried. So what is found
-is exactly what comparing all pairs of a bucket would connect.
+the smallest of its bucket, then with a second leader; in buckets that still hold several components, the members outside
+the largest one are compared with all others, in blocks of bounded size that give links and not pairs. So what is found is
+exactly what comparing all pairs of a bucket would connect.
 
 With ``rows`` values in each of ``bands`` bands, sets of similarity s are missed with probability (1 - s^rows)^bands:
 3e-7 at 0.8 for the defaults, less above.
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from wayside.session import cut, erase
 
 ROWS, BANDS = 6, 48
 KNOWN = 1_000_000  # word hashes a worker remembers before it starts anew
-BLOCK = 1 << 18  # shingles hashed at a time
+BLOCK = 1 << 17  # shingles handled at a time
 
 
 class Hashes(dict):
@@ -169,28 +170,51 @@ def star_pairs(members: DataFrame, lead: str, percent: int) -> DataFrame:
     return pairs.select(F.least("id", f"{lead}.id").alias("a"), F.greatest("id", f"{lead}.id").alias("b")).distinct()
 
 
-def rest_pairs(members: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """All pairs of bucket members in different components that could still be links and were not compared.
+def rest_links(members: DataFrame, pool: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between bucket members in different components: all such pairs are compared, none is listed.
 
-    Of a bucket, members outside its largest component meet the others. Where two members were both compared with the same
-    leader, the triangle inequality of the Jaccard distance may already rule their link out.
+    Of a bucket, members outside its largest component (x) meet all members (y). Both sides are dealt into blocks of about
+    BLOCK shingles; a group holds one block of each side, whatever the bucket's size, and gives one link for every component
+    that an x is linked with.
     """
-    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = cut(parts.groupBy("bucket").agg(F.max(F.struct("size", "component"))["component"].alias("main")))
-    far = 1 - F.col("common") / F.col("whole")
-    places = members.select("bucket", "id", "n", "component", F.col("lead.id").alias("lead"))
-    measured = cut(
-        places.join(tried.select(F.col("a").alias("lead"), F.col("b").alias("id"), far.alias("far")), ["lead", "id"], "left")
-        .join(main, "bucket")
-        .withColumn("far", F.when(F.col("id") == F.col("lead"), F.lit(0.0)).otherwise(F.col("far")))
-    )
-    x, y = measured.where("component != main").alias("x"), measured.alias("y")
-    apart = F.abs(F.col("x.far") - F.col("y.far"))  # null if one was not measured
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
-                   & sizes_allow("x.n", "y.n", percent)
-                   & (apart.isNull() | (apart <= 1 - percent / 100 + 1e-9)))
-    found = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    return found.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    totals = cut(
+        parts.groupBy("bucket").agg(F.max(F.struct("size", "component", "n")).alias("most"), F.sum("n").alias("all"))
+        .select("bucket", F.col("most.component").alias("main"),
+                F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("h"), F.ceil(F.col("all") / BLOCK).cast("int").alias("v")))
+    sized = members.select("bucket", "id", "component").join(totals, "bucket").join(pool, "id")
+    mine = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
+    line = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_x = F.transform(line("v"), lambda j: F.struct(F.lit(0).alias("side"), mine("h", 1).alias("i"), j.alias("j")))
+    as_y = F.transform(line("h"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), mine("v", 2).alias("j")))
+    both = F.when(F.col("component") != F.col("main"), F.concat(as_x, as_y)).otherwise(as_y)
+    dealt = sized.select("bucket", "id", "component", "text", F.explode_outer(both).alias("at"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        known = Hashes()
+        sets = [shingles(t, shingle, known) for t in frame["text"]]
+        ids, parts, side = (frame[c].to_numpy() for c in ("id", "component", "side"))
+        sizes = np.array([len(x) for x in sets])
+        of_y = np.flatnonzero(side == 1)
+        out = []
+        if len(of_y) and len(of_y) < len(side):
+            codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            ends = np.cumsum(sizes)
+            y_codes = np.concatenate([codes[ends[k] - sizes[k]:ends[k]] for k in of_y])
+            starts = np.concatenate(([0], np.cumsum(sizes[of_y])[:-1]))
+            marked = np.zeros(codes.max() + 1, np.int32)
+            for k in np.flatnonzero(side == 0):
+                held = codes[ends[k] - sizes[k]:ends[k]]
+                marked[held] = 1
+                common = np.add.reduceat(marked[y_codes], starts)
+                marked[held] = 0
+                linked = of_y[(100 * common >= percent * (sizes[k] + sizes[of_y] - common)) & (parts[of_y] != parts[k])]
+                first = np.unique(parts[linked], return_index=True)[1]
+                out += [(ids[k], ids[y]) for y in linked[first]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    groups = dealt.select("bucket", "id", "component", "text", "at.*").groupBy("bucket", "i", "j")
+    return groups.applyInPandas(run, "a long, b long")
 
 
 def undecided(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -216,7 +240,7 @@ def near_links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int)
     """Links (a, b) that connect what comparing all pairs of every bucket would connect.
 
     ``classes``: id, n, keys of one document for every distinct set; ``docs``: id, text. Two rounds of comparisons with
-    leaders come before what is left is compared; they only save work.
+    leaders come before what is left is compared in blocks; they only save work.
     """
     spread = classes.select(F.explode("keys").alias("bucket"), "id", "n")
     one = F.struct(F.col("id").alias("component"), "id", "n")
@@ -229,7 +253,7 @@ def near_links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int)
     outside = left.where("component != led")
     tried = tried.unionByName(cut(compare(star_pairs(outside, "second", percent), pool, shingle)))
     left = undecided(left, similar(tried))
-    return similar(tried.unionByName(cut(compare(rest_pairs(left, tried, percent), pool, shingle))))
+    return similar(tried).unionByName(cut(rest_links(left, pool, shingle, percent)))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
