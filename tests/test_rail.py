@@ -126,11 +126,18 @@ def test_reference_falls_back_to_the_side(spark):
 
 
 def test_column_sets_and_rejections(frame):
-    names = ["rec", "speed", "speed_bin", "side_id", "own_rms_mean", "rel_rms_mean", "own_ex_log_rms_mean", "own_pair_car_diff_mean", "ratio_rms_mean"]
-    assert rail.column_set(names, "own_only") == ["speed", "speed_bin", "own_rms_mean", "own_ex_log_rms_mean", "own_pair_car_diff_mean"]
-    assert "ratio_rms_mean" not in rail.column_set(names, "legacy") and "ratio_rms_mean" in rail.column_set(names, "ratios")
-    assert "own_pair_car_diff_mean" in rail.column_set(names, "cardom")
-    assert rail.column_set(names, "excess_only") == ["speed", "speed_bin", "own_ex_log_rms_mean"]
+    bases = ["rms_mean", "log_rms_mean", "ex_log_rms_mean", "pair_car_diff_mean", "pair_rms_p90"]
+    wide = frame("rec int, " + ", ".join(f"s{s}_{b} double" for b in bases for s in (1, 2)), [(1, *map(float, range(10)))])
+    rows = rail.own_other(wide, ["rec"], bases, ["rms_mean"])
+    rows = rows.select("*", rail.tagged(F.lit(9.0), "speed", "speed"))
+    sets = {name: set(rail.column_set(rows, name)) for name in rail.COLUMN_SETS}
+    assert sets["own"] == {f"own_{b}" for b in bases} | {"speed"}
+    assert sets["relative"] == {f"rel_{b}" for b in bases} | {"speed"} and sets["all"] == set(rows.columns)
+    assert sets["excess"] == {"own_ex_log_rms_mean", "rel_ex_log_rms_mean", "speed"}
+    assert sets["with_ratios"] - sets["unpaired"] == {"ratio_rms_mean", "side"}
+    assert sets["with_cars"] - sets["unpaired"] == {"own_pair_car_diff_mean", "rel_pair_car_diff_mean"}
+    assert {"own_log_rms_mean", "own_pair_rms_p90", "ratio_rms_mean"} <= sets["paired"] and "own_rms_mean" not in sets["paired"]
+    assert "rel_log_rms_mean" in sets["compact"] and "own_rms_mean" not in sets["compact"]
     df = frame("speed double, x double", [(1.0, 2.0), (None, float("nan")), (3.0, float("inf"))])
     assert rail.without(df, ["speed"]).columns == ["x"]
     with pytest.raises(ValueError):

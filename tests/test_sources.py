@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wayside.operators import contracts, models, peers, rail
+from wayside.functions.columns import natural_key
+from wayside.operators import contracts, history, models, ordered, peers, rail
 from wayside.operators.ordered import Order
 from wayside.plans import subsystems
 from wayside.sources import recordings, sinks, telemetry
@@ -49,7 +50,8 @@ def test_door_from_file_to_predictions(spark, folder):
     got = subsystems.predict_door(table, model)
     want = {native(s): y for _, s, y in answers}
     assert {r.start_time: r.prediction for r in got.collect()} == want
-    assert models.importances(model.forest, subsystems.DOOR_INPUTS).keys() == set(subsystems.DOOR_INPUTS)
+    assert models.importances(model.forest, model.inputs).keys() == set(model.inputs)
+    assert {"cur_mean", "prof_0", "z_19", "pos_start"} <= set(model.inputs) and not {"segment_id", "start_us"} & set(model.inputs)
     sinks.write_predictions(got, "door", str(folder / "out"))
     back = sinks.read_predictions(spark, str(folder / "out"), "door")
     assert back.count() == 24 and back.columns == ["start_time", "end_time", "prediction"]
@@ -57,10 +59,44 @@ def test_door_from_file_to_predictions(spark, folder):
 
 
 def test_wrong_width_is_rejected(spark, folder):
-    pd.DataFrame([[1, 2]]).to_csv(folder / "bad.csv", index=False)
-    for reader in (recordings.read_door, recordings.read_rail):
-        with pytest.raises(ValueError):
-            reader(spark, str(folder / "bad.csv"))
+    """Also beside a good file, whichever is listed first."""
+    door_file(folder / "m.csv")
+    for bad in ("a.csv", "z.csv"):
+        pd.DataFrame([[1, 2]]).to_csv(folder / bad, index=False)
+        for reader in (recordings.read_door, recordings.read_rail):
+            with pytest.raises(ValueError, match=bad):
+                reader(spark, [str(folder / "m.csv"), str(folder / bad)])
+
+
+def test_telemetry_headers_differ_by_file(spark, folder):
+    """Columns in another order, other parameters, other cars: every reading keeps its role."""
+    at = "2024-05-01 00:00:00"
+    pd.DataFrame([[at, 21.0, 35.0]], columns=["Time", "Car 01 - Indoor Temperature", "Car 01 - Outdoor Temperature"]).to_csv(folder / "a.csv", index=False)
+    pd.DataFrame([[36.0, at, 22.0]], columns=["Car 01 - Outdoor Temperature", "Time", "Car 01 - Indoor Temperature"]).to_csv(folder / "b c.csv", index=False)
+    pd.DataFrame([[at, "x", 23.0]], columns=["Time", "Car 03 - Running Mode", "Car 03 - Cabin detected temperature"]).to_csv(folder / "c.csv", index=False)
+    rows = recordings.read_telemetry(spark, str(folder)).collect()
+    got = {r.case_id.replace("%20", " "): (r.car, r.t_in, r.t_out, r.mode_run) for r in rows}
+    assert got == {"a.csv": ("01", 21.0, 35.0, None), "b c.csv": ("01", 22.0, 36.0, None), "c.csv": ("03", 23.0, None, "x")}
+
+
+def test_natural_order_of_any_names(frame):
+    names = ["a2", "b1", "a10", "a1", "plain", "", "a" + "9" * 30, "a1" + "0" * 30, "a002", "x1y10", "x1y9"]
+    df = frame("s string", [(n,) for n in names])
+    want = ["", "a1", "a002", "a2", "a10", "a" + "9" * 30, "a1" + "0" * 30, "b1", "plain", "x1y9", "x1y10"]
+    assert [r.s for r in df.orderBy(natural_key("s")).collect()] == want
+    assert df.select(natural_key("s")).distinct().count() == len(names)
+    placed = ordered.places(df.withColumn("g", F.lit(1)), ["g"], [natural_key("s")])
+    assert [r.s for r in placed.orderBy("place").collect()] == want
+
+
+def test_listing_orders(frame):
+    rows = [("b1", 0.001, "Normal"), ("a2", 0.004, "Side I"), ("a10", 0.004, "Normal"), ("none", None, "Side I"), ("a1", 12.5, "Side II")]
+    df = frame("file_id string, damage double, prediction string", rows)
+    order = lambda by: [r.file_id for r in history.listing(df, "", None, by).orderBy("place").collect()]
+    assert order("damage") == ["a1", "a2", "a10", "b1", "none"]
+    assert order("file") == ["a1", "a2", "a10", "b1", "none"]
+    assert order("Side I") == ["a2", "none", "a1", "a10", "b1"]
+    assert [r.place for r in history.listing(df, "A1", "Normal").collect()] == [1]
 
 
 def rail_file(path, side, seed, rows=512):

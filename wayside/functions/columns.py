@@ -81,11 +81,17 @@ def format_native_ts(c: str | Column) -> Column:
     return F.concat_ws("-", *[p.cast("string") for p in parts])
 
 
-def natural_key(c: str | Column, width: int = 20) -> Column:
-    """Sort key in which every run of digits compares as a number (digits padded to ``width``)."""
-    runs = F.regexp_extract_all(col(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(runs, lambda s: F.when(s.rlike(r"^\d"), F.lpad(s, width, "0")).otherwise(s))
-    return F.array_join(padded, "")
+def natural_key(c: str | Column) -> Column:
+    """Sort key in which every run of digits compares as a number, however long: its length without leading zeros comes
+    before its digits. The text itself follows, so different names have different keys."""
+    text = col(c)
+
+    def number(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.concat(F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), number(r)).otherwise(r)), ""), F.lit("\u0000"), text)
 
 
 # --- recording geometry ---------------------------------------------------------------------------

@@ -134,13 +134,16 @@ def interval_threshold_sweep(
     """IoU-weighted F1 of labelled segments at every threshold on their probability.
 
     ``pairs``: overlapping pairs whatever their labels (keys, i, j, iou, label of i, p of j). Overlaps are found once;
-    a threshold only decides which pairs agree. Among equally good thresholds (1e-9) the median is ``best``.
+    a threshold only decides which pairs agree. Among equally good thresholds (1e-9) the median is ``best``. A threshold
+    at which nothing matches scores 0.
     """
+    every = pairs.sparkSession.range(steps).select(F.col("id").cast("int").alias("cand"))
     tried = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("cand"))
     tau = F.round(F.lit(start) + F.col("cand") * step, 4)
     agreeing = tried.where(F.col("label") == F.when(F.col("p") >= tau, positive).otherwise(negative))
     matched = greedy_matching(agreeing.select(*keys, "cand", "i", "j", "iou"), [*keys, "cand"])
-    per = matched.groupBy("cand").agg(F.sum("iou").alias("_total"))
+    found = matched.groupBy("cand").agg(F.sum("iou").alias("_total"))
+    per = every.join(found, "cand", "left").withColumn("_total", F.coalesce("_total", F.lit(0.0)))  # one row per threshold
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()
     recall, precision = ratio("_total", count(n_true)), ratio("_total", count(n_pred))
     scored = per.select("cand", F.round(F.lit(start) + F.col("cand") * step, 4).alias("tau"), ratio(2 * recall * precision, recall + precision).alias("score"))

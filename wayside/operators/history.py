@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayside.functions.columns import natural_key
 from wayside.operators.folds import ranked, split_even
-from wayside.operators.ordered import Order, positions, previous
+from wayside.operators.ordered import Order, places, positions, previous
 from wayside.session import cut
 
 # Columns of the exported tables and their headings for operators.
@@ -91,19 +91,20 @@ def operator_view(rows: DataFrame, system: str) -> DataFrame:
     return rows.select(*[shown(c).alias(heading) for c, heading in HEADINGS[system].items()])
 
 
-def listing(rows: DataFrame, search: str, label: str | None, by: str = "damage", width: int = 1_000_000) -> DataFrame:
-    """Results whose file name contains a text, optionally of one label, with their place: by file name in natural
-    order or by damage, highest first."""
+def listing(rows: DataFrame, search: str, label: str | None, by: str = "damage") -> DataFrame:
+    """Results whose file name contains a text, optionally of one label, with their place.
+
+    ``by``: "file" (natural order of the names), "damage" (highest first) or a label (results with that label first); file
+    names in natural order decide among equals. Missing damages come last.
+    """
     hits = rows.where(F.contains(F.lower("file_id"), F.lit(search.lower())))
     if label is not None:
         hits = hits.where(F.col("prediction") == label)
-    named = hits.withColumn("_all", F.lit(0)).withColumn("_name", natural_key("file_id"))
-    if by == "damage":
-        keyed = named.withColumn("_at", (-F.round(F.col("damage") * 100)).cast("long"))
-    else:
-        keyed = named.withColumn("_at", F.regexp_extract("file_id", r"(\d+)", 1).cast("long"))
-    placed = positions(keyed, Order(("_all",), "_at", ("_name",), width), "place", "_n")
-    return placed.drop("_all", "_name", "_at", "_n").withColumn("place", F.col("place") + 1)
+    first = {
+        "file": [], "damage": [F.col("damage").isNull(), -F.col("damage")],
+    }.get(by, [~F.coalesce(F.col("prediction") == by, F.lit(False))])
+    everything = hits.withColumn("_all", F.lit(0))
+    return places(everything, ["_all"], [*first, natural_key("file_id")]).drop("_all")
 
 
 def label_adjacency(units: DataFrame, label: str, at: str, value: str, blocks: int, width: int) -> DataFrame:

@@ -21,6 +21,7 @@ from wayside.operators.folds import balanced_weights
 from wayside.operators.rail import symmetric_design
 
 # Model settings.
+MOST_DEPTH = 30  # the deepest tree Spark ML builds
 RIDGE_ALPHA, DOOR_TREES, RAIL_TREES, DOOR_LEAF, LOGISTIC_C = 1.0, 500, 800, 2, 1.0
 RESPONSE_FEATURES = ("t_in", "t_out", "t_set_cool", "full_cool")
 LOGISTIC_FEATURES = ("mid_mean", "trav_mean", "exc_mid_mean", "op_is_open")
@@ -77,9 +78,9 @@ def _weighted(rows: DataFrame, label: str) -> DataFrame:
 
 
 def fit_forest(
-    rows: DataFrame, features: Sequence[str], label: str, trees: int, leaf: int = 1, subset: str = "sqrt", seed: int = 0, depth: int = 10
+    rows: DataFrame, features: Sequence[str], label: str, trees: int, leaf: int = 1, subset: str = "sqrt", seed: int = 0, depth: int = MOST_DEPTH
 ) -> PipelineModel:
-    """Random forest with balanced class weights."""
+    """Random forest with balanced class weights. Trees grow until their leaves are pure or MOST_DEPTH deep."""
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=leaf,
         featureSubsetStrategy=subset, maxDepth=depth, seed=seed)

@@ -258,3 +258,21 @@ def turning_points(df: DataFrame, order: Order, value: str) -> DataFrame:
     rising_in, rising_out = F.col(value) > F.col(f"prev_{value}"), F.col(f"next_{value}") > F.col(value)
     keep = F.col(f"prev_{value}").isNull() | F.col(f"next_{value}").isNull() | (rising_in != rising_out)
     return both.where(keep).select(*df.columns)
+
+
+def places(df: DataFrame, keys: Sequence[str], by: Sequence[Column], name: str = "place") -> DataFrame:
+    """Place (from 1) of every row inside its keys by any sort columns, texts included.
+
+    Rows are dealt out by sampled ranges of the sort columns, numbered inside each range and moved by the rows of the ranges
+    before; so no key is sorted in one task, and equal rows are the only ones that cannot be parted.
+    """
+    marked = [f"_by{i}" for i in range(len(by))]
+    sortable = df.withColumns(dict(zip(marked, by, strict=True)))
+    ranged = sortable.repartitionByRange(*[F.col(k) for k in keys], *[F.col(m) for m in marked])
+    dealt = written(ranged.withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*marked))
+    numbered = dealt.withColumn("_inside", inside).join(offset, [*keys, "_range"])
+    return numbered.select(*df.columns, (F.col("_inside") + F.col("_before")).cast("long").alias(name))

@@ -64,7 +64,10 @@ def with_deviations(prepared: DataFrame, moment: Sequence[str]) -> DataFrame:
 
 
 def car_features(d: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
-    """Per-car aggregates of prepared rows with deviations. Quantiles are over a car's whole history: distributed."""
+    """Per-car aggregates of prepared rows with deviations. Quantiles are over a car's whole history: distributed.
+
+    With a column ``resid`` (what the response model does not explain) its mean and 90 % quantile are added.
+    """
     keys = list(keys)
     cool = F.col("cooling")
     on = lambda c: F.when(cool, F.col(c))
@@ -83,14 +86,16 @@ def car_features(d: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
         F.avg(on("dT_10")).alias("dT_mean_cool"),
         F.avg(F.col("t_in").isNull().cast("double")).alias("invalid_frac"),
         F.greatest(F.avg(on("p_high_1_def")), F.avg(on("p_high_2_def"))).alias("p_high_def"),
+        *([F.avg("resid").alias("resid_mean")] if "resid" in d.columns else []),
     )
     cooling = d.where(cool)
-    tails = exact_quantiles(
-        stacked(cooling, keys, ["t_in", "peer_dev", "set_err", "dT_10"]), [*keys, "metric"], "value", {"p90": 0.9, "p95": 0.95})
+    measured = ["t_in", "peer_dev", "set_err", "dT_10", *(["resid"] if "resid" in d.columns else [])]
+    tails = exact_quantiles(stacked(cooling, keys, measured), [*keys, "metric"], "value", {"p90": 0.9, "p95": 0.95})
     tail = lambda m, q, name: F.max(F.when(F.col("metric") == m, F.col(q))).alias(name)
     wide = tails.groupBy(*keys).agg(
         tail("t_in", "p95", "t_in_p95"), tail("peer_dev", "p90", "peer_dev_p90"),
-        tail("set_err", "p95", "set_err_p95"), tail("dT_10", "p90", "dT_p90_cool"))
+        tail("set_err", "p95", "set_err_p95"), tail("dT_10", "p90", "dT_p90_cool"),
+        *([tail("resid", "p90", "resid_p90")] if "resid" in d.columns else []))
     persist = longest_run(cooling, order, F.col("peer_dev") > HOT_MARGIN, "peer_dev_persist")
     out = stats.join(wide, keys, "left").join(persist, keys, "left")
     return out.withColumn("peer_dev_persist", F.coalesce("peer_dev_persist", F.lit(0)).cast("long"))

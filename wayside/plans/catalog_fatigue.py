@@ -61,14 +61,12 @@ AMP = "range / 2 / greatest(1 - mean / {su}e0, 1e-3)"
 def damage_sum(spark, sf):
     """Five conventions of the damage sum side by side (natural log of 1 + S)."""
     c = cycles(spark, sf)
+    of = fatigue.Convention
     forms = {
-        "plain": dict(m=5.0), "full_residue": dict(m=5.0, residue="full"), "dropped_range": dict(m=3.0, residue="drop", magnitude="range"),
-        "goodman_cutoff": dict(m=4.0, goodman=400.0, cutoff=20.0), "binned": dict(m=5.0, range_bins=16)}
-    whole = None
-    for name, options in forms.items():
-        part = fatigue.damage(c, BY, name=name, **options).withColumn(name, rounded(F.log1p(name)))
-        whole = part if whole is None else whole.join(part, BY)
-    return whole
+        "plain": of(5.0), "full_residue": of(5.0, half_weight=1.0), "dropped_range": of(3.0, half_weight=0.0, whole_range=True),
+        "goodman_cutoff": of(4.0, strength=400.0, least=20.0), "binned": of(5.0, bins=16)}
+    sums = fatigue.damages(c, BY, forms)
+    return sums.select(*BY, *[rounded(F.log1p(name)).alias(name) for name in forms])
 
 
 @query(

@@ -184,10 +184,13 @@ def label_adjacency(spark, sf):
     return a.withColumn("mean_step", rounded("mean_step", 4))
 
 
+LI_ONCE = LI.replace("li AS (", "li AS MATERIALIZED (", 1)
+
+
 @query(
     "trace_downsample",
-    f"""WITH {LI}, s AS (SELECT rec, avg(x) AS m, stddev_pop(x) AS sd, arg_min(i, (x, i)) AS lo, arg_max(i, (x, -i)) AS hi FROM li GROUP BY rec),
-    d AS (SELECT li.rec, i, n, x, abs(x - m) AS o, abs(x - m) > 3 * sd + 1e-12 AS u, lo, hi FROM li JOIN s USING (rec)),
+    f"""WITH {LI_ONCE}, s AS MATERIALIZED (SELECT rec, avg(x) AS m, stddev_pop(x) AS sd, arg_min(i, (x, i)) AS lo, arg_max(i, (x, -i)) AS hi FROM li GROUP BY rec),
+    d AS MATERIALIZED (SELECT li.rec, i, n, x, abs(x - m) AS o, abs(x - m) > 3 * sd + 1e-12 AS u, lo, hi FROM li JOIN s USING (rec)),
     g AS (SELECT DISTINCT rec, CASE WHEN j = least(n, 180) - 1 THEN n - 1 ELSE CAST(floor(j * ((n - 1) / CAST(least(n, 180) - 1 AS DOUBLE))) AS BIGINT) END AS i FROM (SELECT DISTINCT rec, n FROM li), range(180) t(j) WHERE j < least(n, 180)),
     e AS (SELECT rec, i FROM (SELECT rec, i, row_number() OVER (PARTITION BY rec ORDER BY o DESC, i) AS r FROM d WHERE u) WHERE r <= 24),
     c AS (SELECT rec, i FROM g UNION SELECT rec, i FROM e UNION SELECT rec, lo FROM s UNION SELECT rec, hi FROM s)

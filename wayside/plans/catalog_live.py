@@ -93,5 +93,5 @@ def stream_late_rows(spark, sf):
     """How many rows a live run saw and how many it dropped as late (none: the table is one batch)."""
     counted = stream(spark, sf).withWatermark("ts", DELAY).groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n"))
     _, done = live.run_available(counted.select(F.col("window.start").alias("day"), "n"))
-    seen = sum(p.numInputRows for p in done.recentProgress)
+    seen = sum(p.numInputRows for p in live.all_progress(done))
     return spark.range(1).select(F.lit(seen).cast("long").alias("rows_seen"), F.lit(live.late_rows(done)).cast("int").alias("late"))

@@ -17,7 +17,6 @@ from wayside.plans.inputs import LI, recordings
 from wayside.plans.registry import query, rd
 from wayside.session import cut, table
 
-TREES = 20  # the bench data is small; the recommended sizes are in models.DOOR_TREES and models.RAIL_TREES
 
 
 @query(
@@ -79,7 +78,7 @@ def vector_rows(spark, sf):
 @query("rf_scores")
 def rf_scores(spark, sf):
     rows, names = vector_rows(spark, sf)
-    forest = models.fit_forest(rows, names, "y", TREES, models.DOOR_LEAF)
+    forest = models.fit_forest(rows, names, "y", models.DOOR_TREES, models.DOOR_LEAF)
     return models.probability(forest, rows, ["vec_id"])
 
 
@@ -96,10 +95,10 @@ def lr_scores(spark, sf):
 
 @query("ensemble_scores")
 def ensemble_scores(spark, sf):
-    """Mean of the forest on all features and the logistic regression on four."""
+    """Mean of the forest and the logistic regression, both on all features."""
     rows, names = vector_rows(spark, sf)
-    forest = models.fit_forest(rows, names, "y", TREES, models.DOOR_LEAF)
-    logistic = models.fit_logistic(rows, names[:4], "y")
+    forest = models.fit_forest(rows, names, "y", models.DOOR_TREES, models.DOOR_LEAF)
+    logistic = models.fit_logistic(rows, names, "y")
     return models.ensemble([models.probability(m, rows, ["vec_id"]) for m in (forest, logistic)], ["vec_id"])
 
 
@@ -121,7 +120,7 @@ def oof_table(spark, sf):
     placed = cut(folds.family_folds(unit, "family", "vec_id", "fold0"))
 
     def fit(train, k):
-        model = models.fit_forest(train, names, "y", TREES, seed=k)
+        model = models.fit_forest(train, names, "y", models.DOOR_TREES, seed=k)
         return lambda test: models.probability(model, test, ["vec_id", "y"])
 
     return models.out_of_fold(placed, "family_fold", range(4), ["vec_id", "y"], fit)
@@ -132,11 +131,11 @@ def hierarchical_scores(spark, sf):
     """Detect a fault from both sides of a vector, then say which side."""
     e = table(spark, sf, "embeddings")
     label = F.when(F.col("label") >= 8, "Side I").when(F.col("label") >= 6, "Side II").otherwise("Normal")
-    names = [f"v{i}" for i in range(8)]
+    names = [f"v{i}" for i in range(32)]  # all 64 channels, half of them on each side
     views = F.inline(F.array(*[
         F.struct(F.lit(s).alias("side"), *[F.col("embedding")[2 * i + s - 1].cast("double").alias(n) for i, n in enumerate(names)]) for s in (1, 2)]))
     rows = cut(e.select("vec_id", label.alias("label"), views))
-    score = models.fit_hierarchical(rows, "vec_id", names, TREES)
+    score = models.fit_hierarchical(rows, "vec_id", names, models.RAIL_TREES)
     return choose.paired_probability(score(rows.drop("label")), "vec_id", "hierarchical")
 
 

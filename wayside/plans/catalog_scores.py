@@ -254,15 +254,23 @@ def vector_duplicates(spark, sf):
 # --- decisions ------------------------------------------------------------------------------------
 
 
+def _peak(i: int, m: int):
+    """Largest magnitude among every m-th value of a vector, from the i-th (0-based) on."""
+    return F.array_max(F.transform(F.filter("embedding", lambda x, k: k % m == i), lambda x: F.abs(x.cast("double"))))
+
+
+def _peak_sql(i: int, m: int) -> str:
+    part = f"embedding[{i + 1}:len(embedding):{m}]"
+    return f"CAST(greatest(list_max({part}), -list_min({part})) AS DOUBLE)"
+
+
 @query(
     "decision_rules",
-    f"""WITH v AS (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) * 4 AS p1, abs(CAST(embedding[2] AS DOUBLE)) * 4 AS p2 FROM embeddings)
+    f"""WITH v AS (SELECT vec_id, {_peak_sql(0, 2)} * 2 AS p1, {_peak_sql(1, 2)} * 2 AS p2 FROM embeddings)
     SELECT vec_id, {GLOBAL('5e-1')} AS by_global, {PER_SIDE('4e-1', '5e-1')} AS by_side, {MARGIN('4e-1', '2e-1')} AS by_margin FROM v""",
 )
 def decision_rules(spark, sf):
-    e = table(spark, sf, "embeddings")
-    p = lambda i: F.abs(F.col("embedding")[i].cast("double")) * 4
-    v = e.select("vec_id", p(0).alias("p1"), p(1).alias("p2"))
+    v = table(spark, sf, "embeddings").select("vec_id", (_peak(0, 2) * 2).alias("p1"), (_peak(1, 2) * 2).alias("p2"))
     return v.select(
         "vec_id", decide("p1", "p2", "global", 0.5).alias("by_global"),
         decide("p1", "p2", "per_side", 0.4, 0.5).alias("by_side"), decide("p1", "p2", "margin", 0.4, delta=0.2).alias("by_margin"))
@@ -338,7 +346,7 @@ def blend_sweep(spark, sf):
 
 
 PAIRED = """r AS (SELECT vec_id, """ + ", ".join(
-    f"least(1, abs(CAST(embedding[{i}] AS DOUBLE)) * 4) AS {n}" for i, n in ((1, "own1"), (2, "other1"), (3, "own2"), (4, "other2"), (5, "det"))
+    f"least(1, {_peak_sql(i, 5)} * 2) AS {n}" for i, n in enumerate(("own1", "other1", "own2", "other2", "det"))
 ) + " FROM embeddings)"
 
 
@@ -348,7 +356,7 @@ PAIRED = """r AS (SELECT vec_id, """ + ", ".join(
       {rd("det * (own1 + (1 - own2)) / 2")} AS hier_1, {rd("det * (own2 + (1 - own1)) / 2")} AS hier_2 FROM r""",
 )
 def paired_probability(spark, sf):
-    p = lambda i: F.least(F.lit(1.0), F.abs(F.col("embedding")[i].cast("double")) * 4)
+    p = lambda i: F.least(F.lit(1.0), _peak(i, 5) * 2)
     views = F.inline(F.array(*[
         F.struct(F.lit(s).alias("side"), p(o).alias("own"), p(o + 1).alias("other"), p(4).alias("detector")) for s, o in ((1, 0), (2, 2))]))
     rows = table(spark, sf, "embeddings").select("vec_id", views)
@@ -358,13 +366,14 @@ def paired_probability(spark, sf):
         "vec_id", rounded("p1").alias("multi_1"), rounded("p2").alias("multi_2"), rounded("h1").alias("hier_1"), rounded("h2").alias("hier_2"))
 
 
-WINDOWS = "win AS (SELECT *, i // (n // 5) AS w FROM li WHERE i // (n // 5) < 5)"
+WINDOWS = "win AS (SELECT *, i // greatest(n // 5, 1) AS w FROM li WHERE i // greatest(n // 5, 1) < 5)"
 
 
 def _windows(spark, sf, k=5):
-    """Rows of the k equal consecutive windows of each recording; a remainder shorter than a window is left out."""
+    """Rows of the k equal consecutive windows of each recording. What is left after k windows, k - 1 rows at most, is in no
+    window; a recording of fewer than k rows has one window per row."""
     placed = ordered.positions(*recorded(spark, sf), "i", "n")
-    return placed.withColumn("w", F.floor(F.try_divide(F.col("i"), F.floor(F.col("n") / k))).cast("long")).where(F.col("w") < k)
+    return placed.withColumn("w", F.floor(F.col("i") / F.greatest(F.floor(F.col("n") / k), F.lit(1))).cast("long")).where(F.col("w") < k)
 
 
 @query("window_slices", f"WITH {LI}, {WINDOWS} SELECT rec, w, count(*) AS n_rows, min(i) AS first_row, {rd('avg(x)')} AS mean_x FROM win GROUP BY ALL")
@@ -438,14 +447,14 @@ def group_folds(spark, sf):
 
 @query(
     "condition_folds",
-    f"""WITH v AS (SELECT vec_id, vec_id // 4 AS family, abs(CAST(embedding[1] AS DOUBLE)) * 80 AS speed FROM embeddings),
+    f"""WITH v AS (SELECT vec_id, vec_id // 4 AS family, ({_peak_sql(0, 1)} - 2e-1) * 80 AS speed FROM embeddings),
     m AS (SELECT family, median(speed) AS s FROM v GROUP BY ALL)
     SELECT vec_id, family, CAST(greatest(2, CASE WHEN s < 3 THEN 0 WHEN s < 6 THEN 1 WHEN s < 9 THEN 2 WHEN s < 12 THEN 3 WHEN s < 15 THEN 4 ELSE 5 END) AS INTEGER) AS fold
     FROM v JOIN m USING (family)""",
 )
 def condition_folds(spark, sf):
     u = table(spark, sf, "embeddings").select(
-        "vec_id", F.floor(F.col("vec_id") / 4).alias("family"), (F.abs(F.col("embedding")[0].cast("double")) * 80).alias("speed"))
+        "vec_id", F.floor(F.col("vec_id") / 4).alias("family"), ((_peak(0, 1) - 0.2) * 80).alias("speed"))
     return folds.condition_folds(u, "family", "speed").select("vec_id", "family", "fold")
 
 

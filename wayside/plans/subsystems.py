@@ -55,16 +55,19 @@ def door_features(table: DataFrame, reference: DataFrame) -> DataFrame:
     return deviated.join(cycles.excess(deviated, keys), keys).join(cycles.profile_wide(deviated, keys), keys)
 
 
-DOOR_INPUTS = (
-    "t_open_col t_close_col n_rows duration op_is_open cur_peak cur_mean cur_rms cur_std cur_integral cur_p90 cur_median trav_mean trav_max trav_std "
-    "trav_above_300 trav_above_500 mid_mean mid_max vel_mean vel_max vel_min_mid stall_rows volt_mean volt_max bemf_mean bemf_max "
-    "energy bemf_per_volt pos_range pos_start pos_end cur_above_bemf_slope exc_max exc_mean exc_pos_integral exc_argmax exc_run "
-    "exc_n_above2 exc_l2 exc_mid_mean").split() + [f"{p}_{i}" for p in ("prof", "z") for i in range(cycles.BINS)]
+DOOR_IDENTITY = ("stream_id", "segment_id", "start_us", "end_us", "status", "y")
+
+
+def door_inputs(rows: DataFrame) -> list[str]:
+    """The model's inputs: every number the operators made, identity and answer left out, in order of their names."""
+    numeric = ("int", "bigint", "double", "float", "smallint", "tinyint")
+    return sorted(c for c, kind in rows.dtypes if kind in numeric and c not in DOOR_IDENTITY)
 
 
 @dataclass(frozen=True)
 class DoorModel:
     reference: DataFrame
+    inputs: list[str]
     forest: PipelineModel
     logistic: PipelineModel
     threshold: float
@@ -73,15 +76,17 @@ class DoorModel:
 def train_door(table: DataFrame, threshold: float = 0.5, trees: int = models.DOOR_TREES) -> DoorModel:
     """``table`` is a door table with ``status``. Reference, scaler and models see these rows only."""
     reference = cut(cycles.reference_profile(table, F.col("status") == "Normal"))  # two operations × bins
-    rows = cut(door_features(table, reference).withColumn("y", (F.col("status") == ABNORMAL).cast("double")).fillna(0.0, DOOR_INPUTS))
-    forest = models.fit_forest(rows, DOOR_INPUTS, "y", trees, models.DOOR_LEAF)
+    rows = door_features(table, reference).withColumn("y", (F.col("status") == ABNORMAL).cast("double"))
+    inputs = door_inputs(rows)
+    rows = cut(rows.fillna(0.0, inputs))
+    forest = models.fit_forest(rows, inputs, "y", trees, models.DOOR_LEAF)
     logistic = models.fit_logistic(rows, models.LOGISTIC_FEATURES, "y")
-    return DoorModel(reference, forest, logistic, threshold)
+    return DoorModel(reference, inputs, forest, logistic, threshold)
 
 
 def predict_door(table: DataFrame, model: DoorModel) -> DataFrame:
     keys = ["stream_id", "segment_id", "start_us", "end_us"]
-    rows = door_features(table, model.reference).fillna(0.0, DOOR_INPUTS)
+    rows = door_features(table, model.reference).fillna(0.0, model.inputs)
     p = models.ensemble([models.probability(m, rows, keys) for m in (model.forest, model.logistic)], keys)
     native = lambda c: format_native_ts(F.timestamp_micros(F.col(c)))
     return p.select(
@@ -107,7 +112,8 @@ def peer_verdicts(segmented: DataFrame, order: Order, limit: float = 2.0) -> Dat
 def rank_cars(readings: DataFrame, response: models.Linear | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """Cars of each case by how likely they leak. ``readings``: case_id, car, ts, t and one column per role."""
     weights = weights or CAR_WEIGHTS
-    order = Order(("case_id", "car"), "t", ()).fitted(readings)
+    tied = tuple(sorted(set(readings.columns) - {"case_id", "car", "t"}))  # repeated times: an order that does not depend on chance
+    order = Order(("case_id", "car"), "t", tied).fitted(readings)
     prepared = cut(peers.prepare(readings, order))
     if response is not None:
         prepared = models.response_residual(prepared, response)
@@ -158,10 +164,10 @@ def rail_side_rows(channels: DataFrame, reference: DataFrame, unit: str = "recor
     excess = [c for c in features if c.startswith("ex_")]
     wide = rail.side_aggregates(deviated, [unit], features, excess)
     bases = [c[3:] for c in wide.columns if c.startswith("s1_")]
-    ratios = [b for b in (
-        "rms_mean", "rms_p75", "rms_max", "shock_rms_mean", "shock_rms_p75", "shock_rms_max", "kurt_mean", "crest_mean",
-        "shock_peaks_mean", "shock_kurt_mean") if b in bases]
-    speed = channels.groupBy(unit).agg(F.max("speed").alias("speed"), F.max("speed_bin").alias("speed_bin"))
+    strengths = {f"{f}_{stat}" for f in ("rms", "shock_rms") for stat in ("mean", "p75", "max")}
+    shapes = {f"{f}_mean" for f in ("kurt", "crest", "shock_peaks", "shock_kurt")}
+    ratios = [b for b in bases if b in strengths | shapes]
+    speed = channels.groupBy(unit).agg(*[rail.tagged(F.max(c), c, "speed") for c in ("speed", "speed_bin")])
     return rail.own_other(wide, [unit], bases, ratios).join(speed, unit)
 
 
@@ -179,5 +185,5 @@ def damage_estimates(rows: DataFrame, scale: float, m: float = 5.0, width: int =
     """Fatigue damage of every series: S(m) / C."""
     order = Order(("recording_id",), "i", (), width)
     counted = fatigue.rainflow(rows, order, "stress")
-    s = fatigue.damage(counted, ["recording_id"], m)
+    s = fatigue.damages(counted, ["recording_id"], {"damage": fatigue.Convention(m)})
     return s.select(F.col("recording_id").alias("file_id"), (F.col("damage") / float(scale)).alias("prediction"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 WRITTEN = "written-"
+CONFIGURED = "wayside.configured"
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -19,9 +20,11 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings every operator assumes (UTC, adaptive execution, Arrow)."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+    """Apply the run-time settings every operator assumes (UTC, adaptive execution, Arrow), once per session."""
+    if spark.conf.get(CONFIGURED, None) is None:
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
+        spark.conf.set(CONFIGURED, "true")
     return spark
 
 

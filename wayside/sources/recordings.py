@@ -6,7 +6,10 @@ files are still read in parallel and no file has to fit a task.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +27,28 @@ DOOR_FLAGS = ("cmd_close", "cmd_open", "dcsr", "dcsl", "dlsr", "dlsl", "opened",
 RAIL_COLUMNS = 129
 
 
-def _csv(spark: SparkSession, path: str | Sequence[str], header: bool) -> DataFrame:
-    return spark.read.option("header", header).option("inferSchema", False).csv(path)
+def headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) for every distinct first line of the files: one distributed pass, one row per header."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("line"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(next(csv.reader([r.header.lstrip("\ufeff")])), [unquote(f) for f in r.files]) for r in found]
+
+
+def _csv(spark: SparkSession, path: str | Sequence[str], names: Sequence[str], header: bool = True) -> DataFrame:
+    """All columns as text, by position, under the given names."""
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return spark.read.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
+
+
+def _of_width(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Files that all have as many columns as there are names; any other file is named in the error."""
+    wrong = [f"{f.rsplit('/', 1)[-1]} ({len(h)})" for h, files in headers(spark, path) if len(h) != len(names) for f in files]
+    if wrong:
+        raise ValueError(f"expected {len(names)} columns, got others in {len(wrong)} files: {', '.join(wrong[:20])}")
+    return _csv(spark, path, names)
 
 
 def _placed(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,10 +66,8 @@ def _indexed(df: DataFrame, name: str = "i") -> DataFrame:
 
 def read_door(spark: SparkSession, path) -> DataFrame:
     """Continuous door stream: 17 columns by position. ``stream_id`` is the file, ``seq`` the row in it."""
-    raw = _csv(spark, path, True)
-    if len(raw.columns) != len(DOOR_COLUMNS):
-        raise ValueError(f"expected {len(DOOR_COLUMNS)} columns, got {len(raw.columns)}")
-    named = _indexed(_placed(raw, [F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, DOOR_COLUMNS)]), "seq")
+    raw = _of_width(spark, path, DOOR_COLUMNS)
+    named = _indexed(_placed(raw, [F.col(c) for c in DOOR_COLUMNS]), "seq")
     typed = [
         F.col(c).try_cast("int").alias(c) if c in DOOR_FLAGS else finite(F.col(c).try_cast("double")).alias(c)
         for c in DOOR_COLUMNS[1:]]
@@ -56,10 +77,8 @@ def read_door(spark: SparkSession, path) -> DataFrame:
 
 def read_rail(spark: SparkSession, path) -> DataFrame:
     """Rail recordings: pulse, then vibration and shock of 64 channels alternating, as two arrays per sample."""
-    raw = _csv(spark, path, True)
-    if len(raw.columns) != RAIL_COLUMNS:
-        raise ValueError(f"expected {RAIL_COLUMNS} columns, got {len(raw.columns)}")
-    value = lambda c: F.col(f"`{c}`").cast("double")
+    raw = _of_width(spark, path, [f"c{i}" for i in range(RAIL_COLUMNS)])
+    value = lambda c: finite(F.col(c).try_cast("double"))
     columns = [
         value(raw.columns[0]).alias("pulse"),
         F.array(*[value(c) for c in raw.columns[1::2]]).alias("vib"),
@@ -76,17 +95,23 @@ def rail_samples(recordings: DataFrame, unit: str = "recording_id") -> DataFrame
 
 def read_series(spark: SparkSession, path) -> DataFrame:
     """Headerless stress series: the first column, in file order."""
-    raw = _csv(spark, path, False)
+    raw = spark.read.option("header", False).option("inferSchema", False).csv(path)
     value = finite(F.col(raw.columns[0]).try_cast("double")).alias("stress")
     return _indexed(_placed(raw, [value])).withColumnRenamed("file_id", "recording_id")
 
 
 def read_telemetry(spark: SparkSession, path) -> DataFrame:
-    """Wide car telemetry with a shared header: one row per time and car, a column per role."""
-    raw = _csv(spark, path, True)
-    at = time_column(raw.columns)
-    named = raw.withColumn("case_id", F.col("_metadata.file_name"))
-    long = melt(named.withColumn("_time", parse_native_ts(F.col(f"`{at}`"))), ["case_id", "_time"])
+    """Wide car telemetry: one row per time and car, a column per role. Headers may differ from file to file: files are
+    read by the header they have, and a role that a header lacks is null."""
+
+    def group(names: list[str], files: list[str]) -> DataFrame:
+        unique = [n if names.index(n) == i and n else f"_unnamed_{i}" for i, n in enumerate(names)]
+        raw = _csv(spark, files, [n.replace("`", "``") for n in unique])
+        at = time_column(unique)
+        named = raw.withColumn("case_id", F.col("_metadata.file_name"))
+        return melt(named.withColumn("_time", parse_native_ts(F.col(f"`{at}`"))), ["case_id", "_time"])
+
+    long = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [group(*g) for g in headers(spark, path)])
     stamp = F.col("_time")
     return long.select("case_id", stamp.alias("time"), micros(stamp).alias("t"), micros(stamp).alias("ts"), *[
         c for c in long.columns if c not in ("case_id", "_time")])

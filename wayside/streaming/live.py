@@ -22,6 +22,7 @@ from wayside.operators.fatigue import close_cycles
 from wayside.operators.peers import MIN_PEERS, median_of
 from wayside.session import shared_folder
 
+PROGRESS, MOST_PROGRESS = "spark.sql.streaming.numRecentProgressUpdates", 1_000_000
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,21 +41,31 @@ def run_available(
     """
     spark = stream.sparkSession
     base = target or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, state or before)
+    before = {key: spark.conf.get(key) for key in (STORE, PROGRESS)}
+    spark.conf.set(STORE, state or before[STORE])
+    spark.conf.set(PROGRESS, str(MOST_PROGRESS))  # counts over a run need the progress of all its batches
     try:
         query = (
             stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
             .option("path", f"{base}/rows").trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(STORE, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows"), query
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came later than the watermark allowed and were dropped."""
-    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+    """Rows that came later than the watermark allowed and were dropped, over all batches of the run."""
+    return sum(s.numRowsDroppedByWatermark for p in all_progress(query) for s in p.stateOperators)
+
+
+def all_progress(query: StreamingQuery) -> list:
+    """The progress of every batch of a run; an error if some of it is gone."""
+    found = query.recentProgress
+    if len(found) >= MOST_PROGRESS:
+        raise RuntimeError("the run had more batches than progress updates are kept")
+    return found
 
 
 def live_segments(rows: DataFrame, keys: list[str], ts: str, gap: str, delay: str, *aggregates) -> DataFrame:
