@@ -144,6 +144,17 @@ def downsample(rows: DataFrame, order: Order, value: str, points: int = 180, ext
     return chosen.distinct()
 
 
+def trace_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per trace: known readings, mean, three standard deviations to either side, and how many readings lie beyond."""
+    stats = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), (3 * F.stddev_pop(value)).alias("_reach"))
+    beyond = F.abs(F.col(value) - F.col("mean")) > F.col("_reach") + 1e-12
+    joined = rows.select(*keys, value).join(stats, list(keys))
+    return joined.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), (F.first("mean") - F.first("_reach")).alias("low"),
+        (F.first("mean") + F.first("_reach")).alias("high"), F.count(F.when(beyond, 1)).alias("flagged"))
+
+
 # Evidence shown for a door movement (key, label, unit).
 DOOR_EVIDENCE: Sequence[tuple[str, str, str]] = (
     ("mid_mean", "Mid-travel current", "source units"),

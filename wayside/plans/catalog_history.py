@@ -201,6 +201,17 @@ def trace_downsample(spark, sf):
     return t.withColumn("value", rounded("value"))
 
 
+@query(
+    "trace_summary",
+    f"""WITH {LI}, s AS (SELECT rec, count(*) AS n, avg(x) AS mean, 3 * stddev_pop(x) AS reach FROM li GROUP BY rec)
+    SELECT rec, s.n, {rd("any_value(mean)")} AS mean, {rd("any_value(mean - reach)")} AS low, {rd("any_value(mean + reach)")} AS high,
+      count(*) FILTER (abs(x - mean) > reach + 1e-12) AS flagged FROM li JOIN s USING (rec) GROUP BY rec, s.n""",
+)
+def trace_summary(spark, sf):
+    t = history.trace_summary(recorded(spark, sf)[0], ["rec"], "x")
+    return t.select("rec", "n", "flagged", *[rounded(c).alias(c) for c in ("mean", "low", "high")])
+
+
 EVID = [k for k, _, _ in history.DOOR_EVIDENCE]
 
 

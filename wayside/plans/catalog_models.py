@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayside.functions.columns import rounded
-from wayside.operators import decide as choose, fatigue, folds, models, spectral
+from wayside.operators import decide as choose, fatigue, folds, models, peers, spectral
 from wayside.operators.ordered import positions
 from wayside.operators.quantiles import exact_quantiles
 from wayside.plans.catalog_fatigue import STAT_SQL, cycles_sql
-from wayside.plans.catalog_peers import ACV, TRUTH, prepared
+from wayside.plans.catalog_peers import ACV, CAR, CAR_SQL, FEATURES, TRUTH, WHOLE, deviated, prepared
 from wayside.plans.catalog_rail import psd_sql
 from wayside.plans.catalog_scores import oof
 from wayside.plans.catalog_stream import recorded
@@ -67,6 +67,24 @@ def ridge_response(spark, sf):
     return both.select(*keys, rounded("resid_mean", 5).alias("resid_mean"), rounded("resid_p90", 5).alias("resid_p90"))
 
 
+@query(
+    "car_table",
+    f"""WITH {ACV}, {CAR_SQL}, tr AS (SELECT * FROM prep WHERE cooling AND car <> {TRUTH} AND dt10 IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _RF)}), {_ridge_sql('tr', _RF, 'dt10')},
+    r AS (SELECT case_id, car, CASE WHEN cooling THEN dt10 - (m{len(_RF)} + {' + '.join(f'w{i} * (coalesce({c}, m{i}) - m{i})' for i, c in enumerate(_RF))}) END AS resid FROM prep, fit),
+    rf AS (SELECT case_id, car, avg(resid) AS resid_mean, quantile_cont(resid, 9e-1) AS resid_p90 FROM r GROUP BY case_id, car)
+    SELECT case_id, car, {', '.join(WHOLE)}, {", ".join(f"{rd(c)} AS {c}" for c in FEATURES)}, {rd("resid_mean", 5)} AS resid_mean, {rd("resid_p90", 5)} AS resid_p90
+    FROM car_f JOIN rf USING (case_id, car)""",
+)
+def car_table(spark, sf):
+    """All features of every car, with what the response model learned on healthy cars does not explain."""
+    rows = deviated(spark, sf)
+    faulty = F.lpad((F.col("case_id") % 8 + 1).cast("string"), 2, "0")
+    model = models.fit_ridge(rows.where(F.col("cooling") & (F.col("car") != faulty)), models.RESPONSE_FEATURES, "dT_10")
+    f = peers.car_features(cut(models.response_residual(rows, model)), ["case_id", "car"], CAR.fitted(rows))
+    residuals = [rounded(c, 5).alias(c) for c in ("resid_mean", "resid_p90")]
+    return f.select("case_id", "car", *WHOLE, *[rounded(c).alias(c) for c in FEATURES], *residuals)
+
+
 def vector_rows(spark, sf):
     """Vectors with their 64 values as columns and a binary class."""
     e = table(spark, sf, "embeddings")
