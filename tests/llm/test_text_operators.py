@@ -150,6 +150,21 @@ def test_quality_limits_false_rejection(spark):
     assert all(kept[i] == (i % 3 != 0) for i in kept)
 
 
+def test_quality_languages_do_not_share_cutoffs(spark):
+    """de and pl once fell into one hashed stratum: the good pl rows, a few with long words, were rejected with the bad de ones."""
+    rows, labels = [], []
+    for i in range(6000):
+        lang, bad, at = ("pl", False, i) if i < 60 else ((None, False, i) if i < 120 else ("de", i % 3 == 0, i))
+        word = "w" * 20 if bad or lang != "de" else "w"
+        rows.append((at, " ".join(f"{word}{j}" for j in range(80)), lang))
+        labels.append((at, 0 if bad else 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
+    assert all(kept[i] == (i < 120 or i % 3 != 0) for i in kept)
+    assert {r.doc_id for r in quality.accepted(docs, labels).collect()} == {i for i in kept if kept[i]}
+
+
 def test_mix_targets(spark):
     for sizes in ({"a": 100, "b": 1000, None: 50, "é": 7, "z": 0}, {"x": 10}, {f"s{i}": (i * 37) % 101 for i in range(25)}):
         rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")

@@ -5,6 +5,9 @@ A candidate is certified for a stratum if the exact binomial tail says that it r
 good documents there, at a level shared among all candidates of all strata (Bonferroni). Rejection by any signal is then
 wrong for at most ``risk`` of the good documents of a stratum, with probability 1 - ``error`` over all strata at once.
 
+A stratum is a language itself, however many there are. Cutoffs are joined to documents by it: one row per stratum, which
+Spark broadcasts if the table of them turns out small, and else shuffles, hot languages split.
+
 Nulls: a null text is an empty one (rejected, no words); a null language is a stratum of its own; labels without doc_id or
 value, and documents labelled both ways, certify nothing. With no labels nothing beyond the fixed rules is rejected.
 Repeated rows are judged one by one and equally; labels count once per document row. An empty table gives an empty result.
@@ -21,7 +24,6 @@ from wayside.llm.text import NOT_SPACE, whole, words
 from wayside.session import cut
 
 SYMBOLS = r"[#*$%&|<>]"
-STRATA = 1024  # strata are hashed into so many at most, so the table of cutoffs has a fixed bound
 
 
 @dataclass(frozen=True)
@@ -121,7 +123,8 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 
 
 def stratum(by: str) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(by), F.lit("\x00"))), F.lit(STRATA)).cast("int")
+    """The value itself, marked so that null is a key of its own and equal to no value."""
+    return F.when(F.col(by).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(by).cast("string")))
 
 
 def certify(rows: DataFrame, risk: float = 0.02, error: float = 0.05, lift: float = 5.0,
@@ -163,12 +166,12 @@ def certify(rows: DataFrame, risk: float = 0.02, error: float = 0.05, lift: floa
 def verdicts(counted: DataFrame, chosen: DataFrame) -> DataFrame:
     """``counted`` (stratum and counts) with base_failed, rejected_by and kept, by the certified cutoffs."""
     found = signals()
-    limits = chosen.groupBy("stratum").agg(*[
+    limits = cut(chosen.groupBy("stratum").agg(*[
         F.max(F.when(F.col("signal") == k, F.col("cutoff"))).alias(f"max_{s.name}") for k, s in enumerate(found)
-    ])
+    ]))  # written, so that its size is known when the join is planned
     hits = F.filter(
         F.array(*[F.when(s.value > F.col(f"max_{s.name}"), F.lit(s.name)) for s in found]), lambda x: x.isNotNull())
-    joined = counted.join(F.broadcast(limits), "stratum", "left")  # at most STRATA rows
+    joined = counted.join(limits, "stratum", "left")
     failed = joined.withColumn("base_failed", base_failed()).withColumn("rejected_by", hits)
     return failed.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
