@@ -284,6 +284,30 @@ def test_pseudonyms_leave_the_rest(spark):
         assert r.text == text and r.found == []
 
 
+def test_pseudonyms_of_ibans_before_other_words(spark):
+    values = ["AT611904300234573201", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32"]
+    for behind in ("BIC", "EUR", "2024", "ABCD 12", "today", "4111 1111 1111 1111"):
+        for value, r in zip(values, pseudonyms(spark, [f"to {v} {behind}" for v in values]), strict=True):
+            assert r.found == (["iban", "card"] if behind.startswith("4111") else ["iban"]) and value not in r.text
+            made = r.text[3:3 + len(value)]
+            compact = made.replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+            assert behind.startswith("4111") or r.text == f"to {made} {behind}"
+
+
+def test_pseudonyms_of_day_first_and_timed_dates(spark):
+    from datetime import date
+
+    days = [date(1990 + y, m, d) for y in range(8) for m in range(1, 13) for d in range(1, 29)]
+    texts = list(dict.fromkeys([f"{d:%m/%d/%Y}" for d in days] + [f"{d:%d/%m/%Y}" for d in days if d.day > 12]))
+    got = pseudonyms(spark, texts)
+    assert all(r.found == ["date"] for r in got) and len({r.text for r in got}) == len(texts)
+    assert all((int(t[:2]) > 12) == (int(r.text[:2]) > 12) for t, r in zip(texts, got, strict=True))
+    timed, plain, *rest = pseudonyms(spark, ["at 1990-01-02T10:00 on", "at 1990-01-02 on", "32/12/1990 and 31/02/1990", "1990-01-02Tab"])
+    assert timed.found == ["date"] and timed.text == plain.text.replace(" on", "T10:00 on") != "at 1990-01-02T10:00 on"
+    assert all(r.found == [] for r in rest)
+
+
 def test_pseudonym_links_across_documents(spark):
     a, b = pseudonyms(spark, ["see 4111111111111111 and ab@c.de here", "x ab@c.de y 4111111111111111"])
     assert a.text.split()[1] == b.text.split()[3] and a.text.split()[3] == b.text.split()[1]

@@ -20,16 +20,39 @@ from wayside.llm.text import let
 
 ROUNDS = 10
 
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+UNREGISTERED = {28: "BF BJ CI MA ML NE SN TG"}  # tried at this length first, then like any unknown country
+
+
+def iban_pattern() -> str:
+    """An IBAN ends where its country's ends, whatever stands behind it; only unknown countries are read to the last group."""
+    def groups(n: int) -> str:
+        full, tail = divmod(n, 4)
+        return rf"(?: ?[A-Z0-9]{{4}}){{{full}}}" + (rf" ?[A-Z0-9]{{{tail}}}" if tail else "")
+
+    known = [rf"(?:{lands.replace(' ', '|')})\d{{2}}{groups(n - 4)}"
+             for table in (IBAN_LENGTHS, UNREGISTERED) for n, lands in table.items()]
+    every = " ".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    other = rf"(?!{every})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join([*known, other])})(?![0-9A-Za-z])"
+
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: What each kind looks like, tried in this order at every place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
     "secret": r"(?<=[\"'])(?<=(?:token|secret|password|api_key|apikey)\s?[=:]\s?[\"'])[A-Za-z0-9+/_\-]{16,128}(?=[\"'])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "iban": iban_pattern(),
     "card": r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?![0-9A-Za-z])",
     "ipv4": rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9A-Za-z]|\.\d)",
     "ssn": r"(?<![0-9A-Za-z\-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z]|-\d)",
-    "iso_date": r"(?<![0-9A-Za-z\-])(?:19|20)\d\d-\d\d-\d\d(?![0-9A-Za-z]|-\d)",
+    "iso_date": r"(?<![0-9A-Za-z\-])(?:19|20)\d\d-\d\d-\d\d(?:(?=T\d\d)|(?![0-9A-Za-z]|-\d))",
     "dotted_date": r"(?<![0-9A-Za-z.])\d\d\.\d\d\.(?:19|20)\d\d(?![0-9A-Za-z]|\.\d)",
     "slashed_date": r"(?<![0-9A-Za-z/])\d\d/\d\d/(?:19|20)\d\d(?![0-9A-Za-z]|/\d)",
     "phone": r"(?<![0-9A-Za-z+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}"
@@ -193,15 +216,32 @@ def ssn(secret: str, m: Column) -> Column:
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days: 1900-01-01 to 2099-12-31
 
 
+WALK = 64  # steps: two dates in five have a day up to 12, so that all of them do has a chance of 1e-25
+
+
+def moved_date(secret: str, d: Column) -> Column:
+    def of(n: Column) -> Column:
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), permute_pair(
+            secret, F.lit("date"), F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]).cast("long"),
+            F.lit(DAYS[1]).cast("long"), lambda s: (s["a"] * DAYS[1] + s["b"]).cast("int")))
+    return let(F.datediff(d, F.lit(FIRST_DAY).cast("date")), of)
+
+
 def date(secret: str, m: Column, form: str) -> Column:
     """A date of 1900 to 2099 to another one, written the same way."""
-    def of(d: Column) -> Column:
-        n = F.datediff(d, F.lit(FIRST_DAY).cast("date"))
-        moved = permute_pair(secret, F.lit("date"), F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]).cast("long"),
-                             F.lit(DAYS[1]).cast("long"), lambda s: (s["a"] * DAYS[1] + s["b"]).cast("int"))
-        return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved), form)
-    parsed = F.try_to_date(m, form)
-    return let(parsed, lambda d: F.when(d.isNotNull(), of(d)))
+    return let(F.try_to_date(m, form), lambda d: F.when(d.isNotNull(), F.date_format(moved_date(secret, d), form)))
+
+
+def slashed_date(secret: str, m: Column) -> Column:
+    """MM/dd/yyyy, or else dd/MM/yyyy, which can only be read so if the day is above 12.
+
+    The latter are moved until their day is above 12 again: that is one to one, and they never meet a MM/dd/yyyy.
+    """
+    def walk(d: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), moved_date(secret, d), lambda s, _: F.when(
+            F.dayofmonth(s) > 12, s).otherwise(moved_date(secret, s)))
+    day_first = let(F.try_to_date(m, "dd/MM/yyyy"), lambda d: F.when(d.isNotNull(), F.date_format(walk(d), "dd/MM/yyyy")))
+    return F.coalesce(date(secret, m, "MM/dd/yyyy"), day_first)
 
 
 def phone(secret: str, m: Column) -> Column:
@@ -233,7 +273,7 @@ def pseudonym(secret: str, m: Column) -> Column:
         ("ssn", m.rlike(rf"^{PATTERNS['ssn']}$"), lambda: ssn(secret, m)),
         ("date", m.rlike(r"^\d{4}-\d\d-\d\d$"), lambda: date(secret, m, "yyyy-MM-dd")),
         ("date", m.rlike(r"^\d\d\.\d\d\.\d{4}$"), lambda: date(secret, m, "dd.MM.yyyy")),
-        ("date", m.rlike(r"^\d\d/\d\d/\d{4}$"), lambda: date(secret, m, "MM/dd/yyyy")),
+        ("date", m.rlike(r"^\d\d/\d\d/\d{4}$"), lambda: slashed_date(secret, m)),
         ("card", m.rlike(rf"^{PATTERNS['card']}$"), lambda: card(secret, m)),
         ("phone", m.rlike(rf"^{PATTERNS['phone']}$"), lambda: phone(secret, m)),
         ("iban", m.rlike(rf"^{PATTERNS['iban']}$"), lambda: iban(secret, m)),
