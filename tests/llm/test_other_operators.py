@@ -59,6 +59,22 @@ def test_url_model_learns(spark):
     assert sum(got[i] == ("block" if i < 100 else "allow") for i in got) >= 195
 
 
+def test_url_suffix_rates_at_many_hosts(spark):
+    """Rates belong to the suffix itself however many hosts there are; hashed buckets drifted to the mean."""
+    hosts = spark.range(12_000).withColumn("host", F.format_string("www.h%d.t%d.com", "id", F.expr("id % 3000")))
+    labelled = hosts.withColumn("blocked", F.expr("id % 3000 < 1500"))
+    counts = urls.suffix_counts(labelled)
+    unseen = spark.createDataFrame([(-1, "a.fresh.example"), (-2, "new.h5.t5.com"), (-3, ""), (-4, "x.t7.com")], "id long, host string")
+    got = {r.id: (r.rate1, r.rate2, r.rate3) for r in urls.with_rates(hosts.unionByName(unseen), counts).collect()}
+    half, blocked = 0.5, 5 / 6  # of four urls under t5.com all are blocked
+    for i in range(12_000):
+        bad = i % 3000 < 1500
+        assert got[i] == (half, blocked if bad else 1 / 6, 2 / 3 if bad else 1 / 3)
+    assert (got[-1], got[-2], got[-3], got[-4]) == ((half,) * 3, (half, blocked, 2 / 3), (half,) * 3, (half, blocked, half))
+    own = {r.id: r.rate3 for r in urls.with_rates(labelled, counts, F.col("blocked")).collect()}
+    assert set(own.values()) == {half} and len(own) == 12_000
+
+
 def test_vectors_on_table(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in table(spark, SF, "embeddings").collect()]
     got = {r.vec_id: (r.n_links, r.component_id) for r in entry.queries()["op6_embedding_dedup"](spark, SF).collect()}

@@ -5,7 +5,9 @@ rule wins. Everything else is judged by boosted trees fitted to labelled URLs: l
 character entropy, parameter counts and how often URLs of the same host suffix were labelled as blocked.
 
 The fit takes at most ``sample`` labelled rows, chosen by hash of the url; the suffix statistics count all labelled rows.
-They are kept in BUCKETS hashed suffixes, so the table that is broadcast has a fixed bound.
+They are kept by the suffix itself and joined to distinct hosts, then by host to the urls. Urls are summed by host before
+hosts are summed by suffix; a host or suffix with very many rows is split where a join is shuffled (skew handling of
+adaptive execution).
 
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the model like any
 other. Repeated urls get equal verdicts. With no labelled rows of both classes the model's verdict is the class there is,
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 from wayside.llm.text import ascii_lower
 from wayside.session import cut
 
-BUCKETS = 4096
 SAMPLE = 20_000  # labelled urls the trees are fitted to, at most
 Rule = tuple[str, str, str]  # host, path prefix, verdict
 
@@ -71,20 +72,17 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     return {name: value.cast("double") for name, value in found.items()}
 
 
-def suffixes(host: Column) -> dict[str, Column]:
-    """Hash buckets of the host's last one, two and three labels."""
-    return {f"suffix{k}": F.pmod(F.xxhash64(F.lit(k), F.substring_index(host, ".", -k)), F.lit(BUCKETS)).cast("int")
-            for k in (1, 2, 3)}
+def suffixes() -> Column:
+    """The host's last one, two and three labels, one row for each."""
+    return F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.substring_index("host", ".", -k).alias("suffix")) for k in (1, 2, 3)]))
 
 
 def suffix_counts(labelled: DataFrame) -> DataFrame:
-    """Labelled and blocked urls by suffix bucket, over all labelled rows: BUCKETS rows at most."""
-    seen = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"suffix{k}").alias("bucket")) for k in (1, 2, 3)]))
-    each = labelled.select(F.col("blocked").cast("long").alias("bad"), seen.alias("s")).select("bad", "s.*")
-    return each.groupBy("bucket").agg(*[
-        F.sum(F.when(F.col("k") == k, value)).alias(f"{name}{k}")
-        for k in (1, 2, 3) for name, value in (("bad", F.col("bad")), ("n", F.lit(1).cast("long")))
-    ])
+    """Labelled and blocked urls by suffix (k, suffix, bad, n), over all labelled rows."""
+    by_host = labelled.groupBy("host").agg(F.sum(F.col("blocked").cast("long")).alias("bad"), F.count("*").alias("n"))
+    each = by_host.select("bad", "n", suffixes().alias("s")).select("bad", "n", "s.*")
+    return each.groupBy("k", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
 
 
 def with_rates(rows: DataFrame, counts: DataFrame, own: Column | None = None) -> DataFrame:
@@ -92,27 +90,32 @@ def with_rates(rows: DataFrame, counts: DataFrame, own: Column | None = None) ->
 
     ``own``: a row's own label, if the row is among those counted; it is then left out of its own rates.
     """
+    each = rows.select("host").distinct().select("host", suffixes().alias("s")).select("host", "s.*")
+    by_host = cut(each.join(counts, ["k", "suffix"], "left").groupBy("host").agg(*[
+        F.coalesce(F.max(F.when(F.col("k") == k, F.col(name))), F.lit(0).cast("long")).alias(f"{name}{k}")
+        for k in (1, 2, 3) for name in ("bad", "n")
+    ]))  # written, so that its size is known when the join is planned
+    out = rows.join(by_host, "host", "left")
     for k in (1, 2, 3):
-        bad, n = F.coalesce(f"bad{k}", F.lit(0)), F.coalesce(f"n{k}", F.lit(0))
+        bad, n = F.col(f"bad{k}"), F.col(f"n{k}")
         if own is not None:
             bad, n = bad - own.cast("long"), n - 1
-        side = F.broadcast(counts.select(F.col("bucket").alias(f"suffix{k}"), f"bad{k}", f"n{k}"))  # <= BUCKETS rows
-        rows = rows.join(side, f"suffix{k}", "left").withColumn(f"rate{k}", (bad + 1) / (n + 2)).drop(f"bad{k}", f"n{k}")
-    return rows
+        out = out.withColumn(f"rate{k}", (bad + 1) / (n + 2)).drop(f"bad{k}", f"n{k}")
+    return out
 
 
 def featured(urls: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Rows (url, host, path, …) with lexical features and suffix buckets, and the names of the model's inputs."""
+    """Rows (url, host, path, …) with lexical features, and the names of the model's inputs."""
     found = lexical(F.col("url"), F.col("host"), F.col("path"))
-    return urls.withColumns(found | suffixes(F.col("host"))), [*found, "rate1", "rate2", "rate3"]
+    return urls.withColumns(found), [*found, "rate1", "rate2", "rate3"]
 
 
 def fit(labelled: DataFrame, trees: int = 12, depth: int = 4, sample: int = SAMPLE):
     """(model, suffix counts, share blocked) from rows (url, host, path, blocked); no model if one class is missing."""
-    counts = cut(suffix_counts(labelled.withColumns(suffixes(F.col("host")))))
+    counts = cut(suffix_counts(labelled))
     some = labelled.orderBy(F.xxhash64("url"), "url").limit(sample)
-    rows, names = featured(some)
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(with_rates(rows, counts, F.col("blocked")))
+    rows, names = featured(with_rates(some, counts, F.col("blocked")))
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     rows = cut(rows.select("features", F.col("blocked").cast("double").alias("label")))
     seen = rows.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()  # one row
     share = seen["share"] or 0.0
@@ -139,8 +142,8 @@ def judge(urls: DataFrame, rules: list[Rule], labelled: DataFrame | None = None,
     if model is None:
         scored = rows.withColumn("score", F.lit(share))
     else:
-        with_features, names = featured(rows)
-        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(with_rates(with_features, counts))
+        with_features, names = featured(with_rates(rows, counts))
+        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(with_features)
         scored = model.transform(vectors).withColumn("score", vector_to_array("probability")[1])
     judged = F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(key, "url", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "score")
