@@ -206,6 +206,29 @@ def test_mix_prefers_quality(spark):
     assert counts[0] + counts[1] == 4000 and counts[0] > 4 * counts[1]
 
 
+def test_mix_draws_part_of_repeated_rows(spark):
+    """One row repeated under one id, or without id, is drawn as often as fits, not all or none."""
+    schema = "doc_id long, text string, source string"
+    for rows in ([(7, "w " * 10, "a")] * 900 + [(100 + i, "v " * 10, "a") for i in range(100)],
+                 [(None, "w " * 10, "a")] * 900, [(None, f"n{i} " * 10, "a") for i in range(900)]):
+        rows = rows + [(5000 + i, "u " * 10, "b") for i in range(300)] + [(None, "t " * 10, None)] * 300
+        docs = spark.createDataFrame(rows, schema).repartition(6)
+        planned = mixing.plan(docs, share=0.5)
+        got = planned.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()
+        assert sum(r.n for r in got) == len(rows)
+        assert all(abs(r.taken - r.target) <= 10 for r in got)
+        want = {(r.doc_id, r.source): r.taken for r in planned.groupBy("doc_id", "source").agg(F.sum("copies").alias("taken")).collect()}
+        mixed = {(r.doc_id, r.source): r["count"] for r in mixing.mix(docs, share=0.5).groupBy("doc_id", "source").count().collect()}
+        assert mixed == {k: v for k, v in want.items() if v}
+
+
+def test_mix_draws_nameless_rows_by_chance(spark):
+    rows = spark.createDataFrame([(None, f"x{i}{'#' if i % 2 else 'y'} " * 10, "a") for i in range(2000)],
+                                 "doc_id long, text string, source string")
+    poor = mixing.mix(rows, F.lit(1.0), share=0.5).where("text LIKE '%#%'").count()
+    assert 200 < poor < 500  # a plain sort by quality would take none
+
+
 TOKENS = ["a  b", " lead", "trail  ", "▁ mark ▁▁x", "tab\tnew\nline", "</s> <s>", "é日本 ﬁ 🎉", "x" * 3000, "\x00 nul", " ", "   ", "▁"]
 
 
