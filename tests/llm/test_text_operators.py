@@ -64,6 +64,20 @@ def test_license_edges(edges):
     assert got[7][0].n_words == 120_000
 
 
+def test_license_notice_repeated_often(spark):
+    """A credit list, and a notice amid scattered pieces of it: more occurrences never give less."""
+    credit = lambda n: " ".join(f"Photo{i} CC BY-SA 4.0" for i in range(n))
+    notice = licenses.NOTICES["mit"].split()
+    scattered = " ".join(f"x{i} " + " ".join(notice[7:10]) for i in range(80))
+    rows = [(n, credit(n)) for n in (1, 3, 4, 40, 400)] + [(-1, f"{scattered} {' '.join(notice)} {scattered}"), (-2, scattered)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    scores = {i: {s.label: s.score for s in got[i][0].spans if not s.exact} for i in got}
+    assert all(scores[n]["cc-by-sa"] == scores[3]["cc-by-sa"] for n in (1, 4, 40, 400))
+    assert scores[-1]["mit"] == 1.0 and "mit" not in scores[-2]
+    places = [s for s in got[400][0].spans if s.label == "cc-by-sa" and not s.exact]
+    assert places[0]["last"] < 30 and places[-1]["first"] > 1900 and len(places) > 90
+
+
 def test_license_notice_with_changes(spark):
     notice = licenses.NOTICES["mit"].split()
     changed = notice[:12] + ["indeed"] + notice[12:20] + notice[21:]

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayside.llm.text import ascii_lower, whole, words
+from wayside.llm.text import ascii_lower, let, whole, words
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 3
@@ -123,12 +123,39 @@ def constants(values: list) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def parts(lines: Column, long: Column, size: Column, least: float) -> Column:
+    """Spans (n, first, last) of under ``long`` words within a run, from its diagonals with the template places seen on them.
+
+    The run's matches pass in order of place through a window of that length. A window with enough distinct places is a
+    span; of spans that overlap, the one with the most is kept, the first of equals.
+    """
+    matches = F.array_sort(F.flatten(F.transform(lines, lambda x: F.transform(
+        x["seen"], lambda q: F.struct((x["diagonal"] + q).alias("p"), q.alias("q"))))))
+    start = F.struct(
+        F.array().cast("array<struct<p:int,q:int>>").alias("window"),
+        F.array().cast("array<struct<n:int,first:int,last:int>>").alias("found"))
+
+    def step(state: Column, m: Column) -> Column:
+        window = F.array_append(F.filter(state["window"], lambda w: w["p"] > m["p"] - long), m)
+        return let(window, lambda w: let(F.size(F.array_distinct(F.transform(w, lambda x: x["q"]))), lambda n: F.struct(
+            w.alias("window"), keep(state["found"], F.struct(n.alias("n"), w[0]["p"].alias("first"), m["p"].alias("last"))).alias("found"))))
+
+    def keep(found: Column, new: Column) -> Column:
+        kept = F.try_element_at(found, F.lit(-1))
+        return F.when(new["n"] / size < least, found).when(
+            kept.isNull() | (new["first"] > kept["last"]), F.array_append(found, new)).when(
+            new["n"] > kept["n"], F.array_append(F.slice(found, 1, F.size(found) - 1), new)).otherwise(found)
+
+    return F.aggregate(matches, start, step, lambda s: s["found"])
+
+
 def spans(found_votes: DataFrame, found: list[Template], drift: int = 6, least: float = 0.6) -> DataFrame:
     """Verified spans: doc, version, template, label, exact, first and last word, score (share of the template's k-grams).
 
     Exact templates need all k-grams on one diagonal. For the others, diagonals no more than ``drift`` apart are one span;
     distinct k-grams of the template are counted over the span, at least ``least`` of them must be there, and the span must
-    not be longer than the template by more than the words that the drift allows.
+    not be longer than the template by more than the words that the drift allows. Where diagonals chain to a longer run, the
+    run is cut into spans of that length at most (``parts``).
     """
     size = constants([t.grams for t in found])[F.col("template")]
     exact = constants([t.exact for t in found])[F.col("template")]
@@ -143,10 +170,13 @@ def spans(found_votes: DataFrame, found: list[Template], drift: int = 6, least:
     runs = lines.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w))
     merged = runs.groupBy(*by, "run").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n"),
-        F.min("first").alias("first"), F.max("last").alias("last"))
-    judged = merged.withColumn("score", F.col("n") / size).where(
-        F.when(exact, F.col("n") == size).otherwise(
-            (F.col("score") >= least) & (F.col("last") - F.col("first") < size + 2 * drift)))
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        F.collect_list(F.struct("diagonal", "seen")).alias("lines"))
+    long = size + 2 * drift
+    enough = merged.where(F.when(exact, F.col("n") == size).otherwise(F.col("n") / size >= least))
+    split = F.when(exact | (F.col("last") - F.col("first") < long), F.array(F.struct("n", "first", "last"))).otherwise(
+        parts(F.col("lines"), long, size, least))
+    judged = enough.select(*by, F.explode(split).alias("part")).select(*by, "part.*").withColumn("score", F.col("n") / size)
     return judged.select("doc", "version", "template", label.alias("label"), exact.alias("exact"),
                          "first", (F.col("last") + GRAM - 1).alias("last"), "score")
 
