@@ -179,6 +179,19 @@ def test_quality_languages_do_not_share_cutoffs(spark):
     assert {r.doc_id for r in quality.accepted(docs, labels).collect()} == {i for i in kept if kept[i]}
 
 
+def test_quality_uses_signals_that_find_little(spark):
+    """Symbol junk is a fiftieth of the bad documents here; it is certified and rejected all the same."""
+    plain = " ".join(f"w{i}" for i in range(80))
+    rows, labels = [], []
+    for i in range(9000):
+        bad, junk = i % 3 == 0, i % 150 == 0
+        rows.append((i, f"{plain} x{i} {'### ' * 30 if junk else ''}", "en"))
+        labels.append((i, 0 if bad else 1))
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"),
+                           spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert {r.doc_id for r in judged.where("NOT kept").collect()} == set(range(0, 9000, 150))
+
+
 def test_mix_targets(spark):
     for sizes in ({"a": 100, "b": 1000, None: 50, "é": 7, "z": 0}, {"x": 10}, {f"s{i}": (i * 37) % 101 for i in range(25)}):
         rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")

@@ -41,12 +41,12 @@ class Signal:
 
 def signals() -> list[Signal]:
     n = F.greatest(F.col("n_words"), F.lit(1))
-    share = tuple(round(0.04 * i, 2) for i in range(1, 13))  # few candidates: each costs certainty
+    share = tuple(round(0.02 * i, 2) for i in range(1, 25))
     return [
-        Signal("symbols", F.col("n_symbols") / n, tuple(round(0.1 * i, 1) for i in range(1, 13))),
+        Signal("symbols", F.col("n_symbols") / n, tuple(round(0.05 * i, 2) for i in range(1, 25))),
         Signal("dup_lines", F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), share),
         Signal("repeats", F.col("n_repeat_words") / n, share),
-        Signal("long_words", F.col("word_chars") / n, tuple(6.5 + 0.5 * i for i in range(12))),
+        Signal("long_words", F.col("word_chars") / n, tuple(6.0 + 0.5 * i for i in range(24))),
     ]
 
 
@@ -127,13 +127,11 @@ def stratum(by: str) -> Column:
     return F.when(F.col(by).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(by).cast("string")))
 
 
-def certify(rows: DataFrame, risk: float = 0.02, error: float = 0.05, lift: float = 5.0,
-            gain: float = 0.05) -> DataFrame:
+def certify(rows: DataFrame, risk: float = 0.02, error: float = 0.05, lift: float = 5.0) -> DataFrame:
     """Certified cutoffs: one row per stratum and signal, from rows with ``stratum``, ``good`` and the counts.
 
     Among a signal's certified cutoffs the one that rejects most bad rows is taken, of equals the highest. It must reject
-    a share of ``gain`` of them at least, and ``lift`` times as large a share as of good ones, else the signal is not used
-    there. Counting is by cell of the grid, before anything is shuffled.
+    ``lift`` times as large a share of them as of good ones, else the signal is not used there. Counting is by cell of the grid, before anything is shuffled.
     """
     found = signals()
     cells = F.array(*[F.struct(F.lit(k).alias("signal"), s.above().alias("above")) for k, s in enumerate(found)])
@@ -143,7 +141,7 @@ def certify(rows: DataFrame, risk: float = 0.02, error: float = 0.05, lift: floa
         .agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b"))
     )
     kinds = F.create_map(*[x for k, s in enumerate(found) for x in (F.lit(k), F.array(*map(F.lit, s.cutoffs)))])
-    # a cell "above = a" is rejected by the first a cutoffs; a group has 13 cells at most
+    # a cell "above = a" is rejected by the first a cutoffs; a group has 25 cells at most
     per = counts.groupBy("stratum", "signal").agg(
         F.sum("g").alias("n_good"), F.sum("b").alias("n_bad"),
         F.collect_list(F.struct("above", "g", "b")).alias("cells"),
@@ -155,9 +153,7 @@ def certify(rows: DataFrame, risk: float = 0.02, error: float = 0.05, lift: floa
     tests = F.broadcast(tried.agg(F.count("*").alias("tests")))  # one row
     share = risk / len(found)
     certain = tried.crossJoin(tests).where(binomial_tail(F.col("g"), F.col("n_good"), share) <= error / F.col("tests"))
-    useful = certain.where(
-        (F.col("b") > 0) & (F.col("b") >= gain * F.col("n_bad"))
-        & (F.col("b") * F.col("n_good") >= lift * F.col("g") * F.col("n_bad")))
+    useful = certain.where((F.col("b") > 0) & (F.col("b") * F.col("n_good") >= lift * F.col("g") * F.col("n_bad")))
     return useful.groupBy("stratum", "signal").agg(
         F.max(F.struct("b", "cutoff"))["cutoff"].alias("cutoff")
     )
