@@ -44,7 +44,7 @@ def batch_of(spark, folder):
     return spark.read.parquet(f"{folder}/part0", f"{folder}/part1")
 
 
-ORDER = Order(("stream_id",), "t", ("seq",), 60 * SECOND)
+ORDER = Order(("stream_id",), "t", ("seq",))
 
 
 def test_segments_equal_batch(spark, folder):

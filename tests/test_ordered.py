@@ -1,12 +1,15 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wayside.operators import cycles, intervals
+from wayside.operators import cycles, intervals, ordered
 from wayside.operators.ordered import (
-    BUCKET, Order, ahead_by, first_transition, following, gap_segments, longest_run, positions, previous, running, turning_points,
+    RANGE, Order, ahead_by, first_transition, following, gap_segments, longest_run, positions, previous, running, turning_points,
 )
+from wayside.session import cut
 
 SECOND = 1_000_000
 
@@ -20,12 +23,11 @@ def rows_of(n=3000, seed=0):
     return pd.DataFrame(dict(k=1, t=t, seq=np.arange(n), v=rng.integers(0, 9, n).astype(float)))
 
 
-@pytest.fixture(scope="module", params=["wide", "narrow", "fitted"])
+@pytest.fixture(scope="module", params=[10**9, 700, 100, 7])
 def case(request, spark):
     data = rows_of()
     df = spark.createDataFrame(data.sample(frac=1, random_state=3)).repartition(6).cache()
-    order = Order(("k",), "t", ("seq",), 10**9 if request.param == "wide" else 700)
-    return data, df, order.fitted(df, 100) if request.param == "fitted" else order
+    return data, df, Order(("k",), "t", ("seq",), request.param).sampled(df)
 
 
 def sorted_pandas(df):
@@ -69,18 +71,45 @@ def test_turning_points(case):
     assert np.array_equal(sorted_pandas(turning_points(df, order, "v")).v, v[np.r_[True, inner, True]])
 
 
-def test_fitted_order_bounds_every_bucket(spark):
-    df = spark.createDataFrame(rows_of()).repartition(6)
-    order = Order(("k",), "t", ("seq",), 10_000)
-    sizes = lambda o: o.cut(df).groupBy("k", BUCKET).count().agg(F.max("count")).first()[0]
-    assert sizes(order) > 1000 and sizes(order.fitted(df, 100)) <= 100
+@pytest.mark.parametrize("spread", ["dense", "tied", "skewed"])
+def test_ranges_are_about_as_long_as_the_limit(spark, spread):
+    """Between half the limit and twice the limit, however the order columns are spread; short streams have one range."""
+    n, limit = 40_000, 500
+    at = {"dense": F.col("id"), "tied": F.lit(5).cast("long"), "skewed": F.expr("CAST(exp(id / 2000) AS LONG)")}[spread]
+    df = spark.range(n).select(F.expr("IF(id % 10 < 9, 0, 1 + id % 7)").alias("k"), at.alias("t"), F.col("id").alias("seq"))
+    order, dealt = Order(("k",), "t", ("seq",), limit).dealt(df)
+    sizes = dealt.groupBy("k", RANGE).count().where("k = 0").toPandas()
+    assert sizes["count"].sum() == n * 9 // 10 and sizes["count"].between(limit / 2, 2 * limit).all()
+    long = dealt.select("k", "_many").distinct().collect()
+    assert {r.k for r in long if r._many} >= {0} and len({r.k for r in long}) == 8
+
+
+def test_rows_are_read_and_exchanged_once(spark, tmp_path, monkeypatch):
+    """Segments, shifted values, sums and positions come from one scan and one exchange of the rows, long streams or not."""
+    spark.createDataFrame(rows_of()).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    written = []
+    monkeypatch.setattr(ordered, "written", lambda rows: written.append(rows) or cut(rows))
+    for limit in (100, 10**9):
+        order = Order(("k",), "t", ("seq",), limit)
+        order = order.sampled(df) if limit == 100 else replace(order, bounds=df.limit(0))
+        for run in (lambda: gap_segments(df, order, 5), lambda: ahead_by(df, order, "v", 10, "later"),
+                    lambda: running(df, order, F.col("v"), "total"), lambda: positions(df, order)):
+            written.clear()
+            result = run()
+            text = (written[0] if order.many else result)._jdf.queryExecution().executedPlan().toString()
+            scans = [line for line in text.splitlines() if "Scan parquet" in line and "_bounds" not in line]
+            assert len(scans) == 1 and text.count("Exchange hashpartitioning") == 1
+            if order.many:  # what is read afterwards is the written table, and rows are not exchanged again
+                after = result._jdf.queryExecution().executedPlan().toString()
+                assert str(tmp_path) not in after
 
 
 def test_gap_is_strict(frame):
     times = [0, SECOND, 2 * SECOND + 1, 2 * SECOND + 2, 9 * SECOND]
     df = frame("k int, t long, seq long", [(1, t, i) for i, t in enumerate(times)])
-    for width in (SECOND // 2, 3 * SECOND, 10**9):
-        got = gap_segments(df, Order(("k",), "t", ("seq",), width), SECOND).orderBy("t").toPandas()
+    for limit in (1, 2, 3, 10**9):
+        got = gap_segments(df, Order(("k",), "t", ("seq",), limit), SECOND).orderBy("t").toPandas()
         assert got.segment_id.tolist() == [0, 0, 1, 1, 2]
 
 
@@ -98,7 +127,7 @@ def plan(df):
 
 def test_no_single_task_and_no_nested_loop(spark):
     df = spark.createDataFrame(rows_of(300))
-    order = Order(("k",), "t", ("seq",), 10_000)
+    order = Order(("k",), "t", ("seq",))
     spans = df.select("k", F.col("t").alias("start"), (F.col("t") + 5).alias("end"))
     for result in (gap_segments(df, order, 5), positions(df, order), turning_points(df, order, "v"),
                    intervals.outside_intervals(df, spans, ["k"], "t", "start", "end", 1000),

@@ -120,7 +120,7 @@ def test_rail_from_files_to_side_rows(spark, folder):
     one = read.where("recording_id = 'Train1.csv'").orderBy("i").toPandas()
     raw = pd.read_csv(folder / "Train1.csv").to_numpy()
     assert np.array_equal(one.i, np.arange(512)) and np.allclose(np.stack(one.vib), raw[:, 1::2]) and np.allclose(np.stack(one.shock), raw[:, 2::2])
-    order = Order(("recording_id",), "i", (), 1 << 16)
+    order = Order(("recording_id",), "i")
     speeds = rail.pulse_speeds(read.select("recording_id", "i", "pulse"), order, "pulse", 10_000.0).select("recording_id", "speed")
     channels = subsystems.rail_channels(recordings.rail_samples(read), speeds, nperseg=256).cache()
     assert channels.count() == 5 * 64
@@ -141,7 +141,7 @@ def test_stress_series_in_file_order(spark, folder):
     read = recordings.read_series(spark, str(folder / "train*.csv"))
     for name, x in series.items():
         assert np.array_equal(read.where(F.col("recording_id") == name).orderBy("i").toPandas().stress, x)
-    got = {r.file_id: r.prediction for r in subsystems.damage_estimates(read, scale=1e3, width=64).collect()}
+    got = {r.file_id: r.prediction for r in subsystems.damage_estimates(read, scale=1e3).collect()}
     assert got["train1.csv"] == pytest.approx(got["train0.csv"] * 2**5) and got["train0.csv"] == pytest.approx(0.2, rel=0.02)
 
 

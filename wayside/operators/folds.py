@@ -1,4 +1,4 @@
-"""Leakage-safe folds as tables of (unit, fold). Ranks come from the bucketed ordering, so no task sees all units."""
+"""Leakage-safe folds as tables of (unit, fold). Ranks come from ordered ranges, so no task sees all units."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ from wayside.operators.ordered import Order, positions
 from wayside.operators.quantiles import exact_medians
 
 
-def ranked(units: DataFrame, at: str, ties: Sequence[str] = (), width: int = 100_000) -> DataFrame:
+def ranked(units: DataFrame, at: str, ties: Sequence[str] = ()) -> DataFrame:
     """Units with their rank ``pos`` in the order of ``at`` and their number ``n``."""
-    order = Order(("_all",), at, tuple(ties), width)
+    order = Order(("_all",), at, tuple(ties))
     return positions(units.withColumn("_all", F.lit(0)), order).drop("_all")
 
 
@@ -57,10 +57,10 @@ def nested_blocks(units: DataFrame, blocks: int, inner: int, offsets: Sequence[i
 def stratified(units: DataFrame, unit: str, label: str, k: int, seed: int) -> DataFrame:
     """Class-balanced folds: units of a class in the order of a seeded digest, dealt out in turn."""
     digest = F.md5(F.concat_ws("-", F.col(unit).cast("string"), F.lit(str(seed))))
-    keyed = units.withColumn("_digest", digest).withColumn("_at", F.conv(F.substring("_digest", 1, 12), 16, 10).cast("long"))
-    order = Order((label,), "_at", ("_digest", unit), 2**48 // 4096)
+    keyed = units.withColumn("_digest", digest)
+    order = Order((label,), "_digest", (unit,))
     placed = positions(keyed, order)
-    return placed.withColumn("fold", F.col("pos") % k).drop("_digest", "_at", "pos", "n")
+    return placed.withColumn("fold", F.col("pos") % k).drop("_digest", "pos", "n")
 
 
 def family_folds(units: DataFrame, family: str, at: str, fold: str) -> DataFrame:

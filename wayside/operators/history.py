@@ -107,10 +107,10 @@ def listing(rows: DataFrame, search: str, label: str | None, by: str = "damage")
     return places(everything, ["_all"], [*first, natural_key("file_id")]).drop("_all")
 
 
-def label_adjacency(units: DataFrame, label: str, at: str, value: str, blocks: int, width: int) -> DataFrame:
+def label_adjacency(units: DataFrame, label: str, at: str, value: str, blocks: int) -> DataFrame:
     """Per label: units, mean step of ``value`` between neighbours of the label in unit order, units per block."""
-    placed = ranked(units, at, width=width).withColumn("_block", split_even(F.col("pos"), F.col("n"), blocks))
-    stepped = previous(placed, Order((label,), at, (), width), value)
+    placed = ranked(units, at).withColumn("_block", split_even(F.col("pos"), F.col("n"), blocks))
+    stepped = previous(placed, Order((label,), at), value)
     return stepped.groupBy(label).agg(
         F.count(F.lit(1)).alias("units"), F.avg(F.abs(F.col(value) - F.col(f"prev_{value}"))).alias("mean_step"),
         *[F.count(F.when(F.col("_block") == b, 1)).alias(f"block_{b}") for b in range(blocks)])

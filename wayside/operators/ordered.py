@@ -1,9 +1,9 @@
 """Ordered-stream operators that never put one stream into one task.
 
-A stream (one door, one recording) may hold a large share of all rows, so nothing here windows over a whole
-stream. Rows are windowed inside (stream, bucket), where a bucket is a fixed span of the order column; a table
-with one row per bucket carries the value across bucket borders. The bucket join reuses the partitioning of the
-row windows, so each operator costs one shuffle of the rows plus one of the bucket table.
+A stream (one door, one recording) may hold a large share of all rows, so nothing here windows over a whole stream. A
+sample of the order columns cuts every long stream into ranges of about equal rows; rows are exchanged once, by
+(stream, range), and windowed inside their range. What crosses a border is carried by a table with one row per range of
+a long stream: the sums, counts and ends of the ranges before. Where no stream is longer than a range, there is no border.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayside.functions.columns import HOUR_US
 from wayside.session import cut as written
 
-BUCKET = "_bucket"
-SLICES = 4096  # time slices of a bucket with too many rows
-TASK_ROWS = 2_000_000  # rows of one bucket that one task can window
+RANGE = "_range"
+TASK_ROWS = 2_000_000  # rows of one range
+LEAST_ROWS = 256  # a range is not made smaller than this to employ more tasks
+SAMPLED = 64  # rows sampled for one range: its size is off by an eighth (one standard deviation)
 
 
 @dataclass(frozen=True)
@@ -27,21 +27,22 @@ class Order:
     """How rows of a stream are ordered.
 
     keys:  identity of the stream (no NULLs).
-    at:    integer order column: microseconds or a sample index.
-    ties:  further columns that make the order total.
-    width: span of one bucket in units of ``at``; pick it so that width x sampling rate fits a task.
-    full:  tables of the buckets and slices that hold more than ``limit`` rows, set by ``fitted``.
+    at:    first order column, mostly microseconds or a sample index; NULLs come first.
+    ties:  further columns that make the order total. Rows equal in all of them cannot be parted.
+    limit: rows of one range; ranges are smaller where a table of n rows spread over all tasks gives smaller shares.
+    bounds, bound_keys, steps: where the ranges of the long streams begin, set by ``sampled``.
     """
 
     keys: tuple[str, ...]
     at: str
     ties: tuple[str, ...] = ()
-    width: int = HOUR_US
-    full: tuple[DataFrame, ...] = field(default=(), repr=False)
-    full_keys: tuple[str, ...] = ()
     limit: int = TASK_ROWS
+    bounds: DataFrame | None = field(default=None, repr=False)
+    bound_keys: tuple[str, ...] = ()
+    steps: tuple[int, ...] = ()
 
     def within(self, *keys: str) -> "Order":
+        """The order inside parts of the streams; ranges stay those of the streams."""
         return replace(self, keys=tuple(keys))
 
     @property
@@ -50,162 +51,199 @@ class Order:
 
     @property
     def parts(self) -> list[str]:
-        return [*self.keys, BUCKET]
+        return [*self.keys, RANGE]
+
+    @property
+    def many(self) -> bool:
+        """Whether any stream has more than one range."""
+        return bool(self.steps)
 
     def rows(self):
         return Window.partitionBy(*self.parts).orderBy(*self.sort)
 
-    def buckets(self):
-        return Window.partitionBy(*self.keys).orderBy(BUCKET)
-
-    def _bucket(self) -> Column:
-        return F.floor(F.col(self.at) / F.lit(self.width)).cast("long")
+    def ranges(self):
+        return Window.partitionBy(*self.keys).orderBy(RANGE)
 
-    def _slice(self) -> Column:
-        inside = F.col(self.at) - self._bucket() * F.lit(self.width)
-        return F.floor(inside * (F.lit(SLICES) / F.lit(self.width))).cast("long")
+    def sampled(self, df: DataFrame) -> "Order":
+        """The same order, with the bounds of the ranges that the streams of ``df`` are cut into.
 
-    def fitted(self, df: DataFrame, limit: int = TASK_ROWS) -> "Order":
-        """The same order, knowing the buckets of ``df`` with more than ``limit`` rows.
-
-        One counting pass over the key and order columns. There are at most rows / limit such buckets, which bounds
-        the tables that ``cut`` broadcasts.
+        Rows are drawn by a hash of their place, and every SAMPLED-th drawn row of a long stream begins a range. Bounds only
+        balance the work: they serve any rows with these keys and order columns, so one sample does for many operators.
         """
         keys = list(self.keys)
-        tables, rows = [], df.select(*keys, *self.sort).withColumn("_b", self._bucket())
-        for column in ("_b", "_s"):
-            full = rows.groupBy(*keys, *(["_b"] if column == "_b" else ["_b", "_s"])).agg(F.count(F.lit(1)).alias("_n"))
-            full = full.where(F.col("_n") > limit).drop("_n")
-            if full.isEmpty():
-                break
-            full = written(full)
-            tables.append(full)
-            rows = rows.join(F.broadcast(full), [*keys, "_b"], "left_semi").withColumn("_s", self._slice())
-        return replace(self, full=tuple(tables), full_keys=self.keys, limit=limit)
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        """``df`` with its bucket: a number, or (bucket, slice, time, tie range) where some buckets are too full."""
-        if not self.full:
-            return df.withColumn(BUCKET, self._bucket())
-        keys, none = list(self.full_keys), F.lit(0).cast("long")
-        out = df.withColumn("_b", self._bucket()).withColumn("_s", self._slice())
-        out = out.join(F.broadcast(self.full[0].withColumn("_many", F.lit(True))), [*keys, "_b"], "left")
-        out = out.withColumn("_s", F.when(F.col("_many"), F.col("_s")).otherwise(none))
-        exact, tie = none, none
-        if len(self.full) > 1:
-            out = out.join(F.broadcast(self.full[1].withColumn("_most", F.lit(True))), [*keys, "_b", "_s"], "left")
-            exact = F.when(F.col("_most"), F.col(self.at)).otherwise(none)
-            if self.ties:
-                tie = F.when(F.col("_most"), F.floor(F.col(self.ties[0]) / F.lit(self.limit)).cast("long")).otherwise(none)
-        bucket = F.struct(F.col("_b"), F.col("_s"), exact.alias("_a"), tie.alias("_k"))
-        return out.withColumn(BUCKET, bucket).select(*[F.col(c) for c in df.columns], BUCKET)
-
-    def chunks(self, df: DataFrame) -> DataFrame:
-        """``df`` with its bucket as a number that grows by one from bucket to bucket where buckets were cut further."""
-        cut = self.cut(df)
-        if not self.full:
-            return cut
-        listed = cut.select(*self.parts).distinct().withColumn("_no", F.row_number().over(self.buckets()).cast("long"))
-        return cut.join(listed, self.parts).withColumn(BUCKET, F.col("_no")).drop("_no")
-
-
-def _adjacent(df: DataFrame, order: Order, columns: list[str], ahead: bool, prefix: str) -> DataFrame:
-    step, end_of = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
-    cut = order.cut(df)
-    inside = cut.select(
-        "*",
-        *[step(c).over(order.rows()).alias(f"_in_{c}") for c in columns],
-        step(F.lit(True)).over(order.rows()).isNull().alias("_edge"),
-    )
-    ends = cut.groupBy(*order.parts).agg(end_of(F.struct(*columns), F.struct(*order.sort)).alias("_end"))
-    carried = ends.select(*order.parts, step("_end").over(order.buckets()).alias("_carry"))
-    joined = inside.join(carried, order.parts, "left")
-    values = [
-        F.when(F.col("_edge"), F.col(f"_carry.{c}")).otherwise(F.col(f"_in_{c}")).alias(f"{prefix}{c}") for c in columns
-    ]
-    return joined.select(*[F.col(c) for c in df.columns], *values)
+        slim = df.select(*keys, *self.sort)
+        n = slim.count()
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share = min(self.limit, max(LEAST_ROWS, n // tasks))
+        all_hashes = 1 << 40
+        drawn = F.pmod(F.xxhash64(*keys, *self.sort), F.lit(all_hashes)) < all_hashes * SAMPLED // max(share, SAMPLED)
+        some = slim.where(drawn).select(*keys, F.struct(*self.sort).alias("_place"))
+        stream = Window.partitionBy(*keys)
+        numbered = some.select(
+            *keys, "_place", F.row_number().over(stream.orderBy("_place")).alias("_r"), F.count(F.lit(1)).over(stream).alias("_n"))
+        ranges = F.greatest(F.round(F.col("_n") / min(share, SAMPLED)), F.lit(1))
+        number = lambda r: F.floor(r * ranges / F.col("_n"))
+        begins = numbered.where(number(F.col("_r") - 1) > number(F.col("_r") - 2)).where("_r > 1")
+        bounds = written(begins.groupBy(*keys).agg(F.sort_array(F.collect_list("_place")).alias("_bounds")))
+        most = bounds.agg(F.max(F.size("_bounds"))).first()[0] or 0  # one row
+        steps = tuple(1 << i for i in reversed(range(most.bit_length())))
+        return replace(self, bounds=bounds, bound_keys=self.keys, steps=steps)
+
+    def dealt(self, df: DataFrame) -> tuple["Order", DataFrame]:
+        """The sampled order, and ``df`` with the number of each row's range and whether its stream has several (``_many``).
+
+        The bounds are broadcast: at most one for every half limit of rows.
+        """
+        order = self if self.bounds is not None else self.sampled(df)
+        if not order.many:
+            return order, df.withColumns({RANGE: F.lit(0), "_many": F.lit(False)})
+        place = F.struct(*self.sort)
+        below = lambda at, step: at + F.when(F.get("_bounds", at + step - 1) <= place, step).otherwise(0)
+        number = F.aggregate(F.array(*map(F.lit, order.steps)), F.lit(0), below)
+        known = df.join(F.broadcast(order.bounds), list(order.bound_keys), "left")
+        return order, known.select(
+            *[F.col(c) for c in df.columns], F.when(F.col("_bounds").isNull(), 0).otherwise(number).alias(RANGE),
+            F.col("_bounds").isNotNull().alias("_many"))
+
+
+def _inside(df: DataFrame, order: Order, *columns: Column | Callable) -> tuple[Order, DataFrame]:
+    """Rows with values computed inside their ranges; written once if borders have to be looked at."""
+    order, dealt = order.dealt(df)
+    rows = dealt.select("*", *[c(order.rows()) if callable(c) else c for c in columns])
+    return order, written(rows) if order.many else rows
+
+
+def _row(w) -> Column:
+    return F.row_number().over(w).cast("long").alias("_row")
+
+
+def _size(w) -> Column:
+    return F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_size")
+
+
+def _carried(rows: DataFrame, order: Order, carry: DataFrame) -> DataFrame:
+    """Rows with the columns of ``carry`` (a row per range) for keys that reach over a border.
+
+    A border is crossed by one key, so at most two rows for every border are left to be broadcast.
+    """
+    crossing = carry.withColumn("_reach", F.count(F.lit(1)).over(Window.partitionBy(*order.keys))).where("_reach > 1")
+    return rows.join(F.broadcast(crossing.drop("_reach")), order.parts, "left")
+
+
+def shifted(df: DataFrame, order: Order, columns: dict[str, str], steps: int) -> DataFrame:
+    """Columns (new name: old name) of the row ``steps`` later, or earlier if negative; NULL where there is none.
+
+    Only the rows within ``steps`` of a border look for theirs in the rows at the borders of the ranges beyond.
+    """
+    k, ahead = abs(steps), steps > 0
+    names = list(dict.fromkeys(columns.values()))
+    here = F.struct(*names)
+    step = F.lead if ahead else F.lag
+    order, rows = _inside(df, order, lambda w: step(here, k).over(w).alias("_got"), _row, _size)
+    given = [F.col(c) for c in df.columns]
+    new = [F.col(f"_got.{old}").alias(name) for name, old in columns.items()]
+    if not order.many:
+        return rows.select(*given, *new)
+    far = F.col("_size") - F.col("_row") + 1
+    mine, theirs = (far, F.col("_row")) if ahead else (F.col("_row"), far)
+    at_border = F.col("_many") & (mine <= k)
+    listed = rows.where(F.col("_many") & (theirs <= k)).groupBy(*order.parts).agg(
+        F.sort_array(F.collect_list(F.struct("_row", here.alias("_here")))).alias("_list"))
+    beyond = order.ranges().rowsBetween(*((1, k) if ahead else (-k, -1)))
+    found = F.flatten(F.collect_list(F.transform("_list", lambda x: x["_here"])).over(beyond))
+    others = listed.select(*order.parts, found.alias("_others"))
+    place = (k - mine + 1).cast("int")
+    taken = F.try_element_at("_others", place if ahead else -place)
+    border = rows.where(at_border).drop("_got").join(others, order.parts, "left").withColumn("_got", taken)
+    return rows.where(~at_border).select(*given, *new).unionByName(border.select(*given, *new))
 
 
 def previous(df: DataFrame, order: Order, *columns: str, prefix: str = "prev_") -> DataFrame:
     """Value of ``columns`` in the row before, NULL in the first row of a stream."""
-    return _adjacent(df, order, list(columns), False, prefix)
+    return shifted(df, order, {f"{prefix}{c}": c for c in columns}, -1)
 
 
 def following(df: DataFrame, order: Order, *columns: str, prefix: str = "next_") -> DataFrame:
-    return _adjacent(df, order, list(columns), True, prefix)
+    return shifted(df, order, {f"{prefix}{c}": c for c in columns}, 1)
 
 
-def running(df: DataFrame, order: Order, value: Column, name: str) -> DataFrame:
-    """Running sum of ``value`` up to and including each row."""
-    cut = order.cut(df).withColumn("_value", value)
-    upto = order.rows().rowsBetween(Window.unboundedPreceding, 0)
-    before = order.buckets().rowsBetween(Window.unboundedPreceding, -1)
-    inside = cut.withColumn("_inside", F.sum("_value").over(upto))
-    carried = (
-        cut.groupBy(*order.parts)
-        .agg(F.sum("_value").alias("_total"))
-        .select(*order.parts, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry"))
-    )
-    joined = inside.join(carried, order.parts, "left")
-    return joined.select(*[F.col(c) for c in df.columns], (F.col("_carry") + F.col("_inside")).alias(name))
+def ahead_by(df: DataFrame, order: Order, column: str, steps: int, name: str) -> DataFrame:
+    """Value ``steps`` rows later."""
+    return shifted(df, order, {name: column}, steps)
 
 
-def positions(df: DataFrame, order: Order, name: str = "pos", length: str = "n") -> DataFrame:
-    """Zero-based position of each row in its stream and the length of the stream."""
-    cut = order.cut(df)
-    before = order.buckets().rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*order.keys)
-    inside = cut.withColumn("_inside", F.row_number().over(order.rows()).cast("long"))
-    carried = (
-        cut.groupBy(*order.parts)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
-            *order.parts,
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_carry"),
-            F.sum("_rows").over(whole).alias(length),
-        )
-    )
-    joined = inside.join(carried, order.parts, "left")
-    place = (F.col("_carry") + F.col("_inside") - 1).alias(name)
-    return joined.select(*[F.col(c) for c in df.columns], place, F.col(length))
+#: What running values need: the aggregate, its value over no rows, and how two of them add up.
+RUNNING = {
+    "sum": (F.sum, 0, lambda a, b: a + b),
+    "xor": (F.bit_xor, 0, lambda a, b: a.bitwiseXOR(b)),
+}
 
 
-def ahead_by(df: DataFrame, order: Order, column: str, steps: int, name: str) -> DataFrame:
-    """Value ``steps`` rows later, found by an equi-join on (stream, position): even for one huge stream."""
-    placed = positions(df, order, "_pos", "_len")
-    later = placed.select(*order.keys, (F.col("_pos") - steps).alias("_pos"), F.col(column).alias(name))
-    return placed.join(later, [*order.keys, "_pos"], "left").drop("_pos", "_len")
+def running(df: DataFrame, order: Order, value: Column, name: str, how: str = "sum") -> DataFrame:
+    """Running sum (or exclusive or) of ``value`` up to and including each row."""
+    return runnings(df, order, {name: value}, how)
+
+
+def runnings(df: DataFrame, order: Order, values: dict[str, Column], how: str = "sum") -> DataFrame:
+    """Several running values at once: new name, value."""
+    whole, none, add = RUNNING[how]
+    named = {f"_v_{name}": value for name, value in values.items()}
+    upto = lambda c: lambda w: whole(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_in{c}")
+    order, rows = _inside(df.withColumns(named), order, *[upto(c) for c in named])
+    given = [F.col(c) for c in df.columns]
+    if not order.many:
+        return rows.select(*given, *[F.col(f"_in_v_{name}").alias(name) for name in values])
+    before = order.ranges().rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.where("_many").groupBy(*order.parts).agg(*[whole(c).alias(c) for c in named])
+    carry = ends.select(*order.parts, *[whole(c).over(before).alias(f"_to{c}") for c in named])
+    joined = _carried(rows, order, carry)
+    return joined.select(*given, *[
+        F.when(F.col(f"_to_v_{name}").isNull(), F.col(f"_in_v_{name}")).otherwise(
+            F.coalesce(add(F.col(f"_to_v_{name}"), F.col(f"_in_v_{name}")), F.col(f"_to_v_{name}"))).alias(name)
+        for name in values])
+
+
+def positions(df: DataFrame, order: Order, name: str = "pos", length: str = "n") -> DataFrame:
+    """Zero-based position of each row in its stream and the length of the stream."""
+    order, rows = _inside(df, order, _row, _size)
+    given = [F.col(c) for c in df.columns]
+    if not order.many:
+        return rows.select(*given, (F.col("_row") - 1).alias(name), F.col("_size").alias(length))
+    before = order.ranges().rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.where("_many").groupBy(*order.parts).agg(F.count(F.lit(1)).alias("_rows"))
+    carry = ends.select(
+        *order.parts, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_ahead"),
+        F.sum("_rows").over(Window.partitionBy(*order.keys)).alias("_stream_size"))
+    joined = _carried(rows, order, carry)
+    return joined.select(
+        *given, (F.coalesce("_ahead", F.lit(0)) + F.col("_row") - 1).alias(name), F.coalesce("_stream_size", "_size").alias(length))
 
 
 def run_numbers(df: DataFrame, order: Order, columns: Sequence[str], starts: Callable[[Column, Column], Column], name: str) -> DataFrame:
     """Number the runs of a stream from 0. ``starts(before, here)`` says from two neighbouring rows (structs of
     ``columns``) whether a new run begins.
 
-    The bucket table holds the first and last row of a bucket and the runs begun inside, so borders between buckets are
-    decided there and the rows are joined once.
+    The table of ranges holds the first and last row of a range and the runs begun inside, so borders are decided there.
     """
-    cut = order.cut(df)
     here = F.struct(*columns)
-
-    def begun(rows: DataFrame) -> DataFrame:
-        before = F.lag(here).over(order.rows())
-        new = F.when(before.isNotNull() & starts(before, here), 1).otherwise(0).cast("long")
-        return rows.withColumn("_new", new)
-
-    slim = begun(cut.select(*dict.fromkeys([*order.keys, *order.sort, *columns]), BUCKET))
+    new = lambda before, now: F.when(before.isNotNull() & starts(before, now), 1).otherwise(0).cast("long")
+    order, dealt = order.dealt(df)
+    begun = dealt.withColumn("_new", new(F.lag(here).over(order.rows()), here))
+    upto = order.rows().rowsBetween(Window.unboundedPreceding, 0)
+    rows = begun.withColumn("_in", F.sum("_new").over(upto))
+    given = [F.col(c) for c in df.columns]
+    if not order.many:
+        return rows.select(*given, F.col("_in").alias(name))
+    rows = written(rows)
     place = F.struct(*order.sort)
-    ends = slim.groupBy(*order.parts).agg(
+    ends = rows.where("_many").groupBy(*order.parts).agg(
         F.min_by(here, place).alias("_first"), F.max_by(here, place).alias("_last"), F.sum("_new").alias("_n"))
-    ahead = order.buckets().rowsBetween(Window.unboundedPreceding, -1)
-    last = F.lag("_last").over(order.buckets())
-    border = ends.withColumn(
-        "_border", F.when(last.isNotNull() & starts(last, F.col("_first")), 1).otherwise(0).cast("long"))
-    carried = border.select(
+    border = ends.withColumn("_border", new(F.lag("_last").over(order.ranges()), F.col("_first")))
+    ahead = order.ranges().rowsBetween(Window.unboundedPreceding, -1)
+    carry = border.select(
         *order.parts, (F.coalesce(F.sum(F.col("_n") + F.col("_border")).over(ahead), F.lit(0)) + F.col("_border")).alias("_carry"))
-    upto = order.rows().rowsBetween(Window.unboundedPreceding, 0)
-    inside = begun(cut).withColumn("_inside", F.sum("_new").over(upto))
-    joined = inside.join(carried, order.parts, "left")
-    return joined.select(*[F.col(c) for c in df.columns], (F.col("_carry") + F.col("_inside")).alias(name))
+    joined = _carried(rows, order, carry)
+    return joined.select(*given, (F.coalesce("_carry", F.lit(0)) + F.col("_in")).alias(name))
 
 
 def gap_segments(df: DataFrame, order: Order, gap: int, name: str = "segment_id") -> DataFrame:
@@ -230,21 +268,21 @@ def longest_run(df: DataFrame, order: Order, flag: Column, name: str = "longest"
 def first_transition(df: DataFrame, order: Order, flag: str, to: int, *extra: str) -> DataFrame:
     """First row where ``flag`` turns to ``to``: its position and the ``extra`` columns there, per stream.
 
-    Everything comes from the bucket table: rows of a bucket, the first turn inside, and the flag at both ends.
+    Everything comes from the table of ranges: rows of a range, the first turn inside, and the flag at both ends.
     """
     columns = list(dict.fromkeys([*order.keys, *order.sort, flag, *extra]))
-    rows = order.cut(df.select(*columns)).withColumn("_rn", F.row_number().over(order.rows()).cast("long"))
+    order, dealt = order.dealt(df.select(*columns))
     before = F.lag(flag).over(order.rows())
-    turned = rows.withColumn("_turn", (F.col(flag) == to) & (before == 1 - to))
-    found = F.struct((F.col("_rn") - 1).alias("pos"), *extra)
+    turned = dealt.select("*", _row(order.rows()), ((F.col(flag) == to) & (before == 1 - to)).alias("_turn"))
+    found = F.struct((F.col("_row") - 1).alias("pos"), *extra)
     ends = turned.groupBy(*order.parts).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min_by(flag, "_rn").alias("_first"), F.max_by(flag, "_rn").alias("_last"),
-        F.min_by(found, F.col("_rn")).alias("_head"), F.min_by(F.when(F.col("_turn"), found), F.when(F.col("_turn"), F.col("_rn"))).alias("_in"))
-    ahead = order.buckets().rowsBetween(Window.unboundedPreceding, -1)
-    border = (F.col("_first") == to) & (F.lag("_last").over(order.buckets()) == 1 - to)
+        F.count(F.lit(1)).alias("_rows"), F.min_by(flag, "_row").alias("_first"), F.max_by(flag, "_row").alias("_last"),
+        F.min_by(found, F.col("_row")).alias("_head"), F.min_by(F.when(F.col("_turn"), found), F.when(F.col("_turn"), F.col("_row"))).alias("_in"))
+    ahead = order.ranges().rowsBetween(Window.unboundedPreceding, -1)
+    border = (F.col("_first") == to) & (F.lag("_last").over(order.ranges()) == 1 - to)
     listed = ends.select(
-        *order.keys, F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"), F.when(border, F.col("_head")).otherwise(F.col("_in")).alias("_hit"))
-    hits = listed.where("_hit IS NOT NULL").select(*order.keys, (F.col("_before") + F.col("_hit.pos")).alias("_pos"), "_hit")
+        *order.keys, F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead"), F.when(border, F.col("_head")).otherwise(F.col("_in")).alias("_hit"))
+    hits = listed.where("_hit IS NOT NULL").select(*order.keys, (F.col("_ahead") + F.col("_hit.pos")).alias("_pos"), "_hit")
     first = hits.groupBy(*order.keys).agg(F.min("_pos").alias("pos"), F.min_by("_hit", "_pos").alias("_hit"))
     return first.select(*order.keys, "pos", *[F.col(f"_hit.{c}").alias(c) for c in extra])
 
@@ -261,18 +299,8 @@ def turning_points(df: DataFrame, order: Order, value: str) -> DataFrame:
 
 
 def places(df: DataFrame, keys: Sequence[str], by: Sequence[Column], name: str = "place") -> DataFrame:
-    """Place (from 1) of every row inside its keys by any sort columns, texts included.
-
-    Rows are dealt out by sampled ranges of the sort columns, numbered inside each range and moved by the rows of the ranges
-    before; so no key is sorted in one task, and equal rows are the only ones that cannot be parted.
-    """
+    """Place (from 1) of every row inside its keys by any sort columns, texts included; equal rows cannot be parted."""
     marked = [f"_by{i}" for i in range(len(by))]
     sortable = df.withColumns(dict(zip(marked, by, strict=True)))
-    ranged = sortable.repartitionByRange(*[F.col(k) for k in keys], *[F.col(m) for m in marked])
-    dealt = written(ranged.withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*marked))
-    numbered = dealt.withColumn("_inside", inside).join(offset, [*keys, "_range"])
-    return numbered.select(*df.columns, (F.col("_inside") + F.col("_before")).cast("long").alias(name))
+    placed = positions(sortable, Order(tuple(keys), marked[0], tuple(marked[1:])), "_pos", "_len")
+    return placed.select(*df.columns, (F.col("_pos") + 1).alias(name))

@@ -180,7 +180,7 @@ def operator_view(spark, sf):
 )
 def label_adjacency(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    a = history.label_adjacency(c, "c_mktsegment", "c_custkey", "c_acctbal", 5, 5_000)
+    a = history.label_adjacency(c, "c_mktsegment", "c_custkey", "c_acctbal", 5)
     return a.withColumn("mean_step", rounded("mean_step", 4))
 
 

@@ -80,7 +80,7 @@ def car_table(spark, sf):
     rows = deviated(spark, sf)
     faulty = F.lpad((F.col("case_id") % 8 + 1).cast("string"), 2, "0")
     model = models.fit_ridge(rows.where(F.col("cooling") & (F.col("car") != faulty)), models.RESPONSE_FEATURES, "dT_10")
-    f = peers.car_features(cut(models.response_residual(rows, model)), ["case_id", "car"], CAR.fitted(rows))
+    f = peers.car_features(cut(models.response_residual(rows, model)), ["case_id", "car"], CAR.sampled(rows))
     residuals = [rounded(c, 5).alias(c) for c in ("resid_mean", "resid_p90")]
     return f.select("case_id", "car", *WHOLE, *[rounded(c).alias(c) for c in FEATURES], *residuals)
 
@@ -133,7 +133,7 @@ def huber_fit(spark, sf):
 def oof_table(spark, sf):
     """Out-of-fold forest probabilities over four family-safe folds."""
     rows, names = vector_rows(spark, sf)
-    ranked = folds.ranked(rows, "vec_id", width=10_000)
+    ranked = folds.ranked(rows, "vec_id")
     unit = ranked.withColumn("fold0", folds.split_even(F.col("pos"), F.col("n"), 4)).withColumn("family", F.floor(F.col("vec_id") / 4))
     placed = cut(folds.family_folds(unit, "family", "vec_id", "fold0"))
 

@@ -12,7 +12,7 @@ from wayside.plans.registry import query, rd
 from wayside.session import cut, table
 from wayside.sources import telemetry
 
-CAR = Order(("case_id", "car"), "t", ("seq",), 10 * DAY_US)
+CAR = Order(("case_id", "car"), "t", ("seq",))
 MODES = {"click": "Cooling", "view": "Full cooling", "purchase": "Cool stop", "signup": "Heating", "error": "cooling half"}
 
 ACV = EV + f""", acv0 AS (SELECT stream_id // 8 AS case_id, lpad(CAST(stream_id % 8 + 1 AS VARCHAR), 2, '0') AS car, t // {DAY_US} AS ts, t, seq,
@@ -48,7 +48,7 @@ def readings(spark, sf):
 
 def prepared(spark, sf):
     rows = readings(spark, sf)
-    return peers.prepare(rows, CAR.fitted(rows))
+    return peers.prepare(rows, CAR.sampled(rows))
 
 
 def deviated(spark, sf):
@@ -137,7 +137,7 @@ FEATURES = ("cool_frac full_cool_frac t_in_mean t_in_std peer_dev_mean peer_dev_
 
 def features(spark, sf):
     rows = deviated(spark, sf)
-    return peers.car_features(rows, ["case_id", "car"], CAR.fitted(rows))
+    return peers.car_features(rows, ["case_id", "car"], CAR.sampled(rows))
 
 
 @query("car_features", f"WITH {ACV}, {CAR_SQL} SELECT case_id, car, {', '.join(WHOLE)}, " + ", ".join(f"{rd(c)} AS {c}" for c in FEATURES) + " FROM car_f")

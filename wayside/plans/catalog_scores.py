@@ -402,7 +402,7 @@ RANKED = "rk AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1
 )
 def block_folds(spark, sf):
     """Contiguous blocks of the orders, by proportion and by even split after rotating the order by 7."""
-    r = folds.ranked(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", width=50_000)
+    r = folds.ranked(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
     pos, n = F.col("pos"), F.col("n")
     return r.select("o_orderkey", folds.proportional(pos, n, 5).alias("proportional"), folds.split_even(folds.rotated(pos, n, 7), n, 5).alias("rotated"))
 
@@ -419,7 +419,7 @@ NESTED = f"""rk AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1
       CASE WHEN NOT held THEN {SPLIT.format(p="ip", n="m", k=3)} END AS inner_block FROM inn""",
 )
 def nested_blocks(spark, sf):
-    r = folds.ranked(table(spark, sf, "customer").select("c_custkey"), "c_custkey", width=5_000)
+    r = folds.ranked(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
     return folds.nested_blocks(r, 5, 3, (0, 11))
 
 
@@ -440,7 +440,7 @@ def stratified_folds(spark, sf):
 def group_folds(spark, sf):
     """Three contiguous folds of the documents; exact copies follow their first member."""
     d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("family"))
-    r = folds.ranked(d, "doc_id", width=10_000)
+    r = folds.ranked(d, "doc_id")
     units = r.withColumn("fold", folds.split_even(F.col("pos"), F.col("n"), 3))
     return folds.family_folds(units, "family", "doc_id", "fold").select("doc_id", "fold", "family_fold")
 
@@ -479,7 +479,7 @@ def loco(spark, sf):
 )
 def fold_audit(spark, sf):
     """Nations play the duplicate families; contiguous blocks split them, so the audit lists every crossing."""
-    r = folds.ranked(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("family")), "c_custkey", width=5_000)
+    r = folds.ranked(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("family")), "c_custkey")
     return folds.audit(folds.nested_blocks(r, 5, 3, (0, 11)), "c_custkey", "family", F.col("held"))
 
 
@@ -492,7 +492,7 @@ def fold_audit(spark, sf):
 def truth_fold(spark, sf):
     """True cycles assigned to the blocks of the predicted ones by their start time."""
     pred = _intervals(spark, sf, SHORT_GAP, "j").withColumn("t", F.col("start"))
-    placed = ordered.positions(pred, ordered.Order(("stream_id",), "t", ("j",), STREAM.width), "pos", "n")
+    placed = ordered.positions(pred, ordered.Order(("stream_id",), "t", ("j",)), "pos", "n")
     blocks = placed.withColumn("block", folds.proportional(F.col("pos"), F.col("n"), 3))
     true = _intervals(spark, sf, DAY_US, "i").select("stream_id", "i", "start")
     return folds.truth_folds(true, blocks, ["stream_id"], "start", 3).select("stream_id", "i", "fold")
@@ -559,7 +559,7 @@ def full_calibration(spark, sf):
     """Three family-safe folds over all units and one decision (weight, threshold) chosen on all out-of-fold rows."""
     u = oof(spark, sf)
     d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("family"))
-    r = folds.ranked(d, "doc_id", width=10_000).withColumn("fold", folds.split_even(F.col("pos"), F.col("n"), 3))
+    r = folds.ranked(d, "doc_id").withColumn("fold", folds.split_even(F.col("pos"), F.col("n"), 3))
     safe = folds.family_folds(r, "family", "doc_id", "fold").select(F.col("doc_id").alias("unit_id"), F.col("family_fold").alias("fold"))
     chosen = cut(choose.blend_sweep(u).where("chosen").select("w", "tau"))  # one row
     joined = u.join(safe, "unit_id").select(

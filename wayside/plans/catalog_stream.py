@@ -19,9 +19,9 @@ KEYS = ["stream_id", "segment_id"]
 
 
 def streamed(spark, sf):
-    """The event stream and its order, with over-full buckets known."""
+    """The event stream and its order, with the ranges of long streams known."""
     rows = event_stream(spark, sf)
-    return rows, STREAM.fitted(rows)
+    return rows, STREAM.sampled(rows)
 
 
 def segments(spark, sf):
@@ -38,7 +38,7 @@ def segmented(spark, sf):
 
 def recorded(spark, sf):
     rows = recordings(spark, sf)
-    return rows, RECORDING.fitted(rows)
+    return rows, RECORDING.sampled(rows)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 from wayside.plans import registry, subsystems
-from wayside.plans.inputs import GAP, STREAM, event_stream
+from wayside.plans.inputs import GAP, event_stream
 
 for _name in ("stream", "scores", "peers", "rail", "fatigue", "history", "models", "live"):
     import_module(f"wayside.plans.catalog_{_name}")
@@ -21,4 +21,4 @@ def oracle_sql():
 
 def flagship(spark, sf):
     """Verdict for every cycle of every stream."""
-    return subsystems.peer_verdicts(*subsystems.door_cycles(event_stream(spark, sf), STREAM.width, GAP))
+    return subsystems.peer_verdicts(*subsystems.door_cycles(event_stream(spark, sf), GAP))

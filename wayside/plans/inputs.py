@@ -14,8 +14,8 @@ from wayside.functions.columns import DAY_US, micros
 from wayside.operators.ordered import Order
 from wayside.session import table
 
-STREAM = Order(("stream_id",), "t", ("seq",), 10 * DAY_US)
-RECORDING = Order(("rec",), "t", ("ok", "ln", "pk", "x"), 730 * DAY_US)
+STREAM = Order(("stream_id",), "t", ("seq",))
+RECORDING = Order(("rec",), "t", ("ok", "ln", "pk", "x"))
 GAP = DAY_US
 SAMPLES = 50  # samples per embedded recording
 RATE = 1000.0  # its sampling rate in Hz

@@ -59,8 +59,8 @@ def _placed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _indexed(df: DataFrame, name: str = "i") -> DataFrame:
-    """Row number inside each file; one file block is one bucket."""
-    order = Order(("file_id",), "_block", ("_line",), 1)
+    """Row number inside each file."""
+    order = Order(("file_id",), "_block", ("_line",))
     return positions(df, order, name, "_n").drop("_block", "_line", "_n")
 
 
