@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WRITTEN = "written-"
 CONFIGURED = "wayside.configured"
@@ -74,6 +75,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, held: int = 200_000) -> DataFrame:
+    """Inner join of ``rows`` with a written table that has one row per key and, in ``n``, how many rows have that key.
+
+    Keys with more than a ``held``-th of all rows, fewer than ``held`` of them, are broadcast, so that no hot key is shuffled;
+    the others are joined by a shuffle in which every key has few rows.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0  # one row
+    frequent = F.col(n) > total // held
+    often = F.broadcast(counted.where(frequent))
+    seldom = rows.join(F.broadcast(counted.where(frequent).select(key)), key, "left_anti")
+    return rows.join(often, key).unionByName(seldom.join(counted.where(~frequent), key))
+
+
 def erase(written: DataFrame) -> None:
     """Remove the files of a table made by ``cut`` that nothing will read again, such as the last round of an iteration."""
     hadoop = written.sparkSession.sparkContext
