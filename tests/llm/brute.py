@@ -129,3 +129,29 @@ def binomial_tail(k, n, rate):
 
     p = Fraction(rate).limit_denominator(10**6)
     return float(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+
+
+def winnowed(text, k, w, prime, base):
+    """(position, hash) of the rightmost smallest hash of every window."""
+    codes = [ord(c) for c in text]
+    if not codes:
+        return []
+
+    def value(run):
+        h = 0
+        for c in run:
+            h = (h * base + c) % prime
+        return h
+
+    hashes = [value(codes[i:i + k]) for i in range(max(1, len(codes) - k + 1))]
+    chosen = set()
+    for i in range(max(1, len(hashes) - w + 1)):
+        window = hashes[i:i + w]
+        least = min(window)
+        chosen.add((i + max(j for j, h in enumerate(window) if h == least), least))
+    return sorted(chosen)
+
+
+def alike(a, b):
+    a, b = {h for _, h in a}, {h for _, h in b}
+    return len(a & b) / len(a | b) if a | b else 1.0

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayside.llm import chat, language, licenses, minhash, mixing, pieces, pii, quality, urls, vectors
+from wayside.llm import alignment, chat, language, licenses, minhash, mixing, pieces, pii, prefix_trie, quality, urls, vectors, winnow
 from wayside.llm.text import digest, whole
-from wayside.session import table
+from wayside.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,3 +159,105 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         digest(whole("decoded")).alias("decoded_sha256"))
+
+
+# every conversation's digest string of each prefix; crc32 of the id's digits, bit by bit
+OP11_SQL = """
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+  list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda s, e: xor(xor(s, e) >> 1, (xor(s, e) & 1) * 3988292384))) % 4 AS h FROM turns),
+opening AS (SELECT c.conv_id, t.pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos < c.h),
+got AS (SELECT conv_id, count(*) AS n FROM opening GROUP BY conv_id),
+built AS (SELECT * FROM opening UNION ALL SELECT conv_id, t.pos - h + coalesce(got.n, 0), role, text
+  FROM turns t JOIN convs c USING (conv_id) LEFT JOIN got USING (conv_id) WHERE t.pos >= h),
+paths AS (SELECT conv_id, pos + 1 AS depth, string_agg(md5(role || chr(0) || text), '' ORDER BY pos)
+    OVER (PARTITION BY conv_id ORDER BY pos) AS path,
+    len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS n_words FROM built
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+long AS (SELECT conv_id, max(depth) AS len FROM paths GROUP BY conv_id),
+nodes AS (SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_words) AS n_words,
+  sha256(coalesce(string_agg(CASE WHEN depth = len THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM paths JOIN long USING (conv_id) GROUP BY path),
+kids AS (SELECT left(path, len(path) - 32) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+named AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (path)),
+under AS (SELECT DISTINCT a.path, b.path AS below FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (SELECT u.path, CAST(sum((n.n_convs - 1) * n.n_words) AS BIGINT) AS saved_tokens, count(*) FILTER (n.n_children = 0) AS n_leaves
+  FROM under u JOIN named n ON n.path = u.below GROUP BY u.path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM named n JOIN sums USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, len(n.path) - 32)"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Prefix trie of all conversations, each rebuilt with the opening of another."""
+    turns = cut(prefix_trie.digested(table(spark, sf, "conversations")))
+    c = F.col("conv_id")
+    return prefix_trie.trie(*prefix_trie.with_openings(turns, c - c % 20, F.crc32(c.cast("string").cast("binary")) % 4))
+
+
+def winnow_sql(how: winnow.Winnow) -> str:
+    steps, source = [], "c"
+    size = 1
+    while size < how.k:
+        steps.append(f"h{2 * size} AS (SELECT doc_id, kind, pos, n, (h * {pow(winnow.BASE, size, winnow.PRIME)} + lead(h, {size}) OVER w) % {winnow.PRIME} AS h "
+                     f"FROM {source} WINDOW w AS (PARTITION BY doc_id, kind ORDER BY pos))")
+        source, size = f"h{2 * size}", 2 * size
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, t, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt
+  FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, left(t, length(t) - length(t) // 2) || left(nt, length(t) // 2) AS et FROM o),
+s AS (SELECT doc_id, 0 AS kind, regexp_extract_all(t, '(?s).') AS l FROM e UNION ALL SELECT doc_id, 1, regexp_extract_all(et, '(?s).') FROM e),
+c AS (SELECT doc_id, kind, len(l) AS n, unnest(range(len(l))) AS pos, CAST(unicode(unnest(l)) AS BIGINT) AS h FROM s),
+{', '.join(steps)},
+runs AS (SELECT doc_id, kind, pos, h, n FROM h{how.k} WHERE h IS NOT NULL
+  UNION ALL SELECT doc_id, kind, 0, list_reduce(list_prepend(0, list_transform(l, lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: (h * {winnow.BASE} + x) % {winnow.PRIME}), len(l)
+  FROM s WHERE len(l) BETWEEN 1 AND {how.k - 1}),
+mins AS (SELECT doc_id, kind, pos, n, min(h * {winnow.PLACES} + ({winnow.PLACES - 1} - pos)) OVER (PARTITION BY doc_id, kind ORDER BY pos
+  ROWS BETWEEN CURRENT ROW AND {how.w - 1} FOLLOWING) AS m FROM runs),
+marks AS (SELECT DISTINCT doc_id, kind, m // {winnow.PLACES} AS h, {winnow.PLACES - 1} - m % {winnow.PLACES} AS p FROM mins WHERE pos = 0 OR pos <= n - {how.reach}),
+f AS (SELECT doc_id, kind, string_agg(p || ':' || lower(to_hex(h)), ',' ORDER BY p) AS text, list_distinct(list(h)) AS hs FROM marks GROUP BY doc_id, kind),
+x AS (SELECT e.doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, coalesce(a.text, '') AS fingerprint, coalesce(b.text, '') AS edited_fingerprint,
+  coalesce(a.hs, []) AS ha, coalesce(b.hs, []) AS hb, coalesce(c.hs, []) AS hc
+  FROM e LEFT JOIN f a ON a.doc_id = e.doc_id AND a.kind = 0 LEFT JOIN f b ON b.doc_id = e.doc_id AND b.kind = 1 LEFT JOIN f c ON c.doc_id = next_id AND c.kind = 0)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN len(ha) + len(hb) = 0 THEN 1e0 ELSE len(list_intersect(ha, hb)) / CAST(len(list_distinct(list_concat(ha, hb))) AS DOUBLE) END AS near_edited,
+  CASE WHEN len(ha) + len(hc) = 0 THEN 1e0 ELSE len(list_intersect(ha, hc)) / CAST(len(list_distinct(list_concat(ha, hc))) AS DOUBLE) END AS near_next
+FROM x"""
+
+
+HOW = winnow.Winnow()
+
+
+@query("op12_winnowing", winnow_sql(HOW))
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the second half replaced by the opening of the next document."""
+    docs = winnow.beside_next(table(spark, sf, "documents").select("doc_id", "text"), how=HOW)
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    tail = F.substring(F.col("next_text"), F.lit(1), half)
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), tail)
+    both = docs.select(
+        "doc_id", n.cast("long").alias("n_chars"), digest(edited).alias("edited_sha256"), "marks", "next_marks",
+        HOW.changed(F.col("marks"), F.col("text"), n - half, tail).alias("edited_marks"))
+    alike = lambda other: winnow.likeness(winnow.hash_set(F.col("marks")), winnow.hash_set(F.col(other)))
+    return both.select(
+        "doc_id", "n_chars", "edited_sha256", winnow.as_text(F.col("marks")).alias("fingerprint"),
+        winnow.as_text(F.col("edited_marks")).alias("edited_fingerprint"), alike("edited_marks").alias("near_edited"),
+        alike("next_marks").alias("near_next"))
+
+
+def byte_model() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignment of both tokenizers over every document, with corpus-wide counts of the linked id pairs."""
+    aligned = alignment.align(table(spark, sf, "documents"), byte_model(), piece_model())
+    return alignment.with_counts(aligned).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
