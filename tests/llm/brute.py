@@ -131,10 +131,13 @@ def binomial_tail(k, n, rate):
     return float(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
+TOKENS = re.compile("[0-9A-Za-z\x80-\u024f]{1,12}|[^\x20\x09-\x0d]")
+
+
 def winnowed(text, k, w, prime, base):
     """(position, hash) of the rightmost smallest hash of every window."""
-    codes = [ord(c) for c in text]
-    if not codes:
+    tokens = [int(hashlib.md5(t.encode()).hexdigest()[:7], 16) for t in TOKENS.findall(text)]
+    if not tokens:
         return []
 
     def value(run):
@@ -143,7 +146,7 @@ def winnowed(text, k, w, prime, base):
             h = (h * base + c) % prime
         return h
 
-    hashes = [value(codes[i:i + k]) for i in range(max(1, len(codes) - k + 1))]
+    hashes = [value(tokens[i:i + k]) for i in range(max(1, len(tokens) - k + 1))]
     chosen = set()
     for i in range(max(1, len(hashes) - w + 1)):
         window = hashes[i:i + w]
@@ -155,3 +158,20 @@ def winnowed(text, k, w, prime, base):
 def alike(a, b):
     a, b = {h for _, h in a}, {h for _, h in b}
     return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def vector_rows(rows, least):
+    """rows (id, vector, label), ids may repeat: one (id, number of linked rows, smallest id reached) per row."""
+    able = []
+    for i, v, label in rows:
+        good = i is not None and v and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
+        able.append([x / math.sqrt(sum(y * y for y in v)) for x in v] if good else None)
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if able[a] and able[b] and rows[a][2] == rows[b][2] and len(able[a]) == len(able[b])
+             and sum(x * y for x, y in zip(able[a], able[b], strict=True)) >= least]
+    root = reach(range(len(rows)), links)
+    smallest = {}
+    for a, r in root.items():
+        if rows[a][0] is not None:
+            smallest[r] = min(smallest.get(r, rows[a][0]), rows[a][0])
+    count = Counter(x for pair in links for x in pair)
+    return [(rows[a][0], count[a], smallest.get(root[a]) if rows[a][0] is not None else None) for a in range(len(rows))]

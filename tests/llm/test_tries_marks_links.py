@@ -146,11 +146,11 @@ def edited(texts):
     return out
 
 
-def test_fingerprints_of_edited_texts(spark, tmp_path, monkeypatch):
-    """All columns of the query; blocks of a few windows must not show in a long text."""
-    monkeypatch.setattr(winnow, "BLOCK", 70)
+def test_fingerprints_of_edited_texts(spark, tmp_path):
+    """All columns of the query, with texts about as long as a run, a window and their multiples, and in one piece."""
     rng = np.random.default_rng(2)
-    texts = TEXTS + ["".join(map(chr, rng.integers(97, 122, n))) for n in (15, 17, 46, 47, 48, 94, 95, 400, 2600)]
+    some = lambda n: " ".join(rng.choice(["to", "be", "or", "not", "日本", "x,y"], n))
+    texts = TEXTS + [some(n) for n in (3, 4, 5, 10, 11, 12, 21, 22, 23, 400, 2600)] + ["q" * 3000, "字" * 300, " \t\n"]
     rows = [(100 - i if i else None, t, "e", "f") for i, t in enumerate(texts)] + [(100 - 8, "0 repeated id " * 20, "e", "f")]
     spark.createDataFrame(rows, "doc_id long, text string, marks string, fingerprint string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
     got = op12(spark, str(tmp_path)).collect()
@@ -170,13 +170,13 @@ def test_fingerprints_of_edited_texts(spark, tmp_path, monkeypatch):
 def test_shared_passages_are_found_in_both_texts(spark):
     """The guarantee: a passage as long as a window leaves a common hash at corresponding places."""
     rng = np.random.default_rng(8)
-    how = winnow.Winnow(8, 4)
-    random_text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    how = winnow.Winnow(4, 4)
+    random_text = lambda n: "".join(f" {x}" for x in rng.integers(0, 500, n))
     rows, at = [], {}
     for i in range(60):
         passage, left, right = random_text(how.reach), random_text(rng.integers(0, 50)), random_text(rng.integers(0, 50))
         rows += [(2 * i, left + passage + random_text(9)), (2 * i + 1, right + passage + random_text(30))]
-        at[i] = len(left), len(right)
+        at[i] = left.count(" "), right.count(" ")
     got = {r.doc_id: {tuple(m) for m in r.fingerprint} for r in winnow.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), how=how).collect()}
     for i, (a, b) in at.items():
         assert {(p - a, h) for p, h in got[2 * i]} & {(p - b, h) for p, h in got[2 * i + 1]}

@@ -4,10 +4,10 @@ A byte-level BPE (A) and a SentencePiece model (B) cut a text differently. Byte
 id lists into groups: a dictionary from end to index is made for each side, the ends that both know are sorted, and each
 pair of neighbouring ends slices both lists. All A-B pairs of a group are links.
 
-A text is first cut before every single blank that has no blank on either side. There neither tokenizer joins what stands
-before with what follows (A's pattern starts a token there, B's pieces hold markers only at their start), so a stretch
-between two cuts is aligned once and remembered; a text is put together from its stretches. Links are expanded into id pairs
-with their multiplicity, so that a long group of few ids stays small.
+A long text is worked through in portions. They are cut before single blanks with no blank on either side, where neither
+tokenizer joins what stands before with what follows (A's pattern starts a token there, B's pieces hold markers only at
+their start), so the whole text's tokens and groups are those of its portions. Links are expanded into id pairs with their
+multiplicity; a group with very many links is expanded over its distinct ids, so that a long group of few ids stays small.
 
 How many documents hold a pair is counted over the whole corpus by Spark. The counts then have to come back to every text:
 pairs so frequent that at most ``held`` of them can exist are broadcast, all others are joined by a shuffle, where no pair has
@@ -20,11 +20,12 @@ Repeated rows are documents each. Extra columns are left out. An empty table giv
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,12 @@ from wayside.session import cut, join_counted
 
 BEFORE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
-KEPT = 200_000  # stretches a task remembers before it starts anew
-SHORT = 64  # longest stretch that is remembered
+#: Fixed value: how the byte-level tokenizer cuts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PORTION = 1 << 15  # characters aligned at a time
 ROWS = 32  # texts answered at a time
 IDS = 1 << 32  # a pair is a * IDS + b
+MOST_LINKS = 1 << 16  # links of a group that are listed one by one
 
 
 @lru_cache(1)
@@ -50,109 +53,134 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Aligned(NamedTuple):
-    """A stretch: numbers of tokens, groups and links, the groups spelled out, and the linked pairs with their number."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    pairs: np.ndarray
-    times: np.ndarray
-
-
-def group(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Slices of both id lists between the ends that both sides know."""
-    a_at = {end: i for i, end in enumerate(a_ends)}
-    b_at = {end: i for i, end in enumerate(b_ends)}
-    out, i, j = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        # tokens without bytes after the common end belong to its group: the dictionaries keep the last index of an end
-        out.append((a_ids[i:a_at[end] + 1], b_ids[j:b_at[end] + 1]))
-        i, j = a_at[end] + 1, b_at[end] + 1
-    return out
-
-
-def linked(groups: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs over all groups (a * IDS + b) and how many links each has."""
-    total: Counter[int] = Counter()
-    for a, b in groups:
-        if len(a) == len(b) == 1:
-            total[a[0] * IDS + b[0]] += 1
-        else:
-            right = Counter(b)
-            for x, n in Counter(a).items():
-                for y, m in right.items():
-                    total[x * IDS + y] += n * m
-    return np.fromiter(total.keys(), np.int64, len(total)), np.fromiter(total.values(), np.int64, len(total))
+def entry_bytes(byte_bpe: str) -> dict[bytes, int]:
+    """Bytes and id of every entry of a byte-level BPE's file, special tokens left out. An id is the rank of its merge."""
+    with open(byte_bpe, encoding="utf-8") as file:
+        told = json.load(file)
+    special = {t["content"] for t in told["added_tokens"]}
+    letters = byte_of_letter()
+    return {bytes(letters[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in special}
+
+
+class Vocabulary:
+    """Bytes, lengths and spellings of one side's ids."""
+
+    def __init__(self, entries: dict[int, bytes], last: str) -> None:
+        size = max(entries) + 1
+        self.bytes = [entries.get(i, b"") for i in range(size)]
+        self.lengths = np.array([len(x) for x in self.bytes], np.int64)
+        self.spelled = np.array([f"{i}{mark}" for mark in (",", last) for i in range(size)], object)
+        self.size = size
+
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Every id with a comma behind it, or the closing mark where a group ends."""
+        shown = ids.copy()
+        shown[ends - 1] += self.size
+        return self.spelled[shown]
 
 
 class Aligner:
-    """Both tokenizers, and the stretches aligned so far."""
+    """Both tokenizers and what is known of their ids."""
 
     def __init__(self, byte_bpe: str, piece_model: str) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(byte_bpe)
-        self.a.encode_special_tokens = True
+        entries = entry_bytes(byte_bpe)
+        self.a = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=entries, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         check_model(self.b)
-        letters = byte_of_letter()
-        # every entry's bytes; a special token's string is never met in a text
-        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
-                        for t, i in self.a.get_vocab().items()}
-        self.b_bytes = [self.piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
-        self.held: dict[str, Aligned | None] = {}
+        self.of_a = Vocabulary({i: t for t, i in entries.items()}, "|")
+        self.of_b = Vocabulary({i: self.piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.vocab_size())}, ";")
 
     @staticmethod
     def piece_bytes(piece: str) -> bytes:
         byte = BYTE_PIECE.fullmatch(piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace(MARK, " ").encode()
 
-    def align(self, stretch: str) -> Aligned | None:
-        """A stretch that begins with a blank; none if the bytes of one side's tokens are not its own."""
-        a = self.a.encode(stretch, add_special_tokens=False).ids
-        b = self.b.encode(stretch[1:], num_threads=1)
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != stretch.encode() or b"".join(b_parts) != stretch.encode():
+    def tokens(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides for a text that begins with a blank; none if the bytes of one side's tokens are not its own."""
+        a, b = self.a.encode_ordinary(text), self.b.encode(text[1:], num_threads=1)
+        raw = text.encode()
+        # every byte is an entry of A, whose tokens therefore are the text; that its lengths add up is checked all the same
+        if int(self.of_a.lengths[a].sum()) != len(raw) or b"".join(map(self.of_b.bytes.__getitem__, b)) != raw:
             return None
-        ends = [np.cumsum([len(x) for x in parts]).tolist() for parts in (a_parts, b_parts)]
-        groups = group(a, ends[0], b, ends[1])
-        spelled = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-        return Aligned(len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups), spelled, *linked(groups))
-
-    def look_up(self, stretch: str) -> Aligned | None:
-        if len(stretch) > SHORT:
-            return self.align(stretch)
-        if stretch not in self.held:
-            if len(self.held) >= KEPT:
-                self.held = {}
-            self.held[stretch] = self.align(stretch)
-        return self.held[stretch]
+        return a, b
 
     def document(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links, hash of the groups, pairs and their numbers of links."""
         none = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
         if not text or MARK in text:
             return none
-        stretches = BEFORE_BLANK.split(" " + text)
-        known = {}
-        for s in stretches:
-            if s not in known:
-                known[s] = self.look_up(s)
-                if known[s] is None:
-                    return none
-        times = Counter(stretches)
-        total = lambda part: sum(getattr(known[s], part) * n for s, n in times.items())
-        spelled = hashlib.sha256()
-        for i, s in enumerate(stretches):
-            spelled.update((";" + known[s].groups if i else known[s].groups).encode())
-        pairs, where = np.unique(np.concatenate([known[s].pairs for s in times]), return_inverse=True)
-        links = np.zeros(len(pairs), np.int64)
-        np.add.at(links, where, np.concatenate([known[s].times * n for s, n in times.items()]))
-        return total("n_a"), total("n_b"), total("n_groups"), total("n_links"), spelled.hexdigest(), pairs, links
+        n = np.zeros(4, np.int64)
+        spelled, parts = hashlib.sha256(), []
+        for i, portion in enumerate(portions(" " + text)):
+            both = self.tokens(portion)
+            if both is None:
+                return none
+            numbers, groups, *counted = self.align(*both)
+            n += numbers
+            spelled.update((";" + groups if i else groups).encode())
+            parts.append(counted)
+        return *n.tolist(), spelled.hexdigest(), *added_up(parts)
+
+    def align(self, a: list[int], b: list[int]) -> tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]:
+        """Numbers of tokens, groups and links, the groups spelled out, the linked pairs and their numbers of links."""
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        # from end to the number of tokens up to it
+        a_at = dict(zip(self.of_a.lengths[ids_a].cumsum().tolist(), range(1, len(a) + 1), strict=True))
+        b_at = dict(zip(self.of_b.lengths[ids_b].cumsum().tolist(), range(1, len(b) + 1), strict=True))
+        shared = sorted(a_at.keys() & b_at.keys())
+        a_end, b_end = (np.array(itemgetter(*shared, shared[-1])(at)[:-1], np.int64) for at in (a_at, b_at))
+        a_size, b_size = np.diff(a_end, prepend=0), np.diff(b_end, prepend=0)
+        pairs, links = linked(ids_a, ids_b, a_end, b_end, a_size, b_size)
+        # every id at its place: a group's A ids before its B ids
+        group_a, group_b = (np.repeat(np.arange(len(shared)), size) for size in (a_size, b_size))
+        out = np.empty(len(ids_a) + len(ids_b), object)
+        place_a, place_b = np.arange(len(ids_a)), np.arange(len(ids_b))
+        out[place_a + (b_end - b_size)[group_a]] = self.of_a.spell(ids_a, a_end)
+        out[place_b + a_end[group_b]] = self.of_b.spell(ids_b, b_end)
+        numbers = (len(a), len(b), len(shared), int((a_size * b_size).sum()))
+        return numbers, "".join(out.tolist())[:-1], pairs, links
+
+
+def portions(text: str) -> Iterator[str]:
+    """The text in pieces of about PORTION characters, cut where neither tokenizer looks across."""
+    start = 0
+    while len(text) - start > 2 * PORTION:
+        found = BEFORE_BLANK.search(text, start + PORTION)
+        if found is None:
+            break
+        yield text[start:found.start()]
+        start = found.start()
+    yield text[start:]
+
+
+def added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of several (values, counts), and their counts."""
+    if len(parts) == 1:
+        return tuple(parts[0])
+    values, where = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(values), np.int64)
+    np.add.at(counts, where, np.concatenate([c for _, c in parts]))
+    return values, counts
+
+
+def linked(ids_a, ids_b, a_end, b_end, a_size, b_size) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (a * IDS + b) over all groups, and how many links each has."""
+    wide = a_size * b_size > MOST_LINKS
+    times = np.repeat(np.where(wide, 0, b_size), a_size)  # links of every A token
+    total = int(times.sum())
+    first = np.repeat(b_end - b_size, a_size)
+    within = np.arange(total) - np.repeat(times.cumsum() - times, times)
+    codes = np.repeat(ids_a, times) * IDS + ids_b[np.repeat(first, times) + within]
+    parts = [np.unique(codes, return_counts=True)]
+    for g in np.flatnonzero(wide):
+        left = Counter(ids_a[a_end[g] - a_size[g]:a_end[g]].tolist())
+        right = Counter(ids_b[b_end[g] - b_size[g]:b_end[g]].tolist())
+        found = {x * IDS + y: n * m for x, n in left.items() for y, m in right.items()}
+        parts.append((np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))))
+    return added_up(parts)
 
 
 FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<long>"

@@ -209,11 +209,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 o AS (SELECT doc_id, t, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt
   FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, left(t, length(t) - length(t) // 2) || left(nt, length(t) // 2) AS et FROM o),
-s AS (SELECT doc_id, 0 AS kind, regexp_extract_all(t, '(?s).') AS l FROM e UNION ALL SELECT doc_id, 1, regexp_extract_all(et, '(?s).') FROM e),
-c AS (SELECT doc_id, kind, len(l) AS n, unnest(range(len(l))) AS pos, CAST(unicode(unnest(l)) AS BIGINT) AS h FROM s),
+s AS (SELECT doc_id, kind, list_transform(regexp_extract_all(x, '{winnow.TOKEN}'), lambda t: CAST('0x' || left(md5(t), {winnow.DIGITS}) AS BIGINT)) AS l
+  FROM (SELECT doc_id, 0 AS kind, t AS x FROM e UNION ALL SELECT doc_id, 1, et FROM e)),
+c AS (SELECT doc_id, kind, len(l) AS n, unnest(range(len(l))) AS pos, unnest(l) AS h FROM s),
 {', '.join(steps)},
 runs AS (SELECT doc_id, kind, pos, h, n FROM h{how.k} WHERE h IS NOT NULL
-  UNION ALL SELECT doc_id, kind, 0, list_reduce(list_prepend(0, list_transform(l, lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: (h * {winnow.BASE} + x) % {winnow.PRIME}), len(l)
+  UNION ALL SELECT doc_id, kind, 0, list_reduce(list_prepend(0, l), lambda h, x: (h * {winnow.BASE} + x) % {winnow.PRIME}), len(l)
   FROM s WHERE len(l) BETWEEN 1 AND {how.k - 1}),
 mins AS (SELECT doc_id, kind, pos, n, min(h * {winnow.PLACES} + ({winnow.PLACES - 1} - pos)) OVER (PARTITION BY doc_id, kind ORDER BY pos
   ROWS BETWEEN CURRENT ROW AND {how.w - 1} FOLLOWING) AS m FROM runs),
@@ -241,7 +242,7 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), tail)
     both = docs.select(
         "doc_id", n.cast("long").alias("n_chars"), digest(edited).alias("edited_sha256"), "marks", "next_marks",
-        HOW.changed(F.col("marks"), F.col("text"), n - half, tail).alias("edited_marks"))
+        HOW.marks(edited).alias("edited_marks"))
     alike = lambda other: winnow.likeness(winnow.hash_set(F.col("marks")), winnow.hash_set(F.col(other)))
     return both.select(
         "doc_id", "n_chars", "edited_sha256", winnow.as_text(F.col("marks")).alias("fingerprint"),
