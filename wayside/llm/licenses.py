@@ -192,6 +192,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
         F.struct("first", "last", "label", "exact", "score").alias("span"))
     there = all_votes.where(F.col("template") == EVERY).select(
         *by, "n_words", F.lit(None).cast(placed.schema["span"].dataType).alias("span"))
+    # rows that repeat id and text were found once and are given back as often as they came
     return there.unionByName(placed).groupBy(*by).agg(
-        F.max("n_words").alias("n_words"), F.sort_array(F.collect_list("span")).alias("spans"),
-    ).select(F.col("doc").alias("doc_id"), "n_words", "spans")
+        F.max("n_words").alias("n_words"), F.sort_array(F.collect_list("span")).alias("spans"), F.count("n_words").alias("times"),
+    ).select(F.col("doc").alias("doc_id"), "n_words", "spans", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("col")
