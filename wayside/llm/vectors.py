@@ -9,9 +9,12 @@ data: few for clustered vectors, nearly all for random directions (then the work
 Cells are cut into blocks; a task multiplies one block of homes with one of visitors, and gives link counts and the links of
 a spanning forest. So the largest cell costs more tasks, not larger ones, and no list of all pairs is made.
 
-Nulls: vectors that are null, zero, of another length than most, or hold null or non-finite components, and vectors with a
-null label, are linked with nothing. Rows with a null id take part in nothing and have no component. Rows that repeat an id
-are rows of their own, linked if their vectors are. An empty table gives an empty result.
+Vectors of different lengths have no cosine; those of one length are compared with each other whatever the length. Lengths with
+at least BOOKED distinct vectors get their own codebook, the others are one cell each.
+
+Nulls: vectors that are null, zero, or hold null or non-finite components, and vectors with a null label, are linked with
+nothing. Rows with a null id take part in nothing and have no component. Rows that repeat an id are rows of their own, linked
+if their vectors are: inside, every distinct vector has its own number. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from wayside.session import cut, erase
 
 MOST_CELLS = 4096  # bounds the codebook that every task holds
 BLOCK = 1024
+BOOKED = 4096  # distinct vectors of a length from which on it has a codebook
 
 
 def unit_rows(lists: pa.ListArray) -> np.ndarray:
@@ -39,7 +43,7 @@ def unit_rows(lists: pa.ListArray) -> np.ndarray:
 
 
 def usable(vector: str, label: str, key: str):
-    """Whether a row can be linked at all (its length aside)."""
+    """Whether a row can be linked at all."""
     v = F.col(vector)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
@@ -83,9 +87,11 @@ def codebook(points: DataFrame, cells: int, rounds: int) -> np.ndarray:
 def visits(points: DataFrame, centres: np.ndarray, least: float) -> DataFrame:
     """``points`` once for their home cell and once for every cell they must visit: cell, home (boolean) and all columns."""
     sine = math.sqrt(1 - least * least)
+    book = points.sparkSession.sparkContext.broadcast(centres)  # MOST_CELLS vectors at most
     gaps = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2) if len(centres) <= 512 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = book.value
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
@@ -149,30 +155,32 @@ def near_vectors(rows: DataFrame, least: float = 0.93, key: str = "vec_id", vect
                  cells: int | None = None, rounds: int = 3) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest id reachable by links) and kept (its own).
 
-    ``cells``: how many; by default a 32nd of the square root of the number of distinct vectors, at most MOST_CELLS.
+    ``cells``: how many of a codebook; by default a 32nd of the square root of the number of its vectors, at most MOST_CELLS.
     """
     spark = rows.sparkSession
     table = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
-    sizes = table.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size")
-    common = sizes.where("size > 0").first()  # one row
-    length = common["size"] if common else 0
-    able = usable("vector", "label", "vec_id") & (F.size("vector") == length)
-    points = cut(table.where(able).groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
-    n = points.count()
-    if n:
-        wanted = cells or min(MOST_CELLS, max(1, math.isqrt(n) // 32))
-        centres = codebook(points, wanted, rounds)
-        spread = cut(visits(points, centres, least))
-        found = cut(compare_cells(spread, least))
-        counts = found.groupBy("id").agg(F.sum("n_links").alias("links"))
-        reached = components(found.where("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-        erase(spread)
-    else:
-        counts = spark.createDataFrame([], "id long, links long")
-        reached = spark.createDataFrame([], "id long, component long")
-    placed = cut(points.join(counts, "id", "left").join(reached, "id", "left").select(
+    able = usable("vector", "label", "vec_id")
+    points = cut(table.where(able).groupBy("label", "vector").agg(
+        F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumns(
+        {"id": F.monotonically_increasing_id(), "length": F.size("vector")}))
+    per_length = points.groupBy("length").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (BOOKED if cells is None else 1))
+    booked = {r["length"]: r["n"] for r in per_length.collect()}  # at most one for every BOOKED vectors
+    slim = points.select("label", "length", "id", "copies", "vector")
+    lone = slim.where(~F.col("length").isin(list(booked))) if booked else slim
+    dealt = lone.withColumns({"cell": F.lit(0), "home": F.lit(True)})
+    for length, n in booked.items():
+        part = slim.where(F.col("length") == length)
+        centres = codebook(part, cells or min(MOST_CELLS, max(1, math.isqrt(n) // 32)), rounds)
+        dealt = dealt.unionByName(visits(part, centres, least))
+    spread = cut(dealt)
+    found = cut(compare_cells(spread, least))
+    counts = found.groupBy("id").agg(F.sum("n_links").alias("links"))
+    reached = cut(components(found.where("id != other").select(F.col("id").alias("a"), F.col("other").alias("b"))))
+    erase(spread)
+    named = reached.join(points.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("smallest"))
+    placed = cut(points.join(counts, "id", "left").join(reached.join(named, "component"), "id", "left").select(
         "label", "vector", F.lit(True).alias("able"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
-        F.coalesce("component", "id").alias("component")))
+        F.coalesce("smallest", "least").alias("component")))
     joined = table.withColumn("able", able).join(placed, ["label", "vector", "able"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return joined.select(
@@ -181,21 +189,21 @@ def near_vectors(rows: DataFrame, least: float = 0.93, key: str = "vec_id", vect
 
 
 def compare_cells(spread: DataFrame, least: float) -> DataFrame:
-    """(id, n_links, other) over all blocks of all cells of all labels.
+    """(id, n_links, other) over all blocks of all cells of all labels and lengths.
 
     Cell sizes are counted first. A cell with h blocks of homes and v of visitors gives h * v groups; a home row goes to
     one row of groups, a visitor to one column, so no group holds more than about two blocks.
     """
-    sizes = cut(spread.groupBy("label", "cell").agg(
+    sizes = cut(spread.groupBy("label", "length", "cell").agg(
         F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all")))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    sized = spread.join(sizes, ["label", "cell"]).withColumns({"h": F.greatest(blocks("homes"), F.lit(1)), "v": blocks("all")})
+    sized = spread.join(sizes, ["label", "length", "cell"]).withColumns({"h": F.greatest(blocks("homes"), F.lit(1)), "v": blocks("all")})
     mine = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
     line = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     as_home = F.when(F.col("home"), F.transform(line("v"), lambda j: F.struct(
         F.lit(0).alias("side"), mine("h", 1).alias("i"), j.alias("j"))))
     as_visitor = F.transform(line("h"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), mine("v", 2).alias("j")))
-    dealt = sized.select("label", "cell", "id", "copies", "vector", F.explode(
+    dealt = sized.select("label", "length", "cell", "id", "copies", "vector", F.explode(
         F.concat(F.coalesce(as_home, F.array().cast("array<struct<side:int,i:int,j:int>>")), as_visitor)).alias("at"))
-    groups = dealt.select("label", "cell", "id", "copies", "vector", "at.*").groupBy("label", "cell", "i", "j")
+    groups = dealt.select("label", "length", "cell", "id", "copies", "vector", "at.*").groupBy("label", "length", "cell", "i", "j")
     return groups.applyInPandas(block_links(least), "id long, n_links long, other long")
