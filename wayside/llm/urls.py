@@ -85,11 +85,12 @@ def suffix_counts(labelled: DataFrame) -> DataFrame:
     return each.groupBy("k", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
 
 
-def with_rates(rows: DataFrame, counts: DataFrame, own: Column | None = None) -> DataFrame:
+def with_rates(rows: DataFrame, counts: DataFrame, own: Column | None = None, times: Column | None = None) -> DataFrame:
     """``rows`` with the smoothed share of blocked urls under each of their suffixes; unseen ones count as a half.
 
-    ``own``: a row's own label, if the row is among those counted; it is then left out of its own rates.
+    ``own``: a row's own label, if the row is among those counted, ``times`` over; it is then left out of its own rates.
     """
+    times = F.lit(1) if times is None else times
     each = rows.select("host").distinct().select("host", suffixes().alias("s")).select("host", "s.*")
     by_host = cut(each.join(counts, ["k", "suffix"], "left").groupBy("host").agg(*[
         F.coalesce(F.max(F.when(F.col("k") == k, F.col(name))), F.lit(0).cast("long")).alias(f"{name}{k}")
@@ -99,7 +100,7 @@ def with_rates(rows: DataFrame, counts: DataFrame, own: Column | None = None) ->
     for k in (1, 2, 3):
         bad, n = F.col(f"bad{k}"), F.col(f"n{k}")
         if own is not None:
-            bad, n = bad - own.cast("long"), n - 1
+            bad, n = bad - own.cast("long") * times, n - times
         out = out.withColumn(f"rate{k}", (bad + 1) / (n + 2)).drop(f"bad{k}", f"n{k}")
     return out
 
@@ -111,17 +112,27 @@ def featured(urls: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def fit(labelled: DataFrame, trees: int = 12, depth: int = 4, sample: int = SAMPLE):
-    """(model, suffix counts, share blocked) from rows (url, host, path, blocked); no model if one class is missing."""
+    """(model, suffix counts, share blocked) from rows (url, host, path, blocked); no model if one class is missing.
+
+    The trees see at most ``sample`` distinct urls, half of them of each class (smallest hashes), each weighing as many rows
+    as it has; classes are weighed back to their shares, so that neither a repeated url nor the rarer class gets lost.
+    """
     counts = cut(suffix_counts(labelled))
-    some = labelled.orderBy(F.xxhash64("url"), "url").limit(sample)
-    rows, names = featured(with_rates(some, counts, F.col("blocked")))
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    rows = cut(rows.select("features", F.col("blocked").cast("double").alias("label")))
-    seen = rows.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()  # one row
-    share = seen["share"] or 0.0
+    distinct = cut(labelled.groupBy("url", "host", "path", "blocked").agg(F.count(F.lit(1)).alias("times")))
+    of_class = lambda bad: distinct.where(F.col("blocked") == bad)
+    drawn = [of_class(bad).orderBy(F.xxhash64("url"), "url").limit(sample // 2) for bad in (True, False)]
+    known, seen = (
+        {r["blocked"]: r["n"] for r in rows.groupBy("blocked").agg(F.sum("times").alias("n")).collect()}  # two rows
+        for rows in (distinct, drawn[0].unionByName(drawn[1])))
+    share = known.get(True, 0) / max(sum(known.values()), 1)
     if not 0.0 < share < 1.0:
         return None, counts, share
-    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=32, seed=7).fit(rows), counts, share
+    weight = F.when(F.col("blocked"), known[True] / seen[True]).otherwise(known[False] / seen[False])
+    rows, names = featured(with_rates(drawn[0].unionByName(drawn[1]), counts, F.col("blocked"), F.col("times")))
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows.withColumn("weight", F.col("times") * weight))
+    rows = cut(rows.select("features", "weight", F.col("blocked").cast("double").alias("label")))
+    trees_of = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=32, seed=7, weightCol="weight")
+    return trees_of.fit(rows), counts, share
 
 
 def judge(urls: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, key: str = "page_id", url: str = "url",
