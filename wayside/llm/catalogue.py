@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,18 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+PII_KEY = "wayside.pii.key"
+
+
 def pii_secret(spark: SparkSession) -> str:
-    """The pseudonyms' key, from the session's setting wayside.pii.key."""
-    return spark.conf.get("wayside.pii.key", "not a secret: set wayside.pii.key")
+    """The pseudonyms' key, from the session's setting wayside.pii.key.
+
+    Without one the session gets a random key of its own: pseudonyms then link all documents of the session, and nobody
+    can undo them.
+    """
+    if not spark.conf.get(PII_KEY, None):
+        spark.conf.set(PII_KEY, secrets.token_hex(32))
+    return spark.conf.get(PII_KEY)
 
 
 @query("op2_pii")

@@ -3,7 +3,9 @@
 Personal numbers, dates and addresses are found by pattern, validated (check digits, calendar, ranges) and replaced by a
 keyed permutation of the same format: a card stays a valid card, a date a date, digits stay digits and letters letters.
 The permutation is a Feistel network with SHA-256 as its round function, so it is one to one: equal values get equal
-pseudonyms in all documents, different ones different pseudonyms, and only the key's owner can go back.
+pseudonyms in all documents, different ones different pseudonyms, and only the key's owner can go back. What is permuted is
+the value, not its spelling: the national digits of a phone number whatever stands between or before them, the day that a
+date names, the eight groups of an IPv6 address.
 
 Texts are taken apart and put together within the row: no shuffle, and anything that is not validated stays as it was.
 
@@ -43,11 +45,21 @@ def iban_pattern() -> str:
     return rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join([*known, other])})(?![0-9A-Za-z])"
 
 
+#: Country codes of phone numbers by their length; all others have three digits.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+#: What credentials are announced by, and what some begin with.
+NAMED = r"(?i:token|secret|password|passwd|api[_-]?key)"
+PREFIXED = r"(?:AKIA|ASIA)(?=[0-9A-Z]{16}$)|gh[pousr]_(?=[0-9A-Za-z]{36}$)"
+GROUP = r"[0-9A-Fa-f]{1,4}"
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: What each kind looks like, tried in this order at every place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
-    "secret": r"(?<=[\"'])(?<=(?:token|secret|password|api_key|apikey)\s?[=:]\s?[\"'])[A-Za-z0-9+/_\-]{16,128}(?=[\"'])",
+    "secret": rf"(?<=[\"'])(?<={NAMED}\s?[=:]\s?[\"'])[A-Za-z0-9+/_\-]{{16,128}}(?=[\"'])"
+              rf"|(?<={NAMED}\s?[=:]\s?)[A-Za-z0-9+/_\-]{{16,128}}(?![A-Za-z0-9+/_\-])"
+              r"|(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})(?![0-9A-Za-z])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}(?::{GROUP}){{0,6}})?::(?:{GROUP}(?::{GROUP}){{0,6}})?)(?![0-9A-Za-z:]|\.\d)",
     "iban": iban_pattern(),
     "card": r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?![0-9A-Za-z])",
     "ipv4": rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9A-Za-z]|\.\d)",
@@ -56,10 +68,10 @@ PATTERNS = {
     "dotted_date": r"(?<![0-9A-Za-z.])\d\d\.\d\d\.(?:19|20)\d\d(?![0-9A-Za-z]|\.\d)",
     "slashed_date": r"(?<![0-9A-Za-z/])\d\d/\d\d/(?:19|20)\d\d(?![0-9A-Za-z]|/\d)",
     "phone": r"(?<![0-9A-Za-z+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}"
-             r"|\(\d{3}\) ?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![0-9A-Za-z]|[.\-]\d)",
+             r"|\(\d{3}\) ?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|0\d{2,4}[ .\-]\d{3,4}[ .\-]?\d{3,4})(?![0-9A-Za-z]|[.\-]\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-KINDS = ("email", "secret", "iban", "card", "ipv4", "ssn", "date", "phone")
+KINDS = ("email", "secret", "iban", "card", "ipv4", "ipv6", "ssn", "date", "phone")
 
 
 def prf(secret: str, tweak: Column, k: Column, value: Column) -> Column:
@@ -198,6 +210,21 @@ def ipv4(secret: str, m: Column) -> Column:
     return let(F.split(m, r"\."), of)
 
 
+def ipv6(secret: str, m: Column) -> Column:
+    """An address, short or written out, to eight groups of four: equal addresses get equal ones however they are written."""
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+    full = lambda a: F.array_join(F.transform(a, lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    short = m.contains("::")
+    before = groups(F.when(short, F.substring_index(m, "::", 1)).otherwise(m))
+    behind = groups(F.when(short, F.substring_index(m, "::", -1)).otherwise(F.lit("")))
+    missing = 8 - F.size(before) - F.size(behind)
+    valid = F.when(short, missing >= 1).otherwise(missing == 0) & m.rlike("[0-9]") & (F.length(F.replace(m, F.lit(":"), F.lit(""))) > 1)
+    hexed = F.concat(full(before), F.repeat(F.lit("0000"), F.greatest(missing, F.lit(0))), full(behind))
+    made = permute_chars(secret, "ipv6", hexed, lower="abcdef")
+    return F.when(valid, let(made, lambda h: F.array_join(F.transform(
+        F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda i: F.substr(h, i, F.lit(4))), ":")))
+
+
 def ssn(secret: str, m: Column) -> Column:
     """Valid area (001-899 but 666), group (01-99) and serial (0001-9999) to other valid ones."""
     area, group, serial = (F.substr(m, F.lit(i), F.lit(n)).cast("int") for i, n in ((1, 3), (5, 2), (8, 4)))
@@ -216,7 +243,7 @@ def ssn(secret: str, m: Column) -> Column:
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days: 1900-01-01 to 2099-12-31
 
 
-WALK = 64  # steps: two dates in five have a day up to 12, so that all of them do has a chance of 1e-25
+WALK = 64  # steps: two days in five are up to the 12th, so that all of them end on the other side has a chance of 1e-14
 
 
 def moved_date(secret: str, d: Column) -> Column:
@@ -227,29 +254,37 @@ def moved_date(secret: str, d: Column) -> Column:
     return let(F.datediff(d, F.lit(FIRST_DAY).cast("date")), of)
 
 
-def date(secret: str, m: Column, form: str) -> Column:
-    """A date of 1900 to 2099 to another one, written the same way."""
-    return let(F.try_to_date(m, form), lambda d: F.when(d.isNotNull(), F.date_format(moved_date(secret, d), form)))
+def other_day(secret: str, d: Column) -> Column:
+    """A date of 1900 to 2099 to another one, moved until its day is up to 12 if the first one's was, and above if not.
 
+    So a date that only one reading allows stays one, and its pseudonym is the same in every form; the walk is one to one.
+    """
+    early = lambda x: F.dayofmonth(x) <= 12
+    return F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), moved_date(secret, d), lambda s, _: F.when(
+        early(s) == early(d), s).otherwise(moved_date(secret, s)))
 
-def slashed_date(secret: str, m: Column) -> Column:
-    """MM/dd/yyyy, or else dd/MM/yyyy, which can only be read so if the day is above 12.
 
-    The latter are moved until their day is above 12 again: that is one to one, and they never meet a MM/dd/yyyy.
-    """
-    def walk(d: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), moved_date(secret, d), lambda s, _: F.when(
-            F.dayofmonth(s) > 12, s).otherwise(moved_date(secret, s)))
-    day_first = let(F.try_to_date(m, "dd/MM/yyyy"), lambda d: F.when(d.isNotNull(), F.date_format(walk(d), "dd/MM/yyyy")))
-    return F.coalesce(date(secret, m, "MM/dd/yyyy"), day_first)
+def date(secret: str, m: Column, *forms: str) -> Column:
+    """A date, in the first of the forms that it can be read by, to another one written the same way."""
+    read = lambda form: let(F.try_to_date(m, form), lambda d: F.when(
+        d.isNotNull(), F.date_format(other_day(secret, d), form)))
+    return F.coalesce(*[read(form) for form in forms])
 
 
 def phone(secret: str, m: Column) -> Column:
-    """The digits after the country code are permuted; the code and the layout stay."""
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-(])", 0)
-    rest = F.substr(m, F.length(code) + 1)
-    return let(only_digits(rest), lambda d: F.when(
-        (F.length(d) >= 6) & (F.length(d) <= 15), F.concat(code, lay_out(permute_digits(secret, "phone", d), rest))))
+    """The national digits are permuted; country code, trunk zero and layout stay.
+
+    They are what follows the country code (after +) and a trunk zero, so +44 20 7946 0958, +442079460958, +44 (0)20 7946 0958
+    and 020 7946 0958 get the same ones. Italian numbers keep their zero.
+    """
+    def of(d: Column) -> Column:
+        code = F.when(m.startswith("+"), F.length(F.regexp_extract(d, rf"^(?:{COUNTRY})", 0))).otherwise(F.lit(0))
+        trunk = (F.substr(d, code + 1, F.lit(1)) == "0") & ~(m.startswith("+") & d.startswith("39"))
+        start = code + trunk.cast("int")
+        n = F.length(d) - start
+        return F.when((n >= 6) & (n <= 15), lay_out(F.concat(
+            F.substr(d, F.lit(1), start), permute_digits(secret, "phone", F.substr(d, start + 1))), m))
+    return let(only_digits(m), of)
 
 
 def email(secret: str, m: Column) -> Column:
@@ -258,11 +293,13 @@ def email(secret: str, m: Column) -> Column:
 
 
 def secret_value(secret: str, m: Column) -> Column:
-    """A credential: digits and letters both needed; hexadecimal stays hexadecimal."""
-    hexed = permute_chars(secret, "hex", m, lower="abcdef")
-    other = permute_chars(secret, "secret", m)
+    """A credential: digits and letters both needed, unless it begins like one; hexadecimal stays hexadecimal."""
+    head = F.regexp_extract(m, rf"^(?:{PREFIXED})", 0)
+    body = F.substr(m, F.length(head) + 1)
+    hexed = permute_chars(secret, "hex", body, lower="abcdef")
+    other = permute_chars(secret, "secret", body)
     mixed = m.rlike(r"[0-9]") & m.rlike(r"[A-Za-z]")
-    return F.when(mixed, F.when(m.rlike(r"^[0-9a-f]+$"), hexed).otherwise(other))
+    return F.when(mixed | (head != ""), F.concat(head, F.when(body.rlike(r"^[0-9a-f]+$"), hexed).otherwise(other)))
 
 
 def pseudonym(secret: str, m: Column) -> Column:
@@ -270,10 +307,11 @@ def pseudonym(secret: str, m: Column) -> Column:
     ways = [
         ("email", m.contains("@"), lambda: email(secret, m)),
         ("ipv4", m.rlike(rf"^{PATTERNS['ipv4']}$"), lambda: ipv4(secret, m)),
+        ("ipv6", m.rlike(rf"^{PATTERNS['ipv6']}$"), lambda: ipv6(secret, m)),
         ("ssn", m.rlike(rf"^{PATTERNS['ssn']}$"), lambda: ssn(secret, m)),
         ("date", m.rlike(r"^\d{4}-\d\d-\d\d$"), lambda: date(secret, m, "yyyy-MM-dd")),
         ("date", m.rlike(r"^\d\d\.\d\d\.\d{4}$"), lambda: date(secret, m, "dd.MM.yyyy")),
-        ("date", m.rlike(r"^\d\d/\d\d/\d{4}$"), lambda: slashed_date(secret, m)),
+        ("date", m.rlike(r"^\d\d/\d\d/\d{4}$"), lambda: date(secret, m, "MM/dd/yyyy", "dd/MM/yyyy")),
         ("card", m.rlike(rf"^{PATTERNS['card']}$"), lambda: card(secret, m)),
         ("phone", m.rlike(rf"^{PATTERNS['phone']}$"), lambda: phone(secret, m)),
         ("iban", m.rlike(rf"^{PATTERNS['iban']}$"), lambda: iban(secret, m)),
