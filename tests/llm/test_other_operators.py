@@ -97,14 +97,38 @@ def test_vectors_lose_no_link(spark, monkeypatch):
            ([1.0, 2.0], 0), (rows[7][1], None)]
     rows += [(at + i, v, lab) for i, (v, lab) in enumerate(odd)]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string").repartition(4)
-    want = brute.cosine_links([r for r in rows if r[1] is None or len(r[1]) in (0, 16)], 0.93) | {at + 6: (0, at + 6)}
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(frame, 0.93, cells=9).collect()}
-    assert got == want
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(frame, 0.93, cells=9).collect())
+    assert got == sorted(brute.vector_rows(rows, 0.93))
     assert vectors.near_vectors(frame.where("false"), 0.93).count() == 0
     nameless = vectors.near_vectors(spark.createDataFrame([(None, rows[0][1], 1), (None, rows[0][1], 1)], "vec_id long, embedding array<float>, label int"))
     assert [(r.n_links, r.component_id, r.kept) for r in nameless.collect()] == [(0, None, True)] * 2
 
 
+@pytest.mark.parametrize("cells", [None, 3])
+def test_vectors_of_mixed_lengths_and_repeated_ids(spark, cells):
+    """Every length is compared with itself; different vectors under one id are rows of their own, and may be linked."""
+    rng = np.random.default_rng(15)
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [1.0, 0.1, 0.0], 0), (2, [0.5, 0.5], 0), (3, [0.5, 0.5], 0), (4, [0.5, 0.52], 0), (5, [1.0, 0.0], 0),
+            (6, [1.0, 0.0, 0.0], 1), (7, [3.0], 0), (8, [-3.0], 0), (9, [5.0], 0), (5, None, 0), (5, [0.0, 0.0, 0.0], 0)]
+    for n, length in enumerate((2, 3, 5, 8)):
+        for i in range(40):
+            rows.append((int(rng.integers(10, 60)), [float(np.float32(x)) for x in rng.normal(size=length)], int(i % 2)))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    as_floats = [(i, v and [float(np.float32(x)) for x in v], lab) for i, v, lab in rows]
+    got = [(r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(frame, 0.93, cells=cells).collect()]
+    assert sorted(got) == sorted(brute.vector_rows(as_floats, 0.93))
+
+
+def test_url_sample_is_of_distinct_urls(spark):
+    """One url repeated far more often than the sample is large neither fills it nor hides the other class."""
+    rows = [("http://hot.example.com/a", False)] * 3000
+    rows += [(f"http://bad{i}.site.net/{i * 7919}?x={i}&y={i}&z=1", True) for i in range(150)] + [(f"https://good{i}.org/en/p", False) for i in range(150)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "http://bad999.site.net/123?x=1&y=2&z=1"), (2, "https://good999.org/en/p"), (3, "http://hot.example.com/a")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.score) for r in urls.judge(pages, [], labelled, sample=120).collect()}
+    assert (got[1][0], got[2][0], got[3][0]) == ("block", "allow", "allow") and len({s for _, s in got.values()}) > 1
+
+
 def test_chat_equals_sql(spark):
     assert difference(spark, connect(SF), SF, entry.queries()["op8_chat_format"], entry.oracle_sql()["op8_chat_format"]) is None
 
@@ -154,11 +178,76 @@ def test_language_edges(spark):
     got = {r.doc_id: r for r in language.predict(docs.select("doc_id", "score", "text"), model).collect()}
     assert [got[i].lang_pred for i in (3, 4, 5, 6, 7)] == ["und", "und", "und", "de", "en"]
     assert got[3].score == 0.0 and len(got) == 8
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ² ① ⅷ", "½ a", "१२३", "é", "_ - 7"])], "doc_id long, text string")
+    assert {r.doc_id for r in language.predict(odd, model).collect() if r.lang_pred == "und"} == {0, 2, 4}
     none = language.learn(docs.where("lang IS NULL"), "text", "lang")
     assert {r.lang_pred for r in language.predict(docs.select("doc_id", "text"), none).collect()} == {"und"}
     assert language.predict(docs.where("false").select("doc_id", "text"), model).count() == 0
 
 
+def bayes_answers(train, texts, smoothing=0.5):
+    """Naive Bayes by dictionaries over the same counters."""
+    counts, rows = {}, {}
+    for t, lang in train:
+        if language.has_letter(t):
+            _, bins, n = language.grams([t])
+            mine = counts.setdefault(lang, {})
+            for b, k in zip(bins.tolist(), n.tolist(), strict=True):
+                mine[b] = mine.get(b, 0) + k
+            rows[lang] = rows.get(lang, 0) + 1
+    total = {x: sum(c.values()) + smoothing * language.BINS for x, c in counts.items()}
+    out = []
+    for t in texts:
+        if not language.has_letter(t):
+            out.append(({"und"}, 0.0))
+            continue
+        _, bins, n = language.grams([t])
+        logs = {x: np.log(rows[x] / sum(rows.values())) + sum(k * np.log((counts[x].get(b, 0) + smoothing) / total[x]) for b, k in zip(bins.tolist(), n.tolist(), strict=True))
+                for x in counts}
+        best = max(sorted(logs), key=lambda x: logs[x])
+        equal = {x for x, v in logs.items() if v >= logs[best] - 1e-9}  # as likely but for rounding
+        out.append((equal, 1 / sum(np.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_language_equals_brute_force_with_any_number_of_labels(spark):
+    """More labels than a block and than a task holds: the same answers as by dictionaries, and every label can win."""
+    rng = np.random.default_rng(17)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöß  "))
+    train = [("".join(rng.choice(letters, 30)), f"l{i % 600:03d}") for i in range(900)] + [(None, "l000"), ("123", "l001"), ("x", None)]
+    tried = [train[i][0] for i in range(0, 600, 40)] + ["".join(rng.choice(letters, 50)) for _ in range(15)] + ["", None, "z", "y" * 3000]
+    docs = spark.createDataFrame(train, "text string, lang string").repartition(3)
+    model = language.learn(docs, "text", "lang")
+    assert len(model.languages) == 600 > 2 * language.LANGUAGES
+    asked = spark.createDataFrame(list(enumerate(tried)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(asked, model).collect()}
+    for i, (lang, score) in enumerate(bayes_answers([r for r in train if r[1]], tried)):
+        assert got[i][0] in lang and got[i][1] == pytest.approx(score, rel=1e-6, abs=1e-12), tried[i]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null texts and ids, repeated rows, extra columns with clashing names and an empty table through all stages."""
+    docs = table(spark, SF, "documents")
+    odd = docs.limit(3).select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    more = docs.where("doc_id = 3").unionByName(docs.where("doc_id = 3")).unionByName(odd).unionByName(
+        docs.limit(2).select((F.col("doc_id") + 10**6).alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang", F.lit(None).cast("string").alias("source"), "n_chars"))
+    whole = docs.unionByName(more).withColumns({c: F.lit("x") for c in ("component_id", "kept", "found", "ids", "copies", "size")})
+    for name, part in (("some", whole), ("none", whole.where("false"))):
+        part.write.parquet(str(tmp_path / name / "documents.parquet"))
+        table(spark, SF, "labels").write.parquet(str(tmp_path / name / "labels.parquet"))
+        rows = table(spark, str(tmp_path / name), "documents")
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, str(tmp_path / name))
+            if stage_name != "tokens":
+                assert out.columns == rows.columns
+                if stage_name == "near_duplicates":
+                    ids = [r.doc_id for r in out.select("doc_id").collect() if r.doc_id is not None]
+                    assert len(ids) == len(set(ids))
+                rows = out
+        n = out.count()
+        assert n == 0 if name == "none" else n > 50
+
+
 def test_pipeline_stages(spark):
     """Each stage's effect by plain Python, on what the stage before kept."""
     docs = given = table(spark, SF, "documents")
