@@ -46,6 +46,8 @@ def test_running_and_positions(case):
     got = sorted_pandas(positions(running(df, order, F.col("v"), "total"), order))
     assert np.array_equal(got.pos, np.arange(len(data))) and (got.n == len(data)).all()
     assert np.allclose(got.total, data.v.cumsum())
+    more = sorted_pandas(running(running(df, order, F.col("v"), "top", "max"), order, F.col("seq"), "mixed", "xor"))
+    assert np.array_equal(more.top, data.v.cummax()) and np.array_equal(more.mixed, np.bitwise_xor.accumulate(data.seq.to_numpy()))
 
 
 def test_ahead(case):
@@ -130,8 +132,8 @@ def test_no_single_task_and_no_nested_loop(spark):
     order = Order(("k",), "t", ("seq",))
     spans = df.select("k", F.col("t").alias("start"), (F.col("t") + 5).alias("end"))
     for result in (gap_segments(df, order, 5), positions(df, order), turning_points(df, order, "v"),
-                   intervals.outside_intervals(df, spans, ["k"], "t", "start", "end", 1000),
-                   intervals.overlaps(spans.withColumn("i", F.col("start")), spans.withColumn("j", F.col("start")), ["k"], 1000)):
+                   intervals.outside_intervals(df, spans, ["k"], "t", "start", "end"),
+                   intervals.overlaps(spans.withColumn("i", F.col("start")), spans.withColumn("j", F.col("start")), ["k"])):
         text = plan(result)
         assert "SinglePartition" not in text and "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ def score_intervals(frame, true, pred, blind=False):
     p = frame("label string, j long, start long, end long", [(x[2], j, x[0], x[1]) for j, x in enumerate(pred)])
     keys = [] if blind else ["label"]
     both = [d.withColumn("one", F.lit(1)) for d in (t, p)]
-    pairs = intervals.overlaps(*both, ["one", *keys], 7).select("one", "i", "j", "iou")
+    pairs = intervals.overlaps(*both, ["one", *keys]).select("one", "i", "j", "iou", "lo", "hi")
     return scores.interval_f1(*both, intervals.greedy_matching(pairs, ["one"]), ["one"]).first()
 
 
@@ -38,7 +39,7 @@ def test_matching_equals_the_greedy_pass(frame):
                 used_i.add(i)
                 used_j.add(j)
                 want.add((k, i, j))
-    df = frame("k int, i int, j int, iou double", [(*key, iou) for key, iou in pairs])
+    df = frame("k int, i int, j int, iou double, lo long, hi long", [(*key, iou, 0, 1) for key, iou in pairs])
     assert {(r.k, r.i, r.j) for r in intervals.greedy_matching(df, ["k"]).collect()} == want
 
 
@@ -111,10 +112,110 @@ def test_downsampling_keeps_the_outlier(spark):
 
 def test_every_threshold_is_scored(frame):
     """Also where no pair agrees, and where none does at any threshold."""
-    schema = "k int, i int, j int, iou double, label string, p double"
+    schema = "k int, i int, j int, iou double, lo long, hi long, label string, p double"
     count = frame("n int", [(1,), (2,)])
     sweep = lambda rows: choose.interval_threshold_sweep(frame(schema, rows), ["k"], count, count, "bad", "good").orderBy("cand").collect()
-    got = sweep([(1, 0, 0, 0.5, "bad", 0.41), (1, 1, 1, 0.5, "bad", 0.3)])
+    got = sweep([(1, 0, 0, 0.5, 0, 4, "bad", 0.41), (1, 1, 1, 0.5, 9, 12, "bad", 0.3)])
     assert len(got) == 25 and [r.score for r in got[:5]] == [0.5] * 5 and got[-1].score == 0.0
-    none = sweep([(1, 0, 0, 0.5, "good", 0.99)])
+    none = sweep([(1, 0, 0, 0.5, 0, 4, "good", 0.99)])
     assert len(none) == 25 and {r.score for r in none} == {0.0}
+
+
+def random_intervals(rng, n, longest):
+    start = rng.integers(0, 4000, n)
+    return [(int(s), int(s + length)) for s, length in zip(start, rng.choice([0, 1, 3, 50, longest], n))]
+
+
+def test_overlaps_of_any_length(frame):
+    """Points, short and very long intervals; every pair once, on two keys."""
+    rng = np.random.default_rng(12)
+    true, pred = ([(int(k), i, s, e) for i, ((s, e), k) in enumerate(zip(random_intervals(rng, 150, far), rng.integers(0, 2, 150)))] for far in (900, 10**12))
+    got = intervals.overlaps(frame("k int, i long, start long, end long", true), frame("k int, j long, start long, end long", pred), ["k"]).collect()
+    want = {}
+    for k, i, s, e in true:
+        for q, j, a, b in pred:
+            inter = min(e, b) - max(s, a)
+            if k == q and inter > 0:
+                want[k, i, j] = (pytest.approx(inter / (e - s + b - a - inter)), min(s, a), max(e, b))
+    assert len(got) == len(want) and all(want[r.k, r.i, r.j] == (r.iou, r.lo, r.hi) for r in got)
+
+
+def test_a_long_interval_makes_few_rows(spark):
+    long = spark.range(1).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.lit(0).cast("long").alias("start"), F.lit(10**15).cast("long").alias("end"))
+    short = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("j"), (F.col("id") * 10**12).alias("start"), (F.col("id") * 10**12 + 5).alias("end"))
+    assert intervals.overlaps(long, short, ["k"]).count() == 1000
+    levels = {f.name for f in intervals.overlaps(long, short, ["k"]).schema}
+    assert levels == {"k", "i", "j", "iou", "lo", "hi"}
+
+
+def test_points_inside_and_outside(frame):
+    rng = np.random.default_rng(13)
+    spans = [(int(k), s, e) for (s, e), k in zip(random_intervals(rng, 60, 300), rng.integers(0, 3, 60))]
+    points = [(int(k), int(t), n) for n, (k, t) in enumerate(zip(rng.integers(0, 4, 900), rng.integers(0, 4400, 900)))] + [(0, spans[0][1], 900), (spans[0][0], spans[0][2], 901)]
+    inside = {n for k, t, n in points if any(q == k and s <= t <= e for q, s, e in spans)}
+    p, s = frame("k int, t long, n int", points), frame("k int, a long, b long", spans)
+    assert {r.n for r in intervals.inside_intervals(p, s, ["k"], "t", "a", "b").collect()} == inside
+    assert {r.n for r in intervals.outside_intervals(p, s, ["k"], "t", "a", "b").collect()} == {n for _, _, n in points} - inside
+
+
+def test_a_chain_of_overlaps_needs_no_rounds(spark):
+    """Each pair beats the one before: rounds of mutual best pairs would take one pair each."""
+    n = 20_000
+    df = spark.range(n).select(
+        F.lit(1).alias("k"), F.floor(F.col("id") / 2).alias("i"), F.floor((F.col("id") + 1) / 2).alias("j"), ((F.col("id") + 1) / (n + 1)).alias("iou"),
+        F.col("id").alias("lo"), (F.col("id") + 2).alias("hi"))
+    got = intervals.greedy_matching(df, ["k"])
+    assert got.count() == n // 2 and got.agg(F.min("iou")).first()[0] == pytest.approx(2 / (n + 1))
+
+
+def f1_of(label, pred):
+    scores_ = []
+    for c in ("Normal", "Side I", "Side II"):
+        tp = np.sum((label == c) & (pred == c))
+        p, r = tp / max(np.sum(pred == c), 1), tp / max(np.sum(label == c), 1)
+        scores_.append(2 * p * r / (p + r) if p + r else 0.0)
+    return np.mean(scores_)
+
+
+def predicted(rule, p1, p2, a, b):
+    if rule == "per_side":
+        own, other, flagged = p1 - a, p2 - b, np.maximum(p1 - a, p2 - b) >= 0
+    else:
+        own, other, flagged = p1, p2, (np.maximum(p1, p2) >= a) & ((rule == "global") | (np.abs(p1 - p2) >= b))
+    return np.where(~flagged, "Normal", np.where(own >= other, "Side I", "Side II"))
+
+
+@pytest.mark.parametrize("kind", ["continuous", "votes", "thresholds"])
+def test_sweeps_equal_trying_every_setting(spark, kind):
+    """Also where probabilities lie on the thresholds or their differences, so that every rounding counts."""
+    rng = np.random.default_rng(21)
+    n = 400
+    draw = {"continuous": lambda: rng.random(n), "votes": lambda: rng.integers(0, 41, n) / 40, "thresholds": lambda: rng.choice(choose.TAUS, n)}[kind]
+    p0, p1, p2 = draw(), draw(), draw()
+    label = rng.choice(["Normal", "Side I", "Side II"], n, p=[0.5, 0.3, 0.2])
+    df = spark.createDataFrame([(*map(float, r[:3]), str(r[3])) for r in zip(p0, p1, p2, label)], "p0 double, p1 double, p2 double, label string").repartition(4)
+    for rule, size in (("global", 35), ("per_side", 1225), ("margin", 245)):
+        got = choose.sweep(df, rule).collect()
+        assert len(got) == size and sum(r.selected for r in got) == 1
+        for r in got:
+            assert r.macro_f1 == pytest.approx(f1_of(label, predicted(rule, p1, p2, r.a, r.b)), abs=1e-12), (rule, r.a, r.b)
+    got = choose.class_scaling(df).collect()
+    assert len(got) == 226
+    for r in got:
+        normal = (p0 >= p1 * r.a) & (p0 >= p2 * r.b)
+        assert r.macro_f1 == pytest.approx(f1_of(label, np.where(normal, "Normal", np.where(p1 * r.a >= p2 * r.b, "Side I", "Side II"))), abs=1e-12), (r.a, r.b)
+
+
+def test_missing_probabilities_count_as_zero(frame):
+    rows = [(None, 0.9, "Side II"), (float("nan"), 0.2, "Side II"), (0.7, None, "Side I"), (0.01, 0.02, "Normal")]
+    got = choose.sweep(frame("p1 double, p2 double, label string", rows), "global").where("a = 0.05").first()
+    assert got.macro_f1 == pytest.approx(1)
+
+
+def test_rows_are_not_repeated_per_setting(spark):
+    """Only rows that are ties to a billionth are exploded, after they were counted by value."""
+    df = spark.range(10).select(F.lit(0.5).alias("p1"), F.lit(0.2).alias("p2"), F.lit(0.3).alias("p0"), F.lit("Normal").alias("label"))
+    for rule in ("global", "margin"):
+        assert "Generate" not in choose.tried(df, choose.RULES[rule]())._jdf.queryExecution().optimizedPlan().toString()
+    plan = choose.tried(df, choose.RULES["per_side"]())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.rindex("Aggregate")

@@ -172,21 +172,22 @@ def ahead_by(df: DataFrame, order: Order, column: str, steps: int, name: str) ->
     return shifted(df, order, {name: column}, steps)
 
 
-#: What running values need: the aggregate, its value over no rows, and how two of them add up.
+#: What running values need: the aggregate and how two of them add up.
 RUNNING = {
-    "sum": (F.sum, 0, lambda a, b: a + b),
-    "xor": (F.bit_xor, 0, lambda a, b: a.bitwiseXOR(b)),
+    "sum": (F.sum, lambda a, b: a + b),
+    "xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b)),
+    "max": (F.max, F.greatest),
 }
 
 
 def running(df: DataFrame, order: Order, value: Column, name: str, how: str = "sum") -> DataFrame:
-    """Running sum (or exclusive or) of ``value`` up to and including each row."""
+    """Running sum (or exclusive or, or maximum) of ``value`` up to and including each row."""
     return runnings(df, order, {name: value}, how)
 
 
 def runnings(df: DataFrame, order: Order, values: dict[str, Column], how: str = "sum") -> DataFrame:
     """Several running values at once: new name, value."""
-    whole, none, add = RUNNING[how]
+    whole, add = RUNNING[how]
     named = {f"_v_{name}": value for name, value in values.items()}
     upto = lambda c: lambda w: whole(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_in{c}")
     order, rows = _inside(df.withColumns(named), order, *[upto(c) for c in named])

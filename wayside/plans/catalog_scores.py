@@ -55,13 +55,13 @@ def _intervals(spark, sf, gap, ident, probability=None):
 
 def _pairs(spark, sf):
     true, pred = _intervals(spark, sf, DAY_US, "i"), _intervals(spark, sf, SHORT_GAP, "j")
-    return true, pred, intervals.overlaps(true, pred, ["stream_id", "label"], 5 * DAY_US)
+    return true, pred, intervals.overlaps(true, pred, ["stream_id", "label"])
 
 
 @query("iou_candidates", f"WITH {INTERVALS.split(', greedy AS')[0]} SELECT stream_id, label, i, j, {rd('iou')} AS iou FROM pairs JOIN (SELECT stream_id, id AS i, label FROM tru) USING (stream_id, i)")
 def iou_candidates(spark, sf):
     """Overlapping true and predicted cycles with the same label."""
-    return _pairs(spark, sf)[2].withColumn("iou", rounded("iou"))
+    return _pairs(spark, sf)[2].drop("lo", "hi").withColumn("iou", rounded("iou"))
 
 
 @query("iou_matching", f"WITH RECURSIVE {INTERVALS} SELECT stream_id, i, j, {rd('iou')} AS iou FROM greedy WHERE taken")
@@ -108,7 +108,7 @@ ranked AS""" + _REST.split("ranked AS", 1)[1]
 def interval_threshold_sweep(spark, sf):
     """IoU-F1 of the predicted cycles when their label comes from a probability and a threshold."""
     true, pred = cut(_intervals(spark, sf, DAY_US, "i")), cut(_intervals(spark, sf, SHORT_GAP, "j", "p"))
-    pairs = intervals.overlaps(true.select("stream_id", "i", "start", "end"), pred, ["stream_id"], 5 * DAY_US)
+    pairs = intervals.overlaps(true.select("stream_id", "i", "start", "end"), pred, ["stream_id"])
     named = pairs.join(true.select("stream_id", "i", "label"), ["stream_id", "i"]).join(pred.select("stream_id", "j", "p"), ["stream_id", "j"])
     s = choose.interval_threshold_sweep(named, ["stream_id"], true, pred, "Open", "Close")
     return s.select("cand", "tau", rounded("score").alias("score"), rounded("best").alias("best"))

@@ -133,7 +133,7 @@ def gap_profile(spark, sf):
     ])
     top = top_rows(steps.where("dt IS NOT NULL"), [F.desc("dt")], 15, "r")
     spans = cycles.bounds(*segments(spark, sf)).where("n_rows >= 3")
-    outside = outside_intervals(events, spans, ["stream_id"], "t", "start_us", "end_us", DAY_US)
+    outside = outside_intervals(events, spans, ["stream_id"], "t", "start_us", "end_us")
     parts = [
         q.unpivot([], list(q.columns), "metric", "value"),
         over.unpivot([], list(over.columns), "metric", "value"),
@@ -404,4 +404,4 @@ def outside_rows(spark, sf):
     s, _ = segments(spark, sf)
     spans = s.groupBy(*KEYS).agg(F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.avg("current").alias("m")).where("m > 50")
     rows = event_stream(spark, sf).select("stream_id", "seq", "t")
-    return outside_intervals(rows, spans, ["stream_id"], "t", "start_us", "end_us", DAY_US)
+    return outside_intervals(rows, spans, ["stream_id"], "t", "start_us", "end_us")
