@@ -126,13 +126,15 @@ def test_reference_falls_back_to_the_side(spark):
 
 
 def test_column_sets_and_rejections(frame):
-    bases = ["rms_mean", "log_rms_mean", "ex_log_rms_mean", "pair_car_diff_mean", "pair_rms_p90"]
-    wide = frame("rec int, " + ", ".join(f"s{s}_{b} double" for b in bases for s in (1, 2)), [(1, *map(float, range(10)))])
-    rows = rail.own_other(wide, ["rec"], bases, ["rms_mean"])
+    made = {"rms_mean": ["single", "magnitude"], "log_rms_mean": ["single", "loudness", "compact"], "ex_log_rms_mean": ["single", "excess"],
+            "pair_car_diff_mean": ["pair", "car"], "pair_rms_p90": ["pair"]}
+    wide = frame("rec int, " + ", ".join(f"s{s}_{b} double" for b in made for s in (1, 2)), [(1, *map(float, range(10)))])
+    wide = wide.select("rec", *[rail.tagged(F.col(f"s{s}_{b}"), f"s{s}_{b}", *t) for b, t in made.items() for s in (1, 2)])
+    rows = rail.own_other(wide, ["rec"])
     rows = rows.select("*", rail.tagged(F.lit(9.0), "speed", "speed"))
     sets = {name: set(rail.column_set(rows, name)) for name in rail.COLUMN_SETS}
-    assert sets["own"] == {f"own_{b}" for b in bases} | {"speed"}
-    assert sets["relative"] == {f"rel_{b}" for b in bases} | {"speed"} and sets["all"] == set(rows.columns)
+    assert sets["own"] == {f"own_{b}" for b in made} | {"speed"}
+    assert sets["relative"] == {f"rel_{b}" for b in made} | {"speed"} and sets["all"] == set(rows.columns)
     assert sets["excess"] == {"own_ex_log_rms_mean", "rel_ex_log_rms_mean", "speed"}
     assert sets["with_ratios"] - sets["unpaired"] == {"ratio_rms_mean", "side"}
     assert sets["with_cars"] - sets["unpaired"] == {"own_pair_car_diff_mean", "rel_pair_car_diff_mean"}
@@ -154,3 +156,36 @@ def test_stationary_pulse_and_speed_formulas(frame):
     assert got[2].speed == 0
     lines = frame("rec int, f double, p double, speed double", [(1, 100.0, 1.0, 0.5), (1, 200.0, 2.0, 0.5)])
     assert spectral.dominant_wavelength(lines, ["rec"], "speed").count() == 0
+
+
+def test_density_of_recordings_with_holes(spark):
+    """Only whole segments count; a short recording with a hole has no spectrum, a long one with a hole at its start has."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=900)
+    keep = {"hole": [i for i in range(900) if i != 40], "short": range(50), "short hole": [i for i in range(50) if i != 7], "far": range(700, 900),
+            "late": [*range(20), *range(600, 900)]}
+    rows = pd.DataFrame([(k, i, x[i]) for k, at in keep.items() for i in at], columns=["k", "i", "x"])
+    got = spectral.welch(spark.createDataFrame(rows).repartition(5), ["k"], "i", "x", 100.0, 64).orderBy("k", "f").toPandas()
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)
+    for k in ("hole", "far", "late"):
+        parts = [x[s:s + 64] for s in range(0, 900 - 63, 32) if set(range(s, s + 64)) <= set(keep[k])]
+        power = np.mean([np.abs(np.fft.rfft((p - p.mean()) * window)) ** 2 for p in parts], axis=0) / (100.0 * (window**2).sum())
+        power[1:32] *= 2
+        assert np.allclose(got[got.k == k].p, power)
+    assert len(got[got.k == "short"]) == 26 and "short hole" not in set(got.k)
+
+
+def test_side_table_knows_pairs_cars_and_agreement(spark):
+    c = channel_frame(spark)
+    tagged = c.select("rec", "k", "car", "side", "speed", "dom_lambda", rail.tagged(F.col("rms"), "rms", "magnitude"),
+                      rail.tagged(F.col("log_rms"), "log_rms", "level", "compact", "loudness"), "shock_rms", "ptp",
+                      rail.tagged(F.col("log_rms") * 10, "ex_log_rms", "excess", "compact"))
+    rows = rail.side_table(tagged, ["rec"], ["rms", "log_rms", "ex_log_rms"], ["ex_log_rms"], ["log_rms"], "ex_log_rms")
+    got = {r.side: r for r in rows.collect()}
+    assert got[1].own_agree == 1.0 and got[1].own_pair_log_rms_mean == pytest.approx(np.log10(2)) and got[2].rel_pair_car_diff_mean == pytest.approx(-2)
+    assert got[1].ratio_rms_max == pytest.approx(1 / 3) and "ratio_rms_std" not in rows.columns and "ratio_log_rms_mean" not in rows.columns
+    sets = {name: set(rail.column_set(rows, name)) for name in rail.COLUMN_SETS}
+    assert {"own_pair_log_rms_median", "rel_log_rms_mean", "ratio_rms_mean"} <= sets["paired"]
+    assert {"own_pair_car_ratio_max", "rel_pair_speednorm_rms"} <= sets["with_cars"] and not any("pair" in x for x in sets["unpaired"])
+    assert {"own_log_rms_mean", "rel_ex_log_rms_mean", "own_pair_log_rms_p90"} <= sets["compact"] and "own_log_rms_std" not in sets["compact"]
+    assert sets["excess"] == {f"{p}_ex_log_rms_{s}" for p in ("own", "rel") for s in ("mean", "max", "p75", "std", "nover2")}

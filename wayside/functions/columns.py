@@ -146,5 +146,5 @@ def decide(p1, p2, rule: str, tau=None, tau2=None, delta=None) -> Column:
     elif rule == "margin":
         flagged = (F.greatest(p1, p2) >= param(tau)) & (F.abs(p1 - p2) >= param(delta))
     else:
-        raise ValueError(f"unknown decision rule {rule!r}")
+        raise ValueError(f"no rule is called {rule!r}: global, per_side or margin")
     return F.when(~flagged, "Normal").when(own >= other, "Side I").otherwise("Side II")

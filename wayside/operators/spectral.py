@@ -1,8 +1,7 @@
 """Spectra of segmented recordings.
 
-A recording is cut into overlapping segments of ``nperseg`` samples; segments are the unit of work, so a long
-recording spreads over the cluster. One Arrow-batched function transforms many segments at once, everything around it
-is joins-free aggregation.
+A recording is cut into chunks of overlapping segments; chunks are the unit of work, so a long recording spreads over the
+cluster. Samples travel packed into arrays, and a chunk hands on one array of summed densities.
 """
 
 from __future__ import annotations
@@ -11,9 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayside.session import cut
+
 # Analysis bands in Hz and m.
 FREQ_BANDS = ((20, 50), (50, 100), (100, 200), (200, 400), (400, 800), (800, 1600), (1600, 3200), (3200, 5000))
 LAMBDA_BANDS = ((0.025, 0.05), (0.05, 0.08), (0.08, 0.125), (0.125, 0.2), (0.2, 0.315), (0.315, 0.5), (0.5, 1.0))
@@ -32,40 +34,70 @@ def _densities(block: np.ndarray, rate: float) -> np.ndarray:
     return power
 
 
-def _density_udf(rate: float):
-    @F.pandas_udf("array<double>")
-    def density(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for segments in batches:
-            out = np.empty(len(segments), dtype=object)
-            lengths = segments.map(len).to_numpy()
-            for n in np.unique(lengths):
-                at = np.flatnonzero(lengths == n)
-                out[at] = list(_densities(np.stack(segments.iloc[at].to_list()), rate))
-            yield pd.Series(out)
+HALVES = 64  # half segments of a chunk
 
-    return density
+
+def _chunk_powers(keys: Sequence[str], rate: float, nperseg: int):
+    """Arrow pass over chunks (keys, chunk, samples): summed densities of the whole segments that begin in a chunk.
+
+    A segment with a missing sample is left out. A first chunk that holds fewer samples than a segment, without a hole, may be
+    a whole short recording: its density is given too, marked as short.
+    """
+    half = nperseg // 2
+    width = HALVES * half
+    n_keys = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, segments, shorts, powers = [], [], [], []
+            for chunk, packed in zip(batch.column(n_keys).to_pylist(), batch.column(n_keys + 1), strict=True):
+                at = packed.values.field("_i").to_numpy(zero_copy_only=False) - chunk * width
+                x = packed.values.field("_x").to_numpy(zero_copy_only=False).astype(np.float64)
+                dense = np.full(width + half, np.nan)
+                dense[at] = x
+                cut_up = np.lib.stride_tricks.sliding_window_view(dense, nperseg)[::half][:HALVES]
+                whole = cut_up[~np.isnan(cut_up).any(axis=1)]
+                short = chunk == 0 and 0 < len(at) < nperseg and at.max() == len(at) - 1 and not np.isnan(x).any()
+                block = dense[None, :len(at)] if short else whole
+                lengths.append(block.shape[1])
+                segments.append(len(block))
+                shorts.append(short)
+                powers.append(_densities(block, rate).sum(axis=0) if len(block) else np.empty(0))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:n_keys], pa.array(lengths, pa.int32()), pa.array(segments, pa.int32()), pa.array(shorts, pa.bool_()),
+                 pa.array(powers, pa.list_(pa.float64()))],
+                names=[*keys, "_n", "_segments", "_short", "_p"])
+
+    return run
 
 
 def welch(samples: DataFrame, keys: Sequence[str], index: str, value: str, rate: float, nperseg: int) -> DataFrame:
     """Averaged power density (columns f, p) of long-form samples, per ``keys``.
 
-    Each sample goes to the (at most two) half-overlapping segments that contain it. Segments that the recording does
-    not fill are left out; a recording shorter than one segment becomes a single shorter segment.
+    Samples gather into chunks of HALVES half segments, packed into arrays by each task before they are exchanged; the half
+    segment that two chunks share goes to both. Half-overlapping segments are transformed and summed inside a chunk, so what
+    is left is one array of lines per chunk. Segments with a missing sample are left out; a recording shorter than one
+    segment becomes a single shorter segment, unless samples are missing in it.
     """
     if nperseg % 2:
         raise ValueError("segments overlap by half, so their length must be even")
     half = nperseg // 2
-    slot = F.floor(F.col(index) / half).cast("long")
-    spread = samples.select(
-        *keys, F.col(index).alias("_i"), F.col(value).cast("double").alias("_x"),
-        F.explode(F.array(slot, slot - 1)).alias("_seg")).where(F.col("_seg") >= 0)
-    collected = spread.groupBy(*keys, "_seg").agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_s"))
-    full = collected.where((F.size("_s") == nperseg) | (F.col("_seg") == 0))
-    power = full.select(
-        *keys, F.size("_s").alias("_n"), _density_udf(rate)(F.transform("_s", lambda s: s["_x"])).alias("_p"))
-    lines = power.select(*keys, "_n", F.posexplode("_p").alias("_k", "_v"))
+    width = HALVES * half
+    i = F.col("_i")
+    own = F.floor(i / width).cast("long")
+    shared = (i % width < half) & (own > 0)
+    given = list(keys)
+    slim = samples.select(*given, F.col(index).cast("long").alias("_i"), F.col(value).cast("double").alias("_x"))
+    spread = slim.select("*", F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))).alias("_chunk"))
+    packed = spread.groupBy(*given, "_chunk").agg(F.collect_list(F.struct("_i", "_x")).alias("_s"))
+    fields = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in given)
+    schema = f"{fields}, _n int, _segments int, _short boolean, _p array<double>"
+    powers = cut(packed.select(*given, "_chunk", "_s").mapInArrow(_chunk_powers(given, rate, nperseg), schema))
+    alone = powers.groupBy(*given).agg(F.count(F.lit(1)).alias("_chunks")).where("_chunks = 1").drop("_chunks")
+    used = powers.where("NOT _short").unionByName(powers.where("_short").join(alone, given, "left_semi"))
+    lines = used.where("_segments > 0").select(*given, "_n", "_segments", F.posexplode("_p").alias("_k", "_v"))
     frequency = (F.col("_k") * F.lit(float(rate)) / F.col("_n")).alias("f")
-    return lines.groupBy(*keys, frequency).agg(F.avg("_v").alias("p"))
+    return lines.groupBy(*given, frequency).agg((F.sum("_v") / F.sum("_segments")).alias("p"))
 
 
 def welch_arrays(rows: DataFrame, value: str, rate: float, nperseg: int, name: str = "psd") -> DataFrame:

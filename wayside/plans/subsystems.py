@@ -109,10 +109,15 @@ def peer_verdicts(segmented: DataFrame, order: Order, limit: float = 2.0) -> Dat
 # --- air conditioning -----------------------------------------------------------------------------
 
 
-def rank_cars(readings: DataFrame, response: models.Linear | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """Cars of each case by how likely they leak. ``readings``: case_id, car, ts, t and one column per role."""
+def rank_cars(
+    readings: DataFrame, response: models.Linear | None = None, weights: dict[str, float] | None = None, ties: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Cars of each case by how likely they leak. ``readings``: case_id, car, ts, t and one column per role.
+
+    ``ties``: columns that order readings of one car at one time; by default all others, so that chance has no say.
+    """
     weights = weights or CAR_WEIGHTS
-    tied = tuple(sorted(set(readings.columns) - {"case_id", "car", "t"}))  # repeated times: an order that does not depend on chance
+    tied = ties or tuple(sorted(set(readings.columns) - {"case_id", "car", "t"}))
     order = Order(("case_id", "car"), "t", tied).sampled(readings)
     prepared = cut(peers.prepare(readings, order))
     if response is not None:
@@ -137,16 +142,21 @@ def rail_channels(samples: DataFrame, speeds: DataFrame, unit: str = "recording_
     lines = cut(spectral.welch(samples, keys, "i", "x", rate, nperseg).join(speeds, unit))
     time = rail.channel_statistics(samples, keys)
 
-    def banded(axis, bands, prefix: str, factor: int) -> DataFrame:
-        names = {f"{lo:g}_{hi:g}": f"{prefix}_{int(round(lo * factor))}_{int(round(hi * factor))}" for lo, hi in bands}
-        wide = spectral.band_log_power(lines, keys, axis, bands).groupBy(*keys).pivot("band", list(names)).agg(F.max("log_power"))
-        return wide.withColumnsRenamed(names)
+    def banded(axis, bands, prefix: str, factor: int, compact) -> DataFrame:
+        power = spectral.band_log_power(lines, keys, axis, bands)
+        of_band = lambda lo, hi: F.max(F.when(F.col("band") == f"{lo:g}_{hi:g}", F.col("log_power")))
+        named = lambda lo, hi: f"{prefix}_{int(round(lo * factor))}_{int(round(hi * factor))}"
+        return power.groupBy(*keys).agg(*[
+            rail.tagged(of_band(lo, hi), named(lo, hi), "band", *(["compact"] if compact(lo, hi) else [])) for lo, hi in bands])
+
+    def marked(found: DataFrame, **tags: str) -> DataFrame:
+        return found.select(*[rail.tagged(F.col(c), c, *tags[c].split()) if c in tags else F.col(c) for c in found.columns])
 
     parts = [
-        banded(F.col("f"), spectral.FREQ_BANDS, "fb", 1),
-        banded(spectral.wavelength("speed"), spectral.LAMBDA_BANDS, "lb", 1000),
-        spectral.dominant_wavelength(lines, keys, "speed"),
-        spectral.entropy_centroid(lines, keys),
+        banded(F.col("f"), spectral.FREQ_BANDS, "fb", 1, lambda lo, hi: 200 <= lo and hi <= 1600),
+        banded(spectral.wavelength("speed"), spectral.LAMBDA_BANDS, "lb", 1000, lambda lo, hi: True),
+        marked(spectral.dominant_wavelength(lines, keys, "speed"), dom_prom="shape compact"),
+        marked(spectral.entropy_centroid(lines, keys), spec_entropy="shape compact", spec_centroid="shape"),
     ]
     table = time
     for part in parts:
@@ -161,14 +171,11 @@ def rail_side_rows(channels: DataFrame, reference: DataFrame, unit: str = "recor
     deviated = rail.with_reference_excess(channels, reference, REFERENCE_FEATURES)
     skip = {unit, "k", "car", "side", "speed", "speed_bin"}
     features = [c for c in deviated.columns if c not in skip]
-    excess = [c for c in features if c.startswith("ex_")]
-    wide = rail.side_aggregates(deviated, [unit], features, excess)
-    bases = [c[3:] for c in wide.columns if c.startswith("s1_")]
-    strengths = {f"{f}_{stat}" for f in ("rms", "shock_rms") for stat in ("mean", "p75", "max")}
-    shapes = {f"{f}_mean" for f in ("kurt", "crest", "shock_peaks", "shock_kurt")}
-    ratios = [b for b in bases if b in strengths | shapes]
+    excess = [c for c in features if "excess" in rail.tags(deviated, c)]
+    pairs = [c for c in features if {"band", "level", "shape"} & set(rail.tags(deviated, c))] + ["kurt", "crest", "shock_kurt"]
+    rows = rail.side_table(deviated, [unit], features, excess, pairs, "ex_log_rms")
     speed = channels.groupBy(unit).agg(*[rail.tagged(F.max(c), c, "speed") for c in ("speed", "speed_bin")])
-    return rail.own_other(wide, [unit], bases, ratios).join(speed, unit)
+    return rows.join(speed, unit)
 
 
 def predict_rail(side_scores: DataFrame, unit: str, tau: float = 0.20) -> DataFrame:
