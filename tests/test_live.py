@@ -76,6 +76,39 @@ def test_rainflow_equals_batch(spark, folder):
     assert table(got) == table(want)
 
 
+@pytest.mark.parametrize("bucket", ["1 second", "1 minute"])
+def test_rainflow_over_many_buckets_equals_batch(spark, folder, bucket):
+    done, _ = live.run_available(live.live_rainflow(stream_of(spark, folder), "0 seconds", bucket=bucket), state=live.ROCKS)
+    got = live.newest_residue(done).where("stream_id < 9").select("stream_id", "range", "mean", "cnt")
+    table = lambda df: sorted(map(tuple, df.collect()))
+    assert table(got) == table(fatigue.rainflow(batch_of(spark, folder), ORDER, "current"))
+
+
+def test_peer_deviation_equals_batch(spark, folder):
+    """Windows of 30 seconds; the median comes from counted values, readings are met one by one."""
+    rows = stream_of(spark, folder).withColumn("train", F.lit(1))
+    done, _ = live.run_available(live.live_peer_deviation(rows, ["train"], "stream_id", "ts", "30 seconds", "0 seconds", "current"))
+    batch = batch_of(spark, folder).withColumn("w", F.floor(F.col("t") / (30 * SECOND))).toPandas()
+    batch["dev"] = batch.current - batch.groupby("w").current.transform("median")
+    batch = batch[batch.groupby("w").current.transform("size") >= 3]
+    got = sorted((r.stream_id, r.t, r.peer_dev) for r in done.select("stream_id", micros("ts").alias("t"), "peer_dev").where("t < 9e9").collect())
+    assert got == sorted(zip(batch.stream_id, batch.t, batch.dev))
+
+
+def test_late_rows_are_a_table(spark, tmp_path):
+    """What is late is all that arrived but what was taken in; it is as many rows as the run says it dropped."""
+    first, second = rows_of(60), rows_of(60).assign(seq=lambda d: d.seq + 1000)
+    schema = None
+    for part in (pd.concat([first, SENTINEL]), second):
+        df = spark.createDataFrame(part).withColumn("ts", F.timestamp_micros("t"))
+        schema = df.schema
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        accepted, query = live.run_available(live.accepted_rows(rows, ["stream_id", "seq"], "ts", "0 seconds"), str(tmp_path / "out"))
+    late = live.late_table(spark.read.parquet(str(tmp_path / "in")), accepted, ["stream_id", "seq"])
+    assert {(r.stream_id, r.seq) for r in late.collect()} == set(zip(second.stream_id, second.seq)) and live.late_rows(query) == len(second)
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     early, late = rows_of(60), rows_of(60).assign(seq=lambda d: d.seq + 1000)
     # a batch is held against the watermark its predecessor started with, hence two far-future rows

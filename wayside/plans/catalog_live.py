@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from wayside.functions.columns import DAY_US, micros, rounded
+from wayside.functions.columns import DAY_US, HOUR_US, micros, rounded
 from wayside.plans.catalog_fatigue import CYC
-from wayside.plans.inputs import EV, GAP, SEG
+from wayside.plans.inputs import EV, GAP, SEG, event_stream
 from wayside.plans.registry import query, rd
-from wayside.session import table
+from wayside.session import shared_folder, table
 from wayside.streaming import live
 
 DELAY, DELAY_US = "1 hour", 3_600_000_000
 
 
-def stream(spark, sf):
-    """The event table read as a stream, with the same derived columns as the batch form."""
-    schema = table(spark, sf, "events").schema
+def derived(rows):
+    """Events with the same derived columns as the batch form."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    rows = live.read_rows(spark, sf, "events.parquet", schema)
     return rows.select(
         F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), micros("ts").alias("t"),
         F.col("event_type").alias("mode"), (F.col("value") / 0.97).alias("current"), (k + F.col("value") / 9.7).alias("bemf"), k.cast("double").alias("pos"))
 
 
+def stream(spark, sf):
+    """The event table read as a stream."""
+    return derived(live.read_rows(spark, sf, "events.parquet", table(spark, sf, "events").schema))
+
+
 MARK = f"wm AS (SELECT (max(t) // 1000) * 1000 - {DELAY_US} AS mark FROM ev)"
 
 
@@ -55,23 +60,26 @@ def stream_peer_deviation(spark, sf):
     f"""WITH {SEG}, {MARK}, v AS (SELECT *, abs(pos - coalesce(lag(pos) OVER (PARTITION BY stream_id, segment_id ORDER BY i), pos)) AS v, greatest(1, floor(9e-1 * n)) AS k FROM segp)
     SELECT stream_id, min(t) AS start_us, count(*) AS n_rows, {rd("avg(current) FILTER (i < k)")} AS trav_mean, {rd("avg(current) FILTER (i >= floor(3e-1 * n) AND i < floor(8e-1 * n))")} AS mid_mean,
       {rd("avg(v)")} AS vel_mean, count(*) FILTER (v = 0 AND current > 200) AS stall_rows, {rd("CASE WHEN any_value(k) > 2 THEN regr_slope(current, bemf) FILTER (i < k) ELSE 0 END")} AS slope
-    FROM v, wm GROUP BY stream_id, segment_id, mark HAVING (max(t) + {GAP}) // 1000 + 1 <= mark // 1000""",
+    FROM v, wm GROUP BY stream_id, segment_id, mark HAVING max(t) + {GAP} + 1 <= mark""",
 )
 def stream_segment_features(spark, sf):
-    done, _ = live.run_available(live.live_cycle_features(stream(spark, sf), GAP, DELAY), state=live.ROCKS)
+    done, _ = live.run_available(live.live_cycle_features(stream(spark, sf), GAP, DELAY))
     return done.select("stream_id", "start_us", "n_rows", "stall_rows", *[rounded(c).alias(c) for c in ("trav_mean", "mid_mean", "vel_mean", "slope")])
 
 
 _DONE = CYC.replace("ev AS (", "ev_all AS (", 1).replace(
     ", mv AS", f""", wm AS (SELECT (max(t) // 1000) * 1000 - {DELAY_US} AS mark FROM ev_all),
-ev AS (SELECT * FROM ev_all WHERE stream_id IN (SELECT stream_id FROM ev_all, wm GROUP BY stream_id, mark HAVING max(t) // 1000 + 1 <= mark // 1000)), mv AS""", 1)
+ev AS (SELECT * FROM ev_all WHERE stream_id IN (SELECT stream_id FROM ev_all, wm GROUP BY stream_id, mark HAVING (max(t) // {HOUR_US} + 1) * {HOUR_US} <= mark)), mv AS""", 1)
 
 
 @query("stream_rainflow_residue", f"WITH RECURSIVE {_DONE} SELECT stream_id, {rd('range')} AS range, {rd('mean')} AS mean, cnt FROM cyc")
 def stream_rainflow_residue(spark, sf):
-    """Cycles of the series whose rows the watermark has passed: closed ones as emitted, and the last residue."""
+    """Cycles of the series whose last hour the watermark has passed: closed ones as emitted, and the last residue."""
     done, _ = live.run_available(live.live_rainflow(stream(spark, sf), DELAY), state=live.ROCKS)
-    return live.newest_residue(done).select("stream_id", rounded("range").alias("range"), rounded("mean").alias("mean"), "cnt")
+    everything = event_stream(spark, sf)
+    over = F.floor(F.col("last") / HOUR_US) * HOUR_US + HOUR_US <= F.floor(F.col("newest") / 1000) * 1000 - DELAY_US
+    ended = everything.groupBy("stream_id").agg(F.max("t").alias("last")).withColumn("newest", everything.agg(F.max("t")).scalar()).where(over)
+    return live.newest_residue(done).join(ended, "stream_id", "left_semi").select("stream_id", rounded("range").alias("range"), rounded("mean").alias("mean"), "cnt")
 
 
 @query(
@@ -88,10 +96,21 @@ def stream_scoring(spark, sf):
     return done.select("stream_id", micros("start").alias("start_us"), rounded("p1").alias("p1"), rounded("p2").alias("p2"), "prediction")
 
 
-@query("stream_late_rows", f"WITH {EV}, {MARK} SELECT count(*) AS rows_seen, 0 AS late FROM ev")
+LATE = 10  # every so many-th event arrives after all others
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH {EV}, wm AS (SELECT (max(t) // 1000) * 1000 - {DELAY_US} AS mark FROM ev WHERE seq % {LATE} <> 0)
+    SELECT stream_id, seq, t FROM ev, wm WHERE seq % {LATE} = 0 AND t <= mark""",
+)
 def stream_late_rows(spark, sf):
-    """How many rows a live run saw and how many it dropped as late (none: the table is one batch)."""
-    counted = stream(spark, sf).withWatermark("ts", DELAY).groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n"))
-    _, done = live.run_available(counted.select(F.col("window.start").alias("day"), "n"))
-    seen = sum(p.numInputRows for p in live.all_progress(done))
-    return spark.range(1).select(F.lit(seen).cast("long").alias("rows_seen"), F.lit(live.late_rows(done)).cast("int").alias("late"))
+    """The rows that a live run does not take in when every tenth event arrives after all others."""
+    base = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    late = F.col("event_id") % LATE == 0
+    for part in (events.where(~late), events.where(late)):
+        part.write.mode("append").parquet(f"{base}/in")
+        rows = derived(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
+        accepted, _ = live.run_available(live.accepted_rows(rows.select("stream_id", "seq", "t", "ts"), ["stream_id", "seq"], "ts", DELAY), f"{base}/out")
+    return live.late_table(derived(events).select("stream_id", "seq", "t"), accepted, ["stream_id", "seq"])

@@ -1,13 +1,14 @@
 """Live forms of the stream operators. Each emits, once a piece is closed by the watermark, what its batch form gives.
 
-State is kept per stream key. A stream is one physical sensor source with a fixed cadence, so a key's state holds one
-open cycle (cycle features), one moment of one train (peer deviation) or one residue (rainflow).
+State is kept per open piece: a cycle of a stream (cycle features), a time bucket of a stream and then one residue per
+stream (rainflow), counted values and single readings of a train's moment (peer deviation). None grows with the rows of a
+stream that wait for the watermark.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from wayside.functions.columns import decide
 from wayside.operators.cycles import STALL_CURRENT
 from wayside.operators.fatigue import close_cycles
-from wayside.operators.peers import MIN_PEERS, median_of
+from wayside.operators.peers import MIN_PEERS
 from wayside.session import shared_folder
 
 PROGRESS, MOST_PROGRESS = "spark.sql.streaming.numRecentProgressUpdates", 1_000_000
@@ -37,7 +38,7 @@ def run_available(
 ) -> tuple[DataFrame, StreamingQuery]:
     """Process everything that is there, write files to the shared folder and return them with the finished query.
 
-    ``state`` names the state store of this query; operators with per-key state (cycle features, rainflow) need ROCKS.
+    ``state`` names the state store of this query; the rainflow residue needs ROCKS.
     """
     spark = stream.sparkSession
     base = target or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -55,8 +56,18 @@ def run_available(
     return spark.read.schema(stream.schema).parquet(f"{base}/rows"), query
 
 
+def accepted_rows(rows: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:
+    """Rows that a live run takes in: those not behind the watermark when they arrive, each once by ``key``."""
+    return rows.withWatermark(ts, delay).dropDuplicates([*key, ts])
+
+
+def late_table(everything: DataFrame, accepted: DataFrame, key: list[str]) -> DataFrame:
+    """The rows that came later than the watermark allowed: all that arrived but those that were taken in."""
+    return everything.join(accepted.select(*key), key, "left_anti")
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came later than the watermark allowed and were dropped, over all batches of the run."""
+    """How many rows were dropped as late over all batches of the run, by the run's own account."""
     return sum(s.numRowsDroppedByWatermark for p in all_progress(query) for s in p.stateOperators)
 
 
@@ -76,155 +87,119 @@ def live_segments(rows: DataFrame, keys: list[str], ts: str, gap: str, delay: st
 
 
 def live_peer_deviation(rows: DataFrame, moment: list[str], unit: str, ts: str, width: str, delay: str, value: str) -> DataFrame:
-    """Value minus the median of the units of a train in the same time window, at least three readings."""
-    windowed = rows.withWatermark(ts, delay).groupBy(*moment, F.window(ts, width).alias("_w"))
-    held = windowed.agg(F.collect_list(F.struct(unit, ts, F.col(value).alias("value"))).alias("_r"))
-    middle = median_of(F.transform("_r", lambda r: r["value"]))
-    enough = held.where(F.size("_r") >= MIN_PEERS).withColumn("_m", middle)
-    flat = enough.select(*moment, F.col("_w.start").alias("window_start"), "_m", F.inline("_r"))
-    return flat.select(*moment, "window_start", unit, ts, (F.col("value") - F.col("_m")).alias("peer_dev"))
+    """Value minus the median of the units of a train in the same time window, at least three readings.
 
-
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+    The median is an aggregate whose state counts equal values; readings wait in the state of a stream-stream join on
+    (train, window), one by one, until the median of their window is known.
+    """
+    # the window is the event time from here on; the reading's own time goes along inside a struct
+    marked = rows.withWatermark(ts, delay).select(
+        *moment, unit, F.struct(ts).alias("_at"), F.col(value).alias("_value"), F.window(ts, width).alias("_w"))
+    middle = marked.groupBy(*moment, "_w").agg(F.percentile("_value", F.lit(0.5)).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    known = middle.where(F.col("_n") >= MIN_PEERS).select(*[F.col(c).alias(f"_{c}") for c in moment], F.col("_w").alias("_mw"), "_m")
+    same = F.col("_w") == F.col("_mw")
+    for c in moment:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    met = marked.join(known, same)
+    return met.select(*moment, F.col("_w.start").alias("window_start"), unit, F.col(f"_at.{ts}").alias(ts), (F.col("_value") - F.col("_m")).alias("peer_dev"))
 
 
-LONG, DOUBLE = T.LongType(), T.DoubleType()
 CYCLES = "stream_id bigint, kind string, upto bigint, range double, mean double, cnt double"
 CYCLE = (
     "stream_id bigint, start_us bigint, n_rows bigint, trav_mean double, mid_mean double, vel_mean double, stall_rows bigint, slope double")
+PART = "stream_id bigint, upto bigint, residue array<double>, ranges array<double>, means array<double>"
 
 
-class _Pending(StatefulProcessor):
-    """Rows wait in state until the watermark has passed them, then are taken in event-time order (t, seq, …)."""
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
-    columns: T.StructType
-    output: str
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", self.columns)
-        self.setup()
 
-    def setup(self) -> None: ...
-
-    def next_due(self, waiting: list[tuple]) -> int:
-        """Event time (ms) at which the first of the waiting rows becomes due."""
-        raise NotImplementedError
-
-    def due(self, key: tuple, waiting: list[tuple], watermark: int) -> tuple[list[tuple], list[tuple]]:
-        """Output rows and the rows that stay."""
-        raise NotImplementedError
-
-    def _waiting(self) -> list[tuple]:
-        return sorted(tuple(r) for r in self.rows.get()) if self.rows.exists() else []
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = self.columns.fieldNames()
-        new = [r for batch in rows for r in zip(*(batch[n].tolist() for n in names))]
-        waiting = sorted(self._waiting() + new)
-        self.rows.appendList(new)
-        self.handle.registerTimer(self.next_due(waiting))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting = self._waiting()
-        if not waiting:
-            return
-        found, rest = self.due(key, waiting, timerValues.getCurrentWatermarkInMs())
-        if not rest:
-            self.rows.clear()
-        else:
-            self.handle.registerTimer(self.next_due(rest))
-            if len(rest) < len(waiting):
-                self.rows.put(rest)
-        if found:
-            yield pd.DataFrame(found, columns=[f.split()[0] for f in self.output.split(", ")])
-
-    def close(self) -> None: ...
+def _cycle_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for stream, rows in zip(batch["stream_id"], batch["rows"], strict=True):
+            placed = sorted((r["t"], r["seq"], r["current"], r["bemf"], r["pos"]) for r in rows)
+            n = len(placed)
+            _, _, cur, emf, pos = (np.asarray(c) for c in zip(*placed, strict=True))
+            k = max(1, int(0.9 * n))
+            mid = cur[int(0.3 * n):int(0.8 * n)]
+            speed = np.abs(np.diff(pos, prepend=pos[0]))
+            spread = emf[:k] - emf[:k].mean()
+            slope = 0.0 if k <= 2 else (float(spread @ cur[:k] / (spread @ spread)) if spread @ spread else None)
+            out.append((
+                stream, placed[0][0], n, float(cur[:k].mean()), float(mid.mean()) if len(mid) else None, float(speed.mean()),
+                int(((speed == 0) & (cur > STALL_CURRENT)).sum()), slope))
+        yield pd.DataFrame(out, columns=_names(CYCLE))
 
 
-class _CycleFeatures(_Pending):
-    columns = _struct(t=LONG, seq=LONG, current=DOUBLE, bemf=DOUBLE, pos=DOUBLE)
-    output = CYCLE
-
-    def __init__(self, gap_us: int):
-        self.gap_us = gap_us
-
-    def closing(self, last: tuple) -> int:
-        return (last[0] + self.gap_us) // 1000 + 1
-
-    def cycles(self, waiting: list[tuple]) -> list[list[tuple]]:
-        edges = [i for i in range(1, len(waiting)) if waiting[i][0] - waiting[i - 1][0] > self.gap_us]
-        return [waiting[a:b] for a, b in zip([0, *edges], [*edges, len(waiting)])] if waiting else []
-
-    def next_due(self, waiting):
-        return self.closing(self.cycles(waiting)[0][-1])
+def live_cycle_features(rows: DataFrame, gap_us: int, delay: str, ts: str = "ts") -> DataFrame:
+    """Phase, velocity and slope features of every cycle when it closes.
 
-    def due(self, key, waiting, watermark):
-        cycles = self.cycles(waiting)
-        closed = [c for c in cycles if self.closing(c[-1]) <= watermark]
-        return [self.features(key, c) for c in closed], [r for c in cycles[len(closed):] for r in c]
+    State is one session per open cycle of a stream, and a cycle is bounded; its rows are put in order once it is closed.
+    """
+    session = F.session_window(ts, f"{gap_us + 1} microseconds").alias("_w")  # a cycle ends at a step strictly above the gap
+    closed = rows.withWatermark(ts, delay).groupBy("stream_id", session).agg(
+        F.collect_list(F.struct("t", "seq", "current", "bemf", "pos")).alias("rows"))
+    return closed.select("stream_id", "rows").mapInPandas(_cycle_features, CYCLE)
+
+
+def take_in(values: Iterable[float], points: list[float]) -> list[tuple[float, float]]:
+    """Add values to a residue: plateaus and monotone interior points go, cycles that close are returned."""
+    found = []
+    for v in values:
+        if points and v == points[-1]:
+            continue
+        if len(points) >= 2 and (points[-1] > points[-2]) == (v > points[-1]):
+            points.pop()  # the running end moves on in the same direction
+        found += close_cycles([v], points)
+    return found
 
-    @staticmethod
-    def features(key, rows: list[tuple]) -> tuple:
-        n = len(rows)
-        _, _, cur, emf, pos = (np.asarray(c) for c in zip(*rows))
-        k = max(1, int(0.9 * n))
-        mid = cur[int(0.3 * n):int(0.8 * n)]
-        speed = np.abs(np.diff(pos, prepend=pos[0]))
-        spread = emf[:k] - emf[:k].mean()
-        slope = 0.0 if k <= 2 else (float(spread @ cur[:k] / (spread @ spread)) if spread @ spread else None)
-        return (
-            key[0], rows[0][0], n, float(cur[:k].mean()), float(mid.mean()) if len(mid) else None,
-            float(speed.mean()), int(((speed == 0) & (cur > STALL_CURRENT)).sum()), slope)
 
+def _bucket_cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for stream, rows in zip(batch["stream_id"], batch["rows"], strict=True):
+            placed = sorted((r["t"], r["seq"], r["current"]) for r in rows)
+            points: list[float] = []
+            found = take_in((v for _, _, v in placed), points)
+            out.append((stream, placed[-1][0], points, [r for r, _ in found], [m for _, m in found]))
+        yield pd.DataFrame(out, columns=_names(PART))
 
-class _Residue(_Pending):
-    columns = _struct(t=LONG, seq=LONG, current=DOUBLE)
-    output = CYCLES
 
-    def setup(self) -> None:
-        self.stack = self.handle.getValueState("stack", _struct(points=T.ArrayType(DOUBLE)))
+class _Residue(StatefulProcessor):
+    """Joins the residues of a stream's time buckets, which close in order; the stream's own residue is the only state."""
 
-    def next_due(self, waiting):
-        return waiting[-1][0] // 1000 + 1
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stack = handle.getValueState("stack", T.StructType([T.StructField("points", T.ArrayType(T.DoubleType()))]))
 
-    def due(self, key, waiting, watermark):
-        ready = [r for r in waiting if r[0] // 1000 + 1 <= watermark]
-        if not ready:
-            return [], waiting
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ("upto", "residue", "ranges", "means")
+        parts = sorted((r for batch in rows for r in zip(*(batch[n] for n in columns), strict=True)), key=lambda r: r[0])
         points = list(self.stack.get()[0]) if self.stack.exists() else []
-        found = []
-        for _, _, v in ready:
-            if points and v == points[-1]:
-                continue
-            if len(points) >= 2 and (points[-1] > points[-2]) == (v > points[-1]):
-                points.pop()  # the running end moves on in the same direction
-            found += close_cycles([v], points)
+        out = []
+        for upto, residue, ranges, means in parts:
+            found = [*zip(ranges, means, strict=True), *take_in(map(float, residue), points)]
+            out += [(key[0], "cycle", upto, float(r), float(m), 1.0) for r, m in found]
         self.stack.update((points,))
-        upto = ready[-1][0]
-        rows = [(key[0], "cycle", upto, r, m, 1.0) for r, m in found]
-        rows += [(key[0], "residue", upto, abs(b - a), (a + b) / 2, 0.5) for a, b in zip(points, points[1:])]
-        return rows, waiting[len(ready):]
-
-
-def _stateful(rows: DataFrame, key: str, processor: _Pending, ts: str, delay: str) -> DataFrame:
-    return rows.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.output, outputMode="Append", timeMode="EventTime")
+        out += [(key[0], "residue", parts[-1][0], abs(b - a), (a + b) / 2, 0.5) for a, b in zip(points, points[1:])]
+        if out:
+            yield pd.DataFrame(out, columns=_names(CYCLES))
 
-
-def live_cycle_features(rows: DataFrame, gap_us: int, delay: str, ts: str = "ts") -> DataFrame:
-    """Phase, velocity and slope features of every cycle when it closes."""
-    return _stateful(rows, "stream_id", _CycleFeatures(gap_us), ts, delay)
+    def close(self) -> None: ...
 
 
-def live_rainflow(rows: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
+def live_rainflow(rows: DataFrame, delay: str, ts: str = "ts", bucket: str = "1 hour") -> DataFrame:
     """Closed cycles of each series as they close, and at every step the half cycles of its residue.
 
-    A step takes in the rows up to ``upto``; only the residue with the largest ``upto`` of a series counts.
+    Rows gather by (stream, time bucket). A bucket that the watermark has passed is counted by itself, and only its residue
+    goes on to the second stateful step, where a stream's residues are joined. A step takes in the rows up to ``upto``; only the
+    residue with the largest ``upto`` of a series counts.
     """
-    return _stateful(rows, "stream_id", _Residue(), ts, delay)
+    closed = rows.withWatermark(ts, delay).groupBy("stream_id", F.window(ts, bucket).alias("_w")).agg(
+        F.collect_list(F.struct("t", "seq", "current")).alias("rows"))
+    parts = closed.select("stream_id", "rows").mapInPandas(_bucket_cycles, PART)
+    return parts.groupBy("stream_id").transformWithStateInPandas(
+        statefulProcessor=_Residue(), outputStructType=CYCLES, outputMode="Append", timeMode="None")
 
 
 def newest_residue(rows: DataFrame) -> DataFrame:
