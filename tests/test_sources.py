@@ -200,3 +200,28 @@ def test_number_contract(frame):
     rows = [("a", "1.5"), ("b", "-1"), ("c", "x"), ("d", None), ("e", "NaN"), ("f", "Infinity")]
     bad = contracts.violations(frame("file_id string, prediction string", rows), ["file_id"], contracts.damage_rules()).collect()
     assert sorted((r.file_id, r.rule) for r in bad) == [("b", "number"), ("c", "number"), ("d", "missing"), ("e", "number"), ("f", "number")]
+
+
+def test_hash_tree_of_long_recordings(frame):
+    import hashlib
+
+    from wayside.operators import contracts
+
+    sizes = {"one": 1, "leaf": 8, "two": 9, "many": 8 * 4 * 4 + 3, "same": 9}
+    rows = [(k, i, f"v{i * i}") for k, n in sizes.items() for i in range(n)]
+    got = {r.k: (r.n, r.digest) for r in contracts.series_tree(frame("k string, i long, t string", rows), ["k"], "i", F.col("t"), 8, 4).collect()}
+    sha = lambda parts: hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    for k, n in sizes.items():
+        level = [sha([f"v{i * i}" for i in range(s, min(s + 8, n))]) for s in range(0, n, 8)]
+        while len(level) > 1:
+            level = [sha(level[i:i + 4]) for i in range(0, len(level), 4)]
+        assert got[k] == (n, level[0])
+    assert got["two"] == got["same"] and contracts.series_tree(frame("k string, i long, t string", []), ["k"], "i", F.col("t")).count() == 0
+
+
+def test_first_lines_read_only_the_beginning(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"a b%{n}.csv").write_bytes(b"\xef\xbb\xbfx,y\r\n" + b"1,2\r\n" * 50_000 if n else b"only")
+    found = {r.header for r in recordings.first_lines(spark, str(tmp_path / "*.csv")).collect()}
+    assert found == {"x,y", "only"}
+    assert [(names, len(files)) for names, files in recordings.headers(spark, str(tmp_path / "*.csv"))] == [(["only"], 1), (["x", "y"], 2)]

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayside.session import cut
+
 # Allowed labels, file limits and extensions.
 DOOR_LABELS = ("Normal", "Abnormal resistance")
 RAIL_LABELS = ("Normal", "Side I", "Side II")
@@ -93,6 +95,32 @@ def duplicate_families(units: DataFrame, unit: str, content: Column) -> DataFram
     return hashed.join(families, "digest")
 
 
+def series_tree(rows: DataFrame, keys: Sequence[str], index: str, text: Column, leaf: int = 4096, fan: int = 64) -> DataFrame:
+    """SHA-256 of a long recording, as a hash tree: keys, n (samples) and digest.
+
+    ``text`` is what counts of a sample. Every ``leaf`` samples, by ``index`` from 0 on, are hashed in order; every ``fan``
+    digests are hashed again, until one is left. Only a leaf or the digests of one node ever meet, levels grow with the
+    logarithm of the longest recording, and a digest depends on its own recording alone. A recording of one leaf has the plain
+    SHA-256 of its samples joined by line feeds.
+    """
+    given = list(keys)
+    joined = lambda column: F.array_join(F.transform(F.array_sort(F.collect_list(column)), lambda x: x["_t"]), "\n")
+    placed = rows.select(*given, F.col(index).cast("long").alias("_i"), text.cast("string").alias("_t"))
+    level = placed.groupBy(*given, F.floor(F.col("_i") / leaf).cast("long").alias("_node")).agg(
+        F.sha2(joined(F.struct("_i", "_t")), 256).alias("_t"), F.count(F.lit(1)).alias("_rows"))
+    level = cut(level)
+    sizes = cut(level.groupBy(*given).agg(F.sum("_rows").alias("n"), F.count(F.lit(1)).alias("_nodes")))
+    level, most = level.drop("_rows"), sizes.agg(F.max("_nodes")).first()[0] or 0  # one row
+    nodes = F.col("_nodes")
+    while most > 1:
+        above = level.join(sizes.select(*given, "_nodes"), given).groupBy(*given, F.floor(F.col("_node") / fan).cast("long").alias("_up")).agg(
+            F.when(F.max(nodes) == 1, F.max("_t")).otherwise(F.sha2(joined(F.struct("_node", "_t")), 256)).alias("_t"))
+        level = cut(above.withColumnRenamed("_up", "_node"))
+        sizes = cut(sizes.withColumn("_nodes", F.ceil(nodes / fan)))
+        most = -(-most // fan)
+    return level.join(sizes, given).select(*given, "n", F.col("_t").alias("digest"))
+
+
 def series_fingerprint(rows: DataFrame, keys: Sequence[str], index: str, columns: Sequence[str]) -> DataFrame:
     """Content digest of a long recording from its (index, values) rows. Row hashes are summed in two independent
     ways, so the digest needs no ordering and no row of a recording has to meet another."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayside.functions.columns import natural_key
 from wayside.operators.folds import ranked, split_even
 from wayside.operators.ordered import Order, places, positions, previous
+from wayside.operators.peers import bands
 from wayside.session import cut
 
 # Columns of the exported tables and their headings for operators.
@@ -168,6 +169,43 @@ DOOR_EVIDENCE: Sequence[tuple[str, str, str]] = (
 )
 
 
+# Evidence shown for a car, a rail recording, a stress series.
+CAR_EVIDENCE: Sequence[tuple[str, str, str]] = (
+    ("t_in_mean", "Cabin temperature while cooling", "°C"),
+    ("peer_dev_mean", "Temperature above peer median", "°C"),
+    ("peer_dev_p90", "90th percentile above peer temperature", "°C"),
+    ("resid_mean", "Temperature change above learned response", "°C"),
+    ("set_err_mean", "Temperature above cooling setpoint", "°C"),
+    ("dT_mean_cool", "Temperature change over 10 samples", "°C"),
+    ("p_high_def", "High-pressure deficit vs peers", "source units"),
+    ("invalid_frac", "Invalid temperature fraction", "fraction"),
+    ("p_high_1", "System 1 high pressure", "source units"),
+    ("p_high_2", "System 2 high pressure", "source units"),
+)
+RAIL_EVIDENCE: Sequence[tuple[str, str, str]] = (
+    ("speed", "Estimated speed", "m/s"),
+    ("s1_rms", "Side I · Vibration RMS", "source units"),
+    ("s1_shock_rms", "Side I · Shock RMS", "source units"),
+    ("s1_dom_lambda", "Side I · Dominant wavelength", "m"),
+    ("s2_rms", "Side II · Vibration RMS", "source units"),
+    ("s2_shock_rms", "Side II · Shock RMS", "source units"),
+    ("s2_dom_lambda", "Side II · Dominant wavelength", "m"),
+)
+STRESS_EVIDENCE: Sequence[tuple[str, str, str]] = (
+    ("damage", "Estimated fatigue damage", "unitless"),
+    ("mean", "Mean stress", "source units"),
+    ("rms", "Stress RMS", "source units"),
+    ("range", "Peak-to-peak stress", "source units"),
+    ("cycle_range", "Largest stress-cycle range", "source units"),
+    ("cycles", "Counted stress cycles", "cycles"),
+)
+
+
+def compared(items: DataFrame, ident: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """Evidence exploded, each value with the band of its metric among the items of its group (none: all items)."""
+    return bands(evidence_rows(items, ident), [*group, "key"], "value")
+
+
 def evidence(features: DataFrame, ident: Sequence[str], metrics: Sequence[tuple[str, str, str]] = DOOR_EVIDENCE) -> DataFrame:
     """Each item with its metrics as an array of (key, label, value, unit)."""
     items = [

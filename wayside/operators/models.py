@@ -149,6 +149,21 @@ def out_of_fold(
     return whole
 
 
+def nested_out_of_fold(
+    rows: DataFrame, outer: str, inner: str, outers: Sequence[int], inners: Sequence[int], keep: Sequence[str],
+    fit: Callable[[DataFrame, int], Callable[[DataFrame], DataFrame]],
+) -> DataFrame:
+    """Out-of-fold predictions inside the training rows of every outer fold: column ``outer`` beside those of ``out_of_fold``.
+
+    What is chosen from them (a threshold) has seen no row of the outer fold.
+    """
+    parts = [out_of_fold(rows.where(F.col(outer) != o), inner, inners, keep, fit).withColumn("outer", F.lit(o)) for o in outers]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
 def fit_hierarchical(rows: DataFrame, unit: str, features: Sequence[str], trees: int, seed: int = 0):
     """Detector on the symmetric design of a unit's two side rows, localiser on the rows of faulty units only.
 

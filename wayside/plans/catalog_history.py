@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayside.functions.columns import micros, rounded
 from wayside.operators import contracts, cycles, history, peers
+from wayside.operators.ordered import positions
 from wayside.plans.catalog_stream import DIRECTION, ELECTRICAL, KEYS, PHASE, PROFILE, recorded, segmented, segments
 from wayside.plans.inputs import EV, LI, SEG, event_stream
 from wayside.plans.registry import query, rd
@@ -191,10 +192,10 @@ LI_ONCE = LI.replace("li AS (", "li AS MATERIALIZED (", 1)
     "trace_downsample",
     f"""WITH {LI_ONCE}, s AS MATERIALIZED (SELECT rec, avg(x) AS m, stddev_pop(x) AS sd, arg_min(i, (x, i)) AS lo, arg_max(i, (x, -i)) AS hi FROM li GROUP BY rec),
     d AS MATERIALIZED (SELECT li.rec, i, n, x, abs(x - m) AS o, abs(x - m) > 3 * sd + 1e-12 AS u, lo, hi FROM li JOIN s USING (rec)),
-    g AS (SELECT DISTINCT rec, CASE WHEN j = least(n, 180) - 1 THEN n - 1 ELSE CAST(floor(j * ((n - 1) / CAST(least(n, 180) - 1 AS DOUBLE))) AS BIGINT) END AS i FROM (SELECT DISTINCT rec, n FROM li), range(180) t(j) WHERE j < least(n, 180)),
-    e AS (SELECT rec, i FROM (SELECT rec, i, row_number() OVER (PARTITION BY rec ORDER BY o DESC, i) AS r FROM d WHERE u) WHERE r <= 24),
-    c AS (SELECT rec, i FROM g UNION SELECT rec, i FROM e UNION SELECT rec, lo FROM s UNION SELECT rec, hi FROM s)
-    SELECT d.rec, d.i + 1 AS index, {rd("x")} AS value, u AS unusual FROM d JOIN c USING (rec, i)""",
+    r AS (SELECT *, least(n, 180) AS m, (n - 1) / greatest(least(n, 180) - 1, 1) AS st, count(*) FILTER (u) OVER (PARTITION BY rec ORDER BY o DESC, i) AS place FROM d),
+    k AS (SELECT *, CAST(floor(i / greatest(st, 1)) AS BIGINT) AS j FROM r)
+    SELECT rec, i + 1 AS index, {rd("x")} AS value, u AS unusual FROM k WHERE i IN (0, n - 1, lo, hi) OR (u AND place <= 24)
+      OR (j < m AND CAST(floor(j * st) AS BIGINT) = i) OR (j + 1 < m AND CAST(floor((j + 1) * st) AS BIGINT) = i)""",
 )
 def trace_downsample(spark, sf):
     t = history.downsample(*recorded(spark, sf), "x")
@@ -257,3 +258,31 @@ def evidence_merge(spark, sf):
     merged = part(e.where(moving)).unionByName(part(e.where(~moving)))
     b = peers.bands(merged, ["key"], "value")
     return b.select("stream_id", "mode", "key", "n", "unusual", *[rounded(c).alias(c) for c in ("value", "mean", "low", "high")])
+
+
+LEAF, FAN = 64, 4
+
+
+def _tree_sql(levels: int) -> str:
+    """Digests of every level of the hash tree of relation ``smp`` (rec, i, t): a lone node goes up unchanged."""
+    parts = [f"t0 AS (SELECT rec, i // {LEAF} AS node, sha256(string_agg(t, chr(10) ORDER BY i)) AS d, count(*) AS r FROM smp GROUP BY ALL)",
+             "m0 AS (SELECT rec, sum(r) AS n, count(*) AS nodes FROM t0 GROUP BY rec)"]
+    for k in range(1, levels + 1):
+        parts += [
+            f"t{k} AS (SELECT rec, node // {FAN} AS node, CASE WHEN any_value(nodes) = 1 THEN any_value(d) ELSE sha256(string_agg(d, chr(10) ORDER BY node)) END AS d "
+            f"FROM t{k - 1} JOIN m{k - 1} USING (rec) GROUP BY rec, node // {FAN})",
+            f"m{k} AS (SELECT rec, n, CAST(ceil(nodes / CAST({FAN} AS DOUBLE)) AS BIGINT) AS nodes FROM m{k - 1})"]
+    return ", ".join(parts) + f" SELECT rec, CAST(n AS BIGINT) AS n, d AS digest FROM t{levels} JOIN m{levels} USING (rec)"
+
+
+@query(
+    "series_tree",
+    """WITH smp AS (SELECT l_suppkey AS rec, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i,
+      concat_ws(',', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) AS t FROM lineitem), """ + _tree_sql(10),
+)
+def series_tree(spark, sf):
+    """Content digest of every long recording, as a tree of SHA-256 digests."""
+    rows, order = recorded(spark, sf)
+    placed = positions(rows, order, "i", "n")
+    text = F.concat_ws(",", F.col("ok").cast("string"), F.col("ln").cast("string"), F.col("q").cast("long").cast("string"))
+    return contracts.series_tree(placed, ["rec"], "i", text, LEAF, FAN)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayside.functions.columns import rounded
-from wayside.operators import decide as choose, fatigue, folds, models, peers, spectral
+from wayside.operators import decide as choose, fatigue, folds, models, peers, scores, spectral
 from wayside.operators.ordered import positions
 from wayside.operators.quantiles import exact_quantiles
 from wayside.plans.catalog_fatigue import STAT_SQL, cycles_sql
 from wayside.plans.catalog_peers import ACV, CAR, CAR_SQL, FEATURES, TRUTH, WHOLE, deviated, prepared
 from wayside.plans.catalog_rail import psd_sql
-from wayside.plans.catalog_scores import oof
+from wayside.plans.catalog_scores import OOF, f1_sql, oof
 from wayside.plans.catalog_stream import recorded
 from wayside.plans.inputs import LI, recordings
 from wayside.plans.registry import query, rd
@@ -144,6 +144,48 @@ def oof_table(spark, sf):
     return models.out_of_fold(placed, "family_fold", range(4), ["vec_id", "y"], fit)
 
 
+_MODEL = "count(*) AS n, avg(p1) AS m1, avg(q1) AS m2, avg(y) AS my, count(*) * var_pop(p1) + 1 AS a, count(*) * covar_pop(p1, q1) AS b, count(*) * var_pop(q1) + 1 AS d, count(*) * covar_pop(p1, y) AS e, count(*) * covar_pop(q1, y) AS f"
+_PICK = lambda seed, k: f"(row_number() OVER (PARTITION BY label ORDER BY md5(unit_id || '-{seed}'), unit_id) - 1) % {k}"
+_SIGN = "CASE WHEN label = 'Normal' THEN 'Normal' ELSE 'Side I' END"
+
+
+@query(
+    "nested_thresholds",
+    f"""WITH {OOF}, fo AS (SELECT unit_id, {_SIGN} AS label, p1, q1, CASE WHEN label = 'Normal' THEN 0e0 ELSE 1e0 END AS y, {_PICK(7, 5)} AS o_fold, {_PICK(8, 3)} AS i_fold FROM oof),
+    st AS (SELECT o, i, {_MODEL} FROM fo, range(5) t(o), range(3) u(i) WHERE o_fold <> o AND i_fold <> i GROUP BY o, i UNION ALL SELECT o, -1, {_MODEL} FROM fo, range(5) t(o) WHERE o_fold <> o GROUP BY o),
+    w AS (SELECT *, (e * d - b * f) / (a * d - b * b) AS w1, (a * f - b * e) / (a * d - b * b) AS w2 FROM st),
+    inn AS (SELECT o, label, my + w1 * (p1 - m1) + w2 * (q1 - m2) AS p FROM fo JOIN w ON o_fold <> o AND i_fold = i),
+    held AS (SELECT o, label, my + w1 * (p1 - m1) + w2 * (q1 - m2) AS p FROM fo JOIN w ON o_fold = o AND i = -1),
+    g AS (SELECT r AS cand, round(5e-2 + r * 25e-3, 4) AS tau FROM range(35) t(r)),
+    tried AS (SELECT o, cand, tau, label, CASE WHEN p >= tau THEN 'Side I' ELSE 'Normal' END AS pred FROM inn, g), sc AS ({f1_sql('tried', 'o, cand, tau')}),
+    tied AS (SELECT *, macro_f1 >= max(macro_f1) OVER (PARTITION BY o) - 1e-12 AS t FROM sc),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY o, t ORDER BY cand) AS k, count(*) OVER (PARTITION BY o, t) AS c FROM tied),
+    ch AS (SELECT o, tau, macro_f1 AS inner_f1 FROM rk WHERE t AND k = (c - 1) // 2 + 1),
+    said AS (SELECT held.o, label, CASE WHEN p >= tau THEN 'Side I' ELSE 'Normal' END AS pred FROM held JOIN ch ON ch.o = held.o), os AS ({f1_sql('said', 'o')})
+    SELECT CAST(o AS INTEGER) AS fold, tau, {rd('inner_f1')} AS inner_f1, {rd('macro_f1')} AS outer_f1 FROM ch JOIN os USING (o)""",
+)
+def nested_thresholds(spark, sf):
+    """A threshold for every outer fold, chosen on inner out-of-fold scores of its training rows, and what it scores outside."""
+    u = oof(spark, sf).select("unit_id", "label", "p1", "q1")
+    outer, inner = (folds.stratified(u.select("unit_id", "label"), "unit_id", "label", k, seed).select("unit_id", F.col("fold").alias(name))
+                    for k, seed, name in ((5, 7, "o_fold"), (3, 8, "i_fold")))
+    faulty = F.col("label") != "Normal"
+    rows = cut(u.withColumns({"y": faulty.cast("double"), "label": F.when(faulty, "Side I").otherwise("Normal")}).join(outer, "unit_id").join(inner, "unit_id"))
+
+    def fit(train, _):
+        model = models.fit_ridge(train, ["p1", "q1"], "y")
+        return lambda test: test.withColumn("p", model.predict())
+
+    sides = {"p1": F.col("p"), "p2": F.lit(0.0)}
+    told = models.nested_out_of_fold(rows, "o_fold", "i_fold", range(5), range(3), ["unit_id", "label"], fit)
+    chosen = choose.sweep(told.withColumns(sides), "global", ["outer"]).where("selected").select(
+        F.col("outer").alias("fold"), F.col("a").alias("tau"), F.col("macro_f1").alias("inner_f1"))
+    held = models.out_of_fold(rows, "o_fold", range(5), ["unit_id", "label"], fit).join(F.broadcast(chosen), "fold")  # five rows
+    said = held.withColumn("pred", F.when(F.col("p") >= F.col("tau"), "Side I").otherwise("Normal"))
+    outside = scores.macro_f1(said, ["fold"]).select("fold", F.col("macro_f1").alias("outer_f1"))
+    return chosen.join(outside, "fold").select("fold", "tau", rounded("inner_f1").alias("inner_f1"), rounded("outer_f1").alias("outer_f1"))
+
+
 @query("hierarchical_scores")
 def hierarchical_scores(spark, sf):
     """Detect a fault from both sides of a vector, then say which side."""

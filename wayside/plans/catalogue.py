@@ -7,7 +7,7 @@ from importlib import import_module
 from wayside.plans import registry, subsystems
 from wayside.plans.inputs import GAP, event_stream
 
-for _name in ("stream", "scores", "peers", "rail", "fatigue", "history", "models", "live"):
+for _name in ("stream", "scores", "peers", "rail", "fatigue", "history", "models", "live", "answers"):
     import_module(f"wayside.plans.catalog_{_name}")
 
 

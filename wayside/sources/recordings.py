@@ -7,10 +7,12 @@ files are still read in parallel and no file has to fit a task.
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +29,44 @@ DOOR_FLAGS = ("cmd_close", "cmd_open", "dcsr", "dcsl", "dlsr", "dlsl", "opened",
 RAIL_COLUMNS = 129
 
 
-def headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[list[str], list[str]]]:
-    """(column names, files) for every distinct first line of the files: one distributed pass, one row per header."""
-    lines = spark.read.text(path).select(
+#: What is read of a file to know its first line.
+HEAD_BYTES = 1 << 16
+OPENED = ("file", "s3", "s3a", "gs", "hdfs", "viewfs", "abfs", "abfss")
+
+
+def first_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, header): the first line of every file, from its first HEAD_BYTES. Files are listed and opened by tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array([head(f) for f in files], pa.string())], names=["file", "header"])
+
+    def head(uri: str) -> str:
+        scheme, _, rest = uri.partition(":")
+        if scheme == "file":
+            system, place = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+        else:
+            system, place = fs.FileSystem.from_uri(uri.replace("s3a:", "s3:", 1))
+        with system.open_input_stream(unquote(place)) as stream:
+            found = b""
+            while b"\n" not in found and (more := stream.read(HEAD_BYTES)):
+                found += more
+        return found.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8-sig")
+
+    listed = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path")  # no content is read
+    scheme = F.split("path", ":")[0]
+    if listed.where(~scheme.isin(*OPENED)).isEmpty():
+        return listed.mapInArrow(run, "file string, header string")
+    lines = spark.read.text(path).select(  # a file system that only Spark can open: its rows tell their place
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
         F.monotonically_increasing_id().alias("line"))
-    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+
+
+def headers(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) for every distinct first line of the files."""
+    found = first_lines(spark, path).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
     return [(next(csv.reader([r.header.lstrip("\ufeff")])), [unquote(f) for f in r.files]) for r in found]
 
 
@@ -45,9 +78,12 @@ def _csv(spark: SparkSession, path: str | Sequence[str], names: Sequence[str], h
 
 def _of_width(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> DataFrame:
     """Files that all have as many columns as there are names; any other file is named in the error."""
-    wrong = [f"{f.rsplit('/', 1)[-1]} ({len(h)})" for h, files in headers(spark, path) if len(h) != len(names) for f in files]
-    if wrong:
-        raise ValueError(f"expected {len(names)} columns, got others in {len(wrong)} files: {', '.join(wrong[:20])}")
+    width = F.udf(lambda h: len(next(csv.reader([h]), [])), "int")(F.col("header"))  # one header per file
+    wrong = first_lines(spark, path).withColumn("n", width).where(F.col("n") != len(names))
+    some = wrong.orderBy("file").limit(20).collect()  # named in the message
+    if some:
+        listed = ", ".join(f"{unquote(r.file).rsplit('/', 1)[-1]} ({r.n})" for r in some)
+        raise ValueError(f"expected {len(names)} columns, got others in {wrong.count()} files: {listed}")
     return _csv(spark, path, names)
 
 
