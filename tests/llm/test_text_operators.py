@@ -89,6 +89,16 @@ def test_license_notice_with_changes(spark):
     assert not got[2][0].spans and not got[3][0].spans
 
 
+def test_license_names_are_told_apart(spark):
+    """One-line declarations, and names that share most of their words."""
+    texts = {f"x SPDX-License-Identifier: {name}\ncode": {label} for name, label in licenses.IDENTIFIERS.items()}
+    texts |= {"under the GNU Lesser General Public License here": {"lgpl"}, "the GNU General Public License is not enough": set(),
+              "see the GNU Affero General Public License": {"agpl"}, "SPDX-License-Identifier: none of them": set(),
+              " ".join(licenses.NOTICES[x] for x in ("bsd", "bsd-3")): {"bsd", "bsd-3"}, licenses.NOTICES["bsd"]: {"bsd"}}
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [{s.label for s in got[i][0].spans} for i in range(len(texts))] == list(texts.values())
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(docs, size):
     want = brute.near_components({r.doc_id: r.text for r in docs.collect()}, size)

@@ -52,6 +52,19 @@ Public License as published by the Free Software Foundation""",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
 granted, provided that the above copyright notice and this permission notice appear in all copies""",
+    "bsd-3": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission""",
+    "lgpl": "GNU Lesser General Public License",
+    "agpl": "GNU Affero General Public License",
+    "epl-2": "made available under the terms of the Eclipse Public License 2.0",
+    "boost": "Distributed under the Boost Software License, Version 1.0",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software""",
+}
+#: Identifiers in one-line declarations.
+IDENTIFIERS = {
+    "MIT": "mit", "Apache-2.0": "apache-2", "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd-3", "MPL-2.0": "mpl-2", "EPL-2.0": "epl-2",
+    "ISC": "isc", "Unlicense": "unlicense",
 }
 
 
@@ -72,9 +85,12 @@ def split_words(text: str) -> tuple[str, ...]:
     return tuple(w for w in re.split(BETWEEN, lowered) if w)
 
 
-def templates(phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> list[Template]:
+def templates(
+    phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, identifiers: dict[str, str] = IDENTIFIERS
+) -> list[Template]:
     found = [Template(label, split_words(text), True) for text, label in phrases.items()]
     found += [Template(label, split_words(text), False) for label, text in notices.items()]
+    found += [Template(label, split_words(f"SPDX-License-Identifier: {name}"), False) for name, label in identifiers.items()]
     if any(t.grams < 1 for t in found):
         raise ValueError(f"a template needs {GRAM} words at least")
     return found
