@@ -96,6 +96,8 @@ def test_listing_orders(frame):
     assert order("damage") == ["a1", "a2", "a10", "b1", "none"]
     assert order("file") == ["a1", "a2", "a10", "b1", "none"]
     assert order("Side I") == ["a2", "none", "a1", "a10", "b1"]
+    turned = lambda by: [r.file_id for r in history.listing(df, "", None, by, True).orderBy("place").collect()]
+    assert turned("damage") == ["b1", "a2", "a10", "a1", "none"] and turned("file") == order("file")[::-1]
     assert [r.place for r in history.listing(df, "A1", "Normal").collect()] == [1]
 
 

@@ -92,20 +92,24 @@ def operator_view(rows: DataFrame, system: str) -> DataFrame:
     return rows.select(*[shown(c).alias(heading) for c, heading in HEADINGS[system].items()])
 
 
-def listing(rows: DataFrame, search: str, label: str | None, by: str = "damage") -> DataFrame:
+def listing(rows: DataFrame, search: str, label: str | None, by: str = "damage", turned: bool = False) -> DataFrame:
     """Results whose file name contains a text, optionally of one label, with their place.
 
     ``by``: "file" (natural order of the names), "damage" (highest first) or a label (results with that label first); file
-    names in natural order decide among equals. Missing damages come last.
+    names in natural order decide among equals. Missing damages come last. ``turned``: the other direction, lowest damage or
+    last name first; missing damages still come last.
     """
     hits = rows.where(F.contains(F.lower("file_id"), F.lit(search.lower())))
     if label is not None:
         hits = hits.where(F.col("prediction") == label)
     first = {
-        "file": [], "damage": [F.col("damage").isNull(), -F.col("damage")],
+        "file": [], "damage": [F.col("damage").isNull(), F.col("damage") * (1 if turned else -1)],
     }.get(by, [~F.coalesce(F.col("prediction") == by, F.lit(False))])
     everything = hits.withColumn("_all", F.lit(0))
-    return places(everything, ["_all"], [*first, natural_key("file_id")]).drop("_all")
+    placed = places(everything, ["_all"], [*first, natural_key("file_id")]).drop("_all")
+    if turned and by == "file":
+        return placed.withColumn("place", hits.agg(F.count(F.lit(1))).scalar() + 1 - F.col("place"))
+    return placed
 
 
 def label_adjacency(units: DataFrame, label: str, at: str, value: str, blocks: int) -> DataFrame:
@@ -118,7 +122,20 @@ def label_adjacency(units: DataFrame, label: str, at: str, value: str, blocks: i
 
 
 def downsample(rows: DataFrame, order: Order, value: str, points: int = 180, extremes: int = 24) -> DataFrame:
-    """Evenly spaced samples, the largest 3-sigma outliers and the first minimum and maximum of each trace.
+    """Evenly spaced samples, the largest 3-sigma outliers and the first minimum and maximum of each trace."""
+    return _picked(rows, order, value, points, extremes).select(*order.keys, "index", "value", "unusual")
+
+
+def traces(rows: DataFrame, order: Order, value: str, points: int = 180, extremes: int = 24) -> DataFrame:
+    """What a trace is drawn from: the points of ``downsample`` with their ``time`` and their rank among the outliers shown
+    (``extreme``, else NULL), and beside each the trace's n, mean, low, high and number of outliers (``flagged``)."""
+    keys = list(order.keys)
+    stats = trace_summary(rows, keys, value)
+    return _picked(rows, order, value, points, extremes).join(stats, keys)
+
+
+def _picked(rows: DataFrame, order: Order, value: str, points: int, extremes: int) -> DataFrame:
+    """Points of a trace: index from 1, time, value, unusual, extreme.
 
     The per-trace top list filters on its row number, which Spark turns into a limit before the shuffle.
     """
@@ -140,9 +157,10 @@ def downsample(rows: DataFrame, order: Order, value: str, points: int = 180, ext
         spaced = spaced | ((F.floor(j * step) == F.col("_i")) & (j < m))
     even = d.where(spaced | (F.col("_i") == F.col("_at_min")) | (F.col("_i") == F.col("_at_max")))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_off"), "_i"))
-    top = d.where("unusual").withColumn("_r", place).where(F.col("_r") <= extremes).drop("_r")
-    chosen = even.unionByName(top).select(*keys, (F.col("_i") + 1).alias("index"), F.col(value).alias("value"), "unusual")
-    return chosen.distinct()
+    top = d.where("unusual").withColumn("extreme", place.cast("long")).where(F.col("extreme") <= extremes)
+    both = even.withColumn("extreme", F.lit(None).cast("long")).unionByName(top)
+    return both.groupBy(*keys, (F.col("_i") + 1).alias("index")).agg(
+        F.first(order.at).alias("time"), F.first(value).alias("value"), F.first("unusual").alias("unusual"), F.max("extreme").alias("extreme"))
 
 
 def trace_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

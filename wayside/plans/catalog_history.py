@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayside.functions.columns import micros, rounded
 from wayside.operators import contracts, cycles, history, peers
 from wayside.operators.ordered import positions
-from wayside.plans.catalog_stream import DIRECTION, ELECTRICAL, KEYS, PHASE, PROFILE, recorded, segmented, segments
+from wayside.plans.catalog_stream import DIRECTION, ELECTRICAL, KEYS, PHASE, PROFILE, recorded, segmented, segments, streamed
 from wayside.plans.inputs import EV, LI, SEG, event_stream
 from wayside.plans.registry import query, rd
 from wayside.session import cut, table
@@ -202,6 +202,26 @@ def trace_downsample(spark, sf):
     return t.withColumn("value", rounded("value"))
 
 
+@query(
+    "trace_points",
+    f"""WITH {EV}, li AS MATERIALIZED (SELECT stream_id AS rec, current AS x, t, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY stream_id) AS n FROM ev WINDOW w AS (PARTITION BY stream_id ORDER BY t, seq)),
+    s AS MATERIALIZED (SELECT rec, avg(x) AS m, stddev_pop(x) AS sd, arg_min(i, (x, i)) AS lo, arg_max(i, (x, -i)) AS hi FROM li GROUP BY rec),
+    d AS MATERIALIZED (SELECT li.rec, t, i, n, x, m, sd, abs(x - m) AS o, abs(x - m) > 3 * sd + 1e-12 AS u, lo, hi FROM li JOIN s USING (rec)),
+    r AS (SELECT *, least(n, 180) AS q, (n - 1) / greatest(least(n, 180) - 1, 1) AS st, count(*) FILTER (u) OVER (PARTITION BY rec ORDER BY o DESC, i) AS place,
+      count(*) FILTER (u) OVER (PARTITION BY rec) AS flagged FROM d),
+    k AS (SELECT *, CAST(floor(i / greatest(st, 1)) AS BIGINT) AS j FROM r)
+    SELECT rec AS stream_id, i + 1 AS index, t AS time, {rd("x")} AS value, u AS unusual, CASE WHEN u AND place <= 24 THEN place END AS extreme, n, {rd("m")} AS mean, {rd("m - 3 * sd")} AS low,
+      {rd("m + 3 * sd")} AS high, flagged FROM k WHERE i IN (0, n - 1, lo, hi) OR (u AND place <= 24)
+      OR (j < q AND CAST(floor(j * st) AS BIGINT) = i) OR (j + 1 < q AND CAST(floor((j + 1) * st) AS BIGINT) = i)""",
+)
+def trace_points(spark, sf):
+    """Points, times, band and outliers of every stream's trace of the motor current."""
+    rows, order = streamed(spark, sf)
+    t = history.traces(rows, order, "current")
+    whole = ["stream_id", "index", "time", "unusual", "extreme", "n", "flagged"]
+    return t.select(*whole, *[rounded(c).alias(c) for c in ("value", "mean", "low", "high")])
+
+
 @query(
     "trace_summary",
     f"""WITH {LI}, s AS (SELECT rec, count(*) AS n, avg(x) AS mean, 3 * stddev_pop(x) AS reach FROM li GROUP BY rec)
