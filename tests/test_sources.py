@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -227,3 +229,15 @@ def test_first_lines_read_only_the_beginning(spark, tmp_path):
     found = {r.header for r in recordings.first_lines(spark, str(tmp_path / "*.csv")).collect()}
     assert found == {"x,y", "only"}
     assert [(names, len(files)) for names, files in recordings.headers(spark, str(tmp_path / "*.csv"))] == [(["only"], 1), (["x", "y"], 2)]
+
+
+def test_written_tables_are_cleaned(spark, monkeypatch):
+    from wayside import session
+
+    monkeypatch.setattr(session, "MADE", [])
+    first, second = session.cut(spark.range(3)), session.cut(spark.range(5))
+    files = [f for t in (first, second) for f in t.inputFiles()]
+    session.erase(first)
+    assert second.count() == 5 and session.clean(spark) == 2 and session.MADE == []
+    folder = files[-1].removeprefix("file://").removeprefix("file:").rsplit("/", 1)[0]
+    assert not Path(folder).exists()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WRITTEN = "written-"
+MADE: list[str] = []  # folders that this process has written and not erased
 CONFIGURED = "wayside.configured"
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -72,6 +73,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{WRITTEN}{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,9 +92,21 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, held: in
 
 def erase(written: DataFrame) -> None:
     """Remove the files of a table made by ``cut`` that nothing will read again, such as the last round of an iteration."""
-    hadoop = written.sparkSession.sparkContext
     for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
         if not folder.rsplit("/", 1)[-1].startswith(WRITTEN):
             raise ValueError(f"not a table written by cut: {folder}")
-        path = hadoop._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(written.sparkSession, folder)
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove all tables that ``cut`` has written in this process; for when every result made from them has been used."""
+    folders = [MADE.pop() for _ in range(len(MADE))]
+    for folder in folders:
+        _remove(spark, folder)
+    return len(folders)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
