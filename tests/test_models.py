@@ -56,3 +56,30 @@ def test_out_of_fold_rows_never_see_their_own_fold(spark):
 
     got = models.out_of_fold(df, "fold", range(4), ["id"], fit)
     assert got.count() == 40 and all(k not in folds and len(folds) == 3 for k, folds in seen.items())
+
+
+def class_rows(spark, n=300):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(n, 3))
+    y = (v[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(float)
+    data = pd.DataFrame(v, columns=["a", "b", "c"]).assign(unit=range(n), y=y)
+    return spark.createDataFrame(data).coalesce(1), y
+
+
+def test_trees_of_a_forest_are_grown_by_several_fits(spark, monkeypatch):
+    """All trees asked for, each with one vote, grown side by side from different seeds; a second fit gives the same."""
+    monkeypatch.setattr(models, "TREES_A_FIT", 5)
+    rows, y = class_rows(spark)
+    forest = models.fit_forest(rows, ["a", "b", "c"], "y", 12, leaf=2, seed=3)
+    assert [p.getNumTrees for p in forest.parts] == [4, 4, 4]
+    assert len({t.toDebugString.split("\n", 1)[1] for p in forest.parts for t in p.trees}) == 12
+    p = models.probability(forest, rows, ["unit"]).toPandas().sort_values("unit").p.to_numpy()
+    alone = [part.setProbabilityCol("p").transform(forest.assembler.transform(rows)).orderBy("unit").toPandas().p for part in forest.parts]
+    assert np.allclose(p, np.mean([[v[1] for v in one] for one in alone], axis=0))
+    assert ((p > 0.5) == (y == 1)).mean() > 0.95
+    again = models.fit_forest(rows, ["a", "b", "c"], "y", 12, leaf=2, seed=3)
+    assert np.allclose(models.probability(again, rows, ["unit"]).toPandas().sort_values("unit").p, p)
+    told = forest.transform(rows).select("probability", "prediction").toPandas()
+    assert (told.prediction == [v.toArray().argmax() for v in told.probability]).all()
+    weights = models.importances(forest, ["a", "b", "c"])
+    assert sum(weights.values()) == pytest.approx(1) and max(weights, key=weights.get) == "a"

@@ -7,21 +7,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayside.operators.folds import balanced_weights
 from wayside.operators.rail import symmetric_design
+from wayside.session import cut
 
 # Model settings.
 MOST_DEPTH = 30  # the deepest tree Spark ML builds
+TREES_A_FIT, FITS_AT_ONCE, SEED_STEP = 25, 32, 1_000_003
 RIDGE_ALPHA, DOOR_TREES, RAIL_TREES, DOOR_LEAF, LOGISTIC_C = 1.0, 500, 800, 2, 1.0
 RESPONSE_FEATURES = ("t_in", "t_out", "t_set_cool", "full_cool")
 LOGISTIC_FEATURES = ("mid_mean", "trav_mean", "exc_mid_mean", "op_is_open")
@@ -77,14 +81,59 @@ def _weighted(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(weights), label)
 
 
+@dataclass(frozen=True)
+class Forest:
+    """Forests fitted side by side to the same rows, read as one: every tree has one vote."""
+
+    assembler: VectorAssembler
+    parts: tuple[RandomForestClassificationModel, ...]
+
+    @property
+    def shares(self) -> list[float]:
+        """Part of all trees that each part has."""
+        trees = [p.getNumTrees for p in self.parts]
+        return [t / sum(trees) for t in trees]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Rows with the mean ``probability`` of all trees and the likeliest class as ``prediction``."""
+        scored = self.assembler.transform(rows)
+        for i, part in enumerate(self.parts):
+            scored = part.setProbabilityCol(f"_p{i}").setRawPredictionCol("").setPredictionCol("").transform(scored)
+        votes = [vector_to_array(f"_p{i}") for i in range(len(self.parts))]
+        mean = F.array(*[
+            sum((v[c] * share for v, share in zip(votes, self.shares)), F.lit(0.0)) for c in range(self.parts[0].numClasses)])
+        told = scored.withColumn("_mean", mean).drop(*[f"_p{i}" for i in range(len(self.parts))])
+        likeliest = (F.array_position("_mean", F.array_max("_mean")) - 1).cast("double")
+        return told.withColumn("probability", array_to_vector("_mean")).withColumn("prediction", likeliest).drop("_mean")
+
+    @property
+    def importances(self) -> np.ndarray:
+        return np.sum([share * p.featureImportances.toArray() for share, p in zip(self.shares, self.parts)], axis=0)
+
+
 def fit_forest(
     rows: DataFrame, features: Sequence[str], label: str, trees: int, leaf: int = 1, subset: str = "sqrt", seed: int = 0, depth: int = MOST_DEPTH
-) -> PipelineModel:
-    """Random forest with balanced class weights. Trees grow until their leaves are pure or MOST_DEPTH deep."""
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=leaf,
-        featureSubsetStrategy=subset, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[_assembled(features), forest]).fit(_weighted(rows, label))
+) -> Forest:
+    """Random forest with balanced class weights. Trees grow until their leaves are pure or MOST_DEPTH deep.
+
+    Spark grows a forest level by level, in as many tasks as its rows have partitions: few rows keep one core busy however
+    many trees there are. Trees know nothing of each other, so TREES_A_FIT of them at most are grown by one fit, each fit with
+    its own seed, and FITS_AT_ONCE fits run side by side on the same written rows. Rows keep the node they are in, so that a level
+    need not be sent the trees above it.
+    """
+    assembler = _assembled(features)
+    ready = cut(assembler.transform(_weighted(rows, label)).select("features", label, "weight"))
+    fits = -(-trees // TREES_A_FIT)
+    sizes = [trees // fits + (i < trees % fits) for i in range(fits)]
+
+    def grow(i: int) -> RandomForestClassificationModel:
+        return RandomForestClassifier(
+            featuresCol="features", labelCol=label, weightCol="weight", numTrees=sizes[i], minInstancesPerNode=leaf,
+            featureSubsetStrategy=subset, maxDepth=depth, cacheNodeIds=True, seed=seed + SEED_STEP * i).fit(ready)
+
+    with ThreadPool(min(fits, FITS_AT_ONCE)) as pool:
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(grow), range(fits), chunksize=1)
+    return Forest(assembler, tuple(parts))
 
 
 def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, c: float = LOGISTIC_C) -> PipelineModel:
@@ -97,7 +146,7 @@ def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, c: float
     return Pipeline(stages=stages).fit(weighted)
 
 
-def probability(model: PipelineModel, rows: DataFrame, keep: Sequence[str], name: str = "p", cls: int = 1) -> DataFrame:
+def probability(model: PipelineModel | Forest, rows: DataFrame, keep: Sequence[str], name: str = "p", cls: int = 1) -> DataFrame:
     """Probability of a class beside the ``keep`` columns."""
     scored = model.transform(rows)
     return scored.select(*keep, vector_to_array("probability")[cls].alias(name))
@@ -111,8 +160,8 @@ def ensemble(parts: Sequence[DataFrame], keys: Sequence[str], name: str = "p") -
     return whole.groupBy(*keys).agg(F.avg(name).alias(name))
 
 
-def importances(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:
-    return dict(zip(features, map(float, model.stages[-1].featureImportances.toArray())))
+def importances(model: Forest, features: Sequence[str]) -> dict[str, float]:
+    return dict(zip(features, map(float, model.importances)))
 
 
 def fit_huber(rows: DataFrame, features: Sequence[str], target: str, alpha: float = HUBER_ALPHA, epsilon: float = HUBER_EPSILON) -> PipelineModel:

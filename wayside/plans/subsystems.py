@@ -68,7 +68,7 @@ def door_inputs(rows: DataFrame) -> list[str]:
 class DoorModel:
     reference: DataFrame
     inputs: list[str]
-    forest: PipelineModel
+    forest: models.Forest
     logistic: PipelineModel
     threshold: float
 
