@@ -124,3 +124,24 @@ def test_scoring_labels_closed_segments(spark, folder):
     segments = live.live_segments(stream_of(spark, folder), ["stream_id"], "ts", "1 second", "0 seconds", F.avg("current").alias("m"))
     done = live.live_scoring(segments, lambda b: b.select("stream_id", "start", (F.col("m") / 100).alias("p1"), F.lit(0.1).alias("p2")), 0.48)
     assert {r.prediction for r in done.collect()} == {"Normal", "Side I"}
+
+
+def test_rainflow_query_takes_all_series_that_the_watermark_has_passed(spark, tmp_path):
+    """Also a series whose last row is in the hour in which the watermark stands; not one with a row at or after it."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    hour, day = 3_600_000_000, 1_704_067_200_000_000
+    newest = day + 9 * hour + 1_800_123_456  # the watermark is at 8:30 and 0.123 s
+    mark = newest // 1000 * 1000 - hour
+    ends = {1: day + 8 * hour - 1, 2: mark - 1, 3: mark - 1000, 4: mark, 5: newest, 6: day + 8 * hour + 5}
+    rows = [(user, end - back * 1_700_000_000) for user, end in ends.items() for back in range(6)]
+    data = [(i, u, t, "a", float(i * 7919 % 31), '{"k": 3}') for i, (u, t) in enumerate(rows)]
+    frame = pd.DataFrame(data, columns=["event_id", "user_id", "t", "event_type", "value", "props"])  # noqa: F841
+    duck = duckdb.connect()
+    duck.sql("CREATE TABLE events AS SELECT event_id, user_id, make_timestamp(t) AS ts, event_type, value, props FROM frame")
+    duck.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = sorted(map(tuple, entry.queries()["stream_rainflow_residue"](spark, str(tmp_path)).collect()))
+    assert {r[0] for r in got} == {1, 2, 3, 6}
+    assert got == sorted(duck.sql(entry.oracle_sql()["stream_rainflow_residue"]).limit(10_000).fetchall())

@@ -69,16 +69,20 @@ def stream_segment_features(spark, sf):
 
 _DONE = CYC.replace("ev AS (", "ev_all AS (", 1).replace(
     ", mv AS", f""", wm AS (SELECT (max(t) // 1000) * 1000 - {DELAY_US} AS mark FROM ev_all),
-ev AS (SELECT * FROM ev_all WHERE stream_id IN (SELECT stream_id FROM ev_all, wm GROUP BY stream_id, mark HAVING (max(t) // {HOUR_US} + 1) * {HOUR_US} <= mark)), mv AS""", 1)
+ev AS (SELECT * FROM ev_all WHERE stream_id IN (SELECT stream_id FROM ev_all, wm GROUP BY stream_id, mark HAVING max(t) // 1000 + 1 <= mark // 1000)), mv AS""", 1)
 
 
 @query("stream_rainflow_residue", f"WITH RECURSIVE {_DONE} SELECT stream_id, {rd('range')} AS range, {rd('mean')} AS mean, cnt FROM cyc")
 def stream_rainflow_residue(spark, sf):
-    """Cycles of the series whose last hour the watermark has passed: closed ones as emitted, and the last residue."""
-    done, _ = live.run_available(live.live_rainflow(stream(spark, sf), DELAY), state=live.ROCKS)
-    everything = event_stream(spark, sf)
-    over = F.floor(F.col("last") / HOUR_US) * HOUR_US + HOUR_US <= F.floor(F.col("newest") / 1000) * 1000 - DELAY_US
-    ended = everything.groupBy("stream_id").agg(F.max("t").alias("last")).withColumn("newest", everything.agg(F.max("t")).scalar()).where(over)
+    """Cycles of the series whose rows the watermark has passed: closed ones as emitted, and the last residue.
+
+    The hours are laid so that one ends where the watermark stands after the last row: all rows it has passed are counted.
+    """
+    rows = stream(spark, sf)
+    newest = table(spark, sf, "events").agg(F.max(micros("ts"))).first()[0]
+    mark = (newest or 0) // 1000 * 1000 - DELAY_US
+    done, _ = live.run_available(live.live_rainflow(rows, DELAY, start=f"{mark % HOUR_US} microseconds"), state=live.ROCKS)
+    ended = event_stream(spark, sf).groupBy("stream_id").agg(F.max("t").alias("last")).where((F.floor(F.col("last") / 1000) + 1) * 1000 <= mark)
     return live.newest_residue(done).join(ended, "stream_id", "left_semi").select("stream_id", rounded("range").alias("range"), rounded("mean").alias("mean"), "cnt")
 
 

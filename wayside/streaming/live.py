@@ -157,13 +157,14 @@ def take_in(values: Iterable[float], points: list[float]) -> list[tuple[float, f
 
 def _bucket_cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
-        for stream, rows in zip(batch["stream_id"], batch["rows"], strict=True):
-            placed = sorted((r["t"], r["seq"], r["current"]) for r in rows)
+        residues, ranges, means = [], [], []
+        for values in batch["values"]:
             points: list[float] = []
-            found = take_in((v for _, _, v in placed), points)
-            out.append((stream, placed[-1][0], points, [r for r, _ in found], [m for _, m in found]))
-        yield pd.DataFrame(out, columns=_names(PART))
+            found = take_in(values.tolist(), points)
+            residues.append(points)
+            ranges.append([r for r, _ in found])
+            means.append([m for _, m in found])
+        yield batch[["stream_id", "upto"]].assign(residue=residues, ranges=ranges, means=means)
 
 
 class _Residue(StatefulProcessor):
@@ -188,16 +189,17 @@ class _Residue(StatefulProcessor):
     def close(self) -> None: ...
 
 
-def live_rainflow(rows: DataFrame, delay: str, ts: str = "ts", bucket: str = "1 hour") -> DataFrame:
+def live_rainflow(rows: DataFrame, delay: str, ts: str = "ts", bucket: str = "1 hour", start: str = "0 seconds") -> DataFrame:
     """Closed cycles of each series as they close, and at every step the half cycles of its residue.
 
     Rows gather by (stream, time bucket). A bucket that the watermark has passed is counted by itself, and only its residue
     goes on to the second stateful step, where a stream's residues are joined. A step takes in the rows up to ``upto``; only the
-    residue with the largest ``upto`` of a series counts.
+    residue with the largest ``upto`` of a series counts. Buckets begin at ``start`` and whole buckets from there.
     """
-    closed = rows.withWatermark(ts, delay).groupBy("stream_id", F.window(ts, bucket).alias("_w")).agg(
-        F.collect_list(F.struct("t", "seq", "current")).alias("rows"))
-    parts = closed.select("stream_id", "rows").mapInPandas(_bucket_cycles, PART)
+    closed = rows.withWatermark(ts, delay).groupBy("stream_id", F.window(ts, bucket, startTime=start).alias("_w")).agg(
+        F.sort_array(F.collect_list(F.struct("t", "seq", "current"))).alias("rows"))
+    placed = closed.select("stream_id", F.element_at("rows.t", -1).alias("upto"), F.col("rows.current").alias("values"))
+    parts = placed.mapInPandas(_bucket_cycles, PART)
     return parts.groupBy("stream_id").transformWithStateInPandas(
         statefulProcessor=_Residue(), outputStructType=CYCLES, outputMode="Append", timeMode="None")
 
