@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayside.operators import quantiles
-from wayside.operators.quantiles import exact_medians, exact_quantiles, ordered_bits, weighted_medians
+from wayside.operators.quantiles import exact_medians, exact_quantiles, ordered_bits, weighted_medians, weighted_medians_of_few
 
 PROBS = {"q0": 0.0, "q1": 0.1, "q2": 0.5, "q3": 0.95, "q4": 1.0}
 
@@ -71,3 +72,13 @@ def test_millions_of_values(spark):
     got = exact_quantiles(df, ["k"], "x", {"a": 0.25, "b": 0.999}, 20_000).first()
     want = df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.999)))).first()[0]
     assert [got.a, got.b] == want
+
+
+def test_weighted_medians_of_few_groups(frame):
+    """As the plain form: many values to a wide cell, equal values, one value, weights that are the values."""
+    rng = random.Random(8)
+    rows = [(k, v, w) for k in range(6) for _ in range(1 + 40 * k) for v in [rng.choice([2.0, rng.lognormvariate(3, 0.02 * k), rng.uniform(-1, 1)])]
+            for w in [rng.random() + 0.1]]
+    df = frame("k int, v double, w double", rows)
+    found = {r.k: r.m for r in weighted_medians_of_few(df, ["k"], "v", "w", "m").collect()}
+    assert len(found) == 6 and found == {r.k: r.m for r in weighted_medians(df, ["k"], "v", "w", "m").collect()}

@@ -138,15 +138,42 @@ def weighted_medians(df: DataFrame, keys: list[str], value: str, weight: str, na
         .where(F.col("_v").isNotNull())
         .groupBy(*by, _cell(F.col("_v")).alias("_cell"), "_v").agg(F.sum("_w").alias("_w"))
     )
-    cells = counted.groupBy(*by, "_cell").agg(F.sum("_w").alias("_in"))
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    near = _crossed(counted, by, "_cell")
+    here = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    opened = counted.join(near, [*by, "_cell"]).withColumn("_upto", F.col("_below") + F.sum("_w").over(here))
+    return _reached(opened, by, name).select(*keys, name)
+
+
+def _crossed(counted: DataFrame, by: list[str], cell: str) -> DataFrame:
+    """Cells in which the cumulative weight reaches half of the total, with the weight below them and that half."""
+    cells = counted.groupBy(*by, cell).agg(F.sum("_w").alias("_in"))
+    before = Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.select(
-        *by, "_cell", "_in", F.coalesce(F.sum("_in").over(before), F.lit(0.0)).alias("_below"),
+        *by, cell, "_in", F.coalesce(F.sum("_in").over(before), F.lit(0.0)).alias("_below"),
         (F.sum("_in").over(Window.partitionBy(*by)) / 2).alias("_half"))
     # a cell at either side of the crossing is kept, so rounding in the sums cannot lose it
     slack = F.col("_half") * 1e-9
-    near = placed.where((F.col("_below") <= F.col("_half") + slack) & (F.col("_below") + F.col("_in") >= F.col("_half") - slack))
-    here = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    opened = counted.join(near, [*by, "_cell"]).withColumn("_upto", F.col("_below") + F.sum("_w").over(here))
+    return placed.where((F.col("_below") <= F.col("_half") + slack) & (F.col("_below") + F.col("_in") >= F.col("_half") - slack))
+
+
+def _reached(opened: DataFrame, by: list[str], name: str) -> DataFrame:
     reached = opened.where(F.col("_upto") >= F.col("_half") - F.col("_half") * 1e-12)
-    return reached.groupBy(*by).agg(F.min("_v").alias(name)).select(*keys, name)
+    return reached.groupBy(*by).agg(F.min("_v").alias(name))
+
+
+COARSE = 256  # cells that the first round of few groups takes together
+
+
+def weighted_medians_of_few(df: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """``weighted_medians`` of few groups of any size, whose keys are not NULL. ``df`` is read twice.
+
+    Weights are summed by wide cells first, combined before they are exchanged; only rows of the cells that a median may be
+    in, a few for each group, are exchanged and put in order.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w")).where(F.col("_v").isNotNull())
+    wide = rows.withColumn("_wide", F.floor(_cell(F.col("_v")) / COARSE))
+    near = cut(_crossed(wide, keys, "_wide").drop("_in"))
+    inside = wide.join(F.broadcast(near), [*keys, "_wide"]).groupBy(*keys, "_wide", "_v").agg(
+        F.sum("_w").alias("_w"), F.first("_below").alias("_below"), F.first("_half").alias("_half"))
+    here = Window.partitionBy(*keys, "_wide").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return _reached(inside.withColumn("_upto", F.col("_below") + F.sum("_w").over(here)), keys, name)

@@ -130,7 +130,8 @@ def loads(spark, sf):
 )
 def select_config(spark, sf):
     """Scale and error of all 1,968 settings against the stand-in damage, and the one chosen."""
-    m = cut(fatigue.s_matrix(cycles(spark, sf), BY)).where("s > 0").join(loads(spark, sf), "stream_id")
+    known = cycles(spark, sf).join(loads(spark, sf).select("stream_id", "d"), "stream_id")
+    m = fatigue.settings(cut(fatigue.damage_sums(known, [*BY, "d"])), [*BY, "d"]).where("s > 0")
     e = fatigue.select_setting(m, ["m", "residue", "cutoff", "goodman"], "s", "d")
     return e.select("m", "residue", "cutoff", "goodman", "complexity", "chosen", rounded(F.ln("scale")).alias("scale"),
                     rounded(F.ln("log_scale")).alias("log_scale"), rounded("error").alias("error"))
