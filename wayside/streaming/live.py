@@ -176,7 +176,8 @@ class _Residue(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         columns = ("upto", "residue", "ranges", "means")
         parts = sorted((r for batch in rows for r in zip(*(batch[n] for n in columns), strict=True)), key=lambda r: r[0])
-        points = list(self.stack.get()[0]) if self.stack.exists() else []
+        held = self.stack.get()
+        points = list(held[0]) if held is not None else []
         out = []
         for upto, residue, ranges, means in parts:
             found = [*zip(ranges, means, strict=True), *take_in(map(float, residue), points)]
