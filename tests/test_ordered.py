@@ -107,6 +107,16 @@ def test_rows_are_read_and_exchanged_once(spark, tmp_path, monkeypatch):
                 assert str(tmp_path) not in after
 
 
+def test_nothing_is_drawn_where_every_stream_fits_a_range(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ordered, "written", lambda rows: written.append(rows) or cut(rows))
+    df = spark.createDataFrame([(k, i) for k in range(5) for i in range(200)], "k int, t long")
+    order = Order(("k",), "t").sampled(df)
+    assert not written and not order.many and order.bounds is not None
+    assert positions(df, order).agg(F.max("pos"), F.max("n")).first() == (199, 200)
+    assert Order(("k",), "t", (), 100).sampled(df).many and written  # longer than a range: drawn as ever
+
+
 def test_gap_is_strict(frame):
     times = [0, SECOND, 2 * SECOND + 1, 2 * SECOND + 2, 9 * SECOND]
     df = frame("k int, t long, seq long", [(1, t, i) for i, t in enumerate(times)])

@@ -69,12 +69,17 @@ class Order:
 
         Rows are drawn by a hash of their place, and every SAMPLED-th drawn row of a long stream begins a range. Bounds only
         balance the work: they serve any rows with these keys and order columns, so one sample does for many operators.
+        Where every stream fits a range, which the counts of its rows tell, nothing is drawn.
         """
         keys = list(self.keys)
         slim = df.select(*keys, *self.sort)
-        n = slim.count()
+        n, longest = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
+            F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()  # one row
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         share = min(self.limit, max(LEAST_ROWS, n // tasks))
+        if longest <= share:
+            none = slim.select(*keys, F.array(F.struct(*self.sort)).alias("_bounds")).limit(0)
+            return replace(self, bounds=none, bound_keys=self.keys, steps=())
         all_hashes = 1 << 40
         drawn = F.pmod(F.xxhash64(*keys, *self.sort), F.lit(all_hashes)) < all_hashes * SAMPLED // max(share, SAMPLED)
         some = slim.where(drawn).select(*keys, F.struct(*self.sort).alias("_place"))

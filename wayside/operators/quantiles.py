@@ -44,16 +44,23 @@ def ordered_bits(v: Column) -> Column:
     return F.when(v < 0, -size).otherwise(size)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], limit: int = LIMIT) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], limit: int = LIMIT, sizes: DataFrame | None = None
+) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``keys`` (none: of the whole table).
 
     Values are written once, beside their keys alone; then groups are counted, and those above ``limit`` rows, of which
-    there are few, are taken out for ``radix_quantiles``.
+    there are few, are taken out for ``radix_quantiles``. A caller whose rows are a table already and who knows their
+    ``sizes`` (``keys`` and, in _n, values that are not NULL; written) spares both.
     """
     by = list(keys) or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(0))
-    known = cut(base.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()))
-    large = cut(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit))
+    known = base.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if sizes is None:
+        known = cut(known)
+        large = cut(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit))
+    else:
+        large = sizes.select(*by, "_n").where(F.col("_n") > limit)
     many = not large.isEmpty()
     same = known[by[0]].eqNullSafe(large[by[0]])
     for k in by[1:]:
