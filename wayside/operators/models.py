@@ -1,4 +1,4 @@
-"""Models: ridge by normal equations in one pass, Spark ML forests, logistic and Huber regression, fold-local training.
+"""Models: ridge by normal equations in one pass, forests, Spark ML's logistic and Huber regression, fold-local training.
 
 Only fitted parameters reach the driver; rows never do.
 """
@@ -6,26 +6,25 @@ Only fitted parameters reach the driver; rows never do.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayside.operators import forests
 from wayside.operators.folds import balanced_weights
 from wayside.operators.rail import symmetric_design
 from wayside.session import cut
 
 # Model settings.
-MOST_DEPTH = 30  # the deepest tree Spark ML builds
-TREES_A_FIT, FITS_AT_ONCE, SEED_STEP = 25, 32, 1_000_003
+MOST_DEPTH, MOST_CLASSES = 30, 100  # the deepest tree and the most classes of Spark ML
+TREES_A_FIT = 10
 RIDGE_ALPHA, DOOR_TREES, RAIL_TREES, DOOR_LEAF, LOGISTIC_C = 1.0, 500, 800, 2, 1.0
 RESPONSE_FEATURES = ("t_in", "t_out", "t_set_cool", "full_cool")
 LOGISTIC_FEATURES = ("mid_mean", "trav_mean", "exc_mid_mean", "op_is_open")
@@ -81,34 +80,84 @@ def _weighted(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(weights), label)
 
 
+@dataclass(frozen=True)
+class Tree:
+    """One tree as text."""
+
+    number: int
+    nodes: forests.Nodes
+
+    @property
+    def toDebugString(self) -> str:
+        n = self.nodes
+        lines = [f"  {i}: " + (f"leaf {n.counts[i].tolist()}" if n.left[i] < 0 else f"feature {n.feature[i]}, cell <= {n.cell[i]}: {n.left[i]}, else {n.left[i] + 1}")
+                 for i in range(len(n.left))]
+        return "\n".join([f"Tree {self.number} with {len(n.left)} nodes", *lines])
+
+
+@dataclass(frozen=True)
+class Part:
+    """The trees of a forest that are grown by one task, where it can hold all rows."""
+
+    forest: Forest
+    number: int
+    column: str = "probability"
+
+    @property
+    def numbers(self) -> range:
+        sizes = self.forest.sizes
+        return range(sum(sizes[:self.number]), sum(sizes[:self.number + 1]))
+
+    @property
+    def getNumTrees(self) -> int:
+        return self.forest.sizes[self.number]
+
+    @property
+    def trees(self) -> list[Tree]:
+        """What tasks have grown of the trees, for a look at them; they come to the driver."""
+        told = self.forest.grown.where(F.col("tree").isin(list(self.numbers)) & (F.col("root") >= 0)).orderBy("tree", "root").collect()
+        return [Tree(r["tree"], forests.Nodes.read(r.asDict(), self.forest.plan.classes)) for r in told]
+
+    def setProbabilityCol(self, name: str) -> Part:
+        return replace(self, column=name)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Assembled rows with the mean probability of these trees."""
+        return self.forest.scored(rows, [self.number]).withColumn(self.column, array_to_vector("votes")).drop("votes")
+
+
 @dataclass(frozen=True)
 class Forest:
-    """Forests fitted side by side to the same rows, read as one: every tree has one vote."""
+    """Trees in a written table, read as one model: every tree has one vote."""
 
     assembler: VectorAssembler
-    parts: tuple[RandomForestClassificationModel, ...]
+    limits: list[np.ndarray]  # candidate thresholds of the features
+    plan: forests.Plan
+    sizes: tuple[int, ...]  # trees of the parts
+    upper: list[forests.Top]
+    grown: DataFrame
 
     @property
-    def shares(self) -> list[float]:
-        """Part of all trees that each part has."""
-        trees = [p.getNumTrees for p in self.parts]
-        return [t / sum(trees) for t in trees]
+    def parts(self) -> tuple[Part, ...]:
+        return tuple(Part(self, i) for i in range(len(self.sizes)))
+
+    def scored(self, assembled: DataFrame, parts: Sequence[int]) -> DataFrame:
+        """Rows with the mean shares of the classes, ``votes``. Rows are written with a number that their votes come back by."""
+        own = {t: i for i in parts for t in self.parts[i].numbers}
+        rows = cut(assembled.withColumn("_row", F.monotonically_increasing_id()))
+        x = rows.select(F.col("_row").alias("id"), vector_to_array("features").alias("x"))
+        found = forests.votes(x, self.limits, self.grown, self.plan, own, self.upper, rows.count())
+        return rows.join(found.withColumnRenamed("id", "_row"), "_row").drop("_row")
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Rows with the mean ``probability`` of all trees and the likeliest class as ``prediction``."""
-        scored = self.assembler.transform(rows)
-        for i, part in enumerate(self.parts):
-            scored = part.setProbabilityCol(f"_p{i}").setRawPredictionCol("").setPredictionCol("").transform(scored)
-        votes = [vector_to_array(f"_p{i}") for i in range(len(self.parts))]
-        mean = F.array(*[
-            sum((v[c] * share for v, share in zip(votes, self.shares)), F.lit(0.0)) for c in range(self.parts[0].numClasses)])
-        told = scored.withColumn("_mean", mean).drop(*[f"_p{i}" for i in range(len(self.parts))])
-        likeliest = (F.array_position("_mean", F.array_max("_mean")) - 1).cast("double")
-        return told.withColumn("probability", array_to_vector("_mean")).withColumn("prediction", likeliest).drop("_mean")
+        told = self.scored(self.assembler.transform(rows), range(len(self.sizes)))
+        likeliest = (F.array_position("votes", F.array_max("votes")) - 1).cast("double")
+        return told.withColumn("probability", array_to_vector("votes")).withColumn("prediction", likeliest).drop("votes")
 
     @property
     def importances(self) -> np.ndarray:
-        return np.sum([share * p.featureImportances.toArray() for share, p in zip(self.shares, self.parts)], axis=0)
+        return forests.importances(self.grown)
 
 
 def fit_forest(
@@ -116,24 +165,31 @@ def fit_forest(
 ) -> Forest:
     """Random forest with balanced class weights. Trees grow until their leaves are pure or MOST_DEPTH deep.
 
-    Spark grows a forest level by level, in as many tasks as its rows have partitions: few rows keep one core busy however
-    many trees there are. Trees know nothing of each other, so TREES_A_FIT of them at most are grown by one fit, each fit with
-    its own seed, and FITS_AT_ONCE fits run side by side on the same written rows. Rows keep the node they are in, so that a level
-    need not be sent the trees above it.
+    Spark ML grows a forest level by level, keeps counts of every node and cell, and gathers all nodes on the driver. Trees know
+    nothing of each other: here a task gets the rows as cells of one byte and grows TREES_A_FIT trees to the end. Where rows are
+    too many for a task, trees are grown on sums of all tasks' counts until their nodes are small enough. Trees go to a written table.
     """
     assembler = _assembled(features)
-    ready = cut(assembler.transform(_weighted(rows, label)).select("features", label, "weight"))
+    weighted = assembler.transform(_weighted(rows, label)).select(vector_to_array("features").alias("x"), F.col(label).alias("y"), "weight")
+    ready = cut(weighted.withColumn("id", F.monotonically_increasing_id()))
+    odd = F.exists("x", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+    per = ready.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("w"), F.count(F.when(odd, 1)).alias("odd"))
+    found = {r["y"]: r for r in per.collect()}  # one row per class
+    if not found:
+        raise ValueError("no rows to fit on")
+    if any(r["odd"] for r in found.values()):
+        raise ValueError("features to fit on must not be missing or infinite")
+    if any(y != int(y) or not 0 <= y < MOST_CLASSES for y in found):
+        raise ValueError(f"classes must be whole numbers from 0 to {MOST_CLASSES - 1}")
+    n, classes = sum(r["n"] for r in found.values()), int(max(found)) + 1
+    plan = forests.Plan(
+        len(features), tuple(found[k]["w"] if k in found else 0.0 for k in range(classes)), leaf, forests.features_tried(subset, len(features), trees), depth, seed)
+    limits = forests.thresholds(ready, len(features), n)
+    packed = cut(forests.blocks(ready.withColumn("y", F.col("y").cast("int")), limits))
     fits = -(-trees // TREES_A_FIT)
-    sizes = [trees // fits + (i < trees % fits) for i in range(fits)]
-
-    def grow(i: int) -> RandomForestClassificationModel:
-        return RandomForestClassifier(
-            featuresCol="features", labelCol=label, weightCol="weight", numTrees=sizes[i], minInstancesPerNode=leaf,
-            featureSubsetStrategy=subset, maxDepth=depth, cacheNodeIds=True, seed=seed + SEED_STEP * i).fit(ready)
-
-    with ThreadPool(min(fits, FITS_AT_ONCE)) as pool:
-        parts = pool.map(inheritable_thread_target(rows.sparkSession)(grow), range(fits), chunksize=1)
-    return Forest(assembler, tuple(parts))
+    sizes = tuple(trees // fits + (i < trees % fits) for i in range(fits))
+    upper = forests.tops(packed, plan, trees, n)
+    return Forest(assembler, limits, plan, sizes, upper, forests.grown(packed, plan, sizes, upper))
 
 
 def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, c: float = LOGISTIC_C) -> PipelineModel:
