@@ -137,3 +137,22 @@ def test_draws_are_poisson_and_differ_by_tree_and_seed():
     tried = forests.chosen(np.random.default_rng(0), 20_000, 10, 4)
     assert all(len(set(r)) == 4 for r in tried[:500].tolist()) and np.abs(np.bincount(tried.ravel()) / 8000 - 1).max() < 0.05
     assert [forests.features_tried(s, 64, 500) for s in ("sqrt", "all", "onethird", "log2", "auto", "5", "0.5")] == [8, 64, 22, 6, 8, 5, 32]
+
+
+def test_detect_then_localise_with_trees_in_tables(spark, monkeypatch):
+    """Detector and localiser leave no tree with the driver: rows of trees are read when rows are scored, and both kinds vote."""
+    rng = np.random.default_rng(8)
+    labels = ["Normal"] * 30 + ["Side I"] * 12 + ["Side II"] * 12
+    rows = spark.createDataFrame([
+        (u, s, label, float(rng.normal(3 if label == ("Side I" if s == 1 else "Side II") else 0, 0.3)), float(rng.normal()))
+        for u, label in enumerate(labels) for s in (1, 2)], "unit int, side int, label string, v double, w double")
+    fitted = []
+    fit = models.fit_forest
+    monkeypatch.setattr(models, "fit_forest", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    score = models.fit_hierarchical(rows, "unit", ["v", "w"], 12)
+    assert [f.grown.where("root = 0").count() for f in fitted] == [12, 12] and [f.plan.features for f in fitted] == [4, 2]
+    assert all(len(top.level) == 1 for f in fitted for top in f.upper)  # what the driver has of a tree does not grow with it
+    told = score(rows.drop("label")).toPandas().set_index(["unit", "side"]).sort_index()
+    assert len(told) == 108 and ((told.detector > 0.5) == (np.repeat(labels, 2) != "Normal")).mean() > 0.95
+    own = told.loc[list(range(30, 54))].own.to_numpy().reshape(-1, 2)
+    assert ((own[:, 0] > own[:, 1]) == (np.array(labels[30:]) == "Side I")).all()
