@@ -156,3 +156,20 @@ def test_detect_then_localise_with_trees_in_tables(spark, monkeypatch):
     assert len(told) == 108 and ((told.detector > 0.5) == (np.repeat(labels, 2) != "Normal")).mean() > 0.95
     own = told.loc[list(range(30, 54))].own.to_numpy().reshape(-1, 2)
     assert ((own[:, 0] > own[:, 1]) == (np.array(labels[30:]) == "Side I")).all()
+
+
+def test_out_of_fold_forests_hold_no_tree_of_their_own_fold(spark, monkeypatch):
+    """Every row is scored once, by trees that have drawn rows of the other folds only."""
+    rows, data = mixed_rows(spark, 200)
+    placed = rows.withColumn("fold", F.col("unit") % 4)
+    fitted = {}
+
+    def fit(train, k):
+        fitted[k] = models.fit_forest(train, NAMES, "y", 15, seed=k)
+        return lambda test: models.probability(fitted[k], test, ["unit", "y"])
+
+    got = models.out_of_fold(placed, "fold", range(4), ["unit", "y"], fit).toPandas()
+    assert sorted(got.unit) == list(range(200)) and (got.unit % 4 == got.fold).all() and ((got.p > 0.5) == (got.y == 1)).mean() > 0.75
+    for forest in fitted.values():
+        assert len(trees_of(forest)) == 15 and np.mean([t.counts[0].sum() for _, _, t in trees_of(forest)]) == pytest.approx(150, abs=15)
+    assert len({tuple(t.feature.tolist()) for f in fitted.values() for _, _, t in trees_of(f)}) == 60
