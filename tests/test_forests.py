@@ -173,3 +173,21 @@ def test_out_of_fold_forests_hold_no_tree_of_their_own_fold(spark, monkeypatch):
     for forest in fitted.values():
         assert len(trees_of(forest)) == 15 and np.mean([t.counts[0].sum() for _, _, t in trees_of(forest)]) == pytest.approx(150, abs=15)
     assert len({tuple(t.feature.tolist()) for f in fitted.values() for _, _, t in trees_of(f)}) == 60
+
+
+def test_registered_forest_has_all_its_trees(spark, monkeypatch, tmp_path):
+    from wayside.plans import catalog_models
+
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(80, 64)).round(3)
+    data = [(i, [float(x) for x in v], int(5 + 5 * (v[0] > 0.4))) for i, v in enumerate(values)]
+    spark.createDataFrame([*data, data[0]], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    fitted = []
+    fit = models.fit_forest
+    monkeypatch.setattr(models, "fit_forest", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    got = catalog_models.rf_scores(spark, str(tmp_path)).toPandas()
+    [forest] = fitted
+    assert sorted(got.vec_id) == sorted([*range(80), 0]) and got.p.between(0, 1).all()
+    assert (forest.plan.leaf, forest.plan.depth, forest.plan.tries, forest.plan.features) == (2, 30, 8, 64)
+    assert forest.grown.where("root = 0").select("tree").distinct().count() == 500 == sum(forest.sizes)
+    assert all(tree.counts[tree.left < 0].sum(axis=1).min() >= 2 for _, _, tree in trees_of(forest))
